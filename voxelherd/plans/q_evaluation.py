@@ -270,11 +270,11 @@ FINITE_SQL = "e AS (SELECT user_id AS run, event_type AS metric, ts, event_id, v
 
 
 @query("meter_global", f"""WITH {FINITE_SQL}
-SELECT run, metric, CAST(sum(event_id % 3 + 1) AS BIGINT) AS count, round(sum(value * (event_id % 3 + 1)) / sum(event_id % 3 + 1), 6) AS global_avg
+SELECT run, metric, CAST(sum(event_id % 3 + 1) AS BIGINT) AS count, round(sum(value * (event_id % 3 + 1)) / sum(event_id % 3 + 1), 9) AS global_avg
 FROM e GROUP BY 1, 2""")
 def meter_global(t):
     rows = log_rows(t).withColumn("n", F.col("event_id") % 3 + 1)
-    return meters.meter_global(rows, ["run", "metric"], "value", "n").withColumn("global_avg", F.round("global_avg", 6))
+    return meters.meter_global(rows, ["run", "metric"], "value", "n").withColumn("global_avg", F.round("global_avg", 9))
 
 
 @query("meter_window", f"""WITH {FINITE_SQL},
