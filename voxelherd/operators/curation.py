@@ -6,12 +6,13 @@ from collections.abc import Iterable, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from voxelherd.functions.columns import geometry
 from voxelherd.operators.ordering import dedup_first, exact_quantiles
 from voxelherd.operators.quality import many_to_one
+from voxelherd.session import materialize
 
 MODALITIES = ("T1w", "T2w", "FLAIR")
 
@@ -41,7 +42,7 @@ def exclude_datasets(df: DataFrame, exclude: DataFrame | Iterable[str], on: str
     anti join whose strategy follows its measured size.
     """
     if isinstance(exclude, DataFrame):
-        return df.join(exclude.select(on).distinct(), on=on, how="left_anti")
+        return df.join(exclude.select(on), on=on, how="left_anti")
     names = list(exclude)
     return df.where(~F.col(on).isin(*names)) if names else df
 
@@ -112,8 +113,6 @@ def value_counts(df: DataFrame, column: str, n: int | None = None, by: Sequence[
         return counts.orderBy(*by, *order)
     if not by:
         return counts.orderBy(*order).limit(n)
-    from pyspark.sql import Window
-
     rank = F.row_number().over(Window.partitionBy(*by).orderBy(*order))
     return counts.withColumn("_rank", rank).where(F.col("_rank") <= n).drop("_rank")
 
@@ -135,7 +134,7 @@ def histogram(df: DataFrame, column: str, bins: int, clip: float | None = None,
     )
     ranges = [F.min("_value").alias("_low"), F.max("_value").alias("_high")]
     if by:
-        counts = counts.join(counts.groupBy(*by).agg(*ranges), on=list(by))
+        counts = counts.join(materialize(counts.groupBy(*by).agg(*ranges)), on=list(by))
     else:
         low, high = counts.agg(*ranges).first()
         counts = counts.withColumns({

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from voxelherd.functions import kernels
 from voxelherd.functions.columns import hash_int, hash_order
+from voxelherd.session import materialize
 
 
 def count_set(flags: Column) -> Column:
@@ -23,13 +24,14 @@ def add_valid(df: DataFrame, shape: Sequence[int], patch: Sequence[int], mask: s
 def add_quota(df: DataFrame, ratio: float, flags: str = "valid", batch: str = "batch") -> DataFrame:
     """``num_keep`` of the batch: ``(1 - ratio)`` of its smallest count, rounded down.
 
-    Only a batch number and a count per scan take part in the aggregation.
+    Only a batch number and a count per scan take part in the aggregation. The quotas are
+    written out before the join, so that a batch with very many scans can be split.
     """
     counted = df.withColumn("_n", count_set(F.col(flags)))
     quota = counted.groupBy(batch).agg(F.min("_n").alias("_min")).select(
         batch, F.floor(F.lit(1.0 - float(ratio)) * F.col("_min")).cast("int").alias("num_keep")
     )
-    return counted.drop("_n").join(quota, on=batch)
+    return counted.drop("_n").join(materialize(quota), on=batch)
 
 
 def keep_quota(

@@ -4,8 +4,8 @@ A window without partition keys, or partitioned by a key that may hold a third o
 rows, runs in one task. Everything here works on range slices instead: rows are range
 partitioned by (group, order), each slice is summarized, and the few groups that
 continue from one slice into the next get an offset. At most one group continues into
-any slice, so the offsets table never has more rows than there are slices; that bound is
-what makes broadcasting it safe.
+any slice and one out of it, so the table of such groups never has more than two rows
+per slice; that bound is what makes broadcasting it safe.
 """
 
 from __future__ import annotations
@@ -25,9 +25,12 @@ def ordered_prefix(
     group: Sequence[str] = (),
     sums: Mapping[str, Column] | None = None,
     slices: int | None = None,
+    totals: bool = False,
 ) -> DataFrame:
     """Add ``position`` (from 0, within ``group``) and exclusive running sums.
 
+    With ``totals`` the sums over the whole group follow as ``<name>_total``.
+
     ``order`` must identify rows within a group, otherwise ties are numbered
     arbitrarily. ``sums`` maps new column names to summed expressions. Pass only the
     columns that are needed: the frame is written once to the checkpoint folder.
@@ -43,17 +46,20 @@ def ordered_prefix(
     ).repartitionByRange(slices, *group, *order)
     rows = materialize(ranged.withColumn("_slice", F.spark_partition_id()))
 
-    totals = rows.groupBy(*group, "_slice").agg(
+    parts = rows.groupBy(*group, "_slice").agg(
         F.count(F.lit(1)).alias("_rows"),
         *[F.sum(f"_in_{name}").alias(f"_sum_{name}") for name in sums],
     )
     before = Window.partitionBy(*group).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(
+    whole = Window.partitionBy(*group)
+    spanning = parts.select(
         *[F.col(name).alias(f"_key_{name}") for name in group],
         F.col("_slice").alias("_key_slice"),
+        F.count(F.lit(1)).over(whole).alias("_slices"),
         F.sum("_rows").over(before).alias("_off_rows"),
         *[F.sum(f"_sum_{name}").over(before).alias(f"_off_{name}") for name in sums],
-    ).where("_off_rows IS NOT NULL")
+        *[F.sum(f"_sum_{name}").over(whole).alias(f"_all_{name}") for name in sums],
+    ).where("_slices > 1")
 
     same = reduce(
         lambda a, b: a & b,
@@ -62,7 +68,8 @@ def ordered_prefix(
     )
     local = Window.partitionBy("_slice", *group).orderBy(*order)
     earlier = local.rowsBetween(Window.unboundedPreceding, -1)
-    joined = rows.join(F.broadcast(offsets), same, "left")
+    joined = rows.join(F.broadcast(spanning), same, "left")
+    group_total = Window.partitionBy("_slice", *group)
     return joined.select(
         *df.columns,
         (F.row_number().over(local) - 1 + F.coalesce("_off_rows", F.lit(0)))
@@ -75,6 +82,10 @@ def ordered_prefix(
             ).alias(name)
             for name in sums
         ],
+        *[
+            F.coalesce(f"_all_{name}", F.sum(f"_in_{name}").over(group_total)).alias(f"{name}_total")
+            for name in (sums if totals else ())
+        ],
     )
 
 
@@ -129,13 +140,8 @@ def _value_runs(df: DataFrame, column: str, by: Sequence[str]) -> DataFrame:
         .groupBy(*by, F.col(column).alias("_value"))
         .agg(F.count(F.lit(1)).alias("_count"))
     )
-    runs = ordered_prefix(counts, ["_value"], by, {"_below": F.col("_count")})
-    if not by:
-        total = counts.agg(F.sum("_count")).first()[0] or 0
-        return runs.withColumn("_total", F.lit(total).cast("bigint"))
-    totals = runs.groupBy(*by).agg(F.sum("_count").alias("_total"))
-    same = reduce(lambda a, b: a & b, [runs[k].eqNullSafe(totals[k]) for k in by])
-    return runs.join(totals, same).drop(*[totals[k] for k in by])
+    runs = ordered_prefix(counts, ["_value"], by, {"_below": F.col("_count")}, totals=True)
+    return runs.withColumnRenamed("_below_total", "_total")
 
 
 def exact_quantiles(

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from voxelherd.functions.columns import CORE_FIELDS, hash_int, hash_order
 from voxelherd.operators.ordering import dedup_first, ordered_prefix
 from voxelherd.operators.quality import assert_unique, fail_on_rejects
+from voxelherd.session import materialize
 
 DEFAULT_SHARD_BYTES = 700 * 1024**2
 
@@ -141,9 +142,8 @@ def group_kfold(df: DataFrame, group: str, k: int) -> DataFrame:
     Groups are dealt out by size, largest first, forward and backward in turn.
     """
     sizes = df.groupBy(group).agg(F.count(F.lit(1)).alias("_size"))
-    placed = ordered_prefix(sizes, [F.col("_size").desc(), F.col(group)])
-    n_groups = placed.count()
-    folds = max(1, min(k, n_groups))
+    placed = materialize(ordered_prefix(sizes, [F.col("_size").desc(), F.col(group)]))
+    folds = max(1, min(k, placed.count()))
     lap = F.col("position") % (2 * folds)
     fold = F.when(lap < folds, lap).otherwise(2 * folds - 1 - lap) + 1
     return df.join(placed.select(group, fold.cast("int").alias("fold")), on=group)
@@ -178,7 +178,7 @@ def plan_shards(
     numbers = ordered_prefix(cut.select("_cut").distinct(), ["_cut"]).select(
         "_cut", F.col("position").alias("shard")
     )
-    return cut.join(numbers, on="_cut").drop("_cut")
+    return cut.join(materialize(numbers), on="_cut").drop("_cut")
 
 
 def shard_name(shard: Column, pattern: str = "shard-%06d.tar") -> Column:

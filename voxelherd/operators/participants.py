@@ -11,6 +11,7 @@ from voxelherd.functions.columns import (
     age_in_years, normalize_age, normalize_category, null_if_na, strip_prefix,
 )
 from voxelherd.operators.ordering import dedup_first
+from voxelherd.session import materialize
 
 # Datasets whose age column has its own name.
 AGE_COLUMNS = {
@@ -99,7 +100,8 @@ def harmonize(
     ).where("sub IS NOT NULL")
     known = literal_lookup(F.col("dataset"), age_units)
     if units is not None:
-        typed = typed.join(units.select("dataset", "header", "unit"), on=["dataset", "header"], how="left")
+        lookup = materialize(units.select("dataset", "header", "unit"))
+        typed = typed.join(lookup, on=["dataset", "header"], how="left")
         known = F.coalesce(known, F.col("unit"))
     aged = typed.withColumn("age", age_in_years(F.col("age"), F.coalesce(known, F.lit("years"))))
     first = dedup_first(aged, ["dataset", "sub", "ses"], ["line"])

@@ -170,7 +170,7 @@ def ridge_group_cv(
     features: str,
     y: str,
     group: str,
-    order: Sequence[str],
+    order: Sequence[str] = (),
     alphas: Sequence[float] = ALPHAS,
     folds: int = 5,
     inner: str = "grouped",
@@ -178,7 +178,7 @@ def ridge_group_cv(
 ) -> RidgeResult:
     """Out-of-fold ridge predictions with no subject in two folds.
 
-    ``order`` identifies a row. Features are standardized with the population deviation
+    ``order`` identifies a row and is needed for ``contiguous`` only. Features are standardized with the population deviation
     of the training rows; the penalty of each fold is chosen on its training rows only.
     The full refit gives the standardized coefficients.
     """

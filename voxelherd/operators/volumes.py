@@ -28,11 +28,25 @@ Shape = Sequence[int]
 
 def patchify(
     df: DataFrame, shape: Shape, patch: Shape, image: str = "image", scan: str = "scan_id",
-    chans: int = 1, stride: int = 1, element: str = "float",
+    chans: int = 1, stride: int = 1, element: str = "float", mask: str | None = None, keep: str | None = None,
 ) -> DataFrame:
-    """One row per patch: ``patch_id`` in C order of the grid and its values."""
-    cut = kernels.patch_arrays(shape, patch, chans, stride, element)(F.col(image))
-    return df.select(scan, F.posexplode(cut).alias("patch_id", "vals"))
+    """One row per patch: ``patch_id`` in C order of the grid and its values.
+
+    ``mask`` names a voxel mask cut alongside into ``observed``. With ``keep``, one flag
+    per patch, only flagged patches become rows.
+    """
+    parts = [kernels.patch_arrays(shape, patch, chans, stride, element)(F.col(image)).alias("vals")]
+    if mask:
+        parts.append(kernels.patch_arrays(shape, patch, 1, stride, "boolean")(F.col(mask)).alias("observed"))
+    if keep:
+        parts.append(F.col(keep).alias("keep"))
+    cut = df.select(scan, *parts).withColumn("_rows", F.arrays_zip(*[
+        name for name, given in (("vals", True), ("observed", mask), ("keep", keep)) if given
+    ]))
+    rows = cut.select(scan, F.posexplode("_rows").alias("patch_id", "_row"))
+    if keep:
+        rows = rows.where("_row.keep")
+    return rows.select(scan, "patch_id", "_row.vals", *(["_row.observed"] if mask else []))
 
 
 def unpatchify(

@@ -6,9 +6,11 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from voxelherd.operators import curation as c
 from voxelherd.operators.ordering import dedup_first
+from voxelherd.session import materialize
 
 
 @dataclass
@@ -33,5 +35,8 @@ def curate(
     """
     kept = c.curate_filter(c.keep_modalities(c.exclude_datasets(c.add_geometry(images), exclude)), bounds)
     unique = dedup_first(kept, ["md5"], order, null_equal=null_equal)
-    subjects = dedup_first(participants, list(on), ["sex", "age"]) if "ses" in participants.columns else participants
+    subjects = participants
+    if "ses" in participants.columns:
+        first = dedup_first(participants, list(on), [F.col("ses").asc_nulls_first()])
+        subjects = materialize(first.drop("ses"))
     return Curated(unique, c.attach_participants(unique, subjects, on))

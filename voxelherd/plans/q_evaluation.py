@@ -239,10 +239,10 @@ SELECT CAST(f.fold AS INTEGER) AS outer_fold, count(*) AS n, round(avg(abs(my +
 FROM f JOIN w ON f.fold = w.fold GROUP BY 1""")
 def ridge_line(t):
     rows = t.lineitem.select(
-        F.monotonically_increasing_id().alias("id"), F.array("l_quantity").alias("x"), F.col("l_extendedprice").alias("y"),
+        F.array("l_quantity").alias("x"), F.col("l_extendedprice").alias("y"),
         (F.col("l_orderkey") % 97).alias("s"),
     )
-    fit = ridge_group_cv(rows, "x", "y", "s", ["id"], alphas=[3.0])
+    fit = ridge_group_cv(rows, "x", "y", "s", alphas=[3.0])
     return fit.predictions.groupBy("outer_fold").agg(
         F.count(F.lit(1)).alias("n"), F.round(F.avg("absolute_error"), 3).alias("mae"), F.max("alpha").alias("alpha")
     )

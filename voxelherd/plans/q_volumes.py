@@ -104,10 +104,7 @@ def gather_patches(t):
 SELECT scan_id, CAST(patch_id AS INTEGER) AS patch_id, {spread_sql("v * 8 / n", "j", 8, digits=6)}
 FROM (SELECT *, CAST(greatest(count(*) FILTER (WHERE m) OVER (PARTITION BY scan_id, patch_id), 1) AS DOUBLE) AS n FROM cells) GROUP BY 1, 2""")
 def drop_scale(t):
-    both = v.patchify(volumes(t), SHAPE, PATCH).join(
-        v.patchify(volumes(t), SHAPE, PATCH, image="mask", element="boolean").withColumnRenamed("vals", "observed"),
-        on=["scan_id", "patch_id"],
-    )
+    both = v.patchify(volumes(t), SHAPE, PATCH, mask="mask")
     scaled = both.withColumn("vals", v.drop_scale(F.col("vals").cast("array<double>"), F.col("observed")))
     return spread(scaled, "vals", ["scan_id", "patch_id"], 8, digits=6)
 
@@ -261,8 +258,8 @@ def denormalize(t):
 def predicted(t):
     """Half of the candidate patches with a simple prediction."""
     seen = masks.random_mask(with_valid(t), 0.5, 9)
-    hidden = seen.select("scan_id", F.zip_with("valid", "visible", lambda a, b: a & ~b).alias("hidden"))
-    rows = v.gather_patches(v.patchify(volumes(t), SHAPE, PATCH), hidden)
+    hidden = seen.withColumn("hidden", F.zip_with("valid", "visible", lambda a, b: a & ~b))
+    rows = v.patchify(hidden, SHAPE, PATCH, keep="hidden")
     return rows.select("scan_id", "patch_id", F.transform("vals", lambda x: x.cast("double") * 0.5 + 0.1).alias("pred"))
 
 
@@ -273,9 +270,10 @@ HIDDEN_SQL = f"{VALID_SQL}, {quota_sql('val', 'valid', 0.5)}, {drawn_sql('val',
 SELECT count(*) AS n_voxels, round(avg((v * 0.5::DOUBLE + 0.1::DOUBLE - v) * (v * 0.5::DOUBLE + 0.1::DOUBLE - v)), 8) AS loss
 FROM cells c JOIN drawn d ON c.scan_id = d.scan_id AND c.patch_id = d.patch_id WHERE d.flag AND NOT d.keep AND c.m""")
 def masked_mse(t):
-    targets = v.patchify(volumes(t), SHAPE, PATCH).select("scan_id", "patch_id", F.col("vals").cast("array<double>").alias("target"))
-    flags_ = v.patchify(volumes(t), SHAPE, PATCH, image="mask", element="boolean").withColumnRenamed("vals", "mask")
-    loss = v.masked_mse(predicted(t), targets.join(flags_, on=["scan_id", "patch_id"]))
+    targets = v.patchify(volumes(t), SHAPE, PATCH, mask="mask").select(
+        "scan_id", "patch_id", F.col("vals").cast("array<double>").alias("target"), F.col("observed").alias("mask")
+    )
+    loss = v.masked_mse(predicted(t), targets)
     return loss.select(F.col("n_voxels").cast("bigint").alias("n_voxels"), F.round("loss", 8).alias("loss"))
 
 

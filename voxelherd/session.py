@@ -55,7 +55,9 @@ def materialize(df: DataFrame) -> DataFrame:
     """Write ``df`` as a Parquet table in the shared folder and read it back.
 
     Cuts the lineage in a way that survives lost executors, and fixes the values of
-    expressions that depend on the physical layout (partition ids).
+    expressions that depend on the physical layout (partition ids). A join to such a
+    table shuffles both sides itself, or broadcasts by file size; joined straight to an
+    aggregation, hot keys of the other side could not be split at run time.
     """
     spark = df.sparkSession
     path = f"{checkpoint_root(spark)}/voxelherd-{uuid.uuid4().hex}"
