@@ -58,7 +58,7 @@ def read_participants(spark: SparkSession, root: str) -> tuple[DataFrame, DataFr
     # The header is the first line of its file: the row whose cells are the names.
     joined = lines.join(usable.select("file", "_names"), on="file")
     first = F.transform("_cells", lambda n, i: F.regexp_replace(n, "^\\x{FEFF}", "")) == F.col("_names")
-    pairs = F.zip_with("_names", "_cells", lambda name, text: F.struct(name, text))
+    pairs = F.zip_with("_names", "_cells", lambda name, text: F.struct(name.alias("name"), text.alias("text")))
     # Of two equal header names the first counts.
     unique = F.filter(
         pairs, lambda p, i: ~F.array_contains(F.slice(F.col("_names"), 1, i), p["name"])
@@ -129,7 +129,7 @@ def load_event_metadata(spark: SparkSession, path: str, key: str = "id_event") -
     names = raw.columns
     trimmed = raw.select(
         squeeze(F.col(f"`{key}`")).alias(key),
-        F.map_from_entries(F.array(*[F.struct(F.lit(n), F.col(f"`{n}`")) for n in names])).alias("raw"),
+        F.create_map(*[part for n in names for part in (F.lit(n), F.col(f"`{n}`"))]).alias("raw"),
         *[squeeze(F.col(f"`{n}`")).alias(n) for n in CORE_FIELDS if n in names],
     )
     return assert_unique(trimmed.where(F.col(key) != ""), [key], "event metadata")
