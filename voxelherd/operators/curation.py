@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable, Sequence
 from dataclasses import dataclass
 from functools import reduce
@@ -52,12 +53,15 @@ def keep_modalities(df: DataFrame, modalities: Sequence[str] = MODALITIES, colum
 
 
 def include_rules(bounds: Bounds = Bounds(), size: str = "size") -> dict[str, Column]:
-    """Named rules over the geometry columns; an unknown value fails its rule."""
-    megabytes = F.col(size) / F.lit(1e6)
-    rules = {
+    """Named rules over the geometry columns; a null rule counts as failed.
+
+    Each compares a stored column with a constant, so the scan can skip row groups.
+    """
+    low, high = (round(mb * 1e6, 3) for mb in (bounds.size_low, bounds.size_high))
+    return {
         "ndim": F.col("ndim") == bounds.ndim,
-        "size_low": megabytes >= bounds.size_low,
-        "size_high": megabytes <= bounds.size_high,
+        "size_low": F.col(size) >= math.ceil(low),
+        "size_high": F.col(size) <= math.floor(high),
         "res_min": F.col("res_min") >= bounds.res_low,
         "res_x": F.col("res_x") <= bounds.res_xy_high,
         "res_y": F.col("res_y") <= bounds.res_xy_high,
@@ -65,7 +69,6 @@ def include_rules(bounds: Bounds = Bounds(), size: str = "size") -> dict[str, Co
         "fov_min": F.col("fov_min") >= bounds.fov_low,
         "fov_max": F.col("fov_max") <= bounds.fov_high,
     }
-    return {name: F.coalesce(rule, F.lit(False)) for name, rule in rules.items()}
 
 
 def curate_filter(df: DataFrame, bounds: Bounds = Bounds()) -> DataFrame:
@@ -76,6 +79,7 @@ def curate_filter(df: DataFrame, bounds: Bounds = Bounds()) -> DataFrame:
 def rule_report(df: DataFrame, bounds: Bounds = Bounds()) -> DataFrame:
     """One row: all images, kept images, and how many each rule rejects, in one pass."""
     rules = include_rules(bounds)
+    rules = {name: F.coalesce(rule, F.lit(False)) for name, rule in rules.items()}
     kept = reduce(lambda a, b: a & b, rules.values())
     return df.agg(
         F.count(F.lit(1)).alias("n_images"),
