@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from voxelherd.sources.images import (
-    content_md5, decode_header, incremental_index, index_images, list_images, read_headers,
+    content_md5, decode_headers, incremental_index, index_images, list_images, read_headers,
 )
 from voxelherd.streaming.image_index import read_image_index, start_image_index
 
@@ -25,6 +25,10 @@ def header(shape=(4, 5, 6), zooms=(1.0, 0.5, 2.0), code=4, qform=0, sform=0, qua
     return bytes(raw)
 
 
+def decode_header(content):
+    return decode_headers([content]).iloc[0].to_dict()
+
+
 def test_header_fields():
     got = decode_header(header() + b"\x00" * 100)
     assert got["shape"] == [4, 5, 6] and got["pixdim"] == [1.0, 0.5, 2.0] and got["dtype"] == "int16"
@@ -53,9 +57,12 @@ def test_orientation_from_rotation():
 
 
 def test_bad_headers():
-    for bad in (b"", b"\x00" * 348, header()[:100], gzip.compress(header()[:100]), header(code=3)):
-        with pytest.raises(ValueError):
-            decode_header(bad)
+    bad = [b"", None, b"\x00" * 348, header()[:100], gzip.compress(header()[:100]), b"\x1f\x8bxx", header(code=3), header(shape=()),
+           header(sform=1, srow=np.full(12, np.nan))]
+    got = decode_headers([*bad, header()])
+    assert got["reason"].notna().tolist() == [True] * len(bad) + [False]
+    assert got["shape"].isna().tolist() == [True] * len(bad) + [False]
+    assert got["reason"].iloc[0] == "truncated header" and got["orient"].iloc[-1] == "LAS"
 
 
 @pytest.fixture()

@@ -24,6 +24,8 @@ CORE_FIELDS = (
 
 DIGITS = r"[0-9]+(?:_[0-9]+)*"
 NUMBER_PATTERN = rf"^[+-]?(?:{DIGITS}\.?(?:{DIGITS})?|\.{DIGITS})(?:[eE][+-]?{DIGITS})?$"
+
+# Patterns of whole numbers, packaged scan names and wave names.
 INTEGER_PATTERN = r"^[+-]?[0-9]+(\.0+)?$"
 SCAN_KEY_PATTERN = r"^(sub-[^_]+)_(ses-[^_]+)_([^_]+)$"
 WAVE_NAME_PATTERN = r"^(sub-[^_]+)_ses-(wave[123])_(.*)$"

@@ -15,12 +15,16 @@ from voxelherd.operators.ordering import dedup_first, exact_quantiles
 from voxelherd.operators.quality import many_to_one
 from voxelherd.session import materialize
 
+# Image kinds that are kept.
 MODALITIES = ("T1w", "T2w", "FLAIR")
 
 
 @dataclass(frozen=True)
 class Bounds:
-    """Inclusive limits of the curated set: file size in MB, lengths in mm."""
+    """Inclusive limits of the curated set: file size in MB, lengths in mm.
+
+    The defaults are fixed values.
+    """
 
     ndim: int = 3
     size_low: float = 1.0

@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 from voxelherd.functions.columns import label_in_months, wave_fields
 from voxelherd.operators.ordering import ordered_prefix
 from voxelherd.operators.quality import many_to_one
+from voxelherd.session import materialize
 
 TOTAL_REGION = "total intracranial"
 
@@ -75,7 +76,7 @@ def pivot_regions(volumes: DataFrame, key: str, regions: Sequence[str], total: s
     Scans without the total region are dropped, and so is any region that is missing in
     one of the remaining scans.
     """
-    wide = (
+    wide = materialize(
         volumes.groupBy(key)
         .pivot("region", list(regions))
         .agg(F.max("volume_mm3"))

@@ -88,16 +88,21 @@ def harmonize(
     session in file order.
     """
     found = resolve_columns(rows.where("map_contains_key(row, 'participant_id')"), age_columns)
-    row = F.col("row")
-    typed = found.select(
+    # In steps: each looked-up cell is used several times below and must be read once.
+    cells = found.select(
         "dataset",
         "line",
-        strip_prefix(cell(row, F.lit("participant_id")), "sub-").alias("sub"),
-        strip_prefix(cell(row, F.col("ses_header")), "ses-").alias("ses"),
-        normalize_category(cell(row, F.col("sex_header"))).alias("sex"),
-        normalize_age(cell(row, F.col("age_header"))).alias("age"),
+        F.try_element_at("row", F.lit("participant_id")).alias("sub"),
+        *[F.try_element_at("row", F.col(f"{name}_header")).alias(name) for name in ("ses", "sex", "age")],
         F.lower("age_header").alias("header"),
-    ).where("sub IS NOT NULL")
+    )
+    known_cells = cells.withColumns({name: null_if_na(F.col(name)) for name in ("sub", "ses", "sex", "age")})
+    typed = known_cells.where("sub IS NOT NULL").withColumns({
+        "sub": strip_prefix(F.col("sub"), "sub-"),
+        "ses": strip_prefix(F.col("ses"), "ses-"),
+        "sex": normalize_category(F.col("sex")),
+        "age": normalize_age(F.col("age")),
+    })
     known = literal_lookup(F.col("dataset"), age_units)
     if units is not None:
         lookup = materialize(units.select("dataset", "header", "unit"))

@@ -25,14 +25,18 @@ def linear_probe(
         F.col(split).alias("split"),
     )
     train = ready.where("split = 'train'")
-    results = []
-    for penalty in penalties:
-        model = LogisticRegression(regParam=float(penalty), maxIter=max_iter).fit(train)
-        scored = model.transform(ready.where("split <> 'train'")).select(
-            "split", "label", vector_to_array("probability")[1].alias("score")
-        )
-        found = {r["split"]: r["auroc"] for r in auroc(scored, "score", "label", ["split"]).collect()}
-        results.append((float(penalty), found.get("val"), found.get("test")))
+    scored = ready.where("split <> 'train'")
+    for i, penalty in enumerate(penalties):
+        model = LogisticRegression(
+            regParam=float(penalty), maxIter=max_iter, probabilityCol=f"p{i}", rawPredictionCol="", predictionCol=""
+        ).fit(train)
+        scored = model.transform(scored)
+    heads = [vector_to_array(f"p{i}")[1].alias(f"{i}") for i in range(len(penalties))]
+    long = scored.select("split", "label", *heads).unpivot(
+        ["split", "label"], [f"{i}" for i in range(len(penalties))], "head", "score"
+    )
+    found = {(r["head"], r["split"]): r["auroc"] for r in auroc(long, "score", "label", ["head", "split"]).collect()}
+    results = [(float(p), found.get((f"{i}", "val")), found.get((f"{i}", "test"))) for i, p in enumerate(penalties)]
     best = max(range(len(results)), key=lambda i: (results[i][1] is not None, results[i][1] or 0.0, -i))
     rows = [(*r, i == best) for i, r in enumerate(results)]
     return df.sparkSession.createDataFrame(

@@ -81,69 +81,81 @@ def parse_bids_path(df: DataFrame, path: str = "path") -> tuple[DataFrame, DataF
 
 def _unzip_head(content: bytes) -> bytes:
     if content[:2] != b"\x1f\x8b":
-        return content
-    return zlib.decompressobj(wbits=31).decompress(content, HEADER.itemsize)
-
-
-def _affine(h: np.void) -> np.ndarray:
-    if h["sform"] > 0:
-        return h["srow"][:, :3].astype(float)
-    zooms = np.array(h["pixdim"][1:4], dtype=float)
-    if h["qform"] > 0:
-        b, c, d = (float(v) for v in h["quatern"])
-        a = np.sqrt(max(1.0 - b * b - c * c - d * d, 0.0))
-        turn = np.array([
-            [a * a + b * b - c * c - d * d, 2 * (b * c - a * d), 2 * (b * d + a * c)],
-            [2 * (b * c + a * d), a * a + c * c - b * b - d * d, 2 * (c * d - a * b)],
-            [2 * (b * d - a * c), 2 * (c * d + a * b), a * a + d * d - b * b - c * c],
-        ])
-        zooms[2] *= -1 if h["pixdim"][0] < 0 else 1
-        return turn * zooms
-    return np.diag(zooms * [-1, 1, 1])
-
-
-def _orientation(affine: np.ndarray) -> str:
+        return content[: HEADER.itemsize]
+    try:
+        return zlib.decompressobj(wbits=31).decompress(content, HEADER.itemsize)
+    except zlib.error:
+        return b""
+
+
+def _directions(h: np.ndarray) -> np.ndarray:
+    """Voxel-to-world matrices: from the rows given, else the rotation, else the sizes."""
+    zooms = h["pixdim"][:, 1:4].astype(np.float64)
+    out = np.zeros((len(h), 3, 3))
+    out[:, range(3), range(3)] = zooms * [-1, 1, 1]
+    b, c, d = (h["quatern"][:, i].astype(np.float64) for i in range(3))
+    a = np.sqrt(np.maximum(1 - b * b - c * c - d * d, 0))
+    turn = np.array([
+        [a * a + b * b - c * c - d * d, 2 * (b * c - a * d), 2 * (b * d + a * c)],
+        [2 * (b * c + a * d), a * a + c * c - b * b - d * d, 2 * (c * d - a * b)],
+        [2 * (b * d - a * c), 2 * (c * d + a * b), a * a + d * d - b * b - c * c],
+    ]).transpose(2, 0, 1)
+    flip = np.where(h["pixdim"][:, :1] < 0, [1.0, 1.0, -1.0], 1.0)
+    rotated = h["qform"] > 0
+    out[rotated] = (turn * (zooms * flip)[:, None, :])[rotated]
+    given = h["sform"] > 0
+    out[given] = h["srow"][given][:, :, :3]
+    return out
+
+
+def _orientation(matrix: np.ndarray) -> list[str]:
     """Letter per voxel axis: the world direction it is closest to, each used once."""
-    lengths = np.linalg.norm(affine, axis=0)
-    u, s, vt = np.linalg.svd(affine / np.where(lengths == 0, 1, lengths))
-    strong = s > s.max() * 3 * np.finfo(float).eps
-    turn = u[:, strong] @ vt[strong]
-    letters = ""
+    lengths = np.linalg.norm(matrix, axis=1, keepdims=True)
+    u, s, vt = np.linalg.svd(matrix / np.where(lengths == 0, 1, lengths))
+    strong = s > s.max(axis=1, keepdims=True) * 3 * np.finfo(float).eps
+    turn = (u * strong[:, None, :]) @ vt
+    rows, letters = np.arange(len(turn)), np.full(len(turn), "", dtype="U3")
+    names = np.array([["L", "R"], ["P", "A"], ["I", "S"]])
     for axis in range(3):
-        column = turn[:, axis]
-        if np.allclose(column, 0):
-            continue
-        world = int(np.argmax(np.abs(column)))
-        letters += ("LR", "PA", "IS")[world][int(column[world] >= 0)]
-        turn[world] = 0
-    return letters
-
-
-def decode_header(content: bytes) -> dict:
-    """Fields of one header; raises ``ValueError`` for anything else."""
-    raw = _unzip_head(content)
-    if len(raw) < HEADER.itemsize:
-        raise ValueError("truncated header")
-    h = np.frombuffer(raw, HEADER, count=1)[0]
-    if h["size"] != 348:
-        h = np.frombuffer(raw, HEADER.newbyteorder(), count=1)[0]
-    if h["size"] != 348:
-        raise ValueError("not a known header")
-    ndim = int(h["dim"][0])
-    if not 1 <= ndim <= 7:
-        raise ValueError(f"invalid number of axes {ndim}")
-    if int(h["datatype"]) not in DTYPES:
-        raise ValueError(f"unknown data type {int(h['datatype'])}")
-    return {
-        "shape": [int(n) for n in h["dim"][1 : ndim + 1]],
-        "pixdim": [round(float(v), 2) for v in h["pixdim"][1 : ndim + 1]],
-        "dtype": DTYPES[int(h["datatype"])],
-        "orient": _orientation(_affine(h)),
-        "qform_code": int(h["qform"]),
-        "sform_code": int(h["sform"]),
-        "descrip": bytes(h["descrip"]).decode("utf-8", "replace").rstrip("\x00"),
-        "reason": None,
-    }
+        column = turn[:, :, axis]
+        world = np.abs(column).argmax(axis=1)
+        letter = names[world, (column[rows, world] >= 0).astype(int)]
+        letters = np.char.add(letters, np.where(np.abs(column).max(axis=1) < 1e-8, "", letter))
+        turn[rows, world] = 0
+    return letters.tolist()
+
+
+def decode_headers(contents: list[bytes]) -> pd.DataFrame:
+    """Header fields of many files at once; ``reason`` is set where a header is unusable."""
+    heads = [_unzip_head(bytes(content or b"")) for content in contents]
+    short = np.array([len(head) < HEADER.itemsize for head in heads], dtype=bool)
+    h = np.frombuffer(b"".join(head.ljust(HEADER.itemsize, b"\0") for head in heads), HEADER).copy()
+    swapped = h["size"] != 348
+    h[swapped] = h[swapped].view(HEADER.newbyteorder()).astype(HEADER)
+    ndim, matrix = h["dim"][:, 0], _directions(h)
+    finite = np.isfinite(matrix).all(axis=(1, 2))
+    checks = [
+        (short, "truncated header"), (h["size"] != 348, "not a known header"),
+        ((ndim < 1) | (ndim > 7), "invalid number of axes"), (~np.isin(h["datatype"], list(DTYPES)), "unknown data type"),
+        (~finite, "orientation is not finite"),
+    ]
+    reason = np.select([failed for failed, _ in checks], [text for _, text in checks], default="").astype(object)
+    good = reason == ""
+    orient = _orientation(np.where(finite[:, None, None], matrix, np.eye(3)))
+
+    def where_good(values) -> pd.Series:
+        return pd.Series(list(values), dtype=object).where(good, None)
+
+    return pd.DataFrame({
+        "shape": where_good(dim[1 : n + 1].tolist() for dim, n in zip(h["dim"], ndim)),
+        "pixdim": where_good([round(float(v), 2) for v in size[1 : n + 1]] for size, n in zip(h["pixdim"], ndim)),
+        "dtype": where_good(DTYPES.get(int(code)) for code in h["datatype"]),
+        "orient": where_good(orient),
+        "qform_code": pd.array(h["qform"], dtype="Int32"),
+        "sform_code": pd.array(h["sform"], dtype="Int32"),
+        "descrip": where_good(bytes(text).decode("utf-8", "replace").rstrip("\x00") for text in h["descrip"]),
+        "reason": pd.Series(reason).where(~good, None),
+    })
 
 
 def read_headers(files: DataFrame, content: str = "content") -> DataFrame:
@@ -152,20 +164,11 @@ def read_headers(files: DataFrame, content: str = "content") -> DataFrame:
     Only the first bytes of each file cross into Python.
     """
     keep = [c for c in files.columns if c != content]
-    empty = dict.fromkeys(("shape", "pixdim", "dtype", "orient", "qform_code", "sform_code", "descrip"))
 
     def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = []
-            for head in batch.pop("_head"):
-                try:
-                    rows.append(decode_header(bytes(head)))
-                except (ValueError, TypeError, zlib.error, np.linalg.LinAlgError) as error:
-                    rows.append({**empty, "reason": str(error) or type(error).__name__})
-            fields = pd.DataFrame(rows, columns=[*empty, "reason"], index=batch.index)
-            for code in ("qform_code", "sform_code"):
-                fields[code] = fields[code].astype("Int32")
-            yield pd.concat([batch, fields], axis=1)
+            fields = decode_headers(batch.pop("_head").tolist())
+            yield pd.concat([batch, fields.set_index(batch.index)], axis=1)
 
     heads = files.select(*keep, F.substring(F.col(content), 1, HEAD_BYTES).alias("_head"))
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in files.select(*keep).schema)
