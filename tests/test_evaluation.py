@@ -170,6 +170,22 @@ def test_ridge_does_not_depend_on_partitioning(spark, cohort):
     assert np.allclose(a, b)
 
 
+def test_age_model_report(spark, folder):
+    from voxelherd.plans.age_model import age_model
+    from voxelherd.plans.q_evaluation import region_study
+    from voxelherd.plans.registry import Tables
+
+    rows, people, ages = region_study(Tables(spark, folder))
+    found = age_model(rows, rows, people, ages, ["total intracranial", "left", "right"], min_qc=2.0)
+    report = json.loads(found.report.first()[0])
+    assert set(report) == {"settings", "data", "group_cv", "by_wave", "mean_age_baseline", "per_fold", "final_refit"}
+    predictions = found.predictions.toPandas()
+    assert report["group_cv"][0]["n"] == len(predictions) == report["data"][0]["n_scans"] == sum(w["n"] for w in report["by_wave"])
+    assert report["group_cv"][0]["mae"] == pytest.approx((predictions["predicted"] - predictions["age"]).abs().mean())
+    assert len(report["per_fold"]) == 5 and (predictions["qc_min"] >= 2).all()
+    assert {c["feature"] for c in found.coefficients.collect()} == {"left / TIV", "right / TIV"}
+
+
 def test_ridge_needs_two_groups(spark, cohort):
     one = spark.createDataFrame(cohort).where("group = 999")
     with pytest.raises(ValueError, match="two groups"):

@@ -141,3 +141,35 @@ def test_table_sinks(spark, tmp_path):
     assert (tmp_path / "t" / "suffix=T1w").exists()
     with pytest.raises(Exception, match="already exists"):
         sinks.write_table(df, str(tmp_path / "t"))
+
+
+def test_packaging_plan(spark):
+    from voxelherd.plans.pack import package
+
+    images = spark.createDataFrame([(f"k{i}", f"e{i}", "T1w", [2, 2, 2], 10 * i) for i in range(1, 6)], "key string, id_event string, modality string, shape array<int>, bytes long")
+    good = images.select("key", F.col("shape").alias("mask_shape"))
+    made = package(images, good, metadata(spark, [f"e{i}" for i in range(1, 6)]), maxsize=40)
+    assert {r["key"]: r["shard"] for r in made.shards.collect()} == {"k1": 0, "k2": 0, "k3": 0, "k4": 1, "k5": 2}
+    bad = good.withColumn("mask_shape", F.when(F.col("key") == "k4", F.array(F.lit(1))).otherwise(F.col("mask_shape")))
+    with pytest.raises(CohortDataError, match="k4"):
+        package(images, bad, metadata(spark, [f"e{i}" for i in range(1, 6)]))
+    assert package(images, bad, metadata(spark, [f"e{i}" for i in range(1, 6)]), check_shapes=False).records.count() == 5
+
+
+def test_training_and_evaluation_batches(spark):
+    from voxelherd.plans.pack import batches
+
+    rows = [(i, [float(i)] * 8, [True] * 8, f"m{i}") for i in range(10)]
+    df = spark.createDataFrame(rows, "id int, image array<float>, mask array<boolean>, note string")
+    held = batches(df, "id", (2, 2, 2), 1, 0, False, meta=["note"], batch_size=4).orderBy("batch").collect()
+    assert [r["id"] for r in held] == [[0, 1, 2, 3], [4, 5, 6, 7], [8, 9]] and held[0]["note"] == ["m0", "m1", "m2", "m3"]
+    train = batches(df, "id", (2, 2, 2), 1, 0, True, batch_size=4, augmentation={"pad_range": (0, 0), "scale": (2.0, 2.0)}).collect()
+    assert len(train) == 2 and "note" not in train[0]
+    assert all(row["image"][k][0] == 2.0 * row["id"][k] for row in train for k in range(4))
+
+
+def test_failed_batches_mark_pending_scans(spark):
+    plan = spark.createDataFrame([("a", 1, "segment"), ("b", 1, "done"), ("c", 2, "segment")], "key string, batch int, status string")
+    failed = spark.createDataFrame([(1, "timeout")], "batch int, reason string")
+    got = {r["key"]: (r["status"], r["reason"]) for r in p.mark_failures(plan, failed, "batch").collect()}
+    assert got == {"a": ("failed", "timeout"), "b": ("done", None), "c": ("segment", None)}

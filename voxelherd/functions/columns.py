@@ -6,6 +6,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Spellings of sex that are recognized, after trimming and lower-casing.
 SEX_CODES = {"m": "M", "male": "M", "man": "M", "f": "F", "female": "F", "woman": "F"}
@@ -111,6 +112,15 @@ def null_safe_list(column: Column) -> Column:
     return F.when(column.isNull(), "").otherwise(text)
 
 
+def null_safe(column: Column, kind: T.DataType) -> Column:
+    """Metadata without nulls: structs and maps value by value, lists as JSON text."""
+    if isinstance(kind, T.StructType):
+        return F.struct(*[null_safe(column[f.name], f.dataType).alias(f.name) for f in kind.fields])
+    if isinstance(kind, T.MapType):
+        return F.transform_values(column, lambda _, value: null_safe(value, kind.valueType))
+    return null_safe_list(column) if isinstance(kind, T.ArrayType) else null_safe_text(column)
+
+
 def scan_key(name: Column, suffix: str) -> Column:
     """File name without a fixed suffix; a name that lacks it is an error."""
     return F.when(name.endswith(suffix), F.substr(name, F.lit(1), F.length(name) - len(suffix))).otherwise(

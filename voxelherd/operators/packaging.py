@@ -134,6 +134,25 @@ def work_plan(scans: DataFrame, outputs: DataFrame, key: str = "key") -> DataFra
     return joined.select(*scans.columns, status.alias("status"))
 
 
+def mark_failures(plan: DataFrame, failed: DataFrame, on: str = "key") -> DataFrame:
+    """Plan rows whose ``on`` value failed get the status ``failed`` and the reason.
+
+    With ``on`` a batch column, one failed batch marks everything pending in it; rows
+    that were done stay done.
+    """
+    reasons = failed.groupBy(on).agg(F.min("reason").alias("reason"))
+    joined = plan.join(materialize(reasons), on=on, how="left")
+    lost = F.col("reason").isNotNull() & (F.col("status") != "done")
+    return joined.withColumns({
+        "status": F.when(lost, "failed").otherwise(F.col("status")), "reason": F.when(lost, F.col("reason"))
+    })
+
+
+def run_report(plan: DataFrame) -> DataFrame:
+    """Scans per status."""
+    return plan.groupBy("status").agg(F.count(F.lit(1)).alias("n_scans"))
+
+
 # --- splits --------------------------------------------------------------------------
 
 def group_kfold(df: DataFrame, group: str, k: int) -> DataFrame:

@@ -34,6 +34,9 @@ WAVE_AGE_COLUMNS = {"wave1": "AgeMRI_W1", "wave2": "AgeMRI_W2", "wave3": "AgeMRI
 # Fixed value: the longitudinal dataset that gets its own loader.
 WAVE_DATASET = "ds004856"
 
+# Columns of the harmonized table, in order.
+PARTICIPANT_COLUMNS = ("dataset", "sub", "ses", "sex", "age")
+
 Loader = Callable[[DataFrame], DataFrame]
 
 
@@ -84,10 +87,13 @@ def harmonize(
     """Mixed participant rows ``(dataset, line, row MAP)`` to one typed table.
 
     ``units`` holds ``(dataset, header, unit)`` from sidecar files, at most one row per
-    dataset and header. Output: dataset, sub, ses, sex, age, first row per subject and
-    session in file order.
+    dataset and header. Output: dataset, sub, ses, sex, age and the line, first row per
+    subject and session in file order. A dataset that lacks the age column named for it
+    is left out.
     """
-    found = resolve_columns(rows.where("map_contains_key(row, 'participant_id')"), age_columns)
+    found = resolve_columns(rows.where("map_contains_key(row, 'participant_id')"), age_columns).where(
+        "age_header IS NULL OR map_contains_key(row, age_header)"
+    )
     # In steps: each looked-up cell is used several times below and must be read once.
     cells = found.select(
         "dataset",
@@ -110,7 +116,7 @@ def harmonize(
         known = F.coalesce(known, F.col("unit"))
     aged = typed.withColumn("age", age_in_years(F.col("age"), F.coalesce(known, F.lit("years"))))
     first = dedup_first(aged, ["dataset", "sub", "ses"], ["line"])
-    return first.select("dataset", "sub", "ses", "sex", "age")
+    return first.select(*PARTICIPANT_COLUMNS, "line")
 
 
 def unpivot_waves(
@@ -142,7 +148,10 @@ def load_participants(
     units: DataFrame | None = None,
     loaders: Mapping[str, Loader] = LOADERS,
 ) -> DataFrame:
-    """All datasets in one table: one plan for the common case, one per special loader."""
+    """All datasets in one table: one plan for the common case, one per special loader.
+
+    ``line`` keeps the file order within a dataset; special loaders may leave it out.
+    """
     kept = rows.where(~F.col("dataset").isin(*exclude)) if exclude else rows
     special = list(loaders)
     common = kept.where(~F.col("dataset").isin(*special)) if special else kept

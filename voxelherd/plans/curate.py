@@ -37,6 +37,7 @@ def curate(
     unique = dedup_first(kept, ["md5"], order, null_equal=null_equal)
     subjects = participants
     if "ses" in participants.columns:
-        first = dedup_first(participants, list(on), [F.col("ses").asc_nulls_first()])
-        subjects = materialize(first.drop("ses"))
+        # One row per subject: the first in its file, else of the first session.
+        rank = [F.col(name).asc_nulls_first() for name in ("line", "ses") if name in participants.columns]
+        subjects = materialize(dedup_first(participants, list(on), rank).drop("ses", "line"))
     return Curated(unique, c.attach_participants(unique, subjects, on))

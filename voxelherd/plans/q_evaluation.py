@@ -9,9 +9,12 @@ from voxelherd.operators import meters, metrics
 from voxelherd.operators.packaging import split_assign
 from voxelherd.operators.probe import linear_probe
 from voxelherd.operators.ridge import ridge_group_cv, top_coefficients
+from voxelherd.plans.age_model import age_model
 from voxelherd.plans.registry import query
+from voxelherd.session import materialize
 
-REGIONS = ["total intracranial", "r2", "r3", "r4"]
+TOTAL_REGION = metrics.TOTAL_REGION
+REGIONS = [TOTAL_REGION, "r2", "r3", "r4"]
 REGIONS_SQL = """long AS (
   SELECT l_orderkey AS scan, CASE l_linenumber WHEN 1 THEN 'total intracranial' ELSE 'r' || l_linenumber END AS region,
          max(l_extendedprice) AS volume_mm3 FROM lineitem WHERE l_linenumber <= 4 GROUP BY 1, 2
@@ -308,3 +311,30 @@ def eval_summary(t):
     train = losses.groupBy("epoch").agg(F.count(F.lit(1)).alias("n_train"))
     made = meters.eval_summary(losses, ["A", "R"], train)
     return made.withColumns({k: F.round(F.col(f"`{k}`"), 4) for k in ("eval/A/loss", "eval/R/loss")})
+
+
+# --- the whole evaluation plan -------------------------------------------------------
+
+def region_study(t):
+    """``lineitem`` as region volumes of scans with participants, waves and quality scores."""
+    order = F.col("l_orderkey")
+    scan = F.concat(F.lit("sub-"), order % 300, F.lit("_ses-wave"), order % 3 + 1, F.lit("_o"), order)
+    wide = t.lineitem.groupBy(scan.alias("pat_id")).agg(
+        F.sum("l_extendedprice").alias(TOTAL_REGION), F.sum("l_quantity").alias("left"),
+        (F.sum("l_tax") + 1).alias("right"), F.min("l_quantity").alias("qc_score"),
+    )
+    # The plan reads its long table several times, so it is written once like a source.
+    rows = materialize(
+        wide.unpivot(["pat_id", "qc_score"], [F.col(f"`{TOTAL_REGION}`"), "left", "right"], "region", "volume_mm3")
+    )
+    people = t.customer.select(F.concat(F.lit("sub-"), F.col("c_custkey") % 250).alias("participant_id")).distinct()
+    ages = people.select("participant_id", F.explode(F.array(*[F.lit(f"wave{w}") for w in (1, 2, 3)])).alias("wave"))
+    age = F.lit(20.0) + F.crc32("participant_id") % 60 + F.substring("wave", 5, 1).cast("int") * 4
+    return rows, people, ages.withColumn("age", age)
+
+
+@query("age_model")
+def age_model_predictions(t):
+    rows, people, ages = region_study(t)
+    found = age_model(rows, rows, people, ages, [TOTAL_REGION, "left", "right"], min_qc=2.0)
+    return found.predictions.select("pat_id", "participant_id", "wave", "age", "qc_min", "predicted", "residual", "outer_fold", "alpha")

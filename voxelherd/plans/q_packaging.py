@@ -90,6 +90,17 @@ def work_plan(t):
     return todo.select("key", "status", names["processed"].alias("processed"), names["transform"].alias("transform"))
 
 
+@query("failure_report", """
+WITH p AS (SELECT o_orderkey, o_custkey % 50 AS batch, CASE WHEN o_orderstatus = 'F' THEN 'done' ELSE 'segment' END AS status FROM orders)
+SELECT CASE WHEN batch % 7 = 3 AND status <> 'done' THEN 'failed' ELSE status END AS status, count(*) AS n_scans FROM p GROUP BY 1""")
+def failure_report(t):
+    plan = t.orders.select(
+        "o_orderkey", (F.col("o_custkey") % 50).alias("batch"), F.when(F.col("o_orderstatus") == "F", "done").otherwise("segment").alias("status")
+    )
+    failed = plan.where("batch % 7 = 3").select("batch", F.lit("tool ended with an error").alias("reason"))
+    return p.run_report(p.mark_failures(plan, failed, "batch"))
+
+
 @query("group_kfold", """
 WITH g AS (SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1),
 r AS (SELECT o_custkey, (row_number() OVER (ORDER BY n DESC, o_custkey) - 1) % 10 AS lap FROM g)

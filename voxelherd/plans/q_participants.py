@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from voxelherd.functions.columns import (
-    coerce_value, normalize_age, normalize_category, null_if_na, null_safe_list, null_safe_text, strip_prefix,
+    coerce_value, normalize_age, normalize_category, null_if_na, null_safe, strip_prefix,
 )
 from voxelherd.operators.ordering import dedup_first
 from voxelherd.operators.participants import (
@@ -131,7 +131,7 @@ def union_loaders(t):
         )
 
     loaded = load_participants(rows, units=units, loaders={"st8": own})
-    return loaded.withColumn("age", F.round("age", 6))
+    return loaded.drop("line").withColumn("age", F.round("age", 6))
 
 
 @query("unpivot", """
@@ -192,9 +192,15 @@ def coerce_values(t):
 
 
 @query("null_safe_meta", """
-SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN '' ELSE source END AS source,
-       CASE WHEN doc_id % 5 = 0 THEN '' ELSE '["' || lang || ', x", "' || source || '"]' END AS tags FROM documents""")
+SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN '' ELSE source END AS source, CASE WHEN doc_id % 4 = 0 THEN '' ELSE source END AS inner_source,
+       CAST(n_chars AS VARCHAR) AS inner_size, CASE WHEN doc_id % 5 = 0 THEN '' ELSE '["' || lang || ', x", "' || source || '"]' END AS tags FROM documents""")
 def null_safe_meta(t):
     source = F.when(F.col("doc_id") % 4 != 0, F.col("source"))
     tags = F.when(F.col("doc_id") % 5 != 0, F.array(F.concat("lang", F.lit(", x")), F.col("source")))
-    return t.documents.select("doc_id", null_safe_text(source).alias("source"), null_safe_list(tags).alias("tags"))
+    metas = t.documents.select("doc_id", F.struct(
+        source.alias("source"), tags.alias("tags"), F.struct(source.alias("source"), F.col("n_chars").alias("size")).alias("inner")
+    ).alias("meta"))
+    safe = metas.select("doc_id", null_safe(F.col("meta"), metas.schema["meta"].dataType).alias("meta"))
+    return safe.select(
+        "doc_id", "meta.source", "meta.tags", F.col("meta.inner.source").alias("inner_source"), F.col("meta.inner.size").alias("inner_size")
+    )

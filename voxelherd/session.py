@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import glob
+import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -17,6 +20,7 @@ RUNTIME_CONF = {
 }
 
 _written: list[str] = []
+_shipped: set[str] = set()
 
 
 def build_session(app: str = "voxelherd", master: str | None = None, **conf: str) -> SparkSession:
@@ -26,13 +30,31 @@ def build_session(app: str = "voxelherd", master: str | None = None, **conf: str
         builder = builder.master(master)
     for key, value in {**RUNTIME_CONF, **conf}.items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    spark = builder.getOrCreate()
+    ship_package(spark)
+    return spark
 
 
-def apply_runtime_conf(spark: SparkSession) -> None:
-    """Apply the runtime settings to a session somebody else built."""
+def prepare_session(spark: SparkSession) -> None:
+    """Make a session somebody else built fit for this package."""
     for key, value in RUNTIME_CONF.items():
         spark.conf.set(key, value)
+    ship_package(spark)
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once per application."""
+    app = spark.sparkContext.applicationId
+    if app in _shipped:
+        return
+    package = os.path.dirname(os.path.abspath(__file__))
+    folder = tempfile.mkdtemp(prefix="spark-")
+    archive = os.path.join(folder, "voxelherd.zip")
+    with zipfile.ZipFile(archive, "w") as out:
+        for path in sorted(glob.glob(f"{package}/**/*.py", recursive=True)):
+            out.write(path, os.path.relpath(path, os.path.dirname(package)))
+    spark.sparkContext.addPyFile(archive)
+    _shipped.add(app)
 
 
 def checkpoint_root(spark: SparkSession) -> str:
