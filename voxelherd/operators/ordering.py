@@ -68,7 +68,8 @@ def ordered_prefix(
     )
     local = Window.partitionBy("_slice", *group).orderBy(*order)
     earlier = local.rowsBetween(Window.unboundedPreceding, -1)
-    joined = rows.join(F.broadcast(spanning), same, "left")
+    # One task per slice: slices are even, a hash of their numbers would not be.
+    joined = rows.join(F.broadcast(spanning), same, "left").repartitionById(slices, "_slice")
     group_total = Window.partitionBy("_slice", *group)
     return joined.select(
         *df.columns,

@@ -99,16 +99,18 @@ def write_shards(
             done.append((name, count, out.get_file_info(f"{folder}/{name}").size))
 
         for batch in batches:
-            for row in batch.to_pylist():
+            small = batch.select(["name", "key", "shape", "meta"]).to_pylist()
+            for row, image, mask in zip(small, batch.column("image"), batch.column("mask")):
                 if row["name"] != name:
                     if tar is not None:
                         close()
                     name, count = row["name"], 0
                     stream = out.open_output_stream(f"{folder}/.{name}.part")
                     tar = tarfile.open(fileobj=stream, mode="w|")
-                shape, key = row["shape"], row["key"]
-                _add(tar, f"{key}.image.npy", _npy(np.array(row["image"], np.float32).reshape(shape)))
-                _add(tar, f"{key}.mask.npy", _npy(np.array(row["mask"], np.uint8).reshape(shape)))
+                key = row["key"]
+                for part, cells, kind in (("image", image, np.float32), ("mask", mask, np.uint8)):
+                    values = cells.values.to_numpy(zero_copy_only=False).astype(kind, copy=False)
+                    _add(tar, f"{key}.{part}.npy", _npy(values.reshape(row["shape"])))
                 _add(tar, f"{key}.meta.json", json.dumps(json.loads(row["meta"])).encode())
                 count += 1
         if tar is not None:

@@ -26,6 +26,13 @@ def _dataset_of(path: Column) -> Column:
     return F.element_at(F.split(path, "/"), -2)
 
 
+def any_file(spark: SparkSession, pattern: str) -> bool:
+    """Whether a path pattern matches anything, for files that are optional."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(pattern)
+    found = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(path)
+    return found is not None and len(found) > 0
+
+
 def read_participants(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
     """Rows of all ``<dataset>/participants.tsv`` as maps, and the rejected files.
 
@@ -85,7 +92,10 @@ def age_units(sidecars: DataFrame) -> DataFrame:
 
 
 def read_sidecar_units(spark: SparkSession, root: str) -> DataFrame:
-    texts = spark.read.text(f"{root.rstrip('/')}/*/participants.json", wholetext=True)
+    pattern = f"{root.rstrip('/')}/*/participants.json"
+    if not any_file(spark, pattern):
+        return spark.createDataFrame([], "dataset string, header string, unit string")
+    texts = spark.read.text(pattern, wholetext=True)
     return age_units(
         texts.select(_dataset_of(F.col("_metadata.file_path")).alias("dataset"), F.col("value").alias("json"))
     )
@@ -160,9 +170,10 @@ def read_region_volumes(spark: SparkSession, root: str) -> tuple[DataFrame, Data
     base = root.rstrip("/")
 
     def table(kind: str, schema: str) -> DataFrame:
-        rows = spark.read.csv(
-            f"{base}/sub-*/ses-*/anat/*_{kind}.tsv", sep="\t", header=True, schema=schema, enforceSchema=False
-        )
+        files = f"{base}/sub-*/ses-*/anat/*_{kind}.tsv"
+        if kind == "qc" and not any_file(spark, files):
+            return spark.createDataFrame([], f"pat_id string, participant_id string, wave string, scan string, {schema}")
+        rows = spark.read.csv(files, sep="\t", header=True, schema=schema, enforceSchema=False)
         name = F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1)
         pattern = VOLUME_NAME.replace("_volumes", f"_{kind}")
         part = [F.regexp_extract(name, pattern, i) for i in (1, 2, 3)]
