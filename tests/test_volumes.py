@@ -42,6 +42,8 @@ def test_incomplete_and_missing_patches(spark):
     assert (filled[1, :1, :2, :3] == 0).all() and np.array_equal(filled[0].ravel(), images[0])
     with pytest.raises(PySparkException, match="lacks patches"):
         v.unpatchify(patches, SHAPE, PATCH).collect()
+    with pytest.raises(PySparkException, match="repeats a patch"):
+        v.unpatchify(patches.unionByName(patches), SHAPE, PATCH, fill=0.0).collect()
 
 
 def test_sizes_must_divide(spark):

@@ -72,17 +72,32 @@ def patch_arrays(shape: Shape, patch: Shape, chans: int = 1, stride: int = 1, el
     return kernel
 
 
-def volume_arrays(shape: Shape, patch: Shape, chans: int = 1, stride: int = 1, element: str = "float"):
-    """Patches to the volume; slices dropped by ``stride`` repeat the kept one."""
+def volume_arrays(
+    shape: Shape, patch: Shape, chans: int = 1, stride: int = 1, element: str = "float", fill: float | None = None
+):
+    """Patch numbers and patches, in any order, to the volume.
+
+    Missing patches hold ``fill``, or are an error. Slices dropped by ``stride`` repeat
+    the kept one.
+    """
     grid = check_patch(shape, patch)
     thin = (patch[0] // stride, *patch[1:])
+    total, width = prod(grid), chans * prod(thin)
 
     @F.arrow_udf(f"array<{element}>")
-    def kernel(patches: pa.Array) -> pa.Array:
-        flat = patches.flatten()
-        v = _blocks(flat, chans * prod(thin)).reshape(len(patches), prod(grid), -1)
-        out = np.repeat(_from_patches(v, grid, thin, chans), stride, axis=2)
-        return _lists(out.reshape(len(patches), -1))
+    def kernel(ids: pa.Array, patches: pa.Array) -> pa.Array:
+        n = len(ids)
+        owner = np.repeat(np.arange(n), np.diff(ids.offsets.to_numpy()))
+        spot = owner * total + ids.flatten().to_numpy(zero_copy_only=False)
+        if len(np.unique(spot)) != len(spot):
+            raise ValueError("a scan repeats a patch")
+        if fill is None and len(spot) != n * total:
+            raise ValueError("a scan lacks patches")
+        found = _blocks(patches.flatten(), width)
+        v = np.full((n * total, width), 0 if fill is None else fill, dtype=found.dtype)
+        v[spot] = found
+        out = np.repeat(_from_patches(v.reshape(n, total, width), grid, thin, chans), stride, axis=2)
+        return _lists(out.reshape(n, -1))
 
     return kernel
 
@@ -272,6 +287,24 @@ def window_arrays(shape: Shape, window: Shape, starts: Sequence[Shape], element:
     return kernel
 
 
+def merge_windows(shape: Shape, window: Shape, starts: Sequence[Shape], weights: np.ndarray, average: bool):
+    """Windows at ``starts``, in that order, to the volume: weighted mean or plain sum."""
+    boxes = [tuple(slice(s, s + w) for s, w in zip(start, window)) for start in starts]
+    share = np.zeros(tuple(shape))
+    for box in boxes:
+        share[box] += weights
+
+    @F.arrow_udf("array<double>")
+    def kernel(tiles: pa.Array) -> pa.Array:
+        v = _blocks(tiles.flatten(), *window, dtype=np.float64).reshape(len(tiles), len(boxes), *window)
+        total = np.zeros((len(tiles), *shape))
+        for i, box in enumerate(boxes):
+            total[(slice(None), *box)] += v[:, i] * weights
+        return _lists((total / share if average else total).reshape(len(tiles), -1))
+
+    return kernel
+
+
 def view_slice(shape: Shape, view: str, index: int | None = None, element: str = "float"):
     """One plane of the volume, transposed and with rows flipped for display."""
     if view not in AXES:

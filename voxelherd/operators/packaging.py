@@ -222,8 +222,8 @@ def epoch_plan(
     samples within a block. When ``epoch_size`` exceeds the data, further passes follow,
     each shuffled anew. Adds ``pass``, ``slot``, ``batch``, ``rank`` and ``step``.
     """
+    total = df.count()
     numbered = ordered_prefix(df.select(key), [key])
-    total = numbered.count()
     wanted = total if epoch_size is None else epoch_size
     if total == 0:
         wanted = 0

@@ -12,7 +12,6 @@ from itertools import product
 from math import prod
 
 import numpy as np
-import pandas as pd
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
@@ -58,21 +57,9 @@ def unpatchify(
     A scan has a fixed number of patches, so a group is one volume. Missing patches are
     an error, or hold ``fill``.
     """
-    total = prod(kernels.check_patch(shape, patch))
-    width = chans * prod(patch) // stride
-    packed = patches.groupBy(scan).agg(
-        F.map_from_entries(F.collect_list(F.struct("patch_id", F.col(vals).alias("v")))).alias("_by_id")
-    )
-    if fill is None:
-        missing = F.raise_error(F.lit("a scan lacks patches")).cast(f"array<{element}>")
-    else:
-        missing = F.array_repeat(F.lit(fill).cast(element), width)
-    rows = F.transform(
-        F.sequence(F.lit(0), F.lit(total - 1)),
-        lambda i: F.coalesce(F.try_element_at(F.col("_by_id"), i), missing),
-    )
-    volume = kernels.volume_arrays(shape, patch, chans, stride, element)(F.col("_rows"))
-    return packed.withColumn("_rows", rows).select(scan, volume.alias("image"))
+    packed = patches.groupBy(scan).agg(F.collect_list(F.struct("patch_id", F.col(vals).alias("v"))).alias("_rows"))
+    place = kernels.volume_arrays(shape, patch, chans, stride, element, fill)
+    return packed.select(scan, place(F.col("_rows.patch_id"), F.col("_rows.v")).alias("image"))
 
 
 def patch_position(patch_id: Column, grid: Shape) -> dict[str, Column]:
@@ -273,20 +260,11 @@ def stitch(
     """
     if mode not in ("mean", "gaussian", "sum"):
         raise ValueError(f"unknown mode {mode!r}")
-    starts = window_grid(shape, window, overlap)
-    weights = window_weights(window, mode)
-    schema = f"{scan} {tiles.schema[scan].dataType.simpleString()}, image array<double>"
-
-    def merge(rows: pd.DataFrame) -> pd.DataFrame:
-        total, weight = np.zeros(tuple(shape)), np.zeros(tuple(shape))
-        for tile, vals in zip(rows["tile"], rows["vals"]):
-            box = tuple(slice(s, s + w) for s, w in zip(starts[tile], window))
-            total[box] += weights * np.asarray(vals, dtype=np.float64).reshape(tuple(window))
-            weight[box] += weights
-        out = total if mode == "sum" else total / np.maximum(weight, 1e-12)
-        return pd.DataFrame({scan: [rows[scan].iloc[0]], "image": [out.ravel()]})
-
-    return tiles.select(scan, "tile", "vals").groupBy(scan).applyInPandas(merge, schema)
+    merge = kernels.merge_windows(
+        shape, window, window_grid(shape, window, overlap), window_weights(window, mode), mode != "sum"
+    )
+    packed = tiles.groupBy(scan).agg(F.sort_array(F.collect_list(F.struct("tile", "vals"))).alias("_rows"))
+    return packed.select(scan, merge(F.col("_rows.vals")).alias("image"))
 
 
 # --- views ---------------------------------------------------------------------------

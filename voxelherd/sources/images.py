@@ -10,7 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxelherd.functions.columns import bids_fields, path_order
+from voxelherd.functions.columns import bids_fields
+from voxelherd.session import materialize
 
 # Layout of the published 348-byte header (little endian form).
 HEADER = np.dtype({
@@ -186,7 +187,11 @@ def incremental_index(listing: DataFrame, existing: DataFrame, path: str = "path
 
 
 def index_images(spark: SparkSession, root: str, existing: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """Index of the image files below ``root``, and the rejected files with the reason."""
+    """Index of the image files below ``root``, and the rejected files with the reason.
+
+    File contents are read once: hash and header fields go to an intermediate table, from
+    which both results are read.
+    """
     files = binary_files(spark, root).select(
         relative_to(F.col("path"), root).alias("path"), F.col("length").alias("size"), "content"
     )
@@ -194,7 +199,7 @@ def index_images(spark: SparkSession, root: str, existing: DataFrame | None = No
     if existing is not None:
         todo = incremental_index(todo, existing)
     good, bad_paths = parse_bids_path(todo)
-    decoded = read_headers(content_md5(good))
-    index = decoded.where("reason IS NULL").drop("reason").orderBy(path_order(F.col("path")))
+    decoded = materialize(read_headers(content_md5(good)))
+    index = decoded.where("reason IS NULL").drop("reason")
     bad_headers = decoded.where("reason IS NOT NULL").select("path", F.lit("header").alias("stage"), "reason")
     return index, bad_paths.unionByName(bad_headers)
