@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from voxelherd.sources.images import (
-    content_md5, decode_headers, incremental_index, index_images, list_images, read_headers,
+    content_md5, decode_headers, image_contents, incremental_index, index_images, list_images, parse_bids_path, read_headers,
 )
 from voxelherd.streaming.image_index import read_image_index, start_image_index
 
@@ -105,6 +105,19 @@ def test_index_job(spark, tree):
     }
     rest, _ = index_images(spark, str(tree), existing=index.where(F.col("path") == rows[0]["path"]))
     assert [r["path"] for r in rest.collect()] == [second["path"]]
+    none, _ = index_images(spark, str(tree), existing=list_images(spark, str(tree)))
+    assert none.count() == 0
+
+
+def test_only_folders_with_something_to_do_are_opened(spark, tree):
+    todo, _ = parse_bids_path(list_images(spark, str(tree)))
+    opened = image_contents(spark, str(tree), todo).select("path").collect()
+    assert not any("/func/" in r["path"] for r in opened) and len(opened) >= 3
+    odd = tree / "ds{2}" / "sub-1" / "anat"
+    odd.mkdir(parents=True)
+    (odd / "sub-1_T1w.nii").write_bytes(header())
+    new, _ = index_images(spark, str(tree), existing=todo)
+    assert [r["dataset"] for r in new.collect()] == ["ds{2}"]
 
 
 def test_md5_of_missing_content(spark):

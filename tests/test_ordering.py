@@ -90,5 +90,6 @@ def test_first_n_needs_enough_rows(spark):
 
 def test_dedup_limits_rows_before_the_shuffle(spark):
     df = spark.range(1000).select((F.col("id") % 2).alias("k"), "id")
-    plan = dedup_first(df, ["k"], ["id"])._jdf.queryExecution().executedPlan().toString()
-    assert "row_number(), 1, Partial" in plan
+    for null_equal in (True, False):
+        plan = dedup_first(df, ["k"], ["id"], null_equal)._jdf.queryExecution().executedPlan().toString()
+        assert "row_number(), 1, Partial" in plan and plan.count("Exchange") == 1

@@ -123,14 +123,15 @@ def dedup_first(
 
     Spark pushes the ``row_number <= 1`` limit below the shuffle, so a task ships at
     most one row per key however hot that key is. With ``null_equal=False`` rows whose
-    keys contain a null are all kept.
+    keys contain a null are all kept: each is a group of its own, told apart by the
+    ``order`` columns, which then have to be plain columns that identify a row.
     """
-    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
-    if null_equal:
-        return df.withColumn("_rank", rank).where("_rank = 1").drop("_rank")
-    known = reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys])
-    first = df.where(known).withColumn("_rank", rank).where("_rank = 1").drop("_rank")
-    return first.unionByName(df.where(~known))
+    parts = [F.col(k) for k in keys]
+    if not null_equal:
+        known = reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys])
+        parts.append(F.when(~known, F.struct(*order)))
+    rank = F.row_number().over(Window.partitionBy(*parts).orderBy(*order))
+    return df.withColumn("_rank", rank).where("_rank = 1").drop("_rank")
 
 
 def _value_runs(df: DataFrame, column: str, by: Sequence[str]) -> DataFrame:

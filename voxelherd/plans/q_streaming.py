@@ -2,33 +2,27 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from voxelherd.plans.registry import query
-from voxelherd.session import checkpoint_root
+from voxelherd.session import scratch_folder
 from voxelherd.streaming.image_index import read_image_index, start_image_index
 from voxelherd.streaming.live_meters import read_live_meters, start_live_meters
 
 
-def fresh_folder(t) -> str:
-    return f"{checkpoint_root(t.spark)}/voxelherd-{uuid.uuid4().hex}"
-
-
 @query("stream_meters", """
 SELECT user_id AS run, event_type AS metric, count(*) AS count, round(avg(value), 9) AS global_avg FROM events GROUP BY 1, 2""")
 def stream_meters(t):
     schema = t.events.schema
     stream = t.spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(t.folder)
     log = stream.select(F.col("user_id").alias("run"), F.col("event_type").alias("metric"), "value")
-    folder = fresh_folder(t)
+    folder = scratch_folder(t.spark)
     start_live_meters(log, ["run", "metric"], "value", f"{folder}/out", f"{folder}/state").awaitTermination()
     return read_live_meters(t.spark, f"{folder}/out", ["run", "metric"]).withColumn("global_avg", F.round("global_avg", 9))
 
 
 @query("stream_index")
 def stream_index(t):
-    folder = fresh_folder(t)
+    folder = scratch_folder(t.spark)
     start_image_index(t.spark, t.folder, f"{folder}/out", f"{folder}/state", "*.parquet", 5).awaitTermination()
     return read_image_index(t.spark, f"{folder}/out").select("path", "size", "md5", "duplicate")

@@ -73,6 +73,13 @@ def checkpoint_root(spark: SparkSession) -> str:
     return root
 
 
+def scratch_folder(spark: SparkSession) -> str:
+    """A new path in the shared folder, deleted by :func:`release`."""
+    path = f"{checkpoint_root(spark)}/voxelherd-{uuid.uuid4().hex}"
+    _written.append(path)
+    return path
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Write ``df`` as a Parquet table in the shared folder and read it back.
 
@@ -82,14 +89,13 @@ def materialize(df: DataFrame) -> DataFrame:
     aggregation, hot keys of the other side could not be split at run time.
     """
     spark = df.sparkSession
-    path = f"{checkpoint_root(spark)}/voxelherd-{uuid.uuid4().hex}"
+    path = scratch_folder(spark)
     df.write.parquet(path)
-    _written.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def release(spark: SparkSession) -> int:
-    """Delete the tables written by :func:`materialize`; returns how many."""
+    """Delete what :func:`materialize` and :func:`scratch_folder` made; returns how many."""
     jvm = spark.sparkContext._jvm
     conf = spark.sparkContext._jsc.hadoopConfiguration()
     count = 0

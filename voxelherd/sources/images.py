@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -48,7 +49,7 @@ def relative_to(path: Column, root: str) -> Column:
     return F.substring_index(path, tail, -1)
 
 
-def binary_files(spark: SparkSession, root: str, pattern: str = "*.nii*") -> DataFrame:
+def binary_files(spark: SparkSession, root: str | list[str], pattern: str = "*.nii*") -> DataFrame:
     return (
         spark.read.format("binaryFile")
         .option("pathGlobFilter", pattern)
@@ -186,20 +187,38 @@ def incremental_index(listing: DataFrame, existing: DataFrame, path: str = "path
     return listing.join(existing.select(path), on=path, how="left_anti")
 
 
-def index_images(spark: SparkSession, root: str, existing: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """Index of the image files below ``root``, and the rejected files with the reason.
+def image_contents(spark: SparkSession, root: str, todo: DataFrame) -> DataFrame:
+    """Path, size and content of the image files in the studies that ``todo`` names.
 
-    File contents are read once: hash and header fields go to an intermediate table, from
-    which both results are read.
+    Only ``anat`` folders at the depths that occur are opened, so the much larger other
+    images of a study are never read.
     """
-    files = binary_files(spark, root).select(
+    depth = F.size(F.split("path", "/")).alias("depth")
+    places = todo.select("dataset", depth).distinct().collect()
+    patterns = []
+    for n in sorted({place["depth"] for place in places}):
+        names = sorted({re.sub(r"([{}\[\],*?\\])", r"\\\1", p["dataset"]) for p in places if p["depth"] == n})
+        folders = [f"{{{','.join(names)}}}", *["*"] * (n - 3), *["anat"] * (n > 2)]
+        patterns.append("/".join([root.rstrip("/"), *folders]))
+    if not patterns:
+        return spark.createDataFrame([], "path string, size bigint, content binary")
+    return binary_files(spark, patterns).select(
         relative_to(F.col("path"), root).alias("path"), F.col("length").alias("size"), "content"
     )
-    todo = filter_listing(files)
-    if existing is not None:
-        todo = incremental_index(todo, existing)
-    good, bad_paths = parse_bids_path(todo)
-    decoded = materialize(read_headers(content_md5(good)))
+
+
+def index_images(spark: SparkSession, root: str, existing: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Index of the image files below ``root``, and the rejected files with the reason.
+
+    Paths are parsed from the listing alone. Contents are read once, only in studies with
+    something to do, and are reduced to hash and header fields before anything is
+    shuffled; both results are read from that intermediate table.
+    """
+    good, bad_paths = parse_bids_path(list_images(spark, root))
+    todo = good if existing is None else incremental_index(good, existing)
+    contents, _ = parse_bids_path(filter_listing(image_contents(spark, root, todo)))
+    fields = read_headers(content_md5(contents))
+    decoded = materialize(fields if existing is None else incremental_index(fields, existing))
     index = decoded.where("reason IS NULL").drop("reason")
     bad_headers = decoded.where("reason IS NOT NULL").select("path", F.lit("header").alias("stage"), "reason")
     return index, bad_paths.unionByName(bad_headers)
