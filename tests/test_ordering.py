@@ -19,10 +19,11 @@ def hot_frame(n=3000, seed=0):
     return pd.DataFrame({"g": group, "k": rng.permutation(n), "v": rng.integers(0, 40, n)})
 
 
-def test_prefix_matches_pandas(spark):
+@pytest.mark.parametrize("slices", [None, 1, 8, 40])
+def test_prefix_matches_pandas(spark, slices):
     data = hot_frame()
     got = ordered_prefix(
-        spark.createDataFrame(data), ["k"], ["g"], {"before": F.col("v")}, totals=True
+        spark.createDataFrame(data), ["k"], ["g"], {"before": F.col("v")}, slices, totals=True
     ).toPandas().sort_values("k")
     want = data.sort_values("k")
     groups = want.groupby("g", dropna=False)
@@ -41,7 +42,7 @@ def test_prefix_without_group(spark):
 
 def test_hot_group_is_cut_into_slices(spark):
     hot = spark.range(4000).select(F.lit("hot").alias("g"), F.col("id").alias("k"))
-    placed = ordered_prefix(hot, ["k"], ["g"])
+    placed = ordered_prefix(hot, ["k"], ["g"], slices=8)
     plan = placed._jdf.queryExecution().optimizedPlan().toString()
     assert "_slice" in plan
     sizes = placed.sparkSession.read.parquet(placed.inputFiles()[0].rsplit("/", 1)[0]).groupBy("_slice").count().toPandas()
@@ -49,6 +50,20 @@ def test_hot_group_is_cut_into_slices(spark):
     assert placed.agg(F.max("position")).first()[0] == 3999
 
 
+def test_slices_follow_the_size_of_the_data(spark):
+    def count(n):
+        rows = spark.range(n).select(F.col("id").alias("k"), F.md5(F.col("id").cast("string")).alias("pay"))
+        placed = ordered_prefix(rows, ["k"])
+        assert placed.agg(F.max("position"), F.countDistinct("position")).first() == (n - 1, n)
+        return len(placed.inputFiles())
+
+    assert count(100) == 1 and count(400_000) > 4
+
+
+def test_empty_frame(spark):
+    assert ordered_prefix(spark.range(0), ["id"], sums={"s": F.col("id")}).count() == 0
+
+
 @settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(st.lists(st.one_of(st.none(), st.integers(-5, 5)), min_size=1, max_size=40))
 def test_quantiles_match_numpy(spark, numbers):

@@ -34,17 +34,16 @@ def ordered_prefix(
     ``order`` must identify rows within a group, otherwise ties are numbered
     arbitrarily. ``sums`` maps new column names to summed expressions. Pass only the
     columns that are needed: the frame is written once to the checkpoint folder.
+    ``slices`` fixes the number of ranges; by default it follows the size of the data.
     """
-    spark = df.sparkSession
     group = list(group)
     sums = dict(sums or {})
-    slices = slices or int(spark.conf.get("spark.sql.shuffle.partitions"))
-
     summed = {f"_in_{name}": expr for name, expr in sums.items()}
-    ranged = (
-        df.withColumns(summed) if summed else df
-    ).repartitionByRange(slices, *group, *order)
+    wide = df.withColumns(summed) if summed else df
+    # Without a number, neighbouring ranges are merged until they are worth a task.
+    ranged = wide.repartitionByRange(*([slices] if slices else []), *group, *order)
     rows = materialize(ranged.withColumn("_slice", F.spark_partition_id()))
+    slices = slices or (rows.agg(F.max("_slice")).first()[0] or 0) + 1
 
     parts = rows.groupBy(*group, "_slice").agg(
         F.count(F.lit(1)).alias("_rows"),

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from voxelherd.functions.columns import CORE_FIELDS, coerce_value, null_if_na, squeeze
 from voxelherd.operators.ordering import dedup_first
 from voxelherd.operators.quality import assert_unique
+from voxelherd.session import materialize
 
 INDEX_SCHEMA = (
     "dataset string, sub string, ses string, acq string, rec string, ce string, rez string, echo string, "
@@ -56,7 +57,7 @@ def read_participants(spark: SparkSession, root: str) -> tuple[DataFrame, DataFr
         F.min_by("_cells", "_at").alias("_names"), F.max(F.size("_cells")).alias("_widest")
     )
     names = F.transform("_names", lambda n, i: F.regexp_replace(n, "^\\x{FEFF}", ""))
-    files = files.withColumn("_names", names)
+    files = materialize(files.withColumn("_names", names))
     rejects = files.where("_widest > size(_names)").select(
         F.col("file").alias("path"), F.lit("participants").alias("stage"),
         F.lit("line longer than header").alias("reason"),
