@@ -42,7 +42,7 @@ def start_image_index(
 
 def read_image_index(spark: SparkSession, out: str) -> DataFrame:
     """Index so far; ``duplicate`` marks content that an earlier file already has."""
-    index = spark.read.option("basePath", out).parquet(f"{out}/batch_id=*")
+    index = spark.read.parquet(out)
     first = dedup_first(index.where("md5 IS NOT NULL"), ["md5"], ["batch_id", "path"])
     marked = index.join(first.select("path", F.lit(False).alias("_dup")), on="path", how="left")
     return marked.withColumn("duplicate", F.coalesce("_dup", F.col("md5").isNotNull())).drop("_dup")

@@ -37,7 +37,7 @@ def start_live_meters(
 
 def read_live_meters(spark: SparkSession, out: str, by: Sequence[str]) -> DataFrame:
     """Latest totals per group with their mean."""
-    updates = spark.read.option("basePath", out).parquet(f"{out}/batch_id=*")
+    updates = spark.read.parquet(out)
     latest = updates.groupBy(*by).agg(
         F.max_by("total", "batch_id").alias("total"), F.max_by("count", "batch_id").alias("count")
     )
