@@ -1,11 +1,13 @@
 """Queries of this subpackage and the SQL they must agree with."""
 
-from voxelherd.llm import q_chat
+from voxelherd.llm import q_chat, q_sharding
 
 QUERIES = {
+    "op4_feistel_shards": q_sharding.op4_feistel_shards,
     "op9_chat_format": q_chat.op9_chat_format,
 }
 
 ORACLES = {
+    "op4_feistel_shards": q_sharding.OP4_SQL,
     "op9_chat_format": q_chat.OP9_SQL,
 }
