@@ -1,9 +1,10 @@
 """Queries of this subpackage and the SQL they must agree with."""
 
-from voxelherd.llm import q_chat, q_sharding
+from voxelherd.llm import q_bpe, q_chat, q_sharding
 
 QUERIES = {
     "op4_feistel_shards": q_sharding.op4_feistel_shards,
+    "op5_bpe_round_trip": q_bpe.op5_bpe_round_trip,
     "op9_chat_format": q_chat.op9_chat_format,
 }
 
