@@ -1,16 +1,18 @@
 """Queries of this subpackage and the SQL they must agree with."""
 
-from voxelherd.llm import q_bpe, q_chat, q_decontaminate, q_sharding
+from voxelherd.llm import q_bpe, q_chat, q_decontaminate, q_sharding, q_warc
 
 QUERIES = {
     "op2_decontaminate": q_decontaminate.op2_decontaminate,
     "op4_feistel_shards": q_sharding.op4_feistel_shards,
     "op5_bpe_round_trip": q_bpe.op5_bpe_round_trip,
+    "op8_warc_bundles": q_warc.op8_warc_bundles,
     "op9_chat_format": q_chat.op9_chat_format,
 }
 
 ORACLES = {
     "op2_decontaminate": q_decontaminate.OP2_SQL,
     "op4_feistel_shards": q_sharding.OP4_SQL,
+    "op8_warc_bundles": q_warc.OP8_SQL,
     "op9_chat_format": q_chat.OP9_SQL,
 }
