@@ -1,9 +1,10 @@
 """Queries of this subpackage and the SQL they must agree with."""
 
-from voxelherd.llm import q_bpe, q_chat, q_decontaminate, q_minhash, q_sharding, q_warc
+from voxelherd.llm import q_bpe, q_chat, q_decontaminate, q_language, q_minhash, q_sharding, q_warc
 
 QUERIES = {
     "op2_decontaminate": q_decontaminate.op2_decontaminate,
+    "op3_language_id": q_language.op3_language_id,
     "op4_feistel_shards": q_sharding.op4_feistel_shards,
     "op5_bpe_round_trip": q_bpe.op5_bpe_round_trip,
     "op6_minhash": q_minhash.op6_minhash,
