@@ -1,6 +1,6 @@
 """Queries of this subpackage and the SQL they must agree with."""
 
-from voxelherd.llm import q_bpe, q_chat, q_decontaminate, q_language, q_minhash, q_sharding, q_warc
+from voxelherd.llm import q_bpe, q_chat, q_decontaminate, q_language, q_minhash, q_sharding, q_simhash, q_warc
 
 QUERIES = {
     "op2_decontaminate": q_decontaminate.op2_decontaminate,
@@ -8,6 +8,7 @@ QUERIES = {
     "op4_feistel_shards": q_sharding.op4_feistel_shards,
     "op5_bpe_round_trip": q_bpe.op5_bpe_round_trip,
     "op6_minhash": q_minhash.op6_minhash,
+    "op7_simhash": q_simhash.op7_simhash,
     "op8_warc_bundles": q_warc.op8_warc_bundles,
     "op9_chat_format": q_chat.op9_chat_format,
 }
