@@ -1,6 +1,6 @@
 """Queries of this subpackage and the SQL they must agree with."""
 
-from voxelherd.llm import q_bpe, q_chat, q_decontaminate, q_language, q_minhash, q_sharding, q_simhash, q_warc
+from voxelherd.llm import q_bpe, q_chat, q_decontaminate, q_language, q_minhash, q_sharding, q_simhash, q_substrings, q_warc
 
 QUERIES = {
     "op2_decontaminate": q_decontaminate.op2_decontaminate,
@@ -11,6 +11,7 @@ QUERIES = {
     "op7_simhash": q_simhash.op7_simhash,
     "op8_warc_bundles": q_warc.op8_warc_bundles,
     "op9_chat_format": q_chat.op9_chat_format,
+    "op10_substring_dedup": q_substrings.op10_substring_dedup,
 }
 
 ORACLES = {
