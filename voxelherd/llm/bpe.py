@@ -31,12 +31,14 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from voxelherd.llm.words import in_blocks
+
 # Words up to this many bytes take one contraction a round.
 SHORT = 32
-# Words in one query, token rows in one query, words kept by a worker.
+# Words in one query, bytes in one query (a word counts as some more), words kept by a worker.
 WORDS_AT_ONCE = 20_000
 BYTES_AT_ONCE = 1_000_000
-KNOWN_WORDS = 400_000
+KNOWN_WORDS = 1_000_000
 # Texts tokenized together, and tokens decoded together.
 TEXT_AT_ONCE = 2_000_000
 SLICE = 200_000
@@ -143,8 +145,7 @@ class Engine:
     def _put(self, name: str, rows: pa.Table) -> None:
         self.con.register(name, rows)
 
-    def _contract(self, words: list[str], query: str) -> None:
-        raw = [word.encode() for word in words]
+    def _contract(self, words: list[str], raw: list[bytes], query: str) -> None:
         sizes = np.array([len(word) for word in raw])
         flat = np.frombuffer(b"".join(raw), dtype=np.uint8)
         starts = np.cumsum(sizes) - sizes
@@ -164,26 +165,20 @@ class Engine:
         """Encode words not met before."""
         if len(self.known) + len(words) > KNOWN_WORDS:
             self.known.clear()
-        groups: dict[bool, list[str]] = {True: [], False: []}
-        for word in words:
-            if word not in self.known:
-                raw = word.encode()
-                groups[len(raw) <= SHORT].append(word)
-        for short, group in groups.items():
-            query, at, size = ENCODE_SHORT if short else ENCODE_LONG, [], 0
-            for word in group:
-                at.append(word)
-                size += len(word.encode())
-                if len(at) >= WORDS_AT_ONCE or size >= BYTES_AT_ONCE:
-                    self._contract(at, query)
-                    at, size = [], 0
-            if at:
-                self._contract(at, query)
+        groups: dict[str, tuple[list[str], list[bytes]]] = {ENCODE_SHORT: ([], []), ENCODE_LONG: ([], [])}
+        for word in words.difference(self.known):
+            raw = word.encode()
+            names, bodies = groups[ENCODE_SHORT if len(raw) <= SHORT else ENCODE_LONG]
+            names.append(word)
+            bodies.append(raw)
+        for query, (names, bodies) in groups.items():
+            for part in in_blocks(bodies, lambda raw: len(raw) + BYTES_AT_ONCE // WORDS_AT_ONCE, BYTES_AT_ONCE):
+                self._contract(names[part], bodies[part], query)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
         split = [self.find(text) for text in texts]
-        self.learn({word for words in split for word in words})
+        self.learn(set().union(*split))
         return [b"".join(map(self.known.__getitem__, words)) for words in split]
 
     def decode(self, encoded: list[bytes]) -> list[bytes]:
@@ -230,19 +225,6 @@ def engine(tokenizer: Tokenizer) -> Engine:
     return _engines[key]
 
 
-def in_pieces(values: list, size_of, most: int) -> Iterator[slice]:
-    """Slices of a list with at most ``most`` in each by ``size_of``, one value at least."""
-    at, size = 0, 0
-    for i, value in enumerate(values):
-        n = size_of(value)
-        if i > at and size + n > most:
-            yield slice(at, i)
-            at, size = i, 0
-        size += n
-    if at < len(values):
-        yield slice(at, len(values))
-
-
 def encode_texts(docs: DataFrame, tokenizer: Tokenizer, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``key`` and ``ids`` (array of int) of each document."""
     kind = docs.schema[key].dataType.simpleString()
@@ -251,7 +233,7 @@ def encode_texts(docs: DataFrame, tokenizer: Tokenizer, key: str = "doc_id", tex
         own = engine(tokenizer)
         for batch in batches:
             texts = [t or "" for t in batch.column(text).to_pylist()]
-            for part in in_pieces(texts, len, TEXT_AT_ONCE):
+            for part in in_blocks(texts, len, TEXT_AT_ONCE):
                 ids = [np.frombuffer(x, dtype="<i4") for x in own.encode(texts[part])]
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(key)[part.start : part.stop], pa.array(ids, pa.list_(pa.int32()))], names=[key, "ids"]
@@ -268,7 +250,7 @@ def decode_ids(encoded: DataFrame, tokenizer: Tokenizer, key: str = "doc_id") ->
         own = engine(tokenizer)
         for batch in batches:
             ids = [np.array(x or [], dtype="<u4").tobytes() for x in batch.column("ids").to_pylist()]
-            for part in in_pieces(ids, len, TEXT_AT_ONCE):
+            for part in in_blocks(ids, len, TEXT_AT_ONCE):
                 raw = pa.array(own.decode(ids[part]), pa.binary())
                 yield pa.RecordBatch.from_arrays([batch.column(key)[part.start : part.stop], raw], names=[key, "raw"])
 
@@ -287,7 +269,7 @@ def round_trip(docs: DataFrame, tokenizer: Tokenizer, key: str = "doc_id", text:
         own = engine(tokenizer)
         for batch in batches:
             texts = [t or "" for t in batch.column(text).to_pylist()]
-            for part in in_pieces(texts, len, TEXT_AT_ONCE):
+            for part in in_blocks(texts, len, TEXT_AT_ONCE):
                 ids = own.encode(texts[part])
                 raw = own.decode(ids)
                 columns = [
