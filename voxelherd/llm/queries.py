@@ -1,8 +1,11 @@
 """Queries of this subpackage and the SQL they must agree with."""
 
-from voxelherd.llm import q_bpe, q_chat, q_decontaminate, q_language, q_minhash, q_sharding, q_simhash, q_substrings, q_warc
+from voxelherd.llm import (
+    q_bpe, q_chat, q_decontaminate, q_language, q_minhash, q_sharding, q_simhash, q_substrings, q_suffixes, q_warc,
+)
 
 QUERIES = {
+    "op1_suffix_dedup": q_suffixes.op1_suffix_dedup,
     "op2_decontaminate": q_decontaminate.op2_decontaminate,
     "op3_language_id": q_language.op3_language_id,
     "op4_feistel_shards": q_sharding.op4_feistel_shards,
