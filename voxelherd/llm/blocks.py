@@ -21,6 +21,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from voxelherd.llm.common import parts_for, text_bytes
 from voxelherd.session import materialize, scratch_folder
@@ -37,11 +39,14 @@ REPLY_SCHEMA = "block bigint, bucket bigint, level int, packed binary"
 
 
 class Blocks:
-    """The stored texts: ``block``, ``slot``, ``doc_id``, ``raw``."""
+    """The stored texts: ``block``, ``slot``, ``doc_id``, ``raw``, and ``rest``, a struct of columns to keep."""
 
-    def __init__(self, docs: DataFrame):
+    def __init__(self, docs: DataFrame, keep: list[str] | None = None):
         spark = docs.sparkSession
-        rows = docs.select("doc_id", text_bytes().alias("raw"))
+        rest = [F.struct(*[F.col(name) for name in keep]).alias("rest")] if keep else []
+        rows = docs.select("doc_id", text_bytes().alias("raw"), *rest)
+        # DDL of the kept columns, to be added to the schema of a result.
+        self.rest = f", rest {rows.schema['rest'].dataType.simpleString()}" if keep else ""
         size = rows.agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("raw")).alias("bytes")).first()
         self.bucket_bits = max(0, math.ceil(math.log2(max(1.0, (size["bytes"] or 0) / BUCKET_BYTES))))
         number = F.monotonically_increasing_id()
@@ -50,7 +55,8 @@ class Blocks:
         per_block = int(math.log2(BLOCK_ROWS))
         block = F.shiftleft(part, INDEX_BITS - per_block) + F.shiftright(index, per_block)
         placed = rows.select(
-            block.alias("block"), index.bitwiseAND(F.lit(BLOCK_ROWS - 1)).cast("int").alias("slot"), "doc_id", "raw"
+            block.alias("block"), index.bitwiseAND(F.lit(BLOCK_ROWS - 1)).cast("int").alias("slot"), "doc_id", "raw",
+            *(["rest"] if keep else []),
         )
         name = f"voxelherd_blocks_{uuid.uuid4().hex}"
         buckets = min(MOST_BUCKETED, parts_for(size["n"], BLOCK_ROWS))
@@ -61,8 +67,8 @@ class Blocks:
     def map(self, function: Callable[[dict], Iterable[pa.RecordBatch]], schema: str, replies: DataFrame | None = None) -> DataFrame:
         """Apply a function to each block, with the answers it has got so far.
 
-        It gets a dict of ``block``, ``doc_ids``, ``texts`` (in order) and ``answers``,
-        by level the joined answers of all buckets in order.
+        It gets a dict of ``block``, ``doc_ids``, ``texts`` (in order), ``rest`` (an Arrow
+        column or None) and ``answers``, by level the answers of all buckets in order.
         """
 
         def texts_of(rows: pa.Table) -> dict:
@@ -72,10 +78,11 @@ class Blocks:
                 "block": own.column("block")[0].as_py(),
                 "doc_ids": own.column("doc_id").to_pylist(),
                 "texts": own.column("raw").to_pylist(),
+                "rest": own.column("rest").combine_chunks() if "rest" in own.column_names else None,
                 "answers": {},
             }
 
-        kinds = pa.schema([(f.split()[0], _KINDS[f.split()[1]]) for f in schema.split(", ")])
+        kinds = to_arrow_schema(StructType.fromDDL(schema))
         names = kinds.names
 
         def table_of(batches: list[pa.RecordBatch]) -> pa.Table:
@@ -101,9 +108,6 @@ class Blocks:
         return self.table.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(run_both, schema)
 
 
-_KINDS = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string(), "binary": pa.binary(), "double": pa.float64()}
-
-
 def ask(block: int, hashes: np.ndarray, bits: int, columns: list[np.ndarray]) -> list[pa.RecordBatch]:
     """Rows that send sorted, distinct ``hashes`` with further columns to their buckets.
 

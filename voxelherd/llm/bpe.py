@@ -257,8 +257,10 @@ def decode_ids(encoded: DataFrame, tokenizer: Tokenizer, key: str = "doc_id") ->
     return encoded.select(key, "ids").mapInArrow(run, f"`{key}` {kind}, raw binary")
 
 
-def round_trip(docs: DataFrame, tokenizer: Tokenizer, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Encode, decode the ids, and give counts and digests of both.
+def round_trip(
+    docs: DataFrame, tokenizer: Tokenizer, key: str = "doc_id", text: str = "text", with_ids: bool = False
+) -> DataFrame:
+    """Encode, decode the ids, and give counts and digests of both, and the ids if asked for.
 
     One pass of the workers: ids and decoded bytes are not sent back to the JVM.
     """
@@ -278,8 +280,13 @@ def round_trip(docs: DataFrame, tokenizer: Tokenizer, key: str = "doc_id", text:
                     pa.array([hexed(x) for x in ids]),
                     pa.array([hexed(x) for x in raw]),
                 ]
-                yield pa.RecordBatch.from_arrays(columns, names=[key, "n_tokens", "ids_sha256", "decoded_sha256"])
+                names = [key, "n_tokens", "ids_sha256", "decoded_sha256"]
+                if with_ids:
+                    columns.append(pa.array([np.frombuffer(x, dtype="<i4") for x in ids], pa.list_(pa.int32())))
+                    names.append("ids")
+                yield pa.RecordBatch.from_arrays(columns, names=names)
 
+    more = ", ids array<int>" if with_ids else ""
     return docs.select(key, text).mapInArrow(
-        run, f"`{key}` {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string"
+        run, f"`{key}` {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string{more}"
     )

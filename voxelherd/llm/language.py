@@ -239,18 +239,19 @@ def viterbi(scores: np.ndarray, starts: np.ndarray, sizes: np.ndarray, penalty:
     return labels
 
 
-def predict(docs: DataFrame, model: Model, penalty: float = PENALTY, spans: bool = True) -> DataFrame:
+def predict(
+    docs: DataFrame, model: Model, penalty: float = PENALTY, spans: bool = True, prefix: str = ""
+) -> DataFrame:
     """All columns of ``docs`` with ``lang_pred``, ``score`` and ``spans`` added.
 
-    A span is (``lang``, ``first``, ``stop``) in words of the text. Nothing but ``text``
+    The new names start with ``prefix``; columns that have them are replaced. A span is (``lang``, ``first``, ``stop``) in words of the text. Nothing but ``text``
     is an input; other columns do not pass through the workers' prediction.
     """
-    clash = {"lang_pred", "score", "spans"} & set(docs.columns)
-    base = docs.drop(*clash)
     most = TEXT_AT_ONCE * 4 // max(4, len(model.languages))
     names = model.languages
     kinds = [pa.string(), pa.float64(), pa.list_(pa.struct([("lang", pa.string()), ("first", pa.int32()), ("stop", pa.int32())]))]
-    added = ["lang_pred", "score", "spans"][: 3 if spans else 2]
+    added = [prefix + name for name in ("lang_pred", "score", "spans")[: 3 if spans else 2]]
+    base = docs.drop(*added)
 
     def row(labels: np.ndarray, letters: np.ndarray) -> tuple:
         total = int(letters.sum())

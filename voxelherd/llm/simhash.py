@@ -63,16 +63,18 @@ def fingerprint(text: bytes, size: int = SHINGLE) -> int:
     return int(np.packbits(counts * 2 > n).view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``key`` and ``simhash`` (64 bits as a long) of each document."""
-    kind = docs.schema[key].dataType.simpleString()
+def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", also: tuple[str, ...] = ()) -> DataFrame:
+    """``key``, columns to carry and ``simhash`` (64 bits as a long) of each document."""
+    names = [key, *also]
+    kinds = ", ".join(f"`{name}` {docs.schema[name].dataType.simpleString()}" for name in names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             made = np.array([fingerprint(t) for t in batch.column("raw").to_pylist()], dtype=np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(key), pa.array(made.view(np.int64))], names=[key, "simhash"])
+            columns = [*(batch.column(name) for name in names), pa.array(made.view(np.int64))]
+            yield pa.RecordBatch.from_arrays(columns, names=[*names, "simhash"])
 
-    return docs.select(key, text_bytes(text).alias("raw")).mapInArrow(run, f"`{key}` {kind}, simhash bigint")
+    return docs.select(*names, text_bytes(text).alias("raw")).mapInArrow(run, f"{kinds}, simhash bigint")
 
 
 class Flips:
@@ -164,13 +166,15 @@ def near_links(distinct: DataFrame, count: int, radius: int = RADIUS) -> DataFra
     return sent.groupBy("bucket").applyInArrow(meet, "a bigint, b bigint")
 
 
-def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", radius: int = RADIUS) -> DataFrame:
-    """``key``, ``simhash`` and ``component_id``, the smallest key reachable by links."""
-    made = materialize(fingerprints(docs, key, text))
+def near_groups(
+    docs: DataFrame, key: str = "doc_id", text: str = "text", radius: int = RADIUS, also: tuple[str, ...] = ()
+) -> DataFrame:
+    """``key``, columns to carry, ``simhash`` and ``component_id``, the smallest key reachable by links."""
+    made = materialize(fingerprints(docs, key, text, also))
     distinct = materialize(made.groupBy("simhash").agg(F.min(key).alias("first_key")))
     linked = components(near_links(distinct, distinct.count(), radius))
     rooted = distinct.join(linked, distinct.simhash == linked.node, "left")
     rooted = materialize(rooted.select("simhash", "first_key", F.coalesce("root", "simhash").alias("root")))
     named = materialize(rooted.groupBy("root").agg(F.min("first_key").alias("component_id")))
     by_print = materialize(rooted.join(named, "root").select("simhash", "component_id"))
-    return made.join(by_print, "simhash").select(key, "simhash", "component_id")
+    return made.join(by_print, "simhash").select(key, *also, "simhash", "component_id")

@@ -73,6 +73,8 @@ def packed_counts(counts: np.ndarray) -> list[np.ndarray]:
 
 def send_counted(block: int, hashes: np.ndarray, counts: np.ndarray, bits: int) -> Iterator[pa.RecordBatch]:
     """Entries of 4 bytes, then two packed rows of flags."""
+    if not len(hashes):
+        return
     to = hashes >> np.uint64(64 - bits) if bits else np.zeros(len(hashes), dtype=np.uint64)
     names, first = np.unique(to, return_index=True)
     stops = np.append(first[1:], len(hashes))
@@ -80,11 +82,10 @@ def send_counted(block: int, hashes: np.ndarray, counts: np.ndarray, bits: int)
     for a, b in zip(first, stops, strict=True):
         flags = [np.packbits(f).tobytes() for f in packed_counts(counts[a:b])]
         packed.append(entry(hashes[a:b], bits).tobytes() + b"".join(flags))
-    if len(names):
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([block] * len(names), pa.int64()), pa.array(names.astype(np.int64)), pa.array(packed, pa.binary())],
-            names=["block", "bucket", "packed"],
-        )
+    yield pa.RecordBatch.from_arrays(
+        [pa.array([block] * len(names), pa.int64()), pa.array(names.astype(np.int64)), pa.array(packed, pa.binary())],
+        names=["block", "bucket", "packed"],
+    )
 
 
 def reply_counted(sent: list[bytes]) -> list[bytes]:
@@ -345,14 +346,22 @@ def removed_bytes(part: Part) -> np.ndarray:
     return np.cumsum(edges)[:-1] > 0
 
 
-def remove_repeats(docs: DataFrame, window: int = WINDOW, texts: bool = True) -> DataFrame:
+def whole_characters(raw: bytes) -> bytes:
+    """UTF-8 without the bytes of characters that were cut in part."""
+    return raw.decode("utf-8", errors="ignore").encode()
+
+
+def remove_repeats(
+    docs: DataFrame, window: int = WINDOW, texts: bool = True, keep: list[str] | None = None
+) -> DataFrame:
     """``doc_id``, ``n_bytes``, ``n_removed``, ``n_spans`` and ``kept``, the bytes left.
 
-    Without ``texts``, ``kept`` is the lowercase hexadecimal SHA-256 of them.
+    Without ``texts``, ``kept`` is the lowercase hexadecimal SHA-256 of them. Columns to
+    ``keep`` follow as the struct ``rest``; ``kept`` then has whole characters only.
     """
     if window - min(GRAM, window) + 1 > 32 or window > 127:
         raise ValueError("windows of 127 bytes at most, and 31 longer than an anchor at most")
-    blocks = Blocks(docs)
+    blocks = Blocks(docs, keep)
     bits = min(blocks.bucket_bits, 32)
 
     def send_anchors(own: dict) -> Iterator[pa.RecordBatch]:
@@ -376,12 +385,15 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, texts: bool = True) ->
             mask = gone[part.first[doc] : part.first[doc + 1]]
             edges = np.diff(np.concatenate([[False], mask]).astype(np.int8))
             kept = np.frombuffer(text, dtype=np.uint8)[~mask].tobytes()
+            if keep:
+                kept = whole_characters(kept)
             kept = kept if texts else hashlib.sha256(kept).hexdigest().encode()
             rows.append((part.ids[doc], len(text), int(mask.sum()), int((edges == 1).sum()), kept))
         kinds = [*[pa.int64()] * 4, pa.binary()]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)],
-            names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept"],
-        )
+        columns = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)]
+        names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept"]
+        if keep:
+            columns, names = [*columns, own["rest"]], [*names, "rest"]
+        yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return blocks.map(cut, RESULT_SCHEMA, replies)
+    return blocks.map(cut, RESULT_SCHEMA + blocks.rest, replies)
