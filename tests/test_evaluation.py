@@ -50,8 +50,11 @@ def test_f1_without_positives(spark):
 def test_regions(spark):
     rows = [("s1", "total intracranial", 10.0), ("s1", "left", 2.0), ("s1", "right", 4.0), ("s2", "total intracranial", 20.0),
             ("s2", "left", 5.0), ("s3", "left", 1.0), ("s3", "right", 1.0)]
-    wide = metrics.pivot_regions(spark.createDataFrame(rows, "scan string, region string, volume_mm3 double"), "scan",
-                                 ["total intracranial", "left", "right"])
+    df = spark.createDataFrame(rows, "scan string, region string, volume_mm3 double")
+    wide = metrics.pivot_regions(df, "scan", ["total intracranial", "left", "right"])
+    assert set(metrics.pivot_regions(df, "scan").columns) == set(wide.columns)
+    with pytest.raises(CohortDataError, match="unexpected values of region: right"):
+        metrics.pivot_regions(df, "scan", ["total intracranial", "left"])
     assert wide.columns == ["scan", "volume__total intracranial", "volume__left"] and wide.count() == 2
     features = metrics.build_features(wide)
     assert list(features) == ["left / TIV"]
@@ -246,6 +249,10 @@ def test_epoch_summary(spark):
     train = spark.createDataFrame([(0, 9.0), (1, 8.0)], "epoch int, `train/loss` double")
     got = meters.eval_summary(losses, ["val"], train).orderBy("epoch").collect()
     assert [tuple(r) for r in got] == [(0, 9.0, 2.0), (1, 8.0, None)]
+    more = losses.unionByName(spark.createDataFrame([(1, "test", 5.0)], losses.schema))
+    assert meters.eval_summary(more).columns == ["epoch", "eval/test/loss", "eval/val/loss"]
+    with pytest.raises(CohortDataError, match="unexpected values of dataset: test"):
+        meters.eval_summary(more, ["val"])
 
 
 def test_live_meters_over_two_runs(spark, tmp_path):

@@ -57,6 +57,8 @@ def test_folds_keep_groups_together(spark):
     assert set(few["fold"]) == {1}
     sizes = got[got["g"] != "hot"].groupby("fold").size()
     assert sizes.sum() == 600
+    gaps = p.group_kfold(rows.withColumn("g", F.nullif("g", F.lit("hot"))), "g", 5).toPandas()
+    assert len(gaps) == 900 and gaps[gaps["g"].isna()]["fold"].nunique() == 1
 
 
 def test_split_is_stable_and_balanced(spark):

@@ -1,3 +1,5 @@
+import time
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -204,6 +206,28 @@ def valid_frame(spark, counts, n=10):
     return spark.createDataFrame(rows, "scan_id long, valid array<boolean>, batch long")
 
 
+def test_scans_without_a_batch_stay(spark):
+    df = valid_frame(spark, [(6, 0), (4, 1)]).withColumn("batch", F.nullif("batch", F.lit(1)))
+    got = masks.random_mask(df, 0.5, 1).collect()
+    assert sorted(sum(r["visible"]) for r in got) == [2, 3]
+
+
+def test_quota_time_follows_the_number_of_patches(spark):
+    def seconds(n):
+        df = spark.range(8, numPartitions=1).select(
+            F.col("id").alias("scan_id"), F.lit(0).alias("batch"), F.array_repeat(F.lit(True), n).alias("valid")
+        )
+        start = time.perf_counter()
+        kept = masks.random_mask(df, 0.8, 1).select(masks.count_set(F.col("visible")).alias("n")).distinct().collect()
+        assert [r["n"] for r in kept] == [int((1 - 0.8) * n)]
+        return time.perf_counter() - start
+
+    seconds(500)
+    half, whole = seconds(10_140), seconds(20_280)
+    # Eight scans in one task: about a second each at most, and no square growth.
+    assert whole < 16 and whole < 3.5 * half + 1
+
+
 def test_quota_rounds_down_in_double(spark):
     got = masks.random_mask(valid_frame(spark, [(10, 0)]), 0.8, 1).first()
     assert got["num_keep"] == int((1 - 0.8) * 10) == 1 and sum(got["visible"]) == 1

@@ -44,12 +44,12 @@ def exclude_datasets(df: DataFrame, exclude: DataFrame | Iterable[str], on: str
     """Drop rows of excluded datasets.
 
     A plain list becomes a ``NOT IN`` filter that reaches the scan; a frame becomes an
-    anti join whose strategy follows its measured size.
+    anti join whose strategy follows its measured size. Rows without a dataset stay.
     """
     if isinstance(exclude, DataFrame):
         return df.join(exclude.select(on), on=on, how="left_anti")
     names = list(exclude)
-    return df.where(~F.col(on).isin(*names)) if names else df
+    return df.where(F.col(on).isNull() | ~F.col(on).isin(*names)) if names else df
 
 
 def keep_modalities(df: DataFrame, modalities: Sequence[str] = MODALITIES, column: str = "suffix") -> DataFrame:

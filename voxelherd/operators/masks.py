@@ -25,31 +25,37 @@ def add_quota(df: DataFrame, ratio: float, flags: str = "valid", batch: str = "b
     """``num_keep`` of the batch: ``(1 - ratio)`` of its smallest count, rounded down.
 
     Only a batch number and a count per scan take part in the aggregation. The quotas are
-    written out before the join, so that a batch with very many scans can be split.
+    written out before the join, so that a batch with very many scans can be split. Scans
+    without a batch are one batch.
     """
     counted = df.withColumn("_n", count_set(F.col(flags)))
     quota = counted.groupBy(batch).agg(F.min("_n").alias("_min")).select(
-        batch, F.floor(F.lit(1.0 - float(ratio)) * F.col("_min")).cast("int").alias("num_keep")
+        F.col(batch).alias("_batch"), F.floor(F.lit(1.0 - float(ratio)) * F.col("_min")).cast("int").alias("num_keep")
     )
-    return counted.drop("_n").join(materialize(quota), on=batch)
+    same = F.col(batch).eqNullSafe(F.col("_batch"))
+    return counted.drop("_n").join(materialize(quota), same).drop("_batch")
 
 
 def keep_quota(
     flags: Column, num_keep: Column, scan: Column, seed: int, shuffle: bool = True
 ) -> Column:
-    """Flags with only ``num_keep`` of the set ones left: hashed at random, or the first."""
-    spots = F.filter(
-        F.transform(flags, lambda on, i: F.when(on, i.cast("int"))), lambda i: i.isNotNull()
-    )
+    """Flags with only ``num_keep`` of the set ones left: hashed at random, or the first.
+
+    Patches are sorted by their draw, those not set last; the first ones are marked by
+    their place; sorting by patch restores the order. Each patch is hashed once.
+    """
+
+    def ticket(on: Column, i: Column) -> Column:
+        draw = hash_order(scan, i, seed) if shuffle else F.lit("")
+        off = ~F.coalesce(on, F.lit(False))
+        return F.struct(off.alias("off"), F.when(~off, draw).alias("draw"), i.cast("int").alias("patch"))
 
-    def ticket(i: Column) -> Column:
-        if not shuffle:
-            return F.struct(F.lit("").alias("draw"), i.cast("int").alias("patch"))
-        return F.struct(hash_order(scan, i, seed).alias("draw"), i.cast("int").alias("patch"))
+    def mark(drawn: Column, place: Column) -> Column:
+        kept = ~drawn["off"] & F.coalesce(place < num_keep, F.lit(False))
+        return F.struct(drawn["patch"].alias("patch"), kept.alias("kept"))
 
-    drawn = F.array_sort(F.transform(spots, ticket))
-    last = F.when(num_keep > 0, F.get(drawn, num_keep - 1))
-    return F.transform(flags, lambda on, i: F.coalesce(on & (ticket(i) <= last), F.lit(False)))
+    marked = F.transform(F.array_sort(F.transform(flags, ticket)), mark)
+    return F.transform(F.array_sort(marked), lambda m: m["kept"])
 
 
 def random_mask(

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from voxelherd.operators.ordering import ordered_prefix
-from voxelherd.operators.quality import finite_or_null
+from voxelherd.operators.quality import finite_or_null, pivot_names
 
 WINDOW = 20
 
@@ -73,8 +73,14 @@ def meter_window(
     return measured.select(*by, *order, "step", F.get("_sorted", middle).alias("median"), "avg", "max", "value")
 
 
-def eval_summary(losses: DataFrame, datasets: Sequence[str], train: DataFrame | None = None) -> DataFrame:
-    """One row per epoch: mean loss of every evaluation set next to the train columns."""
-    wide = losses.groupBy("epoch").pivot("dataset", list(datasets)).agg(F.avg(finite_or_null(F.col("loss"))))
+def eval_summary(
+    losses: DataFrame, datasets: Sequence[str] | None = None, train: DataFrame | None = None
+) -> DataFrame:
+    """One row per epoch: mean loss of every evaluation set next to the train columns.
+
+    Every set in the data gets a column; with ``datasets`` given, another one is an error.
+    """
+    datasets = pivot_names(losses, "dataset", datasets)
+    wide = losses.groupBy("epoch").pivot("dataset", datasets).agg(F.avg(finite_or_null(F.col("loss"))))
     named = wide.select("epoch", *[F.col(f"`{d}`").alias(f"eval/{d}/loss") for d in datasets])
     return named if train is None else train.join(named, on="epoch", how="left")

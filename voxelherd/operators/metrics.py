@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 
 from voxelherd.functions.columns import label_in_months, wave_fields
 from voxelherd.operators.ordering import ordered_prefix
-from voxelherd.operators.quality import many_to_one
+from voxelherd.operators.quality import many_to_one, pivot_names
 from voxelherd.session import materialize
 
 TOTAL_REGION = "total intracranial"
@@ -70,12 +70,18 @@ def qc_filter(scans: DataFrame, qc: DataFrame, key: str, min_qc: float | None =
     return joined.where(F.col("qc_min").isNull() | (F.col("qc_min") >= min_qc))
 
 
-def pivot_regions(volumes: DataFrame, key: str, regions: Sequence[str], total: str = TOTAL_REGION) -> DataFrame:
+def pivot_regions(
+    volumes: DataFrame, key: str, regions: Sequence[str] | None = None, total: str = TOTAL_REGION
+) -> DataFrame:
     """Long region rows to one wide row per scan, columns ``volume__<region>``.
 
+    Every region in the data is kept; with ``regions`` given, another one is an error.
     Scans without the total region are dropped, and so is any region that is missing in
     one of the remaining scans.
     """
+    regions = pivot_names(volumes, "region", regions)
+    if total not in regions:
+        regions = [total, *regions]
     wide = materialize(
         volumes.groupBy(key)
         .pivot("region", list(regions))

@@ -158,14 +158,16 @@ def run_report(plan: DataFrame) -> DataFrame:
 def group_kfold(df: DataFrame, group: str, k: int) -> DataFrame:
     """Assign folds 1..min(k, groups) so that no group spans two folds.
 
-    Groups are dealt out by size, largest first, forward and backward in turn.
+    Groups are dealt out by size, largest first, forward and backward in turn. Rows
+    without a group are one group, so they stay and share a fold.
     """
     sizes = df.groupBy(group).agg(F.count(F.lit(1)).alias("_size"))
     placed = materialize(ordered_prefix(sizes, [F.col("_size").desc(), F.col(group)]))
     folds = max(1, min(k, placed.count()))
     lap = F.col("position") % (2 * folds)
     fold = F.when(lap < folds, lap).otherwise(2 * folds - 1 - lap) + 1
-    return df.join(placed.select(group, fold.cast("int").alias("fold")), on=group)
+    folded = placed.select(F.col(group).alias("_group"), fold.cast("int").alias("fold"))
+    return df.join(folded, F.col(group).eqNullSafe(F.col("_group"))).select(*df.columns, "fold")
 
 
 def split_assign(

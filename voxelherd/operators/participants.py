@@ -78,6 +78,16 @@ def cell(row: Column, header: Column) -> Column:
     return null_if_na(F.try_element_at(row, header))
 
 
+def left_out(rows: DataFrame, age_columns: Mapping[str, str] = AGE_COLUMNS) -> DataFrame:
+    """Datasets that :func:`harmonize` leaves out, as rejects with the reason."""
+    found = resolve_columns(rows.where("map_contains_key(row, 'participant_id')"), age_columns)
+    missing = found.where("age_header IS NOT NULL AND NOT map_contains_key(row, age_header)")
+    reason = F.concat(F.lit("no age column "), F.min("age_header"))
+    return missing.groupBy("dataset").agg(reason.alias("reason")).select(
+        F.col("dataset").alias("path"), F.lit("participants").alias("stage"), "reason"
+    )
+
+
 def harmonize(
     rows: DataFrame,
     units: DataFrame | None = None,
@@ -89,7 +99,7 @@ def harmonize(
     ``units`` holds ``(dataset, header, unit)`` from sidecar files, at most one row per
     dataset and header. Output: dataset, sub, ses, sex, age and the line, first row per
     subject and session in file order. A dataset that lacks the age column named for it
-    is left out.
+    is left out; :func:`left_out` reports it.
     """
     found = resolve_columns(rows.where("map_contains_key(row, 'participant_id')"), age_columns).where(
         "age_header IS NULL OR map_contains_key(row, age_header)"
@@ -152,9 +162,10 @@ def load_participants(
 
     ``line`` keeps the file order within a dataset; special loaders may leave it out.
     """
-    kept = rows.where(~F.col("dataset").isin(*exclude)) if exclude else rows
+    named = F.col("dataset")
+    kept = rows.where(named.isNull() | ~named.isin(*exclude)) if exclude else rows
     special = list(loaders)
-    common = kept.where(~F.col("dataset").isin(*special)) if special else kept
+    common = kept.where(named.isNull() | ~named.isin(*special)) if special else kept
     out = harmonize(common, units)
     for dataset, loader in loaders.items():
         out = out.unionByName(loader(kept.where(F.col("dataset") == dataset)), allowMissingColumns=True)

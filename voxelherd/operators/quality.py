@@ -17,6 +17,30 @@ def duplicate_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_rows")).where("n_rows > 1")
 
 
+# Distinct values that may become columns.
+MOST_COLUMNS = 10_000
+
+
+def pivot_names(df: DataFrame, column: str, expected: Sequence[str] | None = None) -> list[str]:
+    """Distinct values of a column that is to be pivoted, in order, or as expected.
+
+    A pivot over a list drops all other values, so a value that is null or not expected
+    is an error, and so are more values than a table may have columns.
+    """
+    rows = df.select(F.col(column).cast("string").alias("name")).distinct().limit(MOST_COLUMNS + 1).collect()
+    found = {row["name"] for row in rows}
+    if len(found) > MOST_COLUMNS:
+        raise CohortDataError(f"{column} has more than {MOST_COLUMNS} values")
+    if None in found:
+        raise CohortDataError(f"{column} is null in some rows")
+    if expected is None:
+        return sorted(found)
+    extra = sorted(found - set(expected))
+    if extra:
+        raise CohortDataError(f"{len(extra)} unexpected values of {column}: {', '.join(extra[:10])}")
+    return list(expected)
+
+
 def assert_unique(df: DataFrame, keys: Sequence[str], what: str = "table") -> DataFrame:
     """Fail when a key repeats; reads only the key columns."""
     examples = duplicate_keys(df.select(*keys), keys).limit(10).collect()

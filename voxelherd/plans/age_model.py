@@ -27,7 +27,7 @@ def age_model(
     qc: DataFrame,
     participants: DataFrame,
     ages: DataFrame,
-    regions: Sequence[str],
+    regions: Sequence[str] | None = None,
     min_qc: float | None = None,
     normalize: bool = True,
     folds: int = 5,

@@ -8,23 +8,23 @@ from pyspark.sql import functions as F
 from voxelherd.operators import meters, metrics
 from voxelherd.operators.packaging import split_assign
 from voxelherd.operators.probe import linear_probe
+from voxelherd.operators.quality import pivot_names
 from voxelherd.operators.ridge import ridge_group_cv, top_coefficients
 from voxelherd.plans.age_model import age_model
 from voxelherd.plans.registry import query
 from voxelherd.session import materialize
 
 TOTAL_REGION = metrics.TOTAL_REGION
-REGIONS = [TOTAL_REGION, "r2", "r3", "r4"]
 REGIONS_SQL = """long AS (
   SELECT l_orderkey AS scan, CASE l_linenumber WHEN 1 THEN 'total intracranial' ELSE 'r' || l_linenumber END AS region,
-         max(l_extendedprice) AS volume_mm3 FROM lineitem WHERE l_linenumber <= 4 GROUP BY 1, 2
+         max(l_extendedprice) AS volume_mm3 FROM lineitem GROUP BY 1, 2
   UNION ALL SELECT l_orderkey, 'r9', 1.5::DOUBLE + l_orderkey % 7 FROM lineitem GROUP BY 1, 2, 3
 )"""
 
 
 def region_rows(t):
     line = F.col("l_linenumber")
-    rows = t.lineitem.where("l_linenumber <= 4").select(
+    rows = t.lineitem.select(
         F.col("l_orderkey").alias("scan"),
         F.when(line == 1, "total intracranial").otherwise(F.concat(F.lit("r"), line)).alias("region"),
         F.col("l_extendedprice").alias("volume_mm3"),
@@ -41,7 +41,7 @@ w AS (SELECT scan, max(CASE WHEN region = 'total intracranial' THEN volume_mm3 E
              max(CASE WHEN region = 'r9' THEN volume_mm3 END) AS r9 FROM long GROUP BY 1)
 SELECT scan, tiv, round(r9 / tiv, 9) AS r9_share, CAST(3 AS INTEGER) AS n_columns FROM w WHERE tiv IS NOT NULL""")
 def region_pivot(t):
-    wide = metrics.pivot_regions(region_rows(t), "scan", [*REGIONS, "r9"])
+    wide = metrics.pivot_regions(region_rows(t), "scan")
     share = metrics.build_features(wide)["r9 / TIV"]
     return wide.select(
         "scan", F.col("`volume__total intracranial`").alias("tiv"), F.round(share, 9).alias("r9_share"),
@@ -50,11 +50,12 @@ def region_pivot(t):
 
 
 @query("qc_filter", """
-WITH q AS (SELECT l_orderkey, min(l_quantity) AS qc_min, avg(l_quantity) AS qc_mean FROM lineitem WHERE l_returnflag = 'A' GROUP BY 1)
+WITH q AS (SELECT l_orderkey, min(l_quantity) FILTER (WHERE l_returnflag = 'A') AS qc_min, avg(l_quantity) FILTER (WHERE l_returnflag = 'A') AS qc_mean FROM lineitem GROUP BY 1)
 SELECT o_orderkey AS scan, qc_min, round(qc_mean, 6) AS qc_mean FROM orders LEFT JOIN q ON o_orderkey = l_orderkey
 WHERE qc_min IS NULL OR qc_min >= 10""")
 def qc_filter(t):
-    qc = t.lineitem.where("l_returnflag = 'A'").select(F.col("l_orderkey").alias("scan"), F.col("l_quantity").alias("qc_score"))
+    score = F.when(F.col("l_returnflag") == "A", F.col("l_quantity"))
+    qc = t.lineitem.select(F.col("l_orderkey").alias("scan"), score.alias("qc_score"))
     kept = metrics.qc_filter(t.orders.select(F.col("o_orderkey").alias("scan")), qc, "scan", 10.0)
     return kept.withColumn("qc_mean", F.round("qc_mean", 6))
 
@@ -63,7 +64,7 @@ LABEL_SQL = """
 WITH s AS (SELECT o_orderkey, o_custkey, o_orderkey % 4 AS w, o_orderkey % 10 = 0 AS bad FROM orders),
 j AS (SELECT s.*, c.c_custkey IS NOT NULL AS known,
              CASE WHEN c.c_custkey IS NOT NULL AND (c_custkey + w) % 5 <> 0 THEN 20.0::DOUBLE + c_nationkey + w END AS age
-      FROM s LEFT JOIN (SELECT * FROM customer WHERE c_custkey % 9 <> 0) c ON s.o_custkey = c.c_custkey)
+      FROM s LEFT JOIN (SELECT *, CASE WHEN c_custkey % 9 = 0 THEN -c_custkey ELSE c_custkey END AS id FROM customer) c ON s.o_custkey = c.id)
 """
 
 
@@ -76,8 +77,9 @@ def age_label(t):
     name = F.concat(
         F.lit("sub-"), F.col("o_custkey"), F.when(order % 10 == 0, "-ses-wave").otherwise("_ses-wave"), order % 4, F.lit("_T1w")
     )
-    people = t.customer.where("c_custkey % 9 <> 0")
-    ages = people.select(F.concat(F.lit("sub-"), F.col("c_custkey")).alias("participant_id"), *[
+    custkey = F.col("c_custkey")
+    person = F.when(custkey % 9 == 0, -custkey).otherwise(custkey)
+    ages = t.customer.select(F.concat(F.lit("sub-"), person).alias("participant_id"), *[
         F.when((F.col("c_custkey") + w) % 5 != 0, F.lit(20.0) + F.col("c_nationkey") + w).alias(f"wave{w}") for w in (1, 2, 3)
     ])
     long = ages.unpivot(["participant_id"], ["wave1", "wave2", "wave3"], "wave", "age").where("age IS NOT NULL")
@@ -293,24 +295,26 @@ def meter_window(t):
 @query("metric_log", """
 SELECT run, epoch, metric, round(value, 4) AS value FROM (
   SELECT user_id AS run, date_diff('day', TIMESTAMP '2024-01-01', ts) AS epoch, 'train/' || event_type AS metric, avg(value) AS value
-  FROM events WHERE event_type IN ('click', 'error') GROUP BY 1, 2, 3)""")
+  FROM events GROUP BY 1, 2, 3)""")
 def metric_log(t):
     epoch = F.datediff("ts", F.lit("2024-01-01")).cast("bigint")
-    wide = t.events.groupBy(F.col("user_id").alias("run"), epoch.alias("epoch")).pivot("event_type", ["click", "error"]).agg(F.avg("value"))
-    named = wide.select("run", "epoch", F.col("click").alias("train/click"), F.col("error").alias("train/error"))
+    kinds = pivot_names(t.events, "event_type")
+    wide = t.events.groupBy(F.col("user_id").alias("run"), epoch.alias("epoch")).pivot("event_type", kinds).agg(F.avg("value"))
+    named = wide.select("run", "epoch", *[F.col(f"`{kind}`").alias(f"train/{kind}") for kind in kinds])
     return meters.metric_log(named).withColumn("value", F.round("value", 4))
 
 
 @query("eval_summary", """
 SELECT l_linenumber AS epoch, count(*) AS n_train, round(avg(l_extendedprice) FILTER (WHERE l_returnflag = 'A'), 4) AS "eval/A/loss",
+       round(avg(l_extendedprice) FILTER (WHERE l_returnflag = 'N'), 4) AS "eval/N/loss",
        round(avg(l_extendedprice) FILTER (WHERE l_returnflag = 'R'), 4) AS "eval/R/loss" FROM lineitem GROUP BY 1""")
 def eval_summary(t):
     losses = t.lineitem.select(
         F.col("l_linenumber").alias("epoch"), F.col("l_returnflag").alias("dataset"), F.col("l_extendedprice").alias("loss")
     )
     train = losses.groupBy("epoch").agg(F.count(F.lit(1)).alias("n_train"))
-    made = meters.eval_summary(losses, ["A", "R"], train)
-    return made.withColumns({k: F.round(F.col(f"`{k}`"), 4) for k in ("eval/A/loss", "eval/R/loss")})
+    made = meters.eval_summary(losses, train=train)
+    return made.withColumns({k: F.round(F.col(f"`{k}`"), 4) for k in made.columns if k.startswith("eval/")})
 
 
 # --- the whole evaluation plan -------------------------------------------------------

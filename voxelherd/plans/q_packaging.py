@@ -11,8 +11,9 @@ from voxelherd.plans.registry import query
 SCANS_SQL = """scans AS (
   SELECT o_orderkey AS key, 'e' || o_custkey AS id_event, o_orderpriority AS modality FROM orders
 ), meta AS (
-  SELECT 'e' || c_custkey AS id_event, CAST(c_nationkey AS VARCHAR) AS site, c_mktsegment AS study
-  FROM customer WHERE c_custkey % 3 <> 0
+  SELECT CASE WHEN c_custkey % 3 = 0 THEN 'x' ELSE 'e' END || c_custkey AS id_event,
+         CAST(c_nationkey AS VARCHAR) AS site, c_mktsegment AS study
+  FROM customer
 )"""
 
 
@@ -24,8 +25,9 @@ def scans(t):
 
 
 def event_metadata(t):
-    return t.customer.where("c_custkey % 3 <> 0").select(
-        F.concat(F.lit("e"), F.col("c_custkey")).alias("id_event"), F.col("c_nationkey").cast("string").alias("site"),
+    custkey = F.col("c_custkey")
+    return t.customer.select(
+        F.concat(F.when(custkey % 3 == 0, "x").otherwise("e"), custkey).alias("id_event"), F.col("c_nationkey").cast("string").alias("site"),
         F.col("c_mktsegment").alias("study"),
     )
 
@@ -53,10 +55,11 @@ def record_report(t):
 
 @query("pair_missing", """
 SELECT o_orderkey AS key, count(l_orderkey) > 0 AS paired FROM orders
-LEFT JOIN (SELECT DISTINCT l_orderkey FROM lineitem WHERE l_returnflag = 'R') ON o_orderkey = l_orderkey GROUP BY 1""")
+LEFT JOIN (SELECT DISTINCT CASE WHEN l_returnflag = 'R' THEN l_orderkey ELSE -l_orderkey END AS l_orderkey FROM lineitem) ON o_orderkey = l_orderkey GROUP BY 1""")
 def pair_missing(t):
     images = t.orders.select(F.col("o_orderkey").alias("key"))
-    masks = t.lineitem.where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("key")).distinct()
+    order = F.col("l_orderkey")
+    masks = t.lineitem.select(F.when(F.col("l_returnflag") == "R", order).otherwise(-order).alias("key")).distinct()
     paired, missing = p.pair_image_mask(images, masks)
     return paired.withColumn("paired", F.lit(True)).unionByName(missing.withColumn("paired", F.lit(False)))
 

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from voxelherd.operators.packaging import shard_name
+from voxelherd.operators.quality import pivot_names
 
 # Column order of the exported tables.
 INDEX_TAIL = ("suffix", "shape", "pixdim", "dtype", "orient", "size", "md5", "path")
@@ -42,8 +43,12 @@ def write_csv(df: DataFrame, path: str, columns: Sequence[str] | None = None, ov
     df.select(*flat).write.mode(save_mode(overwrite)).csv(path, header=True)
 
 
-def index_columns(df: DataFrame, entities: Sequence[str]) -> DataFrame:
-    """Index in export form: dataset, one column per entity, then the fixed tail."""
+def index_columns(df: DataFrame, entities: Sequence[str] | None = None) -> DataFrame:
+    """Index in export form: dataset, one column per entity, then the fixed tail.
+
+    All entities of the data are exported; with ``entities`` given, another one is an error.
+    """
+    entities = pivot_names(df.select(F.explode(F.map_keys("entities")).alias("entity")), "entity", entities)
     return df.select("dataset", *[F.col("entities")[e].alias(e) for e in entities], *INDEX_TAIL)
 
 
