@@ -29,6 +29,7 @@ def studies(tmp_path):
     put("ds000144", 'participant_id\tage\tScanAge\n"sub-1"\t1\t30\n')
     put("ds006169", "participant_id\tage\nsub-1\t24\n", json.dumps({"age": "years"}))
     put("ds004856", "participant_id\tSex\tAgeMRI_W1\tAgeMRI_W2\tAgeMRI_W3\nsub-1\tF\t30\tn/a\t38.5\nsub-2\tm\tn/a\tn/a\tn/a\n")
+    put("ds7", 'participant_id\tnote\tage\n"sub-1"\t"a\ttab and\na ""break"""\t31\nsub-2\t\t32\n')
     put("out", "participant_id\tage\nsub-1\t24\n")
     return str(tmp_path)
 
@@ -40,7 +41,7 @@ def test_participant_files_to_one_table(spark, studies):
     assert got == {
         ("ds1", "007", "1", "M", 20.46), ("ds1", "8", None, None, None), ("ds1", "9", "2", None, None),
         ("ds2", "1", None, "F", 60.0), ("ds5", "1", None, None, None), ("ds000144", "1", None, None, 30.0),
-        ("ds006169", "1", None, None, 2.0), ("ds004856", "1", "wave1", "F", 30.0), ("ds004856", "1", "wave3", "F", 38.5),
+        ("ds006169", "1", None, None, 2.0), ("ds7", "1", None, None, 31.0), ("ds7", "2", None, None, 32.0), ("ds004856", "1", "wave1", "F", 30.0), ("ds004856", "1", "wave3", "F", 38.5),
     }
     assert [(r["path"].split("/")[-2], r["reason"]) for r in rejects.collect()] == [("ds4", "line longer than header")]
 
@@ -85,6 +86,10 @@ def test_image_index_csv(spark, tmp_path):
     )
     rows = load_image_index(spark, str(path)).orderBy("sub").collect()
     assert rows[0]["sub"] == "01" and rows[0]["shape"] == [2, 3, 4] and rows[0]["pixdim"] == [1.0, 0.5, 2.0]
+    other = tmp_path / "other.csv"
+    other.write_text("dataset,sub,run,suffix,shape,pixdim,dtype,orient,size,md5,path\nds1,01,2,T1w,\"[2]\",\"[1.0]\",int16,RAS,10,abc,p\n")
+    again = load_image_index(spark, str(other)).first()
+    assert (again["run"], again["size"], again["shape"]) == ("2", 10, [2])
     assert rows[1]["pixdim"] is None and rows[1]["md5"] is None and "acq" not in rows[0]
 
 

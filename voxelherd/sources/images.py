@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import re
+import hashlib
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,8 +29,21 @@ DTYPES = {
     512: "uint16", 768: "uint32", 1024: "int64", 1280: "uint64", 1792: "complex128",
 }
 
-# Enough compressed bytes to yield the header; the rest of the file stays in the JVM.
-HEAD_BYTES = 4096
+# Layout of the published 540-byte header (little endian form).
+LONG_HEADER = np.dtype({
+    "names": ["size", "dim", "datatype", "pixdim", "units", "descrip", "qform", "sform", "quatern", "offset", "srow"],
+    "formats": ["i4", ("i8", 8), "i2", ("f8", 8), "i4", "S80", "i4", "i4", ("f8", 3), ("f8", 3), ("f8", (3, 4))],
+    "offsets": [0, 16, 12, 104, 500, 240, 344, 348, 352, 376, 400],
+    "itemsize": 540,
+})
+
+# Both layouts are decoded to the wider types.
+FIELDS = np.dtype([(name, LONG_HEADER[name]) for name in LONG_HEADER.names])
+
+# Bytes of a file in memory at a time.
+CHUNK_BYTES = 1 << 20
+# Files opened in one task.
+TASK_FILES = 64
 
 HEADER_SCHEMA = (
     "shape array<int>, pixdim array<double>, dtype string, orient string, qform_code int, "
@@ -81,13 +95,64 @@ def parse_bids_path(df: DataFrame, path: str = "path") -> tuple[DataFrame, DataF
     return good, bad
 
 
-def _unzip_head(content: bytes) -> bytes:
-    if content[:2] != b"\x1f\x8b":
-        return content[: HEADER.itemsize]
-    try:
-        return zlib.decompressobj(wbits=31).decompress(content, HEADER.itemsize)
-    except zlib.error:
-        return b""
+class HeadReader:
+    """Collects the first bytes of a file from its pieces, unpacked if it is a gzip file.
+
+    Members of a gzip file follow each other, each may have extra fields of any length;
+    pieces are unpacked until the header is complete, however many that takes.
+    """
+
+    def __init__(self):
+        self.head, self.first, self.packed, self.broken, self.inflate = b"", b"", None, False, None
+
+    def feed(self, piece: bytes) -> None:
+        if self.packed is None:
+            self.first += piece
+            if len(self.first) < 2:
+                return
+            self.packed, piece = self.first[:2] == b"\x1f\x8b", self.first
+        need = LONG_HEADER.itemsize - len(self.head)
+        if not self.packed:
+            self.head += piece[:need]
+            return
+        while piece and need > 0 and not self.broken:
+            self.inflate = self.inflate or zlib.decompressobj(wbits=31)
+            try:
+                self.head += self.inflate.decompress(piece, need)
+            except zlib.error:
+                self.broken = True
+                return
+            need = LONG_HEADER.itemsize - len(self.head)
+            piece = b""
+            if self.inflate.eof:
+                piece, self.inflate = self.inflate.unused_data, None
+
+    def result(self) -> bytes:
+        return self.first if self.packed is None else self.head
+
+
+def head_of(content: bytes) -> bytes:
+    """Header bytes of a whole file."""
+    reader = HeadReader()
+    reader.feed(content)
+    return reader.result()
+
+
+def _parse_heads(heads: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Fields of each header, which are too short, and which have no known layout."""
+    out = np.zeros(len(heads), FIELDS)
+    short = np.array([len(head) < HEADER.itemsize for head in heads], dtype=bool)
+    unknown = ~short
+    for layout in (HEADER, LONG_HEADER):
+        for order in "<>":
+            own = [i for i, head in enumerate(heads) if head[:4] == np.array(layout.itemsize, order + "i4").tobytes()]
+            whole = [i for i in own if len(heads[i]) >= layout.itemsize]
+            short[list(set(own) - set(whole))] = True
+            unknown[own] = False
+            rows = np.frombuffer(b"".join(heads[i][: layout.itemsize] for i in whole), layout.newbyteorder(order))
+            for name in FIELDS.names:
+                out[name][whole] = rows[name]
+    return out, short, unknown
 
 
 def _directions(h: np.ndarray) -> np.ndarray:
@@ -129,15 +194,16 @@ def _orientation(matrix: np.ndarray) -> list[str]:
 
 def decode_headers(contents: list[bytes]) -> pd.DataFrame:
     """Header fields of many files at once; ``reason`` is set where a header is unusable."""
-    heads = [_unzip_head(bytes(content or b"")) for content in contents]
-    short = np.array([len(head) < HEADER.itemsize for head in heads], dtype=bool)
-    h = np.frombuffer(b"".join(head.ljust(HEADER.itemsize, b"\0") for head in heads), HEADER).copy()
-    swapped = h["size"] != 348
-    h[swapped] = h[swapped].view(HEADER.newbyteorder()).astype(HEADER)
+    return decode_heads([head_of(bytes(content or b"")) for content in contents])
+
+
+def decode_heads(heads: list[bytes]) -> pd.DataFrame:
+    """Header fields from the unpacked first bytes of files."""
+    h, short, unknown = _parse_heads(heads)
     ndim, matrix = h["dim"][:, 0], _directions(h)
     finite = np.isfinite(matrix).all(axis=(1, 2))
     checks = [
-        (short, "truncated header"), (h["size"] != 348, "not a known header"),
+        (short, "truncated header"), (unknown, "not a known header"),
         ((ndim < 1) | (ndim > 7), "invalid number of axes"), (~np.isin(h["datatype"], list(DTYPES)), "unknown data type"),
         (~finite, "orientation is not finite"),
     ]
@@ -163,16 +229,16 @@ def decode_headers(contents: list[bytes]) -> pd.DataFrame:
 def read_headers(files: DataFrame, content: str = "content") -> DataFrame:
     """Add the header fields to files with a content column; ``reason`` tells a failure.
 
-    Only the first bytes of each file cross into Python.
+    For contents that are in the table; :func:`read_files` decodes files where they lie.
     """
     keep = [c for c in files.columns if c != content]
 
     def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            fields = decode_headers(batch.pop("_head").tolist())
+            fields = decode_headers(batch.pop("_content").tolist())
             yield pd.concat([batch, fields.set_index(batch.index)], axis=1)
 
-    heads = files.select(*keep, F.substring(F.col(content), 1, HEAD_BYTES).alias("_head"))
+    heads = files.select(*keep, F.col(content).alias("_content"))
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in files.select(*keep).schema)
     return heads.mapInPandas(decode, f"{kept}, {HEADER_SCHEMA}")
 
@@ -187,38 +253,49 @@ def incremental_index(listing: DataFrame, existing: DataFrame, path: str = "path
     return listing.join(existing.select(path), on=path, how="left_anti")
 
 
-def image_contents(spark: SparkSession, root: str, todo: DataFrame) -> DataFrame:
-    """Path, size and content of the image files in the studies that ``todo`` names.
+def read_files(todo: DataFrame, root: str) -> DataFrame:
+    """Add hash and header fields to rows with a ``path`` below ``root``.
 
-    Only ``anat`` folders at the depths that occur are opened, so the much larger other
-    images of a study are never read.
+    Exactly these files are opened, each in the task that has its row, and read once in
+    pieces. A file that cannot be read gets a reason instead.
     """
-    depth = F.size(F.split("path", "/")).alias("depth")
-    places = todo.select("dataset", depth).distinct().collect()
-    patterns = []
-    for n in sorted({place["depth"] for place in places}):
-        names = sorted({re.sub(r"([{}\[\],*?\\])", r"\\\1", p["dataset"]) for p in places if p["depth"] == n})
-        folders = [f"{{{','.join(names)}}}", *["*"] * (n - 3), *["anat"] * (n > 2)]
-        patterns.append("/".join([root.rstrip("/"), *folders]))
-    if not patterns:
-        return spark.createDataFrame([], "path string, size bigint, content binary")
-    return binary_files(spark, patterns).select(
-        relative_to(F.col("path"), root).alias("path"), F.col("length").alias("size"), "content"
-    )
+    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in todo.schema)
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        store, base = fs.FileSystem.from_uri(root.rstrip("/"))
+        for batch in batches:
+            heads, hashes, errors = [], [], []
+            for path in batch["path"]:
+                digest, reader, error = hashlib.md5(), HeadReader(), None
+                try:
+                    with store.open_input_stream(f"{base}/{path}", compression=None) as stream:
+                        while piece := stream.read(CHUNK_BYTES):
+                            digest.update(piece)
+                            reader.feed(piece)
+                except OSError as problem:
+                    error = f"cannot be read: {type(problem).__name__}"
+                heads.append(reader.result())
+                hashes.append(None if error else digest.hexdigest())
+                errors.append(error)
+            fields = decode_heads(heads).set_index(batch.index)
+            failed = pd.Series(errors, index=batch.index, dtype=object)
+            fields["reason"] = failed.where(failed.notna(), fields["reason"])
+            yield pd.concat([batch.assign(md5=hashes), fields], axis=1)
+
+    return todo.mapInPandas(read, f"{kept}, md5 string, {HEADER_SCHEMA}")
 
 
 def index_images(spark: SparkSession, root: str, existing: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Index of the image files below ``root``, and the rejected files with the reason.
 
-    Paths are parsed from the listing alone. Contents are read once, only in studies with
-    something to do, and are reduced to hash and header fields before anything is
-    shuffled; both results are read from that intermediate table.
+    Paths are parsed from the listing alone. Files that the existing index does not hold
+    are spread over tasks and read there, once; no other file is opened.
     """
     good, bad_paths = parse_bids_path(list_images(spark, root))
-    todo = good if existing is None else incremental_index(good, existing)
-    contents, _ = parse_bids_path(filter_listing(image_contents(spark, root, todo)))
-    fields = read_headers(content_md5(contents))
-    decoded = materialize(fields if existing is None else incremental_index(fields, existing))
+    rows = good.select("path", "size", "dataset", "entities", "suffix")
+    todo = materialize(rows if existing is None else incremental_index(rows, existing))
+    spread = todo.repartition(max(1, -(-todo.count() // TASK_FILES)), "path")
+    decoded = materialize(read_files(spread, root))
     index = decoded.where("reason IS NULL").drop("reason")
     bad_headers = decoded.where("reason IS NOT NULL").select("path", F.lit("header").alias("stage"), "reason")
     return index, bad_paths.unionByName(bad_headers)

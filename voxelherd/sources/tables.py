@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import csv
+import io
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,11 +15,7 @@ from voxelherd.operators.ordering import dedup_first
 from voxelherd.operators.quality import assert_unique
 from voxelherd.session import materialize
 
-INDEX_SCHEMA = (
-    "dataset string, sub string, ses string, acq string, rec string, ce string, rez string, echo string, "
-    "part string, task string, suffix string, shape string, pixdim string, dtype string, orient string, "
-    "size bigint, md5 string, path string"
-)
+# Entity columns of the index that are not used further.
 INDEX_EXTRAS = ("acq", "rec", "ce", "rez", "echo", "part", "task")
 
 
@@ -34,47 +35,50 @@ def any_file(spark: SparkSession, pattern: str) -> bool:
     return found is not None and len(found) > 0
 
 
+def _parse_participants(text: str) -> tuple[list[dict], str | None]:
+    """Rows of one file as dicts, or the reason why it is rejected.
+
+    Quoted cells may hold tabs and line breaks. Of two equal header names the first
+    counts; blank lines are skipped; a file without ``participant_id`` gives no rows.
+    """
+    lines = csv.reader(io.StringIO(text.removeprefix("\ufeff"), newline=""), delimiter="\t")
+    cells = [line for line in lines if any(cell.strip() for cell in line)]
+    if not cells or "participant_id" not in cells[0]:
+        return [], None
+    names = cells[0]
+    if any(len(line) > len(names) for line in cells):
+        return [], "line longer than header"
+    full = [line + [None] * (len(names) - len(line)) for line in cells[1:]]
+    return [dict(reversed(list(zip(names, line, strict=True)))) for line in full], None
+
+
 def read_participants(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
     """Rows of all ``<dataset>/participants.tsv`` as maps, and the rejected files.
 
-    Files are read by line, so a large one is split over tasks; each line gets the
-    header of its file. A file with a line longer than its header is rejected as a
-    whole, a file without ``participant_id`` gives no rows. Output: dataset, line
+    A file is read as a whole by one task, as quoted cells may span lines; a dataset has
+    one row per subject and session there. A file with a line longer than its header is
+    rejected, a file without ``participant_id`` gives no rows. Output: dataset, line
     (grows in file order), row.
     """
-    lines = (
-        spark.read.text(f"{root.rstrip('/')}/*/participants.tsv")
-        .select(
-            F.regexp_replace("value", "\r$", "").alias("value"),
-            F.col("_metadata.file_path").alias("file"),
-            F.col("_metadata.file_block_start").alias("_block"),
+    files = spark.read.text(f"{root.rstrip('/')}/*/participants.tsv", wholetext=True)
+
+    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        csv.field_size_limit(1 << 30)
+        for batch in batches:
+            for file, text in zip(batch["file"], batch["value"], strict=True):
+                rows, reason = _parse_participants(text)
+                found = [(file, n, row, None) for n, row in enumerate(rows)]
+                yield pd.DataFrame(found or [(file, 0, None, reason)], columns=["file", "line", "row", "reason"])
+
+    parsed = materialize(
+        files.select("value", F.col("_metadata.file_path").alias("file")).mapInPandas(
+            parse, "file string, line bigint, row map<string,string>, reason string"
         )
-        .withColumn("_at", F.struct("_block", F.monotonically_increasing_id()))
-        .where(F.trim("value") != "")
-        .withColumn("_cells", F.transform(F.split("value", "\t"), _unquote))
     )
-    files = lines.groupBy("file").agg(
-        F.min_by("_cells", "_at").alias("_names"), F.max(F.size("_cells")).alias("_widest")
-    )
-    names = F.transform("_names", lambda n, i: F.regexp_replace(n, "^\\x{FEFF}", ""))
-    files = materialize(files.withColumn("_names", names))
-    rejects = files.where("_widest > size(_names)").select(
-        F.col("file").alias("path"), F.lit("participants").alias("stage"),
-        F.lit("line longer than header").alias("reason"),
-    )
-    usable = files.where("_widest <= size(_names)").where(F.array_contains("_names", "participant_id"))
-    # The header is the first line of its file: the row whose cells are the names.
-    joined = lines.join(usable.select("file", "_names"), on="file")
-    first = F.transform("_cells", lambda n, i: F.regexp_replace(n, "^\\x{FEFF}", "")) == F.col("_names")
-    pairs = F.zip_with("_names", "_cells", lambda name, text: F.struct(name.alias("name"), text.alias("text")))
-    # Of two equal header names the first counts.
-    unique = F.filter(
-        pairs, lambda p, i: ~F.array_contains(F.slice(F.col("_names"), 1, i), p["name"])
-    )
-    rows = joined.where(~first).select(
-        _dataset_of(F.col("file")).alias("dataset"), F.col("_at").alias("line"),
-        F.map_from_entries(unique).alias("row"),
+    rejects = parsed.where("reason IS NOT NULL").select(
+        F.col("file").alias("path"), F.lit("participants").alias("stage"), "reason"
     )
+    rows = parsed.where("row IS NOT NULL").select(_dataset_of(F.col("file")).alias("dataset"), "line", "row")
     return rows, rejects
 
 
@@ -122,9 +126,13 @@ def parse_list_column(text: Column, element: str) -> Column:
 
 
 def load_image_index(spark: SparkSession, path: str) -> DataFrame:
-    """Index CSV with text ids, parsed lists, and the unused entity columns dropped."""
-    raw = spark.read.csv(path, header=True, schema=INDEX_SCHEMA, enforceSchema=False, escape='"')
+    """Index CSV with text ids, parsed lists, and the unused entity columns dropped.
+
+    Columns follow the header of the file: an index has whatever entities its paths had.
+    """
+    raw = spark.read.csv(path, header=True, inferSchema=False, escape='"')
     return raw.drop(*INDEX_EXTRAS).withColumns({
+        "size": F.col("size").cast("bigint"),
         "shape": parse_list_column(F.col("shape"), "int"),
         "pixdim": parse_list_column(F.col("pixdim"), "double"),
         "md5": null_if_na(F.col("md5")),

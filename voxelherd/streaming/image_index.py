@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from voxelherd.functions.columns import bids_fields
 from voxelherd.operators.ordering import dedup_first
+from voxelherd.sources.images import read_headers, relative_to
 
 FILE_SCHEMA = "path string, modificationTime timestamp, length bigint, content binary"
 
@@ -16,8 +18,10 @@ def start_image_index(
 ) -> StreamingQuery:
     """Index what has arrived below ``root`` and stop; run again to pick up new files.
 
-    A micro-batch writes its own folder and replaces it when it is repeated after a
-    failure, so the sink never holds a file twice.
+    Rows have the fields of the batch index: path below ``root``, size, hash, dataset,
+    entities, suffix and header fields; ``reason`` is set where a path or header is
+    unusable. A micro-batch writes its own folder and replaces it when it is repeated
+    after a failure, so the sink never holds a file twice.
     """
     files = (
         spark.readStream.format("binaryFile")
@@ -27,7 +31,16 @@ def start_image_index(
         .option("maxFilesPerTrigger", max_files)
         .load(root)
     )
-    rows = files.select("path", F.col("length").alias("size"), F.md5("content").alias("md5"))
+    named = files.select(
+        relative_to(F.col("path"), root).alias("path"), F.col("length").alias("size"),
+        F.md5("content").alias("md5"), "content",
+    )
+    decoded = read_headers(named).withColumn("_f", bids_fields(F.col("path")))
+    rows = decoded.select(
+        "path", "size", "md5", "_f.dataset", "_f.entities", "_f.suffix",
+        "shape", "pixdim", "dtype", "orient", "qform_code", "sform_code", "descrip",
+        F.coalesce("_f.reason", "reason").alias("reason"),
+    )
 
     def write(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
