@@ -7,8 +7,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from voxelherd.operators import packaging as p
-from voxelherd.operators.quality import CohortDataError
+from voxelherd.operators.quality import CohortDataError, fail_on_rejects
 from voxelherd.sources import sinks
+from voxelherd.sources.tables import list_pairs
 
 
 def scans(spark):
@@ -104,8 +105,30 @@ def test_batches_keep_slot_order(spark):
     df = spark.range(20).select(F.col("id").alias("k"), (F.col("id") * 2).alias("x"))
     plan = p.epoch_plan(df, "k", 3, 0, batch_size=5, block_size=4)
     want = plan.toPandas().sort_values("slot").groupby("batch")["k"].apply(list)
-    for row in p.collate(plan, df, "k", ["x"]).collect():
-        assert row["k"] == want[row["batch"]] and row["x"] == [2 * k for k in row["k"]]
+    rows = p.collate(plan, df, "k", ["x"]).collect()
+    for batch, keys in want.items():
+        own = [row for row in rows if row["batch"] == batch]
+        assert [row["k"] for row in own] == keys and all(row["x"] == 2 * row["k"] for row in own)
+
+
+def test_repeated_keys_are_an_error(spark):
+    images = spark.createDataFrame([("a",), ("b",)], "key string")
+    twice = spark.createDataFrame([("a",), ("a",)], "key string")
+    for left, right in ((images, twice), (twice, images)):
+        with pytest.raises(CohortDataError, match="duplicate key"):
+            p.pair_image_mask(left, right)
+
+
+def test_listed_pairs(spark):
+    files = spark.createDataFrame([("b",), ("a",), ("c",)], "path string")
+    assert [r["path"] for r in list_pairs(files, limit=2).collect()] == ["a", "b"]
+    with pytest.raises(FileNotFoundError):
+        list_pairs(files.limit(0))
+
+
+def test_rejects_are_counted(spark):
+    with pytest.raises(CohortDataError, match="25 rejected rows"):
+        fail_on_rejects(spark.range(25))
 
 
 def samples(spark):
@@ -163,11 +186,13 @@ def test_training_and_evaluation_batches(spark):
 
     rows = [(i, [float(i)] * 8, [True] * 8, f"m{i}") for i in range(10)]
     df = spark.createDataFrame(rows, "id int, image array<float>, mask array<boolean>, note string")
-    held = batches(df, "id", (2, 2, 2), 1, 0, False, meta=["note"], batch_size=4).orderBy("batch").collect()
-    assert [r["id"] for r in held] == [[0, 1, 2, 3], [4, 5, 6, 7], [8, 9]] and held[0]["note"] == ["m0", "m1", "m2", "m3"]
+    held = batches(df, "id", (2, 2, 2), 1, 0, False, meta=["note"], batch_size=4).collect()
+    held = sorted(held, key=lambda r: r["batch"])
+    assert [(r["batch"], r["id"], r["note"]) for r in held] == [(i // 4, i, f"m{i}") for i in range(10)]
     train = batches(df, "id", (2, 2, 2), 1, 0, True, batch_size=4, augmentation={"pad_range": (0, 0), "scale": (2.0, 2.0)}).collect()
-    assert len(train) == 2 and "note" not in train[0]
-    assert all(row["image"][k][0] == 2.0 * row["id"][k] for row in train for k in range(4))
+    assert [sum(r["batch"] == b for r in train) for b in (0, 1)] == [4, 4] and "note" not in train[0]
+    assert all(row["image"][0] == 2.0 * row["id"] for row in train)
+    assert batches(df, "id", (2, 2, 2), 1, 0, True).schema["image"] == batches(df, "id", (2, 2, 2), 1, 0, False).schema["image"]
 
 
 def test_failed_batches_mark_pending_scans(spark):

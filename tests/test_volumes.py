@@ -179,7 +179,7 @@ def test_views(spark):
 def test_display_limits(spark):
     def limits(values, flags):
         df = spark.createDataFrame([(0, values, flags)], "scan_id long, image array<float>, mask array<boolean>")
-        row = v.intensity_limits(df, len(values)).first()
+        row = v.intensity_limits(df).first()
         return row["vmin"], row["vmax"]
 
     many = np.random.default_rng(0).normal(size=40).astype("float32")
@@ -206,6 +206,38 @@ def valid_frame(spark, counts, n=10):
     return spark.createDataFrame(rows, "scan_id long, valid array<boolean>, batch long")
 
 
+def test_scans_of_different_sizes(spark):
+    shapes = [[2, 3, 4], [5, 1, 2], [7, 8, 6]]
+    rng = np.random.default_rng(0)
+    scans = [rng.integers(-2, 3, size=s).astype(np.float32) for s in shapes]
+    rows = [(i, s, scan.ravel().tolist(), (scan.ravel() > 0).tolist()) for i, (s, scan) in enumerate(zip(shapes, scans))]
+    df = spark.createDataFrame(rows, "scan_id long, shape array<int>, image array<float>, mask array<boolean>").coalesce(1)
+    made = v.mask_from_segmentation(df.withColumn("seg", F.col("image").cast("array<int>"))).orderBy("scan_id").collect()
+    assert [r["mask"] for r in made] == [(s.ravel() > 0).astype(int).tolist() for s in scans]
+    limits = v.intensity_limits(df).orderBy("scan_id").collect()
+    assert [len(s[s > 0]) < 32 or r["vmin"] >= 1 for s, r in zip(scans, limits)] == [True] * 3
+    wide = v.pad_each_to_window(df, (4, 4, 4))
+    assert wide.schema["image"].dataType == df.schema["image"].dataType
+    for row, s in zip(wide.orderBy("scan_id").collect(), scans):
+        pads = kernels.window_pads(s.shape, (4, 4, 4))
+        assert np.array_equal(np.pad(s, pads).ravel(), row["image"])
+    back = v.crop_each_back(wide, (4, 4, 4)).orderBy("scan_id").collect()
+    assert [r["image"] for r in back] == [s.ravel().tolist() for s in scans]
+
+
+def test_augmentation_keeps_the_type(spark):
+    rows = [(1, [1.5] * 48, [True] * 48)]
+    for kind in ("float", "double"):
+        df = spark.createDataFrame(rows, f"scan_id long, image array<{kind}>, mask array<boolean>")
+        moved = v.augment(df, SHAPE, 1, (0, 0), blur_p=1.0, scale=(2.0, 2.0)) if kind == "float" else v.masked_blur(df, SHAPE, 1)
+        assert moved.schema["image"].dataType == df.schema["image"].dataType and moved.first()["image"][0] is not None
+
+
+def test_dense_masks_pass(spark):
+    df = spark.createDataFrame([(1, [True, False], bytearray(b"\x80"))], "scan_id long, mask array<boolean>, packed binary")
+    assert v.unpack_mask(df, 2).first()["mask"] == [True, False] == v.unpack_mask(df, 2, "packed").first()["packed"]
+
+
 def test_scans_without_a_batch_stay(spark):
     df = valid_frame(spark, [(6, 0), (4, 1)]).withColumn("batch", F.nullif("batch", F.lit(1)))
     got = masks.random_mask(df, 0.5, 1).collect()

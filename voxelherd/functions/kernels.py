@@ -44,6 +44,24 @@ def _lists(values: np.ndarray) -> pa.Array:
     return out
 
 
+# Arrow types of the element types volumes may have.
+ELEMENTS = {
+    "float": pa.float32(), "double": pa.float64(), "tinyint": pa.int8(), "smallint": pa.int16(), "int": pa.int32(),
+    "bigint": pa.int64(), "boolean": pa.bool_(),
+}
+
+
+def _cast(lists: pa.Array, element: str) -> pa.Array:
+    return lists.cast(pa.list_(ELEMENTS[element]), safe=False)
+
+
+def _rows(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """All values of a list column, and where each row's begin and end; rows may differ in size."""
+    if column.null_count:
+        raise ValueError("volume is null in some rows")
+    return column.flatten().to_numpy(zero_copy_only=False), column.offsets.to_numpy() - column.offsets[0].as_py()
+
+
 def _to_patches(v: np.ndarray, grid: Shape, patch: Shape) -> np.ndarray:
     n, chans = v.shape[:2]
     cut = v.reshape(n, chans, grid[0], patch[0], grid[1], patch[1], grid[2], patch[2])
@@ -197,10 +215,13 @@ def shift_volume(shape: Shape, element: str = "float"):
     return kernel
 
 
-def intensity(shape: Shape):
-    """``(v * scale + shift + noise) * mask`` with per-scan parameters and noise seed."""
+def intensity(shape: Shape, element: str = "float"):
+    """``(v * scale + shift + noise) * mask`` with per-scan parameters and noise seed.
 
-    @F.arrow_udf("array<double>")
+    Computed in double, returned with the element type of the input.
+    """
+
+    @F.arrow_udf(f"array<{element}>")
     def kernel(
         volume: pa.Array, mask: pa.Array, scale: pa.Array, shift: pa.Array, noise: pa.Array, seed: pa.Array
     ) -> pa.Array:
@@ -209,13 +230,16 @@ def intensity(shape: Shape):
         for row, (std, start) in enumerate(zip(noise.to_pylist(), seed.to_pylist())):
             if std > 0:
                 v[row] += np.random.default_rng(start).standard_normal(v.shape[1]) * std
-        return _lists(v * _blocks(mask, prod(shape), dtype=np.float64))
+        return _cast(_lists(v * _blocks(mask, prod(shape), dtype=np.float64)), element)
 
     return kernel
 
 
-def gaussian_blur(shape: Shape, eps: float = 1e-6):
-    """Blur inside the mask, weights renormalized to valid voxels; sigma 0 leaves as is."""
+def gaussian_blur(shape: Shape, eps: float = 1e-6, element: str = "float"):
+    """Blur inside the mask, weights renormalized to valid voxels; sigma 0 leaves as is.
+
+    Computed in double, returned with the element type of the input.
+    """
 
     def smooth(v: np.ndarray, sigma: float) -> np.ndarray:
         radius = max(1, int(3 * sigma + 0.5))
@@ -227,14 +251,14 @@ def gaussian_blur(shape: Shape, eps: float = 1e-6):
             v = windows @ weights
         return v
 
-    @F.arrow_udf("array<double>")
+    @F.arrow_udf(f"array<{element}>")
     def kernel(volume: pa.Array, mask: pa.Array, sigma: pa.Array) -> pa.Array:
         v, m = _blocks(volume, *shape, dtype=np.float64), _blocks(mask, *shape, dtype=np.float64)
         out = v.copy()
         for row, s in enumerate(sigma.to_pylist()):
             if s > 0:
                 out[row] = smooth(v[row] * m[row], s) / np.maximum(smooth(m[row], s), eps) * m[row]
-        return _lists(out.reshape(len(out), -1))
+        return _cast(_lists(out.reshape(len(out), -1)), element)
 
     return kernel
 
@@ -254,6 +278,28 @@ def pad_volume(shape: Shape, pads: Sequence[tuple[int, int]], element: str = "fl
     return kernel
 
 
+def fit_window(window: Shape, back: bool, element: str = "float"):
+    """Pad volumes of their own shapes to a window, or crop padded ones to their shapes."""
+
+    @F.arrow_udf(f"array<{element}>")
+    def kernel(volume: pa.Array, shape: pa.Array) -> pa.Array:
+        values, offsets = _rows(volume)
+        out = []
+        for row, own in zip(np.split(values, offsets[1:-1]), shape.to_pylist()):
+            pads = window_pads(own, window)
+            if back:
+                padded = tuple(n + low + high for n, (low, high) in zip(own, pads))
+                keep = tuple(slice(low, n - high) for n, (low, high) in zip(padded, pads))
+                out.append(row.reshape(padded)[keep].ravel())
+            else:
+                out.append(np.pad(row.reshape(own), pads).ravel())
+        sizes = np.cumsum([0, *map(len, out)])
+        flat = np.concatenate(out) if out else values
+        return _cast(pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), pa.array(flat)), element)
+
+    return kernel
+
+
 def crop_volume(shape: Shape, pads: Sequence[tuple[int, int]], element: str = "float"):
     """Undo :func:`pad_volume`; ``shape`` is the padded shape."""
     keep = tuple(slice(low, n - high) for n, (low, high) in zip(shape, pads))
@@ -323,13 +369,21 @@ def view_slice(shape: Shape, view: str, index: int | None = None, element: str =
     return kernel
 
 
-def intensity_limits(cells: int):
-    """Display range of the finite values in the mask (all values when it is empty)."""
+def intensity_limits():
+    """Display range of the finite values in the mask (all values when it is empty).
+
+    Volumes of a batch may differ in size.
+    """
 
     @F.arrow_udf("array<double>")
     def kernel(volume: pa.Array, mask: pa.Array) -> pa.Array:
         out = []
-        for v, m in zip(_blocks(volume, cells, dtype=np.float64), _blocks(mask, cells, dtype=bool)):
+        values, offsets = _rows(volume)
+        flags, ends = _rows(mask)
+        if (offsets != ends).any():
+            raise ValueError("volume and mask differ in size")
+        values, flags = values.astype(np.float64), flags.astype(bool)
+        for v, m in zip(np.split(values, offsets[1:-1]), np.split(flags, offsets[1:-1])):
             v = v[m] if m.any() else v
             v = v[np.isfinite(v)]
             if len(v) == 0:
@@ -408,12 +462,13 @@ def all_set(cells: int):
     return kernel
 
 
-def positive(cells: int):
-    """Label volume to mask: 1 where the label is above zero."""
+def positive():
+    """Label volumes of any sizes to masks: 1 where the label is above zero."""
 
     @F.arrow_udf("array<tinyint>")
     def kernel(labels: pa.Array) -> pa.Array:
-        return _lists((_blocks(labels, cells) > 0).astype(np.int8))
+        values, offsets = _rows(labels)
+        return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array((values > 0).astype(np.int8)))
 
     return kernel
 

@@ -134,18 +134,16 @@ def histogram(df: DataFrame, column: str, bins: int, clip: float | None = None,
     value = F.col(column).cast("double")
     if clip is not None:
         value = F.least(value, F.lit(float(clip)))
-    # Equal values are merged first, so the range lookup below joins distinct values.
-    counts = (
-        df.where(F.col(column).isNotNull() & ~F.isnan(F.col(column).cast("double")))
-        .groupBy(*by, value.alias("_value"))
-        .agg(F.count(F.lit(1)).alias("_count"))
+    # One pass for the ranges, one for the bins; only partial aggregates are shuffled.
+    rows = df.where(F.col(column).isNotNull() & ~F.isnan(F.col(column).cast("double"))).select(
+        *by, value.alias("_value")
     )
     ranges = [F.min("_value").alias("_low"), F.max("_value").alias("_high")]
     if by:
-        counts = counts.join(materialize(counts.groupBy(*by).agg(*ranges)), on=list(by))
+        counts = rows.join(materialize(rows.groupBy(*by).agg(*ranges)), on=list(by))
     else:
-        low, high = counts.agg(*ranges).first()
-        counts = counts.withColumns({
+        low, high = rows.agg(*ranges).first()
+        counts = rows.withColumns({
             "_low": F.lit(low).cast("double"), "_high": F.lit(high).cast("double")
         })
     flat = F.col("_low") == F.col("_high")
@@ -153,11 +151,11 @@ def histogram(df: DataFrame, column: str, bins: int, clip: float | None = None,
     width = F.when(flat, F.lit(1.0)).otherwise(F.col("_high") - F.col("_low")) / F.lit(float(bins))
     spot = F.least(F.floor((F.col("_value") - low) / width), F.lit(bins - 1))
     return (
-        counts.select(*by, spot.cast("int").alias("bin"), low.alias("_low"), width.alias("_width"), "_count")
+        counts.select(*by, spot.cast("int").alias("bin"), low.alias("_low"), width.alias("_width"))
         .groupBy(*by, "bin")
         .agg(
             (F.first("_low") + F.col("bin") * F.first("_width")).alias("bin_start"),
-            F.sum("_count").alias("count"),
+            F.count(F.lit(1)).alias("count"),
         )
     )
 
@@ -278,7 +276,8 @@ def per_dataset_age(
     The first row of a subject in ``order`` counts. Result is ordered by median age.
     """
     with_age = labeled.where(F.col(age).isNotNull())
-    subjects = dedup_first(with_age.select("dataset", "sub", age, *order), ["dataset", "sub"], order)
+    # Written once: the quantiles and the sizes both read it.
+    subjects = materialize(dedup_first(with_age.select("dataset", "sub", age, *order), ["dataset", "sub"], order))
     summary = exact_quantiles(
         subjects, age, (0.0, 0.25, 0.5, 0.75, 1.0), ("dataset",),
         ("age_min", "age_q1", "age_median", "age_q3", "age_max"),

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from voxelherd.functions.columns import CORE_FIELDS, hash_int, hash_order
 from voxelherd.operators.ordering import dedup_first, ordered_prefix
-from voxelherd.operators.quality import assert_unique, fail_on_rejects
+from voxelherd.operators.quality import assert_unique, fail_on_rejects, many_to_one
 from voxelherd.session import materialize
 
 DEFAULT_SHARD_BYTES = 700 * 1024**2
@@ -18,8 +18,12 @@ DEFAULT_SHARD_BYTES = 700 * 1024**2
 # --- pairing -------------------------------------------------------------------------
 
 def pair_image_mask(images: DataFrame, masks: DataFrame, key: str = "key") -> tuple[DataFrame, DataFrame]:
-    """Images joined to the mask of the same key, and the images that have none."""
-    paired = images.join(masks, on=key, how="inner")
+    """Images joined to the mask of the same key, and the images that have none.
+
+    A key that repeats on either side is an error.
+    """
+    assert_unique(images, [key], "images")
+    paired = many_to_one(images, masks, [key], how="inner", what="masks")
     missing = images.join(masks.select(key), on=key, how="left_anti")
     return paired, missing
 
@@ -259,17 +263,16 @@ def epoch_plan(
 
 
 def collate(plan: DataFrame, samples: DataFrame, key: str, columns: Sequence[str], keep_meta: Sequence[str] = ()) -> DataFrame:
-    """One row per batch with its samples as aligned lists in slot order.
+    """The samples of each batch, one row each, in one partition and in slot order.
 
-    A batch has a fixed, small number of rows. ``keep_meta`` names the columns that are
-    carried along for evaluation and left out for training.
+    A reader takes the rows of a batch as they come; volumes of a batch are never put
+    into one row. ``keep_meta`` names the columns that are carried along for evaluation
+    and left out for training.
     """
     fields = [key, *columns, *keep_meta]
     rows = plan.select(key, "batch", "slot").join(samples.select(*fields), on=key)
-    packed = rows.groupBy("batch").agg(
-        F.sort_array(F.collect_list(F.struct("slot", *fields))).alias("_rows")
-    )
-    return packed.select("batch", *[F.col(f"_rows.{name}").alias(name) for name in fields])
+    placed = rows.repartition("batch").sortWithinPartitions("batch", "slot")
+    return placed.select("batch", "slot", *fields)
 
 
 def sample_example(df: DataFrame, by: Sequence[str], key: str, seed: int) -> DataFrame:

@@ -98,4 +98,4 @@ def fail_on_rejects(rejects: DataFrame, show: int = 10) -> None:
     """Raise with up to ``show`` examples when anything was rejected."""
     examples = rejects.limit(show).collect()
     if examples:
-        raise CohortDataError("rejected rows:\n" + "\n".join(f"  {row}" for row in examples))
+        raise CohortDataError(f"{rejects.count()} rejected rows:\n" + "\n".join(f"  {row}" for row in examples))

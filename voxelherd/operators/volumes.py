@@ -145,8 +145,21 @@ def denormalize(value: Column, mean: Column, std: Column) -> Column:
     return F.transform(value, lambda v: v * factor + offset)
 
 
-def mask_from_segmentation(df: DataFrame, cells: int, labels: str = "seg") -> DataFrame:
-    return df.withColumn("mask", kernels.positive(cells)(F.col(labels)))
+def mask_from_segmentation(df: DataFrame, labels: str = "seg") -> DataFrame:
+    """``mask``: 1 where a label is set; scans keep their own sizes."""
+    return df.withColumn("mask", kernels.positive()(F.col(labels)))
+
+
+def element_of(df: DataFrame, column: str) -> str:
+    """Element type of a volume column."""
+    return df.schema[column].dataType.elementType.simpleString()
+
+
+def unpack_mask(df: DataFrame, cells: int, mask: str = "mask") -> DataFrame:
+    """Packed mask bytes to flags; a mask that is dense already stays as it is."""
+    if df.schema[mask].dataType.typeName() == "array":
+        return df
+    return df.withColumn(mask, kernels.unpack_bits(cells)(F.col(mask)))
 
 
 # --- augmentation --------------------------------------------------------------------
@@ -184,7 +197,7 @@ def intensity_augment(
 ) -> DataFrame:
     """Random gain, offset and noise per scan, cleared outside the mask."""
     key = F.col(scan)
-    changed = kernels.intensity(shape)(
+    changed = kernels.intensity(shape, element_of(df, image))(
         F.col(image), F.col(mask),
         hash_between(*scale, seed, key, "scale"),
         hash_between(*shift, seed, key, "shift"),
@@ -201,7 +214,8 @@ def masked_blur(
     """Blur a share ``p`` of the scans inside their mask."""
     key = F.col(scan)
     width = F.when(hash_uniform(seed, key, "blur") < p, hash_between(*sigma, seed, key, "sigma")).otherwise(0.0)
-    return df.withColumn(image, kernels.gaussian_blur(shape)(F.col(image), F.col(mask), width))
+    blur = kernels.gaussian_blur(shape, element=element_of(df, image))
+    return df.withColumn(image, blur(F.col(image), F.col(mask), width))
 
 
 def augment(df: DataFrame, shape: Shape, seed: int, pad_range: tuple[int, int] = (4, 8), blur_p: float = 0.0,
@@ -228,6 +242,18 @@ def crop_back(df: DataFrame, shape: Shape, window: Shape, image: str = "image",
     return df.withColumn(image, kernels.crop_volume(padded, pads, element)(F.col(image)))
 
 
+def pad_each_to_window(df: DataFrame, window: Shape, image: str = "image", shape: str = "shape") -> DataFrame:
+    """Zero-pad short axes of scans of different shapes; ``shape`` is a column and stays."""
+    fit = kernels.fit_window(window, False, element_of(df, image))
+    return df.withColumn(image, fit(F.col(image), F.col(shape)))
+
+
+def crop_each_back(df: DataFrame, window: Shape, image: str = "image", shape: str = "shape") -> DataFrame:
+    """Undo :func:`pad_each_to_window`."""
+    fit = kernels.fit_window(window, True, element_of(df, image))
+    return df.withColumn(image, fit(F.col(image), F.col(shape)))
+
+
 def window_grid(shape: Shape, window: Shape, overlap: float) -> list[tuple[int, ...]]:
     """Origins of the overlapping windows that cover the volume."""
     return list(product(*[kernels.window_starts(n, w, overlap) for n, w in zip(shape, window)]))
@@ -285,9 +311,9 @@ def view_patch(view: str, patch: Shape) -> tuple[int, int]:
     return sizes[view]
 
 
-def intensity_limits(df: DataFrame, cells: int, image: str = "image", mask: str = "mask") -> DataFrame:
-    """``vmin`` and ``vmax`` for display."""
-    limits = df.withColumn("_limits", kernels.intensity_limits(cells)(F.col(image), F.col(mask)))
+def intensity_limits(df: DataFrame, image: str = "image", mask: str = "mask") -> DataFrame:
+    """``vmin`` and ``vmax`` for display; scans may differ in size."""
+    limits = df.withColumn("_limits", kernels.intensity_limits()(F.col(image), F.col(mask)))
     return limits.withColumns({"vmin": F.col("_limits")[0], "vmax": F.col("_limits")[1]}).drop("_limits")
 
 

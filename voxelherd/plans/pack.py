@@ -51,7 +51,7 @@ def batches(
     augmentation: dict | None = None,
     **plan,
 ) -> DataFrame:
-    """One row per batch of an epoch.
+    """The rows of the batches of an epoch, batch by batch.
 
     Training batches are shuffled, augmented anew each epoch and carry no metadata;
     evaluation batches are in order, complete, as stored, with their metadata.

@@ -173,16 +173,17 @@ def epoch_plan_eval(t):
 
 
 @query("collate", EPOCH_SQL.format(passes=1) + """
-SELECT slot // 32 AS batch, count(*) AS n, string_agg(CAST(e.vec_id AS VARCHAR), ',' ORDER BY slot) AS ids,
-       string_agg(CAST(label AS VARCHAR), ',' ORDER BY slot) AS labels
-FROM o JOIN embeddings e ON o.vec_id = e.vec_id WHERE slot < ((SELECT count(*) FROM embeddings) // 32) * 32 GROUP BY 1""")
+SELECT slot // 32 AS batch, slot, e.vec_id, label, round(CAST(embedding[1] AS DOUBLE), 6) AS first_value,
+       round(list_sum([CAST(x AS DOUBLE) for x in embedding]), 4) AS total
+FROM o JOIN embeddings e ON o.vec_id = e.vec_id WHERE slot < ((SELECT count(*) FROM embeddings) // 32) * 32""")
 def collate(t):
     plan = p.epoch_plan(t.embeddings, "vec_id", 11, 3, batch_size=32, block_size=50)
     packed = p.collate(plan, t.embeddings, "vec_id", ["embedding"], keep_meta=["label"])
+    values = F.transform("embedding", lambda x: x.cast("double"))
+    total = F.aggregate(values, F.lit(0.0), lambda a, x: a + x)
     return packed.select(
-        "batch", F.size("embedding").cast("bigint").alias("n"),
-        F.array_join(F.col("vec_id").cast("array<string>"), ",").alias("ids"),
-        F.array_join(F.col("label").cast("array<string>"), ",").alias("labels"),
+        "batch", "slot", "vec_id", "label", F.round(F.get(values, F.lit(0)), 6).alias("first_value"),
+        F.round(total, 4).alias("total"),
     )
 
 

@@ -187,11 +187,12 @@ def unpack_bits(t):
 
 
 @query("mask_from_seg", f"""{WITH} SELECT scan_id, CAST(count(*) FILTER (WHERE floor(v * 20) > 0) AS INTEGER) AS n,
-       CAST(max(CASE WHEN k = 9 AND floor(v * 20) > 0 THEN 1 ELSE 0 END) AS TINYINT) AS m9 FROM voxels GROUP BY 1""")
+       string_agg(CASE WHEN floor(v * 20) > 0 THEN '1' ELSE '0' END, '' ORDER BY k) AS cells FROM voxels GROUP BY 1""")
 def mask_from_seg(t):
     seg = volumes(t).withColumn("seg", F.transform("image", lambda x: F.floor(x.cast("double") * 20).cast("int")))
-    made = v.mask_from_segmentation(seg, 64)
-    return made.select("scan_id", F.size(F.filter("mask", lambda m: m > 0)).alias("n"), F.col("mask")[9].alias("m9"))
+    made = v.mask_from_segmentation(seg)
+    cells = F.array_join(F.col("mask").cast("array<string>"), "")
+    return made.select("scan_id", F.size(F.filter("mask", lambda m: m > 0)).alias("n"), cells.alias("cells"))
 
 
 # --- normalization -------------------------------------------------------------------
@@ -327,11 +328,16 @@ def jitter(t):
     return spread(moved, "image", ["scan_id", "n_mask"], 64)
 
 
+def double_volumes(t):
+    """Volumes in double: results keep the type of the input and are compared to six digits."""
+    return volumes(t).withColumn("image", F.col("image").cast("array<double>"))
+
+
 @query("intensity", f"""{WITH}, p AS (SELECT vec_id AS scan_id, 0.9::DOUBLE + {hash_sql(repr('6'), 'vec_id', repr('scale'))} / 4294967296.0::DOUBLE * (1.1::DOUBLE - 0.9::DOUBLE) AS a,
   -0.1::DOUBLE + {hash_sql(repr('6'), 'vec_id', repr('shift'))} / 4294967296.0::DOUBLE * 0.2::DOUBLE AS b FROM embeddings)
 SELECT c.scan_id, {spread_sql("CASE WHEN m THEN v * a + b ELSE 0.0::DOUBLE END", "k", 64, digits=6)} FROM voxels c JOIN p ON c.scan_id = p.scan_id GROUP BY 1""")
 def intensity(t):
-    changed = v.intensity_augment(volumes(t), SHAPE, 6, scale=(0.9, 1.1), shift=(-0.1, 0.1))
+    changed = v.intensity_augment(double_volumes(t), SHAPE, 6, scale=(0.9, 1.1), shift=(-0.1, 0.1))
     return spread(changed, "image", ["scan_id"], 64, digits=6)
 
 
@@ -346,7 +352,7 @@ s AS (SELECT a.scan_id, a.k, max(a.m) AS m, sum(CASE WHEN b.m THEN b.v ELSE 0 EN
       JOIN w wz ON wz.o = b.z - a.z GROUP BY 1, 2)
 SELECT scan_id, {spread_sql("CASE WHEN m THEN num / greatest(den, 1e-6::DOUBLE) ELSE 0.0::DOUBLE END", "k", 64, digits=6)} FROM s GROUP BY 1""")
 def blur(t):
-    blurred = v.masked_blur(volumes(t), SHAPE, 1, sigma=(BLUR_SIGMA, BLUR_SIGMA))
+    blurred = v.masked_blur(double_volumes(t), SHAPE, 1, sigma=(BLUR_SIGMA, BLUR_SIGMA))
     return spread(blurred, "image", ["scan_id"], 64, digits=6)
 
 
@@ -416,7 +422,7 @@ def view_coronal(t):
   quantile_cont(v, 0.005) FILTER (WHERE m) AS qlo, quantile_cont(v, 0.995) FILTER (WHERE m) AS qhi FROM voxels GROUP BY 1)
 SELECT scan_id, round(CASE WHEN n < 32 THEN lo ELSE qlo END, 6) AS vmin, round(CASE WHEN n < 32 THEN hi ELSE qhi END, 6) AS vmax FROM n""")
 def intensity_limits(t):
-    found = v.intensity_limits(volumes(t), 64)
+    found = v.intensity_limits(volumes(t))
     return found.select("scan_id", F.round("vmin", 6).alias("vmin"), F.round("vmax", 6).alias("vmax"))
 
 

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from voxelherd.operators.packaging import shard_name
 from voxelherd.operators.quality import pivot_names
+from voxelherd.session import materialize
 
 # Column order of the exported tables.
 INDEX_TAIL = ("suffix", "shape", "pixdim", "dtype", "orient", "size", "md5", "path")
@@ -81,7 +82,8 @@ def write_shards(
     ``samples`` has shard, key, image, mask, shape and meta (JSON text). A shard is
     bounded by the shard plan; its rows are streamed into the archive in key order, one
     Arrow batch at a time. The archive appears under its name only when complete, so a
-    repeated task replaces its own output.
+    repeated task replaces its own output. All are written when this returns; shards of
+    an earlier run that are not replaced are deleted after that.
     """
     target, base = fs.FileSystem.from_uri(root)
     present = [] if target.get_file_info(base).type == fs.FileType.NotFound else [
@@ -89,8 +91,6 @@ def write_shards(
     ]
     if present and not overwrite:
         raise FileExistsError(f"{len(present)} shards already in {root}")
-    for path in present:
-        target.delete_file(path)
     target.create_dir(base, recursive=True)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -129,4 +129,9 @@ def write_shards(
 
     named = samples.select(shard_name(F.col("shard"), pattern).alias("name"), "key", "image", "mask", "shape", "meta")
     placed = named.repartition("name").sortWithinPartitions("name", "key")
-    return placed.mapInArrow(write, "path string, n_samples bigint, bytes bigint")
+    written = materialize(placed.mapInArrow(write, "path string, n_samples bigint, bytes bigint"))
+    kept = {row["path"] for row in written.select("path").collect()}
+    for path in present:
+        if path not in kept:
+            target.delete_file(path)
+    return written
