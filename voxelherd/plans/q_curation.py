@@ -10,6 +10,7 @@ from voxelherd.operators.ordering import dedup_first, sorted_curve
 from voxelherd.plans.analogs import EXCLUDED, IMAGES_SQL, images, participants
 from voxelherd.plans.curate import curate
 from voxelherd.plans.registry import query
+from voxelherd.sources.volumes import decode_volumes
 from voxelherd.sources.images import content_md5, filter_listing, incremental_index, read_headers
 from voxelherd.sources.tables import parse_list_column
 
@@ -335,6 +336,33 @@ def header_bytes(part):
     return F.when(F.col("p_partkey") % 11 == 0, F.substring(whole, 1, 100)).otherwise(whole)
 
 
+@query("read_volumes", """
+SELECT vec_id AS path, CAST(2 AS INTEGER) AS nx, CAST(8 AS INTEGER) AS nz,
+       round(sum(floor((CAST(embedding[i] AS DOUBLE) + 4) * 1000) * 0.5::DOUBLE - 3), 4) AS total,
+       round(sum((floor((CAST(embedding[i] AS DOUBLE) + 4) * 1000) * 0.5::DOUBLE - 3) * ((i - 1) % 2 * 32 + (i - 1) // 2 % 4 * 8 + (i - 1) // 8)), 4) AS weighted
+FROM embeddings, range(1, 65) r(i) GROUP BY 1""")
+def read_volumes(t):
+    """Files of 2 x 4 x 8 voxels made from the vectors; values are scaled on reading."""
+    zero = lambda n: F.unhex(F.lit("00" * n))
+    # Single-precision 1.0, 0.5 (slope), -3.0 (shift) and 352.0 (start of the voxels) as integers.
+    one, half, shift, start = (F.lit(x) for x in (0x3F800000, 0x3F000000, 0xC0400000, 0x43B00000))
+    header = F.concat(
+        _le(F.lit(348), 4), zero(36), *[_le(F.lit(d), 2) for d in (3, 2, 4, 8, 1, 1, 1, 1)], zero(14), _le(F.lit(512), 2),
+        zero(4), *[_le(one, 4)] * 8, _le(start, 4), _le(half, 4), _le(shift, 4), zero(228), zero(4),
+    )
+    digits = F.transform("embedding", lambda x: F.lpad(F.hex(F.floor((x.cast("double") + 4) * 1000)), 4, "0"))
+    body = F.unhex(F.array_join(F.transform(digits, lambda d: F.concat(F.substring(d, 3, 2), F.substring(d, 1, 2))), ""))
+    files = t.embeddings.select(F.col("vec_id").alias("path"), F.concat(header, body).alias("content"))
+    made = decode_volumes(files)
+    add = lambda a, x: a + x
+    values = F.transform("image", lambda x: x.cast("double"))
+    return made.select(
+        "path", F.get("shape", F.lit(0)).alias("nx"), F.get("shape", F.lit(2)).alias("nz"),
+        F.round(F.aggregate(values, F.lit(0.0), add), 4).alias("total"),
+        F.round(F.aggregate(F.transform(values, lambda x, i: x * i), F.lit(0.0), add), 4).alias("weighted"),
+    )
+
+
 @query("header_index", """
 SELECT p_partkey AS path, CASE WHEN p_partkey % 11 <> 0 THEN p_size + 100 END AS nx,
        CASE WHEN p_partkey % 11 <> 0 THEN CAST(p_partkey % 300 + 1 AS INTEGER) END AS nz,

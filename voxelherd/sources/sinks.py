@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from voxelherd.operators.packaging import shard_name
 from voxelherd.operators.quality import pivot_names
 from voxelherd.session import materialize
+from voxelherd.sources.volumes import build_samples
 
 # Column order of the exported tables.
 INDEX_TAIL = ("suffix", "shape", "pixdim", "dtype", "orient", "size", "md5", "path")
@@ -74,8 +75,21 @@ def _add(tar: tarfile.TarFile, name: str, data: bytes) -> None:
     tar.addfile(entry, io.BytesIO(data))
 
 
+def write_file_shards(
+    plan: DataFrame, source: str, root: str, pattern: str = "shard-%06d.tar", overwrite: bool = False
+) -> DataFrame:
+    """Read the files of a plan in the tasks that write their shards; no voxel is shuffled.
+
+    ``plan`` has shard, key, image_path, mask_path and meta. A sample that cannot be
+    built is an error: the shard plan counts on it.
+    """
+    placed = plan.repartition("shard").sortWithinPartitions("shard", "key")
+    samples = build_samples(placed, source, fail=True)[0]
+    return write_shards(samples, root, pattern, overwrite, placed=True)
+
+
 def write_shards(
-    samples: DataFrame, root: str, pattern: str = "shard-%06d.tar", overwrite: bool = False
+    samples: DataFrame, root: str, pattern: str = "shard-%06d.tar", overwrite: bool = False, placed: bool = False
 ) -> DataFrame:
     """Write one tar per shard and return what was written: shard, path, samples, bytes.
 
@@ -83,7 +97,8 @@ def write_shards(
     bounded by the shard plan; its rows are streamed into the archive in key order, one
     Arrow batch at a time. The archive appears under its name only when complete, so a
     repeated task replaces its own output. All are written when this returns; shards of
-    an earlier run that are not replaced are deleted after that.
+    an earlier run that are not replaced are deleted after that. Rows that are ``placed``
+    have each shard in one partition already, in key order.
     """
     target, base = fs.FileSystem.from_uri(root)
     present = [] if target.get_file_info(base).type == fs.FileType.NotFound else [
@@ -128,8 +143,8 @@ def write_shards(
             })
 
     named = samples.select(shard_name(F.col("shard"), pattern).alias("name"), "key", "image", "mask", "shape", "meta")
-    placed = named.repartition("name").sortWithinPartitions("name", "key")
-    written = materialize(placed.mapInArrow(write, "path string, n_samples bigint, bytes bigint"))
+    rows = named if placed else named.repartition("name").sortWithinPartitions("name", "key")
+    written = materialize(rows.mapInArrow(write, "path string, n_samples bigint, bytes bigint"))
     kept = {row["path"] for row in written.select("path").collect()}
     for path in present:
         if path not in kept:
