@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 
 from voxelherd.llm.blocks import (
     ASK_SCHEMA, Blocks, anchors, answer, ask, bits_of, distinct_with_docs, shared_by_several,
+    smaller_elsewhere,
 )
 from voxelherd.llm.words import SECOND, SPACED, Words, in_blocks, mix, split_words, window_hashes
 
@@ -99,29 +100,6 @@ class Part:
         return starts, entries, at, least
 
 
-def smaller_elsewhere(sent: list[bytes]) -> list[bytes]:
-    """Answer bits: whether a document with a smaller id has the entry.
-
-    Entries are a hash, a second hash of 4 bytes and the smallest id in the block.
-    """
-    parts = []
-    for row in sent:
-        n = len(row) // 20
-        hashes = np.frombuffer(row, dtype="<u8", count=n)
-        checks = np.frombuffer(row, dtype="<u4", count=n, offset=8 * n)
-        ids = np.frombuffer(row[12 * n :], dtype="<i8")
-        parts.append((hashes, checks, ids))
-    hashes, checks, ids = (np.concatenate(c) for c in zip(*parts, strict=True))
-    order = np.lexsort((checks, hashes))
-    h, c = hashes[order], checks[order]
-    first = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (c[1:] != c[:-1])]))
-    least = np.minimum.reduceat(ids[order], first)
-    found = np.empty(len(ids), dtype=bool)
-    found[order] = np.repeat(least, np.diff(np.append(first, len(ids)))) < ids[order]
-    stops = np.cumsum([len(p[0]) for p in parts])
-    return [np.packbits(found[b - len(p[0]) : b]).tobytes() for p, b in zip(parts, stops, strict=True)]
-
-
 def _kept_words(words: Words, flat: bytes, doc: int, keep: np.ndarray) -> bytes:
     own = slice(words.first[doc], words.first[doc + 1])
     places = zip(words.starts[own][keep].tolist(), words.ends[own][keep].tolist(), strict=True)

@@ -9,9 +9,12 @@ column (see ``bwt``); suffixes that share 50 bytes with the one above are equal
 and the smallest document of each group decides.
 
 An anchor that very many documents have, such as one at the edge of a passage found in a
-third of all texts, comes with as many different surroundings. Its windows are handled
-one by one: they are asked for by hash, and those that several documents have are sent
-as pieces of their own, to the bucket of their hash.
+third of all texts, comes with as many different surroundings. Its windows are first
+asked for by hash, one by one, and its pieces are cut to those that several documents
+have; what is left of them is alike, and few pieces per block are distinct.
+
+Texts that equal the whole text of a document with a smaller id are told apart before:
+they go as a whole, and have no string that the other has not.
 
 Hashes only narrow the search; windows are equal by their bytes. (Within a block, equal
 pieces are recognized by 64 bits of hash.)
@@ -28,10 +31,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 
-from voxelherd.llm.blocks import ASK_SCHEMA, Blocks, answer, slide
+from voxelherd.llm.blocks import ASK_SCHEMA, Blocks, answer, ask, bits_of, slide, smaller_elsewhere
 from voxelherd.llm.bwt import insert_columns
 from voxelherd.llm.words import in_blocks, prefix, ranges, stretch, window_hashes
 
@@ -40,6 +44,8 @@ GRAM = 20
 # Documents or blocks from which on an anchor's windows are handled one by one.
 MANY = 16
 TEXT_AT_ONCE = 1_000_000
+# Number of the question for whole texts, next to 0, 1 and 2 for anchors, windows and pieces.
+COPIES = 3
 # Pieces of one bucket sorted together hold about this many bytes.
 SORTED_BYTES = 2_000_000
 
@@ -134,12 +140,30 @@ class Part:
         place = {i: k for k, i in enumerate(known)}
         self.known = np.array(known, dtype=np.int64)
         self.rank = np.array([place.get(i, -1) for i in self.ids], dtype=np.int64)
+        self.copy = self._copies() if COPIES in self.answers else np.zeros(len(self.ids), dtype=bool)
         self.chunks = list(in_blocks(self.texts, len, TEXT_AT_ONCE))
         gram = min(GRAM, window)
         self.span = window - gram + 1
         runs = [self._runs(chunk, gram) for chunk in self.chunks]
         self.start, self.count, self.key, self.doc = (np.concatenate(c) for c in zip(*runs, strict=True))
 
+    def texts_asked(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Distinct hashes of whole texts, second hashes, smallest documents, and each document's place."""
+        digests = b"".join(xxhash.xxh3_128_digest(t) for t in self.texts)
+        both = np.frombuffer(digests, dtype="<u8").reshape(-1, 2)[self.rank >= 0]
+        names, first, at = np.unique(both[:, 0], return_index=True, return_inverse=True)
+        least = np.full(len(names), len(self.known), dtype=np.int64)
+        np.minimum.at(least, at, self.rank[self.rank >= 0])
+        return names, both[first, 1].astype("<u4"), least, at
+
+    def _copies(self) -> np.ndarray:
+        """Documents whose whole text a document with a smaller id has."""
+        names, _, least, at = self.texts_asked()
+        elsewhere = bits_of(self.answers[COPIES], names, self.bits)
+        out = np.zeros(len(self.ids), dtype=bool)
+        out[self.rank >= 0] = elsewhere[at] | (self.rank[self.rank >= 0] > least[at])
+        return out
+
     def _flat(self, chunk: slice) -> np.ndarray:
         return np.frombuffer(b"".join(self.texts[chunk]), dtype=np.uint8)
 
@@ -150,7 +174,7 @@ class Part:
         """Starts, numbers of windows, anchor hashes and documents of the runs of a chunk."""
         base = self.first[chunk.start]
         docs = np.arange(chunk.start, chunk.stop)
-        docs = docs[(self.sizes[docs] >= self.window) & (self.rank[docs] >= 0)]
+        docs = docs[(self.sizes[docs] >= self.window) & (self.rank[docs] >= 0) & ~self.copy[docs]]
         none = np.zeros(0, dtype=np.int64)
         if not len(docs):
             return none, none, none.astype(np.uint64), none
@@ -195,25 +219,31 @@ class Part:
         return np.flatnonzero((repeated & ~hot)[at]), np.flatnonzero(hot[at])
 
     def single(self, hot: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Starts, hashes and documents of all windows of hot runs."""
+        """Starts and hashes of all windows of hot runs, and the run of each."""
         starts = ranges(self.start[hot], self.count[hot])
-        docs = np.repeat(self.doc[hot], self.count[hot])
-        return starts, self.hashes(starts, np.full(len(starts), self.window)), docs
+        return starts, self.hashes(starts, np.full(len(starts), self.window)), np.repeat(hot, self.count[hot])
+
+    def trimmed(self, hot: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Starts, numbers of windows and runs of what several documents have of hot runs."""
+        starts, hashes, run = self.single(hot)
+        names, at = np.unique(short(hashes, self.bits), return_inverse=True)
+        repeated, _ = flags_of(self.answers.get(1, []), names, self.bits)
+        kept = repeated[at] if len(names) else np.zeros(0, dtype=bool)
+        starts, run = starts[kept], run[kept]
+        new = np.ones(len(starts), dtype=bool)
+        new[1:] = (starts[1:] != starts[:-1] + 1) | (run[1:] != run[:-1])
+        first = np.flatnonzero(new)
+        return starts[first], np.diff(np.append(first, len(starts))), run[first]
 
     def pieces(self) -> dict[str, np.ndarray]:
         """All pieces of the block, sorted by key and content."""
         normal, hot = self.split()
-        starts, hashes, docs = self.single(hot)
-        cut = short(hashes, self.bits)
-        names, at = np.unique(cut, return_inverse=True)
-        repeated, _ = flags_of(self.answers.get(1, []), names, self.bits)
-        kept = repeated[at] if len(names) else np.zeros(0, dtype=bool)
-        sizes = self.count[normal] + self.window - 1
-        start = np.concatenate([self.start[normal], starts[kept]])
-        size = np.concatenate([sizes, np.full(int(kept.sum()), self.window)])
-        key = np.concatenate([self.key[normal], hashes[kept]])
-        doc = np.concatenate([self.doc[normal], docs[kept]])
-        content = np.concatenate([self.hashes(self.start[normal], sizes), hashes[kept]])
+        start, count, run = self.trimmed(hot)
+        start, run = np.concatenate([self.start[normal], start]), np.concatenate([normal, run])
+        size = np.concatenate([self.count[normal], count]) + self.window - 1
+        order = np.argsort(start, kind="stable")
+        start, size, run = start[order], size[order], run[order]
+        key, doc, content = self.key[run], self.doc[run], self.hashes(start, size)
         order = np.lexsort((start, content, key))
         start, size, key, doc, content = (c[order] for c in (start, size, key, doc, content))
         new = np.ones(len(key), dtype=bool)
@@ -338,6 +368,9 @@ def removed_bytes(part: Part) -> np.ndarray:
     later = part.rank[found["doc"]] > found["least"][found["same"]] if len(found["same"]) else np.zeros(0, dtype=bool)
     flags = np.where(later, np.uint32(0xFFFFFFFF), flags)
     edges = np.zeros(part.first[-1] + 1, dtype=np.int32)
+    copies = np.flatnonzero(part.copy & (part.sizes >= part.window))
+    edges[part.first[copies]] += 1
+    np.add.at(edges, part.first[copies + 1], -1)
     some = np.flatnonzero(flags)
     for offset in range(part.span):
         hit = some[(flags[some] >> np.uint32(offset) & np.uint32(1) > 0) & (found["size"][some] - part.window >= offset)]
@@ -369,10 +402,17 @@ def remove_repeats(
 
     def send_single(own: dict) -> Iterator[pa.RecordBatch]:
         part = Part(own, window, bits)
-        _, hashes, docs_of = part.single(part.split()[1])
-        yield from send_counted(own["block"], *count_docs(short(hashes, bits), part.rank[docs_of]), bits)
+        _, hashes, run = part.single(part.split()[1])
+        yield from send_counted(own["block"], *count_docs(short(hashes, bits), part.rank[part.doc[run]]), bits)
+
+    def send_texts(own: dict) -> Iterator[pa.RecordBatch]:
+        part = Part({**own, "texts": [t[:0] for t in own["texts"]]}, window, bits)
+        part.texts = own["texts"]
+        names, checks, least, _ = part.texts_asked()
+        yield from ask(own["block"], names, bits, [names, checks, part.known[least]])
 
-    replies = answer(blocks.map(send_anchors, ASK_SCHEMA), 0, reply_counted)
+    replies = answer(blocks.map(send_texts, ASK_SCHEMA), COPIES, smaller_elsewhere)
+    replies = replies.unionByName(answer(blocks.map(send_anchors, ASK_SCHEMA, replies), 0, reply_counted))
     replies = replies.unionByName(answer(blocks.map(send_single, ASK_SCHEMA, replies), 1, reply_counted))
     pieces = blocks.map(lambda own: send_pieces(own, window, bits), ASK_SCHEMA, replies)
     replies = replies.unionByName(answer(pieces, 2, lambda sent: reply_pieces(sent, window)))
