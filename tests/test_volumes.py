@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from voxelherd.functions import kernels
 from voxelherd.operators import masks, volumes as v
+from voxelherd.session import materialize
 
 SHAPE, PATCH = (2, 4, 6), (1, 2, 3)
 
@@ -206,6 +207,17 @@ def valid_frame(spark, counts, n=10):
     return spark.createDataFrame(rows, "scan_id long, valid array<boolean>, batch long")
 
 
+def test_loss_on_the_scan_row(spark):
+    rows = [(i, p, [float(i), 2.0], [1.0, float(p)], [True, p == 0]) for i in range(3) for p in range(4)]
+    df = spark.createDataFrame(rows, "scan_id long, patch_id int, pred array<double>, target array<double>, mask array<boolean>")
+    apart = v.masked_mse(df.select("scan_id", "patch_id", "pred"), df.select("scan_id", "patch_id", "target", "mask")).first()
+    packed = df.groupBy("scan_id").agg(*[F.sort_array(F.collect_list(F.struct("patch_id", c))).alias(c) for c in ("pred", "target", "mask")])
+    scans = materialize(packed.select("scan_id", *[F.col(f"{c}.{c}").alias(c) for c in ("pred", "target", "mask")]))
+    together = v.masked_mse_of_scans(scans)
+    assert tuple(together.first()) == pytest.approx(tuple(apart))
+    assert together._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+
+
 def test_scans_of_different_sizes(spark):
     shapes = [[2, 3, 4], [5, 1, 2], [7, 8, 6]]
     rng = np.random.default_rng(0)

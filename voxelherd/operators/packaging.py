@@ -227,38 +227,38 @@ def epoch_plan(
     Samples are numbered by ``key`` and grouped into blocks; blocks are shuffled, then
     samples within a block. When ``epoch_size`` exceeds the data, further passes follow,
     each shuffled anew. Adds ``pass``, ``slot``, ``batch``, ``rank`` and ``step``.
+
+    Blocks are put in order first, which tells where each begins; only rows of blocks
+    that the epoch reaches are then ordered, each within its block.
     """
     total = df.count()
     numbered = ordered_prefix(df.select(key), [key])
     wanted = total if epoch_size is None else epoch_size
     if total == 0:
         wanted = 0
+    used = (wanted // batch_size) * batch_size if drop_last else wanted
     passes = -(-wanted // total) if total else 1
-    rows = numbered.select(
-        key,
-        F.expr(f"position div {block_size}").alias("block"),
-        F.explode(F.sequence(F.lit(0), F.lit(passes - 1))).alias("pass"),
-        "position",
-    )
+    every_pass = F.explode(F.sequence(F.lit(0), F.lit(passes - 1))).alias("pass")
     if shuffle:
-        rows = rows.withColumns({
-            "_block_order": hash_order(seed, epoch, F.col("pass"), "block", F.col("block")),
-            "_row_order": hash_order(seed, epoch, F.col("pass"), F.col(key)),
-        })
-        placed = ordered_prefix(rows.drop("position"), ["pass", "_block_order", "block", "_row_order", key])
+        blocks = df.sparkSession.range(-(-total // block_size)).select(F.col("id").alias("block"), every_pass)
+        size = F.least(F.lit(block_size), F.lit(total) - F.col("block") * block_size)
+        drawn = blocks.withColumn("_draw", hash_order(seed, epoch, F.col("pass"), "block", F.col("block")))
+        placed = ordered_prefix(drawn, ["pass", "_draw", "block"], sums={"_begin": size})
+        reached = materialize(placed.where(F.col("_begin") < used).select("pass", "block", "_begin"))
+        rows = numbered.select(key, F.expr(f"position div {block_size}").alias("block")).join(reached, on="block")
+        drawn_rows = rows.withColumn("_draw", hash_order(seed, epoch, F.col("pass"), F.col(key)))
+        within = Window.partitionBy("pass", "block").orderBy("_draw", key)
+        slots = drawn_rows.withColumn("slot", F.col("_begin") + F.row_number().over(within) - 1)
     else:
-        placed = ordered_prefix(
-            rows.withColumnRenamed("position", "_place"), ["pass", "_place"]
-        )
-    used = (wanted // batch_size) * batch_size if drop_last else wanted
-    batch = F.expr(f"position div {batch_size}")
-    return placed.where(F.col("position") < used).select(
+        slots = numbered.select(key, "position", every_pass).withColumn("slot", F.col("pass") * total + F.col("position"))
+    batch = F.expr(f"slot div {batch_size}")
+    return slots.where(F.col("slot") < used).select(
         key,
         "pass",
-        F.col("position").alias("slot"),
-        batch.alias("batch"),
+        F.col("slot").cast("bigint").alias("slot"),
+        batch.cast("bigint").alias("batch"),
         (batch % world_size).cast("int").alias("rank"),
-        F.expr(f"(position div {batch_size}) div {world_size}").alias("step"),
+        F.expr(f"(slot div {batch_size}) div {world_size}").cast("bigint").alias("step"),
     )
 
 

@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from voxelherd.operators.ordering import ordered_prefix
 from voxelherd.operators.packaging import group_kfold
+from voxelherd.session import materialize
 
 # Penalties tried by default.
 ALPHAS = (0.01, 0.03, 0.1, 0.3, 1.0, 3.0, 10.0, 30.0, 100.0, 300.0, 1000.0, 3000.0, 10000.0)
@@ -183,16 +184,19 @@ def ridge_group_cv(
     The full refit gives the standardized coefficients.
     """
     spark = df.sparkSession
-    folded = group_kfold(df, group, folds)
-    centers = df.agg(
+    # Written once: the moments, the fold sizes and the predictions read it.
+    folded = materialize(group_kfold(df, group, folds))
+    centers = folded.agg(
+        F.max("fold").alias("folds"),
         Summarizer.mean(array_to_vector(F.col(features).cast("array<double>"))).alias("x"),
         F.avg(y).alias("y"),
     ).first()
     if centers["y"] is None:
         raise ValueError("no rows to fit")
     center = np.concatenate([centers["x"].toArray(), [centers["y"]]])
-    present = sorted(r["fold"] for r in folded.select("fold").distinct().collect())
-    k = len(present)
+    # Groups are dealt out in turn, so no fold is empty.
+    k = centers["folds"]
+    present = list(range(1, k + 1))
     found = moments(_add_cells(folded, order, k, inner), features, y, "_cells", center)
 
     def training_cells(fold: int) -> list[np.ndarray]:
