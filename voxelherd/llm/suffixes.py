@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 
 from voxelherd.llm.blocks import ASK_SCHEMA, Blocks, answer, ask, bits_of, slide, smaller_elsewhere
 from voxelherd.llm.bwt import insert_columns
-from voxelherd.llm.words import in_blocks, prefix, ranges, stretch, window_hashes
+from voxelherd.llm.words import in_blocks, mix, prefix, ranges, stretch, window_hashes
 
 WINDOW = 50
 GRAM = 20
@@ -194,7 +194,8 @@ class Part:
         begin = np.repeat(first, pieces) + inner
         count = np.minimum(np.repeat(size, pieces) - inner, self.span)
         owner = np.searchsorted(np.cumsum(n), begin, side="right")
-        return places[begin] + base, count, keys[begin], docs[owner]
+        # Anchors have small hashes, so bits are mixed again before they name a bucket.
+        return places[begin] + base, count, mix(keys[begin]), docs[owner]
 
     def hashes(self, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
         """Hash of the bytes at each start (sorted), chunk by chunk."""
