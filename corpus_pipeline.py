@@ -18,7 +18,7 @@ from voxelherd.llm.common import prepare, table
 from voxelherd.session import materialize
 
 # A text is rejected if its main language has less than this share of its letters.
-LEAST_SHARE = 0.5
+LEAST_SHARE = 0.4
 # Names of columns that live within a stage only.
 OWN = "__stage_"
 

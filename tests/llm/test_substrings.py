@@ -66,5 +66,12 @@ def test_whole_table(spark, folder):
     assert sorted(got, key=str) == sorted(want, key=str)
 
 
+def test_tables_are_dropped(spark):
+    docs = spark.createDataFrame([(1, "a b c")], "doc_id long, text string")
+    assert remove_repeats(docs).count() == 1
+    assert blocks.drop_tables(spark) >= 1 and blocks.drop_tables(spark) == 0
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("voxelherd_blocks_")]
+
+
 def test_empty(spark):
     assert remove_repeats(spark.createDataFrame([], "doc_id long, text string")).count() == 0

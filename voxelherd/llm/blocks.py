@@ -19,7 +19,7 @@ from collections.abc import Callable, Iterable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
@@ -34,6 +34,8 @@ MOST_BUCKETED = 50_000
 # Row number within a partition, in the low bits of monotonically_increasing_id.
 INDEX_BITS = 33
 
+_tables: list[str] = []
+
 ASK_SCHEMA = "block bigint, bucket bigint, packed binary"
 REPLY_SCHEMA = "block bigint, bucket bigint, level int, packed binary"
 
@@ -62,6 +64,7 @@ class Blocks:
         buckets = min(MOST_BUCKETED, parts_for(size["n"], BLOCK_ROWS))
         writer = placed.write.format("parquet").bucketBy(buckets, "block").option("path", scratch_folder(spark))
         writer.saveAsTable(name)
+        _tables.append(name)
         self.table = spark.table(name)
 
     def map(self, function: Callable[[dict], Iterable[pa.RecordBatch]], schema: str, replies: DataFrame | None = None) -> DataFrame:
@@ -108,6 +111,17 @@ class Blocks:
         return self.table.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(run_both, schema)
 
 
+def drop_tables(spark: SparkSession) -> int:
+    """Forget the tables of all blocks, once their results are written; returns how many.
+
+    Their files lie in the shared folder and are deleted by ``session.release``.
+    """
+    count = len(_tables)
+    while _tables:
+        spark.sql(f"DROP TABLE IF EXISTS {_tables.pop()}")
+    return count
+
+
 def ask(block: int, hashes: np.ndarray, bits: int, columns: list[np.ndarray]) -> list[pa.RecordBatch]:
     """Rows that send sorted, distinct ``hashes`` with further columns to their buckets.
 

@@ -34,7 +34,7 @@ from voxelherd.session import materialize
 
 # Bytes of text in an index row, and words of test items searched in one pass.
 BLOCK_BYTES = 3_000_000
-QUERY_WORDS = 1_000_000
+QUERY_WORDS = 300_000
 
 INDEX_SCHEMA = (
     "block bigint, doc_ids array<bigint>, doc_words array<int>, terms binary, sizes binary, postings binary"
@@ -205,12 +205,12 @@ def find_items(index: DataFrame, benchmark: DataFrame, size: int = 10, slop: int
     """One row per document: ``doc_id``, ``n_words``, ``hits`` (runs of words), ``items``.
 
     ``benchmark`` has ``item_id`` and ``text``. It is searched in blocks of about
-    QUERY_WORDS words, each in one pass over the stored index.
+    QUERY_WORDS words (80 bytes of windows each), each in one pass over the stored index.
     """
     spark = index.sparkSession
     raw = benchmark.select(
         F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), text_bytes().alias("raw")
-    )
+    ).distinct()
     total = raw.agg(F.sum(F.length("raw"))).first()[0] or 0
     passes = parts_for(total, QUERY_WORDS * 5)
     found = None

@@ -194,7 +194,8 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, bands: int =
     ``doc_id`` (a class), ``leader`` (a smaller class) and ``similarity``. In each round
     the members of a band are compared with the smallest of them only; those that are
     not similar to it stay for the next round, until every band is empty. So a band of n
-    texts gives at most n comparisons a round, and never all its pairs.
+    texts gives at most n comparisons a round, and never all its pairs. Documents
+    without an id are left out.
     """
     spark = docs.sparkSession
     width = PERMUTATIONS // bands
