@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Mapping
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -239,10 +239,3 @@ def hash_between(low: float, high: float, *parts: Column | str | int) -> Column:
 def hash_order(*parts: Column | str | int) -> Column:
     """Text that orders rows in a reproducible shuffle."""
     return F.md5(F.concat_ws("-", *[(p if isinstance(p, Column) else F.lit(str(p))).cast("string") for p in parts]))
-
-
-def sum_of(columns: Sequence[Column]) -> Column:
-    total = columns[0]
-    for column in columns[1:]:
-        total = total + column
-    return total

@@ -62,19 +62,12 @@ def unpatchify(
     return packed.select(scan, place(F.col("_rows.patch_id"), F.col("_rows.v")).alias("image"))
 
 
-def patch_position(patch_id: Column, grid: Shape) -> dict[str, Column]:
-    """Grid coordinates of a patch number."""
-    return {
-        "pd": F.floor(patch_id / (grid[1] * grid[2])).cast("int"),
-        "ph": (F.floor(patch_id / grid[2]) % grid[1]).cast("int"),
-        "pw": (patch_id % grid[2]).cast("int"),
-    }
-
-
 def gather_patches(patches: DataFrame, selected: DataFrame, scan: str = "scan_id") -> DataFrame:
     """Rows of the selected patches; ``selected`` has one array of flags per scan.
 
-    Flags are unfolded to the wanted patch ids before they meet the patch rows.
+    For tables of patches that lie apart: flags are unfolded to the wanted patch ids
+    before they meet the patch rows. Where the flags are on the scan row,
+    ``patchify(keep=...)`` picks the patches without a shuffle.
     """
     column = next(c for c in selected.columns if c != scan)
     wanted = selected.select(scan, F.posexplode(column).alias("patch_id", "_on")).where("_on").drop("_on")
@@ -346,11 +339,6 @@ def composite(df: DataFrame, cells: int, target: str, pred: str, pred_mask: str,
     return df.withColumn("composite", kernels.choose(cells, element)(F.col(pred_mask), F.col(pred), F.col(target)))
 
 
-def display_mask(df: DataFrame, cells: int, image: str, mask: str, fill: float, element: str = "float") -> DataFrame:
-    """Image inside the mask, a constant outside."""
-    return df.withColumn("display", kernels.fill_outside(cells, fill, element)(F.col(mask), F.col(image)))
-
-
 def masked_input_display(
     df: DataFrame, cells: int, image: str, pred_mask: str, mask: str, fill: float, element: str = "float"
 ) -> DataFrame:

@@ -100,6 +100,8 @@ def write_shards(
     an earlier run that are not replaced are deleted after that. Rows that are ``placed``
     have each shard in one partition already, in key order.
     """
+    if "://" not in root and not samples.sparkSession.sparkContext.master.startswith("local"):
+        raise ValueError(f"{root} has no scheme: on a cluster it would be a disk of each executor")
     target, base = fs.FileSystem.from_uri(root)
     present = [] if target.get_file_info(base).type == fs.FileType.NotFound else [
         f.path for f in target.get_file_info(fs.FileSelector(base)) if f.path.endswith(".tar")
