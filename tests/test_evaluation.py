@@ -12,7 +12,7 @@ from voxelherd.operators.probe import linear_probe
 from voxelherd.operators.quality import failure_report, require_finite, require_rows, CohortDataError
 from voxelherd.operators.ridge import ALPHAS, fit_cells, ridge_group_cv, top_coefficients
 from voxelherd.sources import sinks
-from voxelherd.streaming.live_meters import read_live_meters, start_live_meters
+from voxelherd.streaming.live_meters import compact_live_meters, read_live_meters, start_live_meters
 
 
 def test_metrics_match_numpy(spark):
@@ -268,3 +268,9 @@ def test_live_meters_over_two_runs(spark, tmp_path):
     run()
     got = {r["run"]: (r["count"], r["global_avg"]) for r in read_live_meters(spark, str(tmp_path / "out"), ["run", "metric"]).collect()}
     assert got == {"r": (3, 5.0), "s": (1, 1.0)}
+    assert compact_live_meters(spark, str(tmp_path / "out"), ["run", "metric"]) >= 2
+    assert compact_live_meters(spark, str(tmp_path / "out"), ["run", "metric"]) == 0
+    put("c.json", [("s", "loss", 3.0), ("t", "loss", 7.0)])
+    run()
+    again = {r["run"]: (r["count"], r["global_avg"]) for r in read_live_meters(spark, str(tmp_path / "out"), ["run", "metric"]).collect()}
+    assert again == {"r": (3, 5.0), "s": (2, 2.0), "t": (1, 7.0)}
