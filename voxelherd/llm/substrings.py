@@ -83,7 +83,8 @@ class Part:
                 np.add.at(mark, before + 1, -1)
                 starts = np.flatnonzero(np.cumsum(mark)[:-1] > 0)
             starts = self.usable(starts, size)
-        return starts, hashes[starts]
+        # Anchors have small hashes, so bits are mixed again before they name a bucket.
+        return starts, mix(hashes[starts])
 
     def survivors(self, number: int) -> np.ndarray:
         """Starts of candidates that several documents have."""
