@@ -38,11 +38,11 @@ SHORT = 32
 # Words in one query, bytes in one query (a word counts as some more), words kept by a worker.
 WORDS_AT_ONCE = 20_000
 BYTES_AT_ONCE = 1_000_000
-KNOWN_WORDS = 1_000_000
+KNOWN_WORDS = 500_000
 # Texts tokenized together, and tokens decoded together.
-TEXT_AT_ONCE = 2_000_000
+TEXT_AT_ONCE = 1_000_000
 SLICE = 200_000
-SLICES_AT_ONCE = 1_000_000
+SLICES_AT_ONCE = 500_000
 
 ENCODE_SHORT = """
 WITH RECURSIVE state AS (
@@ -134,7 +134,7 @@ class Engine:
         self.byte_ids = np.array([ranks[bytes([b])] for b in range(256)], dtype=np.int32)
         self.find = regex.compile(tokenizer.pattern).findall
         self.known: dict[str, bytes] = {}
-        self.con = duckdb.connect(config={"threads": 1, "memory_limit": "320MB", "temp_directory": ""})
+        self.con = duckdb.connect(config={"threads": 1, "memory_limit": "256MB", "temp_directory": ""})
         left, right, merged = (pa.array(column, pa.int32()) for column in zip(*merges, strict=True))
         self._put("merges_in", pa.table({"l": left, "r": right, "merged": merged}))
         self.con.execute("CREATE TABLE merges AS SELECT * FROM merges_in")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from voxelherd.session import ship_package
 
 # Texts are read in batches of bounded size, whatever the length of a row.
-ARROW_BYTES = 16 * 1024 * 1024
+ARROW_BYTES = 4 * 1024 * 1024
 
 
 def prepare(spark: SparkSession) -> None:

@@ -33,7 +33,7 @@ from voxelherd.llm.words import ALNUM, in_blocks, ranges, split_words
 from voxelherd.session import materialize
 
 # Bytes of text in an index row, and words of test items searched in one pass.
-BLOCK_BYTES = 3_000_000
+BLOCK_BYTES = 1_500_000
 QUERY_WORDS = 300_000
 
 INDEX_SCHEMA = (

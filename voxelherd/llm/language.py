@@ -41,8 +41,8 @@ PENALTY = 6.0
 SCRIPT_SHARE = 0.005
 SMOOTHING = 0.5
 # Characters of text labelled together (for up to four languages), words kept by a worker.
-TEXT_AT_ONCE = 6_000_000
-KNOWN_WORDS = 500_000
+TEXT_AT_ONCE = 1_500_000
+KNOWN_WORDS = 300_000
 
 # First and last code point of the ranges of common scripts.
 SCRIPT_RANGES = [

@@ -43,11 +43,11 @@ WINDOW = 50
 GRAM = 20
 # Documents or blocks from which on an anchor's windows are handled one by one.
 MANY = 16
-TEXT_AT_ONCE = 1_000_000
+TEXT_AT_ONCE = 700_000
 # Number of the question for whole texts, next to 0, 1 and 2 for anchors, windows and pieces.
 COPIES = 3
 # Pieces of one bucket sorted together hold about this many bytes.
-SORTED_BYTES = 2_000_000
+SORTED_BYTES = 1_000_000
 
 RESULT_SCHEMA = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept binary"
 

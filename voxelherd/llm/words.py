@@ -37,14 +37,14 @@ _powers: dict[str, np.ndarray] = {}
 
 
 def _power(name: str, base: np.uint64, n: int) -> np.ndarray:
-    """Powers of ``base`` from 0 to n - 1, kept up to a few million."""
+    """Powers of ``base`` from 0 to n - 1, kept up to two million."""
     have = _powers.get(name)
     if have is not None and len(have) >= n:
         return have[:n]
     steps = np.full(max(n, 1 << 12), base, dtype=np.uint64)
     steps[0] = 1
     made = np.cumprod(steps, dtype=np.uint64)
-    if n <= 1 << 22:
+    if n <= 1 << 21:
         _powers[name] = made
     return made[:n]
 
