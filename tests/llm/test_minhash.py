@@ -2,7 +2,7 @@ import hashlib
 import re
 
 from voxelherd.llm import minhash
-from voxelherd.llm.minhash import compare_edits, edited_text, near_duplicates
+from voxelherd.llm.minhash import compare_edits, edited_text, likeness, near_duplicates, signatures
 from voxelherd.llm.q_minhash import op6_minhash
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -52,6 +52,13 @@ def test_edges(spark):
     assert compare_edits(df.limit(0)).count() == 0
 
 
+def test_long_texts(spark):
+    a, b, c = (" ".join(f"{name}{i}" for i in range(100_000)) for name in "abc")
+    made = signatures([a.encode(), b.encode(), (a + " " + c).encode()])
+    assert likeness(made[:1], made[1:2])[0] < 0.02
+    assert abs(likeness(made[:1], made[2:])[0] - jaccard(a, a + " " + c)) < 0.15
+
+
 def test_ties_and_null_keys(spark, monkeypatch):
     monkeypatch.setattr(minhash, "SLICE_ROWS", 3)
     rows = [(None, "x y z"), (None, "x y z")] + [(4, "same text")] * 9 + [(4, "other text")] * 2 + [(6, "u"), (1, "v")]

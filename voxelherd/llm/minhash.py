@@ -2,7 +2,8 @@
 
 A text is the set of its runs of five words (lower case; a shorter text is one run, a
 text without words has none). Each of PERMUTATIONS universal hash functions
-``(a * x + b) mod 2**64`` gives one minimum; the fingerprint keeps 16 bits of each.
+``(a * x + b) mod 2**64`` gives one minimum; its bits are mixed, as minima of long texts
+are small, and the fingerprint keeps 16 of them.
 The share of equal places estimates the Jaccard similarity of two sets.
 
 Defined results: a null text is empty; texts without words share one fingerprint;
@@ -23,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from voxelherd.llm.common import parts_for, text_bytes
-from voxelherd.llm.words import ALNUM, in_blocks, ranges, split_words, stretch, prefix
+from voxelherd.llm.words import ALNUM, in_blocks, mix, ranges, split_words, stretch, prefix
 from voxelherd.session import materialize
 
 SHINGLE = 5
@@ -50,7 +51,7 @@ def shingle_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def signatures(texts: list[bytes]) -> np.ndarray:
-    """One row of PERMUTATIONS 16-bit minima for each text."""
+    """One row of PERMUTATIONS minima, 16 mixed bits of each, for each text."""
     values, runs = shingle_hashes(texts)
     out = np.full((len(texts), PERMUTATIONS), 0xFFFF, dtype=np.uint16)
     own = np.flatnonzero(runs)
@@ -58,7 +59,7 @@ def signatures(texts: list[bytes]) -> np.ndarray:
         first = (np.cumsum(runs) - runs)[own]
         for p in range(PERMUTATIONS):
             least = np.minimum.reduceat(values * FACTORS[p] + SHIFTS[p], first)
-            out[own, p] = (least >> np.uint64(48)).astype(np.uint16)
+            out[own, p] = (mix(least) >> np.uint64(48)).astype(np.uint16)
     return out
 
 
