@@ -2,7 +2,7 @@ import hashlib
 import re
 
 from voxelherd.llm import minhash
-from voxelherd.llm.minhash import compare_edits, edited_text, likeness, near_duplicates, signatures
+from voxelherd.llm.minhash import compare_edits, edited_text, likeness, near_duplicates, near_groups, signatures
 from voxelherd.llm.q_minhash import op6_minhash
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -80,3 +80,51 @@ def test_near_duplicates(spark):
     assert linked[0] == set(range(30))
     assert all(abs(r.similarity - jaccard(rows[r.doc_id][1], rows[0][1])) < 1e-9 for r in got)
     assert near_duplicates(df.limit(0)).count() == 0
+
+
+def brute_groups(rows):
+    """Smallest id of the group of each row, from all pairs."""
+    group = list(range(len(rows)))
+    for i, (_, a) in enumerate(rows):
+        for j, (_, b) in enumerate(rows[:i]):
+            if (a or "") == (b or "") or (shingles(a or "") and shingles(b or "") and jaccard(a, b) >= 0.8):
+                old, new = group[i], group[j]
+                group = [new if g == old else g for g in group]
+    least = {}
+    for (key, _), g in zip(rows, group, strict=True):
+        least[g] = min((k for k in (key, least.get(g)) if k is not None), default=None)
+    return [least[g] for g in group]
+
+
+def chain_rows():
+    """Windows over one row of words: neighbours are alike (0.85, or 0.80 just so), others are not."""
+    rows = []
+    for family, step in enumerate([16, 22, 23] * 4):
+        for i in (3, 0, 4, 1, 2):
+            own = range(i * step, i * step + 202)
+            rows.append((len(rows), " ".join(f"f{family}w{n}" for n in own)))
+    return rows
+
+
+def found_groups(df):
+    groups = {r.node: r.group_id for r in near_groups(df).collect()}
+    return {r.doc_id: groups.get(r.node, r.doc_id) for r in compare_edits(df).collect()}
+
+
+def test_chains_and_borders(spark, monkeypatch):
+    rows = chain_rows()
+    assert jaccard(rows[6][1], rows[8][1]) == 0.8
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    want = dict(zip((k for k, _ in rows), brute_groups(rows), strict=True))
+    assert len(set(want.values())) < len(rows)
+    assert found_groups(df) == want
+    monkeypatch.setattr(minhash, "PAIRS_AT_ONCE", 0.1)
+    assert found_groups(df) == want
+
+
+def test_groups_of_the_query(spark, folder):
+    docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{folder}/documents.parquet").collect()]
+    want = brute_groups(docs)
+    got = {r.doc_id: r.near_group for r in op6_minhash(spark, folder).collect()}
+    assert got == dict(zip((k for k, _ in docs), want, strict=True))
+    assert len(set(want)) < len(docs)

@@ -19,21 +19,26 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from voxelherd.llm.common import parts_for, text_bytes
-from voxelherd.llm.words import ALNUM, in_blocks, mix, ranges, split_words, stretch, prefix
+from voxelherd.llm.components import components
+from voxelherd.llm.words import ALNUM, SECOND, in_blocks, mix, ranges, split_words, stretch, prefix
 from voxelherd.session import materialize
 
 SHINGLE = 5
 PERMUTATIONS = 128
-BANDS = 16
+# At similarity 0.8, 32 bands of 4 miss 5 pairs in 10**8.
+BANDS = 32
 THRESHOLD = 0.8
 # Bytes of text hashed together, documents of neighbouring keys in one task.
 TEXT_AT_ONCE = 1_500_000
 SLICE_ROWS = 1000
+# Pairs for each member of a band that are compared without a second round.
+PAIRS_AT_ONCE = 20
 
 _random = np.random.RandomState(20240229)
 FACTORS = _random.randint(0, 1 << 62, PERMUTATIONS).astype(np.uint64) * np.uint64(2) + np.uint64(1)
@@ -136,11 +141,12 @@ def in_key_order(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
 def compare_edits(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Fingerprints of each text and of its edited text, and how alike they are.
 
-    The edited text takes its second half from the next document in descending key order.
+    The edited text takes its second half from the next document in descending key order;
+    ``node`` names the text, see :func:`text_node`.
     """
     schema = (
         "doc_id bigint, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, "
-        "near_edited double, near_next double"
+        "near_edited double, near_next double, node bigint"
     )
 
     def compare(keys: list, texts: list[str], first: np.ndarray | None) -> tuple[pa.RecordBatch, np.ndarray]:
@@ -158,6 +164,7 @@ def compare_edits(docs: DataFrame, key: str = "doc_id", text: str = "text") -> D
             pa.array([row.tobytes().hex() for row in changed], pa.string()),
             pa.array(likeness(own[:-1], changed), pa.float64()),
             pa.array(likeness(own[:-1], own[1:]), pa.float64()),
+            pa.array([text_node(t.encode()) for t in texts[:-1]], pa.int64()),
         ]
         names = [field.split()[0] for field in schema.split(", ")]
         return pa.RecordBatch.from_arrays(columns, names=names), own[-1]
@@ -188,58 +195,186 @@ def compare_edits(docs: DataFrame, key: str = "doc_id", text: str = "text") -> D
     return in_key_order(docs, key, text).mapInArrow(run, schema)
 
 
-def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS) -> DataFrame:
-    """Pairs of texts that share a band, with their verified Jaccard similarity.
-
-    Equal texts are one class, named by its smallest ``doc_id``; result rows are
-    ``doc_id`` (a class), ``leader`` (a smaller class) and ``similarity``. In each round
-    the members of a band are compared with the smallest of them only; those that are
-    not similar to it stay for the next round, until every band is empty. So a band of n
-    texts gives at most n comparisons a round, and never all its pairs. Documents
-    without an id are left out.
-    """
-    spark = docs.sparkSession
-    width = PERMUTATIONS // bands
-    texts = docs.where(F.col("doc_id").isNotNull()).select("doc_id", text_bytes().alias("raw"))
-    classes = texts.groupBy(F.sha2("raw", 256).alias("digest")).agg(F.min("doc_id").alias("doc_id")).select("doc_id")
-    schema = "doc_id bigint, shingles array<bigint>, keys array<bigint>"
+def _sketches(texts: DataFrame) -> DataFrame:
+    """``node`` (hash of a text) and ``minima`` of each distinct text with words, from ``raw``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raw = batch.column("raw").to_pylist()
             for part in in_blocks(raw, len, TEXT_AT_ONCE):
-                values, runs = shingle_hashes(raw[part])
-                ends = np.cumsum(runs)
-                sets = [np.unique(values[e - n : e]).view(np.int64) for e, n in zip(ends, runs, strict=True)]
-                rows = signatures(raw[part]).reshape(len(runs), bands, width).astype(np.uint64)
-                sums = np.zeros(rows.shape[:2], dtype=np.uint64)
-                for i in range(width):
-                    sums = (sums + rows[:, :, i] + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
-                sums += np.arange(bands, dtype=np.uint64)
-                keys = [row.view(np.int64) if n else row[:0].view(np.int64) for row, n in zip(sums, runs, strict=True)]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column("doc_id")[part.start : part.stop],
-                        pa.array(sets, pa.list_(pa.int64())), pa.array(keys, pa.list_(pa.int64())),
-                    ],
-                    names=["doc_id", "shingles", "keys"],
-                )
+                own = [i for i in range(part.start, part.stop) if ALNUM[np.frombuffer(raw[i], dtype=np.uint8)].any()]
+                rows = [row.tobytes() for row in signatures([raw[i] for i in own])] if own else []
+                nodes = [text_node(raw[i]) for i in own]
+                yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(rows, pa.binary())], names=["node", "minima"])
+
+    return texts.select("raw").mapInArrow(run, "node bigint, minima binary").groupBy("node").agg(F.first("minima").alias("minima"))
+
+
+def text_node(raw: bytes) -> int:
+    """The hash that stands for a text, as ``xxhash64`` gives it."""
+    return int(np.uint64(xxhash.xxh64_intdigest(raw, 42)).view(np.int64))
+
+
+def _members(sketches: DataFrame, bands: int) -> DataFrame:
+    """``band`` and ``node``: one row for each text and band."""
+    width = PERMUTATIONS // bands
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            packed = b"".join(batch.column("minima").to_pylist())
+            rows = np.frombuffer(packed, dtype=np.uint16).reshape(-1, bands, width).astype(np.uint64)
+            sums = np.zeros(rows.shape[:2], dtype=np.uint64)
+            for i in range(width):
+                sums = mix((sums + rows[:, :, i] + np.uint64(1)) * SECOND)
+            sums = mix(sums + np.arange(bands, dtype=np.uint64))
+            nodes = np.repeat(batch.column("node").to_numpy(zero_copy_only=False), bands)
+            yield pa.RecordBatch.from_arrays([pa.array(sums.ravel().view(np.int64)), pa.array(nodes)], names=["band", "node"])
+
+    return sketches.mapInArrow(run, "band bigint, node bigint")
+
+
+def _verified(texts: DataFrame, sketches: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
+    """Pairs (``a``, ``b``) of texts whose exact Jaccard similarity reaches ``threshold``.
+
+    Pairs whose minima are five standard deviations below the threshold are not read.
+    """
+    least = threshold - 5 * float(np.sqrt(threshold * (1 - threshold) / PERMUTATIONS))
+    schema = "a bigint, b bigint, similarity double"
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            left, right = (
+                np.frombuffer(b"".join(batch.column(c).to_pylist()), dtype=np.uint16).reshape(-1, PERMUTATIONS) for c in ("one", "two")
+            )
+            keep = pa.array(likeness(left, right) >= least)
+            yield pa.RecordBatch.from_arrays([batch.column("a").filter(keep), batch.column("b").filter(keep)], names=["a", "b"])
 
-    known = materialize(texts.join(materialize(classes), "doc_id").dropDuplicates(["doc_id"]).mapInArrow(run, schema))
-    members = known.select("doc_id", F.explode("keys").alias("band"))
-    found = None
+    def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpack = zstandard.ZstdDecompressor().decompress
+        known: tuple = (None, None)
+        for batch in batches:
+            a, b = batch.column("a").to_pylist(), batch.column("b").to_pylist()
+            found = []
+            for i, (one, two) in enumerate(zip(batch.column("one"), batch.column("two"), strict=True)):
+                if known[0] != b[i]:
+                    known = (b[i], np.unique(shingle_hashes([unpack(two.as_py())])[0]))
+                own = np.unique(shingle_hashes([unpack(one.as_py())])[0])
+                common = len(np.intersect1d(own, known[1], assume_unique=True))
+                found.append(common / (len(own) + len(known[1]) - common))
+            keep = [i for i, value in enumerate(found) if value >= threshold]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([a[i] for i in keep], pa.int64()), pa.array([b[i] for i in keep], pa.int64()),
+                 pa.array([found[i] for i in keep], pa.float64())],
+                names=["a", "b", "similarity"],
+            )
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pack = zstandard.ZstdCompressor(level=3).compress
+        for batch in batches:
+            rows = [pack(t) for t in batch.column("raw").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(rows, pa.binary())], names=["node", "packed"])
+
+    def joined(values: DataFrame, what: DataFrame, column: str) -> DataFrame:
+        one = values.select(F.col("node").alias("a"), F.col(column).alias("one"))
+        two = values.select(F.col("node").alias("b"), F.col(column).alias("two"))
+        return what.join(one, "a").join(two, "b").select("a", "b", "one", "two")
+
+    close = materialize(joined(sketches, pairs, "minima").mapInArrow(near, "a bigint, b bigint"))
+    asked = materialize(close.select(F.col("a").alias("node")).unionByName(close.select(F.col("b").alias("node"))).distinct())
+    bodies = texts.join(asked, "node", "left_semi").mapInArrow(packed, "node bigint, packed binary")
+    bodies = materialize(bodies.groupBy("node").agg(F.first("packed").alias("packed")))
+    return materialize(joined(bodies, close, "packed").mapInArrow(exact, schema))
+
+
+def near_links(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS) -> DataFrame:
+    """Links (``a`` < ``b``, ``similarity``) of distinct texts, named by :func:`text_node`.
+
+    Their components are those of all pairs that share a band and reach ``threshold``.
+    Each round compares the members of a band with one leader. Links join texts to
+    components, and only pairs of different components are left to compare: in a band,
+    those of every text outside its largest component. When these are no more than
+    PAIRS_AT_ONCE for each member they are compared at once; until then the leader,
+    which has met all others, leaves, and a text of the smallest component leads. The
+    limit doubles each round, so the rounds are few; no pair is left out.
+    """
+    texts = docs.select(text_bytes().alias("raw")).withColumn("node", F.xxhash64("raw"))
+    sketches = materialize(_sketches(texts))
+    members = _members(sketches, bands)
+    shared = materialize(members.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("band"))
+    # Bands with the same members say the same.
+    members = materialize(members.join(shared, "band"))
+    sums = members.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("all"))
+    once = materialize(sums.groupBy("n", "all").agg(F.min("band").alias("band")).select("band"))
+    members = materialize(members.join(once, "band").withColumn("root", F.col("node")))
+    links, limit = None, PAIRS_AT_ONCE
     while True:
-        sizes = members.groupBy("band").agg(F.min("doc_id").alias("leader"), F.count(F.lit(1)).alias("n")).where("n > 1")
-        members = materialize(members.join(materialize(sizes.select("band", "leader")), "band"))
-        if members.isEmpty():
+        parts = materialize(members.groupBy("band", "root").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("node")))
+        bands_now = parts.groupBy("band").agg(
+            F.sum("n").alias("all"), F.max(F.struct("n", "root")).alias("most"), F.min(F.struct("n", "node")).alias("least"), F.count(F.lit(1)).alias("parts")
+        ).where("parts > 1")
+        bands_now = materialize(bands_now.select("band", "all", F.col("most.root").alias("main"), F.col("most.n").alias("most"), F.col("least.node").alias("leader")))
+        size = bands_now.agg(F.sum("all").alias("members"), F.sum((F.col("all") - F.col("most")) * F.col("all")).alias("pairs")).first()
+        if size["members"] is None:
+            break
+        members = members.join(bands_now, "band")
+        last = size["pairs"] <= limit * size["members"]
+        limit *= 2
+        if last:
+            strays = materialize(members.where("root <> main").select("band", F.col("node").alias("one"), F.col("root").alias("part")))
+            pairs = members.join(strays, "band").where("root <> part AND (root = main OR node < one)").select("node", "one")
+        else:
+            members = materialize(members)
+            led = materialize(members.where("node = leader").select("band", F.col("node").alias("one"), F.col("root").alias("part")))
+            pairs = members.join(led, "band").where("root <> part").select("node", "one")
+        pairs = materialize(pairs.select(F.least("node", "one").alias("a"), F.greatest("node", "one").alias("b")).distinct())
+        found = _verified(texts, sketches, pairs, threshold)
+        links = found if links is None else links.unionByName(found)
+        if last:
             break
-        pairs = members.where("doc_id <> leader").select("doc_id", "leader").distinct()
-        a, b = known.select("doc_id", "shingles"), known.select(F.col("doc_id").alias("leader"), F.col("shingles").alias("other"))
-        joined = pairs.join(a, "doc_id").join(b, "leader")
-        common = F.size(F.array_intersect("shingles", "other"))
-        union = F.size("shingles") + F.size("other") - common
-        verified = materialize(joined.select("doc_id", "leader", (common / union).alias("similarity")))
-        alike = verified.where(F.col("similarity") >= threshold)
-        found = alike if found is None else found.unionByName(alike)
-        members = members.where("doc_id <> leader").join(alike, ["doc_id", "leader"], "left_anti").select("doc_id", "band")
-    return found if found is not None else spark.createDataFrame([], "doc_id bigint, leader bigint, similarity double")
+        roots = materialize(components(links))
+        left = members.where("node <> leader").select("band", "node").join(roots, "node", "left")
+        members = materialize(left.select("band", "node", F.coalesce("root", "node").alias("root")))
+    return links.distinct() if links is not None else docs.sparkSession.createDataFrame([], "a bigint, b bigint, similarity double")
+
+
+def near_groups(docs: DataFrame, key: str = "doc_id", threshold: float = THRESHOLD, bands: int = BANDS) -> DataFrame:
+    """``node``, ``group_id`` (smallest key) and ``group_rows`` of texts with copies or near copies.
+
+    A text that is not listed is alone. Texts without words have exact copies only.
+    """
+    texts = docs.select(F.col(key).alias("key"), F.xxhash64(text_bytes()).alias("node"))
+    classes = materialize(texts.groupBy("node").agg(F.min("key").alias("key"), F.count(F.lit(1)).alias("n")))
+    roots = materialize(components(near_links(docs, threshold, bands)))
+    rooted = materialize(classes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
+    named = rooted.groupBy("root").agg(F.min("key").alias("group_id"), F.sum("n").alias("group_rows")).where("group_rows > 1")
+    return materialize(rooted.join(materialize(named), "root").select("node", "group_id", "group_rows"))
+
+
+def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS) -> DataFrame:
+    """Links of texts with their verified Jaccard similarity; see :func:`near_links`.
+
+    Equal texts are one class, named by its smallest ``doc_id``; result rows are
+    ``doc_id`` (a class), ``leader`` (a smaller class) and ``similarity``. Documents
+    without an id are left out. Membership of every document is in :func:`near_groups`.
+    """
+    docs = docs.where(F.col("doc_id").isNotNull())
+    texts = docs.select("doc_id", F.xxhash64(text_bytes()).alias("node"))
+    classes = materialize(texts.groupBy("node").agg(F.min("doc_id").alias("doc_id")))
+    links = near_links(docs, threshold, bands)
+    one = classes.select(F.col("node").alias("a"), F.col("doc_id").alias("one"))
+    two = classes.select(F.col("node").alias("b"), F.col("doc_id").alias("two"))
+    named = links.join(one, "a").join(two, "b")
+    return named.select(F.greatest("one", "two").alias("doc_id"), F.least("one", "two").alias("leader"), "similarity")
+
+
+def with_groups(docs: DataFrame) -> DataFrame:
+    """:func:`compare_edits`, with ``near_group`` and ``near_group_rows`` of each document.
+
+    The group is named by its smallest ``doc_id``, null if it has none.
+    """
+    groups = near_groups(docs)
+    made = compare_edits(docs).join(groups, "node", "left")
+    group = F.when(F.col("group_rows").isNull(), F.col("doc_id")).otherwise(F.col("group_id"))
+    return made.select(
+        *[c for c in made.columns if c not in groups.columns], group.alias("near_group"), F.coalesce("group_rows", F.lit(1)).alias("near_group_rows")
+    )
