@@ -39,6 +39,8 @@ TEXT_AT_ONCE = 1_500_000
 SLICE_ROWS = 1000
 # Pairs for each member of a band that are compared without a second round.
 PAIRS_AT_ONCE = 20
+# Shingles whose hashes a task keeps while it compares pairs.
+SETS_HELD = 4_000_000
 
 _random = np.random.RandomState(20240229)
 FACTORS = _random.randint(0, 1 << 62, PERMUTATIONS).astype(np.uint64) * np.uint64(2) + np.uint64(1)
@@ -251,16 +253,25 @@ def _verified(texts: DataFrame, sketches: DataFrame, pairs: DataFrame, threshold
 
     def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor().decompress
-        known: tuple = (None, None)
+        known: dict[int, np.ndarray] = {}
+        held = 0
         for batch in batches:
             a, b = batch.column("a").to_pylist(), batch.column("b").to_pylist()
             found = []
-            for i, (one, two) in enumerate(zip(batch.column("one"), batch.column("two"), strict=True)):
-                if known[0] != b[i]:
-                    known = (b[i], np.unique(shingle_hashes([unpack(two.as_py())])[0]))
-                own = np.unique(shingle_hashes([unpack(one.as_py())])[0])
-                common = len(np.intersect1d(own, known[1], assume_unique=True))
-                found.append(common / (len(own) + len(known[1]) - common))
+            for pair in zip(a, b, batch.column("one"), batch.column("two"), strict=True):
+                sets = []
+                for node, body in zip(pair[:2], pair[2:], strict=True):
+                    own = known.get(node)
+                    if own is None:
+                        own = np.unique(shingle_hashes([unpack(body.as_py())])[0])
+                        if held + len(own) > SETS_HELD:
+                            known, held = {}, 0
+                        known[node] = own
+                        held += len(own)
+                    sets.append(own)
+                one, two = sets
+                common = len(np.intersect1d(one, two, assume_unique=True))
+                found.append(common / (len(one) + len(two) - common))
             keep = [i for i, value in enumerate(found) if value >= threshold]
             yield pa.RecordBatch.from_arrays(
                 [pa.array([a[i] for i in keep], pa.int64()), pa.array([b[i] for i in keep], pa.int64()),
@@ -295,7 +306,7 @@ def near_links(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS
     those of every text outside its largest component. When these are no more than
     PAIRS_AT_ONCE for each member they are compared at once; until then the leader,
     which has met all others, leaves, and a text of the smallest component leads. The
-    limit doubles each round, so the rounds are few; no pair is left out.
+    limit grows tenfold each round, so the rounds are few; no pair is left out.
     """
     texts = docs.select(text_bytes().alias("raw")).withColumn("node", F.xxhash64("raw"))
     sketches = materialize(_sketches(texts))
@@ -318,7 +329,7 @@ def near_links(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS
             break
         members = members.join(bands_now, "band")
         last = size["pairs"] <= limit * size["members"]
-        limit *= 2
+        limit *= 10
         if last:
             strays = materialize(members.where("root <> main").select("band", F.col("node").alias("one"), F.col("root").alias("part")))
             pairs = members.join(strays, "band").where("root <> part AND (root = main OR node < one)").select("node", "one")
