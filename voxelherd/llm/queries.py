@@ -1,7 +1,7 @@
 """Queries of this subpackage and the SQL they must agree with."""
 
 from voxelherd.llm import (
-    q_bpe, q_chat, q_decontaminate, q_language, q_minhash, q_sharding, q_simhash, q_substrings, q_suffixes, q_warc,
+    q_bpe, q_chat, q_decontaminate, q_language, q_minhash, q_repair, q_sharding, q_simhash, q_substrings, q_suffixes, q_warc,
 )
 
 QUERIES = {
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_warc_bundles": q_warc.op8_warc_bundles,
     "op9_chat_format": q_chat.op9_chat_format,
     "op10_substring_dedup": q_substrings.op10_substring_dedup,
+    "op11_conversation_repair": q_repair.op11_conversation_repair,
 }
 
 ORACLES = {
@@ -22,4 +23,5 @@ ORACLES = {
     "op4_feistel_shards": q_sharding.OP4_SQL,
     "op8_warc_bundles": q_warc.OP8_SQL,
     "op9_chat_format": q_chat.OP9_SQL,
+    "op11_conversation_repair": q_repair.OP11_SQL,
 }
