@@ -1,7 +1,8 @@
 """Queries of this subpackage and the SQL they must agree with."""
 
 from voxelherd.llm import (
-    q_bpe, q_chat, q_decontaminate, q_language, q_minhash, q_repair, q_sharding, q_simhash, q_substrings, q_suffixes, q_warc,
+    q_bpe, q_chat, q_decontaminate, q_language, q_minhash, q_repair, q_sharding, q_simhash, q_substrings, q_suffixes,
+    q_variants, q_warc,
 )
 
 QUERIES = {
@@ -16,6 +17,7 @@ QUERIES = {
     "op9_chat_format": q_chat.op9_chat_format,
     "op10_substring_dedup": q_substrings.op10_substring_dedup,
     "op11_conversation_repair": q_repair.op11_conversation_repair,
+    "op12_spelling_variants": q_variants.op12_spelling_variants,
 }
 
 ORACLES = {
@@ -24,4 +26,5 @@ ORACLES = {
     "op8_warc_bundles": q_warc.OP8_SQL,
     "op9_chat_format": q_chat.OP9_SQL,
     "op11_conversation_repair": q_repair.OP11_SQL,
+    "op12_spelling_variants": q_variants.OP12_SQL,
 }
