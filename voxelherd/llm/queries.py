@@ -1,8 +1,8 @@
 """Queries of this subpackage and the SQL they must agree with."""
 
 from voxelherd.llm import (
-    q_bpe, q_chat, q_decontaminate, q_language, q_minhash, q_repair, q_sharding, q_simhash, q_substrings, q_suffixes,
-    q_variants, q_warc,
+    q_bpe, q_chat, q_decontaminate, q_extract, q_language, q_minhash, q_repair, q_sharding, q_simhash, q_substrings,
+    q_suffixes, q_variants, q_warc,
 )
 
 QUERIES = {
@@ -18,6 +18,7 @@ QUERIES = {
     "op10_substring_dedup": q_substrings.op10_substring_dedup,
     "op11_conversation_repair": q_repair.op11_conversation_repair,
     "op12_spelling_variants": q_variants.op12_spelling_variants,
+    "op13_html_extraction": q_extract.op13_html_extraction,
 }
 
 ORACLES = {
