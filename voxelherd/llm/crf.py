@@ -32,11 +32,6 @@ class Chain:
     end: np.ndarray
 
 
-def _sum(a: np.ndarray, axis: int) -> np.ndarray:
-    top = a.max(axis=axis, keepdims=True)
-    return (top + np.log(np.exp(a - top).sum(axis=axis, keepdims=True))).squeeze(axis)
-
-
 def marginals(
     unary: np.ndarray, kinds: np.ndarray, sizes: np.ndarray, transitions: np.ndarray, start: np.ndarray, end: np.ndarray
 ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -47,13 +42,15 @@ def marginals(
     forward[:, 0] = unary[:, 0] + start
     moves = transitions[kinds]
     for i in range(1, t):
-        forward[:, i] = unary[:, i] + _sum(forward[:, i - 1, :, None] + moves[:, i - 1], 1)
+        reached = forward[:, i - 1, :, None] + moves[:, i - 1]
+        forward[:, i] = unary[:, i] + np.logaddexp(reached[:, 0], reached[:, 1])
     last = sizes - 1
     rows = np.arange(n)
-    total = _sum(forward[rows, last] + end, 1)
+    total = np.logaddexp(*(forward[rows, last] + end).T)
     for i in range(t - 1, -1, -1):
         if i + 1 < t:
-            backward[:, i] = _sum(moves[:, i] + (unary[:, i + 1] + backward[:, i + 1])[:, None, :], 2)
+            ahead = moves[:, i] + (unary[:, i + 1] + backward[:, i + 1])[:, None, :]
+            backward[:, i] = np.logaddexp(ahead[:, :, 0], ahead[:, :, 1])
         backward[:, i] = np.where((last == i)[:, None], end, backward[:, i])
     single = np.exp(forward + backward - total[:, None, None])
     pair = forward[:, :-1, :, None] + moves + (unary[:, 1:] + backward[:, 1:])[:, :, None, :] - total[:, None, None, None]

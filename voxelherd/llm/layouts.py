@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import html as entities
 import random
+from functools import lru_cache
 
 # Syllables of the invented words; accents and several endings, so that no language is learned.
 SYLLABLES = "an ber che con de en er es für gen hal in je ka lo mi né on pre qui ra sch ta un ver wo zu ó è".split()
@@ -27,6 +28,12 @@ NAMES = {
 }
 
 
+@lru_cache(maxsize=1)
+def _vocabulary() -> list[str]:
+    draw = random.Random(0)
+    return ["".join(draw.choices(SYLLABLES, k=draw.randint(1, 4))) for _ in range(4000)]
+
+
 class _Page:
     def __init__(self, seed: int) -> None:
         self.random = random.Random(seed)
@@ -37,11 +44,15 @@ class _Page:
         self.main: list[str] = []
 
     def words(self, n: int) -> list[str]:
-        return ["".join(self.random.choice(SYLLABLES) for _ in range(self.random.randint(1, 4))) for _ in range(n)]
+        return self.random.choices(_vocabulary(), k=n)
 
     def sentence(self, n: int | None = None) -> str:
         words = self.words(n or self.random.randint(1, 22))
-        text = " ".join(w + ("," if self.random.random() < 0.08 and i + 1 < len(words) else "") for i, w in enumerate(words))
+        for _ in range(self.random.randint(0, len(words) // 6)):
+            at = self.random.randrange(len(words))
+            if at + 1 < len(words):
+                words[at] += ","
+        text = " ".join(words)
         return text[:1].upper() + text[1:] + self.random.choice([".", ".", ".", "?", "!"])
 
     def prose(self, sentences: int) -> str:
