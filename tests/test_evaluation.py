@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from voxelherd.operators import meters, metrics
 from voxelherd.operators.probe import linear_probe
 from voxelherd.operators.quality import failure_report, require_finite, require_rows, CohortDataError
-from voxelherd.operators.ridge import ALPHAS, fit_cells, ridge_group_cv, top_coefficients
+from voxelherd.operators.ridge import ALPHAS, cell_of, fit_cells, merged, moved, ridge_group_cv, top_coefficients, triangle
 from voxelherd.sources import sinks
 from voxelherd.streaming.live_meters import compact_live_meters, read_live_meters, start_live_meters
 
@@ -198,12 +198,39 @@ def test_ridge_needs_two_groups(spark, cohort):
 
 
 def test_constant_target_prefers_first_penalty():
-    m = np.zeros((3, 3))
-    x = np.arange(6.0)
-    rows = np.column_stack([np.ones(6), x, np.full(6, 2.0)])
-    cells = [rows[:3].T @ rows[:3], rows[3:].T @ rows[3:]]
-    alpha, w, b, _ = fit_cells(cells, ALPHAS)
-    assert alpha == ALPHAS[0] and np.allclose(w, 0) and b == pytest.approx(2.0) and m.shape == (3, 3)
+    rows = np.column_stack([np.arange(6.0), np.full(6, 2.0)])
+    fit = fit_cells([cell_of(rows[:3]), cell_of(rows[3:])], ALPHAS)
+    assert fit.alpha == ALPHAS[0] and np.allclose(fit.slope, 0) and fit.level == pytest.approx(2.0)
+
+
+def test_factors_of_parts_are_the_factor_of_all():
+    rng = np.random.default_rng(8)
+    rows = rng.normal(1e6, 1, (500, 5)) * [1, 1e3, 1e-3, 1, 1]
+    parts = np.split(rows, [1, 3, 200, 201])
+    left = merged([merged([cell_of(p) for p in parts[:2]]), *(cell_of(p) for p in parts[2:])])
+    right = cell_of(rows)
+    a, b = (triangle(moved(cell, right.center)) for cell in (left, right))
+    assert np.allclose(np.abs(a), np.abs(b), rtol=1e-8, atol=1e-9 * np.abs(b).max(axis=0))
+    assert left.factor[0, 0] ** 2 == pytest.approx(500)
+
+
+def test_nearly_collinear_features_keep_their_digits(spark):
+    """The last feature repeats the sum of two others but for one part in 10^7; without a real
+    penalty the fit has to find its coefficient, which second moments (10^14) cannot."""
+    rng = np.random.default_rng(9)
+    x = rng.normal(0, 1, (4000, 3))
+    x = np.column_stack([x, x[:, 0] + x[:, 1] + 1e-7 * rng.normal(0, 1, 4000)])
+    y = x[:, :3] @ [1.0, -2.0, 0.5] + 3e7 * (x[:, 3] - x[:, 0] - x[:, 1]) + 40
+    data = pd.DataFrame({"id": range(4000), "group": np.arange(4000) % 40, "x": x.tolist(), "y": y})
+    fit = ridge_group_cv(spark.createDataFrame(data).repartition(70), "x", "y", "group", ["id"], alphas=[1e-16])
+    got = fit.predictions.toPandas()
+    assert (got["predicted"] - got["y"]).abs().max() < 1e-3
+    z = (x - x.mean(0)) / x.std(0)
+    want = np.linalg.lstsq(z, y - y.mean(), rcond=None)[0]
+    ours = {r["feature"]: r["standardized_coefficient"] for r in fit.coefficients.collect()}
+    assert np.allclose([ours[f"x{i}"] for i in range(4)], want, rtol=1e-4)
+    moments = z.T @ z
+    assert not np.allclose(np.linalg.solve(moments, z.T @ (y - y.mean())), want, rtol=1e-3)
 
 
 def test_probe_picks_best_penalty(spark):

@@ -12,6 +12,7 @@ from voxelherd.operators.quality import pivot_names
 from voxelherd.operators.ridge import ridge_group_cv, top_coefficients
 from voxelherd.plans.age_model import age_model
 from voxelherd.plans.registry import query
+from voxelherd.plans.ridge_sql import crc32_sql, ridge_sql
 from voxelherd.session import materialize
 
 TOTAL_REGION = metrics.TOTAL_REGION
@@ -213,22 +214,35 @@ def ridge_input(t):
     return t.embeddings.select("vec_id", "embedding", "label", (F.col("vec_id") % 50).alias("subject"))
 
 
-@query("ridge_cv")
+RIDGE_SRC = "src AS (SELECT vec_id AS id, vec_id % 50 AS s, list_transform(embedding, lambda v: v::DOUBLE) AS x, label::DOUBLE AS y, label FROM embeddings)"
+
+
+def rounded_fit(df, *columns):
+    return df.withColumns({c: F.round(c, 6) for c in columns})
+
+
+@query("ridge_cv", ridge_sql(RIDGE_SRC, 64, """
+SELECT id AS vec_id, s AS subject, label, outer_fold, alpha, round(predicted, 6) AS predicted,
+       round(predicted - y, 6) AS residual, round(abs(predicted - y), 6) AS absolute_error FROM predicted"""))
 def ridge_cv(t):
     fit = ridge_group_cv(ridge_input(t), "embedding", "label", "subject", ["vec_id"])
-    return fit.predictions.select("vec_id", "subject", "label", "outer_fold", "alpha", "predicted", "residual", "absolute_error")
+    found = rounded_fit(fit.predictions, "predicted", "residual", "absolute_error")
+    return found.select("vec_id", "subject", "label", "outer_fold", "alpha", "predicted", "residual", "absolute_error")
 
 
-@query("ridge_cv_contiguous")
+@query("ridge_cv_contiguous", ridge_sql(RIDGE_SRC, 64, """
+SELECT id AS vec_id, s AS subject, label, outer_fold, alpha, round(predicted, 6) AS predicted FROM predicted""", inner="contiguous"))
 def ridge_cv_contiguous(t):
     fit = ridge_group_cv(ridge_input(t), "embedding", "label", "subject", ["vec_id"], inner="contiguous")
-    return fit.predictions.select("vec_id", "subject", "label", "outer_fold", "alpha", "predicted")
+    return rounded_fit(fit.predictions, "predicted").select("vec_id", "subject", "label", "outer_fold", "alpha", "predicted")
 
 
-@query("ridge_fit")
+@query("ridge_fit", ridge_sql(RIDGE_SRC, 64, """
+SELECT 'x' || (i - 1) AS feature, round(v, 6) AS standardized_coefficient
+FROM (SELECT unnest(range(1, 65)) AS i, unnest(w) AS v FROM fits WHERE model = 0) ORDER BY abs(v) DESC LIMIT 15"""))
 def ridge_fit(t):
     fit = ridge_group_cv(ridge_input(t), "embedding", "label", "subject", ["vec_id"])
-    return top_coefficients(fit.coefficients, 15)
+    return rounded_fit(top_coefficients(fit.coefficients, 15), "standardized_coefficient")
 
 
 @query("ridge_line", """
@@ -337,8 +351,26 @@ def region_study(t):
     return rows, people, ages.withColumn("age", age)
 
 
-@query("age_model")
+AGE_SRC = f"""study AS (
+  SELECT 'sub-' || l_orderkey % 300 AS participant_id, 'wave' || (l_orderkey % 3 + 1) AS wave,
+         'sub-' || l_orderkey % 300 || '_ses-wave' || (l_orderkey % 3 + 1) || '_o' || l_orderkey AS id,
+         sum(l_extendedprice) AS tiv, sum(l_quantity) AS lefts, sum(l_tax) + 1 AS rights, min(l_quantity) AS qc_min
+  FROM lineitem GROUP BY l_orderkey
+), people AS (
+  SELECT participant_id, {crc32_sql('participant_id')} % 60 AS draw
+  FROM (SELECT DISTINCT 'sub-' || c_custkey % 250 AS participant_id FROM customer)
+), src AS (
+  SELECT id, participant_id AS s, wave, qc_min, [lefts / tiv, rights / tiv] AS x,
+         20.0::DOUBLE + draw + right(wave, 1)::INTEGER * 4 AS y
+  FROM study JOIN people USING (participant_id) WHERE qc_min >= 2
+)"""
+
+
+@query("age_model", ridge_sql(AGE_SRC, 2, """
+SELECT id AS pat_id, s AS participant_id, wave, y AS age, qc_min, round(predicted, 6) AS predicted,
+       round(predicted - y, 6) AS residual, outer_fold, alpha FROM predicted"""))
 def age_model_predictions(t):
     rows, people, ages = region_study(t)
     found = age_model(rows, rows, people, ages, [TOTAL_REGION, "left", "right"], min_qc=2.0)
-    return found.predictions.select("pat_id", "participant_id", "wave", "age", "qc_min", "predicted", "residual", "outer_fold", "alpha")
+    rounded = rounded_fit(found.predictions, "predicted", "residual")
+    return rounded.select("pat_id", "participant_id", "wave", "age", "qc_min", "predicted", "residual", "outer_fold", "alpha")
