@@ -8,9 +8,10 @@ from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from voxelherd.operators import meters, metrics
-from voxelherd.operators.probe import linear_probe
+from voxelherd.operators.probe import fit_heads, linear_probe, pack_blocks
 from voxelherd.operators.quality import failure_report, require_finite, require_rows, CohortDataError
 from voxelherd.operators.ridge import ALPHAS, cell_of, fit_cells, merged, moved, ridge_group_cv, top_coefficients, triangle
+from voxelherd.session import materialize
 from voxelherd.sources import sinks
 from voxelherd.streaming.live_meters import compact_live_meters, read_live_meters, start_live_meters
 
@@ -241,6 +242,55 @@ def test_probe_picks_best_penalty(spark):
     assert got["test_auroc"].min() > 0.8
 
 
+def logistic_by_rows(x, y, penalty):
+    """Plain gradient descent with a shrinking step until nothing moves, on standardized features."""
+    z = np.column_stack([(x - x.mean(0)) / x.std(0, ddof=1), np.ones(len(x))])
+    ridge = np.append(np.full(x.shape[1], penalty), 0)
+    w = np.zeros(z.shape[1])
+    rate = 4 / np.linalg.eigvalsh(z.T @ z / len(z)).max()
+    for _ in range(20_000):
+        w -= rate * (z.T @ (1 / (1 + np.exp(-z @ w)) - y) / len(y) + ridge * w) / (1 + rate * penalty)
+    return w[:-1] / x.std(0, ddof=1), w[-1] - w[:-1] @ (x.mean(0) / x.std(0, ddof=1))
+
+
+def packed(spark, x, y, parts=5):
+    rows = spark.createDataFrame(pd.DataFrame({"f": x.tolist(), "y": y, "s": "train"})).repartition(parts)
+    return pack_blocks(rows, "f", "y", "s")
+
+
+def test_heads_match_a_fit_by_rows(spark):
+    rng = np.random.default_rng(6)
+    x = rng.normal(3, 2, (300, 4)) * [1, 10, 0.1, 1]
+    y = (rng.random(300) < 1 / (1 + np.exp(-(x[:, 0] - 3) + 0.2 * (x[:, 1] - 30)))).astype(float)
+    got = fit_heads(packed(spark, x, y), [0.001, 0.1, 5.0])
+    for head, penalty in zip(got, [0.001, 0.1, 5.0]):
+        slope, level = logistic_by_rows(x, y, penalty)
+        assert np.allclose(head[:-1], slope, rtol=1e-5, atol=1e-7) and head[-1] == pytest.approx(level, rel=1e-5, abs=1e-5)
+
+
+def test_separable_constant_and_missing_classes(spark):
+    x = np.column_stack([np.arange(40.0), np.full(40, 7.0)])
+    heads = fit_heads(packed(spark, x, (x[:, 0] > 20).astype(float)), [0.0, 0.01], max_iter=6)
+    assert np.isfinite(heads).all() and (heads[:, 0] > 0).all() and (heads[:, 1] == 0).all()
+    assert np.isfinite(fit_heads(packed(spark, x, np.ones(40)), [0.1])).all()
+    assert fit_heads(packed(spark, x, np.ones(40)).where("n < 0"), [0.1]) is None
+    empty = spark.createDataFrame([], "f array<double>, y int, s string")
+    assert [tuple(r) for r in linear_probe(empty, "f", "y", "s", [0.1, 1.0]).collect()] == [(0.1, None, None, True), (1.0, None, None, False)]
+
+
+def test_jobs_do_not_grow_with_the_penalties(spark):
+    rng = np.random.default_rng(7)
+    x = rng.normal(0, 1, (200, 3))
+    blocks = materialize(packed(spark, x, (x[:, 0] + rng.normal(0, 1, 200) > 0).astype(float)))
+
+    def jobs(penalties):
+        before = spark.sparkContext.statusTracker().getJobIdsForGroup(None)
+        fit_heads(blocks, penalties)
+        return len(set(spark.sparkContext.statusTracker().getJobIdsForGroup(None)) - set(before))
+
+    assert jobs([0.01] * 8) == jobs([0.01])
+
+
 # --- meters --------------------------------------------------------------------------
 
 def test_meter_windows_match_a_deque(spark):

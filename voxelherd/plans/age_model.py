@@ -42,7 +42,8 @@ def age_model(
     """
     scans = volumes.select("pat_id").distinct()
     labeled, _ = m.label_lookup(materialize(scans), participants, ages, units="years")
-    good = m.qc_filter(labeled, qc, "pat_id", min_qc)
+    # Written once: the names of regions, the features and the labels read it.
+    good = materialize(m.qc_filter(labeled, qc, "pat_id", min_qc))
     wide = m.pivot_regions(volumes.join(good.select("pat_id"), on="pat_id", how="left_semi"), "pat_id", regions)
     features = m.build_features(wide, normalize)
     if not features:

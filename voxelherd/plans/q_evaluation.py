@@ -12,7 +12,7 @@ from voxelherd.operators.quality import pivot_names
 from voxelherd.operators.ridge import ridge_group_cv, top_coefficients
 from voxelherd.plans.age_model import age_model
 from voxelherd.plans.registry import query
-from voxelherd.plans.ridge_sql import crc32_sql, ridge_sql
+from voxelherd.plans.ridge_sql import crc32_sql, probe_sql, ridge_sql
 from voxelherd.session import materialize
 
 TOTAL_REGION = metrics.TOTAL_REGION
@@ -267,12 +267,32 @@ def ridge_line(t):
     )
 
 
-@query("probe")
+PROBE_SPLIT = "CASE WHEN b < 80 THEN 'train' WHEN b < 90 THEN 'val' ELSE 'test' END AS split"
+
+
+@query("probe", probe_sql(f"""src AS (
+  SELECT vec_id AS id, {PROBE_SPLIT}, list_transform(embedding, lambda v: v::DOUBLE) AS x, (label >= 5)::INTEGER::DOUBLE AS y
+  FROM (SELECT *, CAST('0x' || substr(md5('3-' || vec_id), 1, 8) AS BIGINT) % 100 AS b FROM embeddings)
+)""", 64, [0.001, 0.01, 0.1]))
 def probe(t):
     rows = t.embeddings.select(
         "embedding", (F.col("label") >= 5).cast("int").alias("y"), split_assign(F.col("vec_id"), seed=3).alias("split")
     )
-    return linear_probe(rows, "embedding", "y", "split", [0.001, 0.01, 0.1])
+    found = linear_probe(rows, "embedding", "y", "split", [0.001, 0.01, 0.1])
+    return found.withColumns({c: F.round(c, 8) for c in ("val_auroc", "test_auroc")})
+
+
+@query("probe_line", probe_sql(f"""src AS (
+  SELECT o_orderkey AS id, {PROBE_SPLIT}, [o_totalprice] AS x, (o_orderstatus = 'F')::INTEGER::DOUBLE AS y
+  FROM (SELECT *, CAST('0x' || substr(md5('5-' || o_orderkey), 1, 8) AS BIGINT) % 100 AS b FROM orders)
+)""", 1, [0.01, 1.0]))
+def probe_line(t):
+    rows = t.orders.select(
+        F.array("o_totalprice").alias("x"), (F.col("o_orderstatus") == "F").cast("int").alias("y"),
+        split_assign(F.col("o_orderkey"), seed=5).alias("split"),
+    )
+    found = linear_probe(rows, "x", "y", "split", [0.01, 1.0])
+    return found.withColumns({c: F.round(c, 8) for c in ("val_auroc", "test_auroc")})
 
 
 # --- metric logs ---------------------------------------------------------------------

@@ -111,3 +111,66 @@ predicted AS (
   FROM folded JOIN fits ON folded.fold = fits.model JOIN scale ON folded.fold = scale.model JOIN level ON folded.fold = level.model
 )
 {tail}"""
+
+
+def _eliminated(name: str, systems: str, d: int) -> str:
+    """CTE ``name`` (alpha, w) from ``systems`` (alpha, m): rows of a matrix of d + 1 columns, the last is the right side."""
+    return f"""{name}_steps AS (
+  SELECT alpha, m, 0 AS k, {d} + 1 AS c FROM {systems}
+  UNION ALL
+  SELECT alpha, list_transform(range({d} * (c - 1)), lambda p:
+    CASE WHEN p // (c - 1) = k THEN m[k * c + p % (c - 1) + 2] / m[k * c + 1]
+         ELSE m[p // (c - 1) * c + p % (c - 1) + 2] - m[p // (c - 1) * c + 1] * m[k * c + p % (c - 1) + 2] / m[k * c + 1] END), k + 1, c - 1
+  FROM {name}_steps WHERE k < {d}
+),
+{name} AS (SELECT alpha, m AS w FROM {name}_steps WHERE k = {d})"""
+
+
+def probe_sql(source: str, d: int, penalties: Sequence[float], steps: int = 7) -> str:
+    """Probe results from ``src`` (id, split, x as a list, y of 0 and 1), by plain Newton steps."""
+    n = d + 1
+    ridge = f"CASE WHEN i < {n} THEN alpha ELSE 0 END"
+    parts = [f"""
+WITH RECURSIVE {source},
+heads AS (SELECT unnest([{', '.join(f'{p!r}::DOUBLE' for p in penalties)}]) AS alpha),
+long AS (SELECT unnest(range(1, {n})) AS i, unnest(x) AS v FROM src WHERE split = 'train'),
+scale AS (SELECT list(m ORDER BY i) AS mean, list(s ORDER BY i) AS dev FROM (SELECT i, avg(v) AS m, stddev_samp(v) AS s FROM long GROUP BY i)),
+rows AS (
+  SELECT id, split, y, list_concat(list_transform(range(1, {n}), lambda i: (x[i] - mean[i]) / dev[i]), [1::DOUBLE]) AS v FROM src, scale
+),
+train AS (SELECT * FROM rows WHERE split = 'train'),
+w0 AS (
+  SELECT alpha, list_concat(list_transform(range(1, {n}), lambda i: 0::DOUBLE), [level]) AS w
+  FROM heads, (SELECT ln(avg(y) / (1 - avg(y))) AS level FROM train)
+)"""]
+    for k in range(steps):
+        parts.append(f"""
+p{k} AS (SELECT alpha, y, v, w, 1 / (1 + exp(-list_inner_product(w, v))) AS p FROM w{k}, train),
+g{k} AS (
+  SELECT alpha, i, avg((p - y) * a) + {ridge} * any_value(w[i]) AS g
+  FROM (SELECT alpha, y, p, w, unnest(range(1, {n} + 1)) AS i, unnest(v) AS a FROM p{k}) GROUP BY alpha, i
+),
+h{k} AS (
+  SELECT alpha, i, j, avg(c * a * b) + CASE WHEN i = j THEN {ridge} ELSE 0 END AS h FROM (
+    SELECT alpha, c, i, a, unnest(range(1, {n} + 1)) AS j, unnest(v) AS b
+    FROM (SELECT alpha, p * (1 - p) AS c, v, unnest(range(1, {n} + 1)) AS i, unnest(v) AS a FROM p{k})
+  ) GROUP BY alpha, i, j
+),
+m{k} AS (
+  SELECT alpha, list(v ORDER BY i, j) AS m
+  FROM (SELECT alpha, i, j, h AS v FROM h{k} UNION ALL SELECT alpha, i, {n} + 1, g FROM g{k}) GROUP BY alpha
+),
+{_eliminated(f's{k}', f'm{k}', n)},
+w{k + 1} AS (SELECT a.alpha, list_transform(range(1, {n} + 1), lambda i: a.w[i] - s.w[i]) AS w FROM w{k} a JOIN s{k} s ON a.alpha = s.alpha)""")
+    return ",".join(parts) + f""",
+scored AS (SELECT alpha, split, y, list_inner_product(w, v) AS score FROM w{steps}, rows WHERE split <> 'train'),
+ranked AS (
+  SELECT *, rank() OVER (PARTITION BY alpha, split ORDER BY score) + (count(*) OVER (PARTITION BY alpha, split, score) - 1) / 2.0::DOUBLE AS mid FROM scored
+),
+areas AS (
+  SELECT alpha, split, (sum(mid) FILTER (y = 1) - pos * (pos + 1) / 2.0::DOUBLE) / (pos * neg) AS area
+  FROM (SELECT *, count(*) FILTER (y = 1) OVER w AS pos, CAST(count(*) FILTER (y = 0) OVER w AS DOUBLE) AS neg FROM ranked WINDOW w AS (PARTITION BY alpha, split))
+  GROUP BY alpha, split, pos, neg
+),
+wide AS (SELECT alpha, max(area) FILTER (split = 'val') AS val, max(area) FILTER (split = 'test') AS test FROM areas GROUP BY alpha)
+SELECT alpha AS penalty, round(val, 8) AS val_auroc, round(test, 8) AS test_auroc, row_number() OVER (ORDER BY val DESC NULLS LAST, alpha) = 1 AS chosen FROM wide"""
