@@ -14,6 +14,7 @@ from voxelherd.operators.ridge import ALPHAS, cell_of, fit_cells, merged, moved,
 from voxelherd.session import materialize
 from voxelherd.sources import sinks
 from voxelherd.streaming.live_meters import compact_live_meters, read_live_meters, start_live_meters
+from voxelherd.streaming.live_windows import read_live_windows, start_live_windows
 
 
 def test_metrics_match_numpy(spark):
@@ -351,3 +352,44 @@ def test_live_meters_over_two_runs(spark, tmp_path):
     run()
     again = {r["run"]: (r["count"], r["global_avg"]) for r in read_live_meters(spark, str(tmp_path / "out"), ["run", "metric"]).collect()}
     assert again == {"r": (3, 5.0), "s": (2, 2.0), "t": (1, 7.0)}
+
+
+def test_live_windows_over_runs_equal_the_batch(spark, tmp_path):
+    """The log arrives in three files, one a run; the windows go on where they were."""
+    rng = np.random.default_rng(3)
+    rows = []
+    for i in range(600):
+        value = float(rng.integers(0, 50)) if i % 11 else [float("nan"), float("inf"), None][i % 3]
+        rows.append(("hot" if i % 3 else f"r{i % 7}", "loss", 1_700_000_000 + i // 2, i, value))
+    names = ("run", "metric", "at", "number", "value")
+    schema = "run string, metric string, at timestamp, number long, value double"
+    (tmp_path / "log").mkdir()
+    out, done = str(tmp_path / "out"), []
+
+    def arrive(name, part):
+        spark.createDataFrame([(*r[:2], r[2], *r[3:]) for r in part], schema.replace("timestamp", "long")).withColumn(
+            "at", F.timestamp_seconds("at")
+        ).coalesce(1).write.mode("append").parquet(str(tmp_path / "log"))
+        done.extend(part)
+        stream = spark.readStream.schema(schema).parquet(str(tmp_path / "log"))
+        start_live_windows(stream, ["run", "metric"], "at", "number", "value", out, str(tmp_path / "state")).awaitTermination()
+
+    for at, stop in ((0, 7), (7, 300), (300, 600)):
+        arrive(at, rows[at:stop])
+    batch = spark.createDataFrame(rows, schema.replace("timestamp", "long")).withColumn("at", F.timestamp_seconds("at"))
+    want = meters.meter_window(batch, ["run", "metric"], ["at", "number"], "value", chunk=64).toPandas().sort_values("number", ignore_index=True)
+    got = read_live_windows(spark, out).toPandas().sort_values("number", ignore_index=True)
+    assert len(got) == len(want) == len(done) - sum(r[4] is None or not np.isfinite(r[4]) for r in rows) and not got["late"].any()
+    for name in ("run", "at", "number", "step"):
+        assert got[name].tolist() == want[name].tolist()
+    for name in ("median", "avg", "max", "value"):
+        assert np.allclose(got[name], want[name])
+
+    # Late rows enter no window, and those in order go on as if they had not come.
+    arrive(9, [("hot", "loss", 1_699_999_000, 5, 1e9), ("hot", "loss", 1_700_000_900, 9000, 3.0), ("new", "loss", 5, 1, 2.0)])
+    more = read_live_windows(spark, out).where("number IN (5, 9000) AND value > 2.5 AND (late OR number = 9000) OR run = 'new'").toPandas()
+    late, new = more[more["late"]], more[more["number"] == 9000].iloc[0]
+    assert late["value"].tolist() == [1e9] and late["step"].isna().all() and late["median"].isna().all()
+    last = [r[4] for r in rows if r[0] == "hot" and r[4] is not None and np.isfinite(r[4])][-19:] + [3.0]
+    assert new["avg"] == pytest.approx(np.mean(last)) and new["max"] == max(last) and new["median"] == sorted(last)[9]
+    assert more[more["run"] == "new"][["step", "median"]].values.tolist() == [[0, 2.0]]

@@ -298,7 +298,12 @@ def probe_line(t):
 # --- metric logs ---------------------------------------------------------------------
 
 def log_rows(t):
-    return t.events.select(
+    return finite_log(t.events)
+
+
+def finite_log(events):
+    """Events as a metric log in which some values are not finite."""
+    return events.select(
         F.col("user_id").alias("run"), F.col("event_type").alias("metric"), "ts", "event_id",
         F.when(F.col("event_id") % 50 == 0, float("nan")).when(F.col("event_id") % 71 == 0, float("inf"))
         .otherwise(F.col("value")).alias("value"),

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from voxelherd.plans.q_evaluation import FINITE_SQL, finite_log
 from voxelherd.plans.registry import query
 from voxelherd.session import scratch_folder
-from voxelherd.streaming.image_index import read_image_index, start_image_index
+from voxelherd.streaming.image_index import read_image_index, start_index
 from voxelherd.streaming.live_meters import read_live_meters, start_live_meters
+from voxelherd.streaming.live_windows import read_live_windows, start_live_windows
 
 
 @query("stream_meters", """
@@ -21,8 +23,31 @@ def stream_meters(t):
     return read_live_meters(t.spark, f"{folder}/out", ["run", "metric"]).withColumn("global_avg", F.round("global_avg", 9))
 
 
-@query("stream_index")
+@query("stream_window", f"""WITH {FINITE_SQL},
+w AS (SELECT *, row_number() OVER o - 1 AS step, list_sort(list(value) OVER (o ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)) AS l,
+      avg(value) OVER (o ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) AS a, max(value) OVER (o ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) AS m
+      FROM e WINDOW o AS (PARTITION BY run, metric ORDER BY ts, event_id))
+SELECT run, metric, event_id, step, l[(len(l) - 1) // 2 + 1] AS median, round(a, 6) AS avg, m AS max, value, false AS late FROM w""")
+def stream_window(t):
+    stream = t.spark.readStream.schema(t.events.schema).option("pathGlobFilter", "events.parquet").parquet(t.folder)
+    folder = scratch_folder(t.spark)
+    start_live_windows(
+        finite_log(stream), ["run", "metric"], "ts", "event_id", "value", f"{folder}/out", f"{folder}/state"
+    ).awaitTermination()
+    made = read_live_windows(t.spark, f"{folder}/out")
+    return made.select("run", "metric", "event_id", "step", "median", F.round("avg", 6).alias("avg"), "max", "value", "late")
+
+
+@query("stream_index", """
+SELECT 'd' || doc_id || '.nii' AS path, strlen(text) AS size, md5(text) AS md5,
+       row_number() OVER (PARTITION BY md5(text) ORDER BY 'd' || doc_id || '.nii') > 1 AS duplicate FROM documents""")
 def stream_index(t):
+    stream = t.spark.readStream.schema(t.documents.schema).option("pathGlobFilter", "documents.parquet").parquet(t.folder)
+    content = F.encode("text", "UTF-8")
+    files = stream.select(
+        F.concat(F.lit("d"), F.col("doc_id"), F.lit(".nii")).alias("path"), F.length(content).cast("bigint").alias("size"),
+        content.alias("content"),
+    )
     folder = scratch_folder(t.spark)
-    start_image_index(t.spark, t.folder, f"{folder}/out", f"{folder}/state", "*.parquet", 5).awaitTermination()
+    start_index(files, f"{folder}/out", f"{folder}/state").awaitTermination()
     return read_image_index(t.spark, f"{folder}/out").select("path", "size", "md5", "duplicate")
