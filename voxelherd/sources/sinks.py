@@ -2,20 +2,16 @@
 
 from __future__ import annotations
 
-import io
-import json
-import tarfile
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import numpy as np
-import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from voxelherd.operators.packaging import shard_name
 from voxelherd.operators.quality import pivot_names
-from voxelherd.session import materialize
+from voxelherd.session import scratch_folder, ship_package
+from voxelherd.sources.shards import ShardSource
 from voxelherd.sources.volumes import build_samples
 
 # Column order of the exported tables.
@@ -63,18 +59,6 @@ def write_report(report: DataFrame, path: str, overwrite: bool = False) -> None:
     report.coalesce(1).write.mode(save_mode(overwrite)).text(path)
 
 
-def _npy(values: np.ndarray) -> bytes:
-    buffer = io.BytesIO()
-    np.save(buffer, values)
-    return buffer.getvalue()
-
-
-def _add(tar: tarfile.TarFile, name: str, data: bytes) -> None:
-    entry = tarfile.TarInfo(name)
-    entry.size = len(data)
-    tar.addfile(entry, io.BytesIO(data))
-
-
 def write_file_shards(
     plan: DataFrame, source: str, root: str, pattern: str = "shard-%06d.tar", overwrite: bool = False
 ) -> DataFrame:
@@ -91,64 +75,31 @@ def write_file_shards(
 def write_shards(
     samples: DataFrame, root: str, pattern: str = "shard-%06d.tar", overwrite: bool = False, placed: bool = False
 ) -> DataFrame:
-    """Write one tar per shard and return what was written: shard, path, samples, bytes.
+    """Write one tar per shard and return what was written: path, n_samples, bytes.
 
     ``samples`` has shard, key, image, mask, shape and meta (JSON text). A shard is
     bounded by the shard plan; its rows are streamed into the archive in key order, one
-    Arrow batch at a time. The archive appears under its name only when complete, so a
-    repeated task replaces its own output. All are written when this returns; shards of
-    an earlier run that are not replaced are deleted after that. Rows that are ``placed``
-    have each shard in one partition already, in key order.
+    Arrow batch at a time. Archives appear under their names when all are complete, see
+    ``shards``; shards of an earlier run that are not replaced are deleted then. Rows
+    that are ``placed`` have each shard in one partition already, in key order.
     """
-    if "://" not in root and not samples.sparkSession.sparkContext.master.startswith("local"):
+    spark = samples.sparkSession
+    if "://" not in root and not spark.sparkContext.master.startswith("local"):
         raise ValueError(f"{root} has no scheme: on a cluster it would be a disk of each executor")
     target, base = fs.FileSystem.from_uri(root)
-    present = [] if target.get_file_info(base).type == fs.FileType.NotFound else [
-        f.path for f in target.get_file_info(fs.FileSelector(base)) if f.path.endswith(".tar")
-    ]
-    if present and not overwrite:
-        raise FileExistsError(f"{len(present)} shards already in {root}")
-    target.create_dir(base, recursive=True)
-
-    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out, folder = fs.FileSystem.from_uri(root)
-        name, tar, stream, done, count = None, None, None, [], 0
-
-        def close() -> None:
-            tar.close()
-            stream.close()
-            out.move(f"{folder}/.{name}.part", f"{folder}/{name}")
-            done.append((name, count, out.get_file_info(f"{folder}/{name}").size))
-
-        for batch in batches:
-            small = batch.select(["name", "key", "shape", "meta"]).to_pylist()
-            for row, image, mask in zip(small, batch.column("image"), batch.column("mask")):
-                if row["name"] != name:
-                    if tar is not None:
-                        close()
-                    name, count = row["name"], 0
-                    stream = out.open_output_stream(f"{folder}/.{name}.part")
-                    tar = tarfile.open(fileobj=stream, mode="w|")
-                key = row["key"]
-                for part, cells, kind in (("image", image, np.float32), ("mask", mask, np.uint8)):
-                    values = cells.values.to_numpy(zero_copy_only=False).astype(kind, copy=False)
-                    _add(tar, f"{key}.{part}.npy", _npy(values.reshape(row["shape"])))
-                _add(tar, f"{key}.meta.json", json.dumps(json.loads(row["meta"])).encode())
-                count += 1
-        if tar is not None:
-            close()
-        if done:
-            names, counts, sizes = zip(*done)
-            yield pa.RecordBatch.from_pydict({
-                "path": pa.array([f"{folder}/{n}" for n in names]),
-                "n_samples": pa.array(counts, pa.int64()), "bytes": pa.array(sizes, pa.int64()),
-            })
-
-    named = samples.select(shard_name(F.col("shard"), pattern).alias("name"), "key", "image", "mask", "shape", "meta")
+    if not overwrite and target.get_file_info(base).type != fs.FileType.NotFound:
+        present = [f for f in target.get_file_info(fs.FileSelector(base)) if f.path.endswith(".tar")]
+        if present:
+            raise FileExistsError(f"{len(present)} shards already in {root}")
+    named = samples.select(
+        shard_name(F.col("shard"), pattern).alias("name"), F.col("key").cast("string").alias("key"),
+        F.col("image").cast("array<float>").alias("image"), F.col("mask").cast("array<tinyint>").alias("mask"),
+        F.col("shape").cast("array<int>").alias("shape"), "meta",
+    )
     rows = named if placed else named.repartition("name").sortWithinPartitions("name", "key")
-    written = materialize(rows.mapInArrow(write, "path string, n_samples bigint, bytes bigint"))
-    kept = {row["path"] for row in written.select("path").collect()}
-    for path in present:
-        if path not in kept:
-            target.delete_file(path)
-    return written
+    ship_package(spark)
+    spark.dataSource.register(ShardSource)
+    manifest = scratch_folder(spark)
+    mode = "overwrite" if overwrite else "append"
+    rows.write.format(ShardSource.name()).mode(mode).option("manifest", manifest).save(root)
+    return spark.read.schema("path string, n_samples bigint, bytes bigint").json(manifest)
