@@ -4,11 +4,14 @@ import struct
 
 import numpy as np
 import pytest
+from pyspark.sql import datasource as api
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType, _parse_datatype_string
 
 from voxelherd.sources.images import (
     HeadReader, content_md5, decode_headers, incremental_index, index_images, list_images, parse_bids_path, read_files, read_headers,
 )
+from voxelherd.sources import image_source
 from voxelherd.streaming.image_index import read_image_index, start_image_index
 
 
@@ -186,3 +189,66 @@ def test_stream_picks_up_only_new_files(spark, tree):
     assert set(batch.columns) <= set(index.columns)
     first = index.where(F.col("path").endswith("sub-1_T1w.nii.gz")).first()
     assert first["shape"] == [4, 5, 6] and first["entities"]["sub"] == "1" and first["reason"] is None
+
+
+# --- the image source ----------------------------------------------------------------
+
+def reader_of(root, columns=("path", "size", "dataset", "suffix"), partition_bytes=1000):
+    every = _parse_datatype_string(image_source.SCHEMA)
+    return image_source.ImageReader(str(root), StructType([every[c] for c in columns]), partition_bytes)
+
+
+def test_scan_gives_the_rows_of_the_index(spark, tree):
+    index, rejects = index_images(spark, str(tree))
+    found = image_source.scan_images(spark, str(tree), ["path", "size", "dataset", "suffix", "md5", "shape", "pixdim", "dtype", "orient", "reason"])
+    got = {r["path"]: r for r in found.collect()}
+    for row in index.collect():
+        own = got[row["path"]]
+        assert all(own[c] == row[c] for c in ("size", "dataset", "suffix", "md5", "shape", "pixdim", "dtype", "orient")) and own["reason"] is None
+    for row in rejects.where("stage = 'header'").collect():
+        assert got[row["path"]]["reason"] == row["reason"]
+    listed = image_source.scan_images(spark, str(tree))
+    assert {(r["path"], r["size"]) for r in listed.collect()} == {(r["path"], r["size"]) for r in list_images(spark, str(tree)).collect()}
+    modified = {r["path"]: r["modified"] for r in listed.collect()}
+    assert {r["path"]: r["modificationTime"] for r in list_images(spark, str(tree)).collect()}.keys() == modified.keys()
+
+
+def test_filters_reach_the_listing(spark, tree):
+    found = image_source.scan_images(spark, str(tree), ["path", "size", "dataset", "suffix"])
+    kept = found.where("dataset IN ('ds1', 'none') AND suffix = 'T1w' AND size > 10 AND path LIKE 'ds1/sub%' AND path LIKE '%gz'")
+    plan = kept._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+    pushed, rest = plan.split("PushedFilters: ")[1].split("\n", 1)
+    for one in ("In(dataset", "EqualTo(suffix,T1w)", "GreaterThan(size,10)", "StringStartsWith(path,ds1/sub)"):
+        assert one in pushed
+    assert "EndsWith(path" in rest and "suffix" not in rest.split("Condition")[1].split("\n")[0]
+    want = {r["path"] for r in found.collect() if r["dataset"] == "ds1" and r["suffix"] == "T1w" and r["size"] > 10 and r["path"].endswith("gz")}
+    assert {r["path"] for r in kept.collect()} == want and want
+
+
+def test_only_listed_datasets_are_visited_and_small_columns_open_nothing(tree):
+    reader = reader_of(tree)
+    left = list(reader.pushFilters([api.EqualTo(("dataset",), "ds1"), api.In(("dataset",), ("ds1", "ds2")), api.StringEndsWith(("path",), "z")]))
+    assert [type(f) for f in left] == [api.StringEndsWith] and reader.datasets == {"ds1"}
+    assert {p.split("/")[0] for p, *_ in reader.listing()} == {"ds1"}
+    parts = reader.partitions()
+    for _, path in [(0, p) for part in parts for p, *_ in part.files]:
+        (tree / path).chmod(0)
+        (tree / path).unlink()
+    rows = [r for part in parts for batch in reader.read(part) for r in batch.to_pylist()]
+    assert rows and all(r["dataset"] == "ds1" and r["size"] > 0 for r in rows)
+
+
+def test_partitions_follow_bytes_when_files_are_opened(tmp_path):
+    for i in range(30):
+        (tmp_path / f"d{i % 3}").mkdir(exist_ok=True)
+        (tmp_path / f"d{i % 3}" / f"sub-{i}_T1w.nii").write_bytes(header() + b"x" * (100 * i))
+    opened = reader_of(tmp_path, ("path", "md5"), 5000).partitions()
+    assert len(opened) > 5 and sum(len(p.files) for p in opened) == 30
+    assert all(sum(f[1] for f in p.files) <= 5000 or len(p.files) == 1 for p in opened)
+    assert len(reader_of(tmp_path, ("path", "size"), 5000).partitions()) == 1
+    assert [p.files for p in reader_of(tmp_path / "d0", ("path",), 1).partitions()] and reader_of(tmp_path, ("path",)).partitions()[0].files
+    (tmp_path / "none").mkdir()
+    assert [p.files for p in reader_of(tmp_path / "none").partitions()] == [[]]
+    # Without the hash a file is read as far as its header.
+    whole = next(iter(reader_of(tmp_path, ("path", "shape", "reason")).read(opened[0])))
+    assert whole.column("shape").to_pylist() == [[4, 5, 6]] * whole.num_rows and set(whole.column("reason").to_pylist()) == {None}

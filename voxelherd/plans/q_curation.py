@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from functools import partial
+
+import numpy as np
+from pyarrow import fs
 from pyspark.sql import functions as F
 
 from voxelherd.functions.columns import bids_fields, path_order, scan_key_fields, wave_fields
@@ -10,8 +14,10 @@ from voxelherd.operators.ordering import dedup_first, sorted_curve
 from voxelherd.plans.analogs import EXCLUDED, IMAGES_SQL, images, participants
 from voxelherd.plans.curate import curate
 from voxelherd.plans.registry import query
+from voxelherd.session import scratch_folder
 from voxelherd.sources.volumes import decode_volumes
-from voxelherd.sources.images import content_md5, filter_listing, incremental_index, read_headers
+from voxelherd.sources.image_source import scan_images
+from voxelherd.sources.images import HEADER, content_md5, filter_listing, incremental_index, read_headers
 from voxelherd.sources.tables import parse_list_column
 
 WITH = f"WITH {IMAGES_SQL}"
@@ -378,3 +384,34 @@ def header_index(t):
         "path", F.get("shape", F.lit(0)).alias("nx"), F.get("shape", F.lit(2)).alias("nz"),
         F.get("pixdim", F.lit(0)).alias("dx"), "dtype", "orient", "reason",
     )
+
+
+@query("image_scan", """
+SELECT 'ds' || s_suppkey % 4 || '/sub-' || s_suppkey || '/anat/sub-' || s_suppkey || '_' || CASE WHEN s_suppkey % 3 = 0 THEN 'T1w' ELSE 'T2w' END || '.nii' AS path,
+       CAST(348 + s_suppkey % 50 AS BIGINT) AS size, 'T1w' AS suffix, CAST(s_suppkey % 200 + 1 AS INTEGER) AS nx, 'int16' AS dtype
+FROM supplier WHERE s_suppkey % 4 IN (1, 2) AND s_suppkey % 3 = 0 AND s_suppkey % 50 > 5""")
+def image_scan(t):
+    """Files made from the table, read back through the image source with filters."""
+    root = scratch_folder(t.spark)
+    key = F.col("s_suppkey")
+    name = F.concat(
+        F.lit("ds"), key % 4, F.lit("/sub-"), key, F.lit("/anat/sub-"), key, F.lit("_"),
+        F.when(key % 3 == 0, "T1w").otherwise("T2w"), F.lit(".nii"),
+    )
+    t.supplier.select(name.alias("path"), (key % 200 + 1).cast("int").alias("nx"), (key % 50).cast("int").alias("more")).foreachPartition(
+        partial(write_small_images, root)
+    )
+    found = scan_images(t.spark, root, ["path", "size", "dataset", "suffix", "shape", "dtype"])
+    kept = found.where(F.col("dataset").isin("ds1", "ds2") & (F.col("suffix") == "T1w") & (F.col("size") > 353))
+    return kept.select("path", "size", "suffix", F.get("shape", F.lit(0)).alias("nx"), "dtype")
+
+
+def write_small_images(root, rows):
+    """One file per row: a header with the given first size, and some bytes after it."""
+    store, base = fs.FileSystem.from_uri(root)
+    for row in rows:
+        head = np.zeros((), HEADER)
+        head["size"], head["datatype"], head["dim"], head["pixdim"] = 348, 4, [3, row["nx"], 5, 6, 1, 1, 1, 1], 1.0
+        store.create_dir(f"{base}/{row['path'].rsplit('/', 1)[0]}", recursive=True)
+        with store.open_output_stream(f"{base}/{row['path']}") as out:
+            out.write(head.tobytes() + bytes(row["more"]))

@@ -127,6 +127,10 @@ class HeadReader:
             if self.inflate.eof:
                 piece, self.inflate = self.inflate.unused_data, None
 
+    def complete(self) -> bool:
+        """Whether further pieces cannot change the header."""
+        return self.broken or len(self.head) >= LONG_HEADER.itemsize
+
     def result(self) -> bytes:
         return self.first if self.packed is None else self.head
 
