@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from voxelherd.functions import kernels
-from voxelherd.operators import masks, volumes as v
+from voxelherd.operators import masks, packed, volumes as v
 from voxelherd.plans.analogs import PATCH, SHAPE, VOXELS_SQL, spread, spread_sql, volumes
 from voxelherd.plans.registry import query
 
@@ -437,3 +437,42 @@ def content_crop(t):
         F.slice("embedding", r * 8 + 1, F.lit(8)), lambda x: x.cast("double") > 0.3))
     planes = t.embeddings.select(F.col("vec_id").alias("scan_id"), rows.alias("plane"))
     return v.content_crop(planes, (2, 1)).drop("plane")
+
+
+# --- volumes as bytes ----------------------------------------------------------------
+
+def packed_volumes(t):
+    return packed.pack_volumes(volumes(t), SHAPE)
+
+
+@query("packed_patchify", f"""{WITH}
+SELECT scan_id, CAST(patch_id AS INTEGER) AS patch_id, {spread_sql("v", "j", 8)} FROM cells GROUP BY 1, 2""")
+def packed_patchify(t):
+    cut = packed.patchify(packed_volumes(t), PATCH)
+    lists = cut.withColumn("vals", packed.unpack_values("float")(F.col("vals")))
+    return spread(lists, "vals", ["scan_id", "patch_id"], 8)
+
+
+@query("packed_unpatchify", f"""{WITH} SELECT scan_id, {spread_sql("v", "k", 64)} FROM voxels GROUP BY 1""")
+def packed_unpatchify(t):
+    whole = packed.unpatchify(packed.patchify(packed_volumes(t), PATCH), SHAPE, PATCH)
+    return spread(whole.withColumn("image", packed.unpack_values("float")(F.col("image"))), "image", ["scan_id"], 64)
+
+
+def packed_normalized(t, level):
+    made = packed.masked_normalize(packed_volumes(t), PATCH, level, element="double")
+    flat = made.select(
+        "scan_id", packed.unpack_values("double")(F.col("image")).alias("image"), F.round(F.col("mean")[0], 6).alias("mean0"),
+        F.round(F.col("std")[0], 6).alias("std0"),
+    )
+    return spread(flat, "image", ["scan_id", "mean0", "std0"], 64, digits=5)
+
+
+@query("packed_normalize_patch", norm_sql("patch_id"))
+def packed_normalize_patch(t):
+    return packed_normalized(t, "patch")
+
+
+@query("packed_normalize_global", norm_sql("0"))
+def packed_normalize_global(t):
+    return packed_normalized(t, "global")
