@@ -134,3 +134,13 @@ def test_hashes_are_uniform_and_stable(spark):
     assert got == [r[0] for r in df.repartition(3).sort(F.lit(1)).collect()] or sorted(got) == sorted(
         r[0] for r in df.repartition(3).collect()
     )
+
+
+def test_mixed_cells_as_one_variant(spark):
+    cells = ["", " 5 ", "+5.0", "1e3", "0.5", "-2.25e-3", "inf", "nan", "HC1_V1", 'quote " and \\ back', "[1]", "true", None, "1_000", "12345678901234567890"]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(cells)], "i int, cell string")
+    got = df.select("i", c.coerce_value(F.col("cell")).alias("want"), c.variant_parts(c.coerce_variant(F.col("cell"))).alias("got")).orderBy("i").collect()
+    for row in got:
+        assert row["got"] == row["want"], cells[row["i"]]
+    kinds = df.select(F.schema_of_variant(c.coerce_variant(F.col("cell"))).alias("kind")).distinct().collect()
+    assert {"BIGINT", "STRING"} <= {r["kind"] for r in kinds}

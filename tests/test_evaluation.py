@@ -322,6 +322,18 @@ def test_global_meter(spark):
     assert [tuple(r) for r in meters.meter_global(df, ["m"], "v", "n").collect()] == [("a", 3, 3.0)]
 
 
+def test_logs_and_meters_fail_on_request(spark):
+    wide = spark.createDataFrame([("r", 0, 1.0, float("nan"))], "run string, epoch int, a double, b double")
+    assert meters.metric_log(wide).count() == 2
+    with pytest.raises(PySparkException, match="a metric is NaN"):
+        meters.metric_log(wide, fail=True).collect()
+    assert [tuple(r) for r in meters.metric_log(wide.drop("b"), fail=True).collect()] == [("r", 0, "a", 1.0)]
+    rows = spark.createDataFrame([("m", 1.0), ("m", float("inf")), ("m", None)], "m string, loss double")
+    assert meters.meter_global(rows, ["m"], "loss").first()["count"] == 1
+    with pytest.raises(PySparkException, match="loss is Infinity"):
+        meters.meter_global(rows, ["m"], "loss", fail=True).collect()
+
+
 def test_epoch_summary(spark):
     losses = spark.createDataFrame([(0, "val", 1.0), (0, "val", 3.0), (1, "val", float("nan"))], "epoch int, dataset string, loss double")
     train = spark.createDataFrame([(0, 9.0), (1, 8.0)], "epoch int, `train/loss` double")

@@ -6,6 +6,8 @@ from hypothesis import strategies as st
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
+from voxelherd.operators.sketches import merge_sketches, quantile_sketches, sketch_quantiles, sketch_rank
+from voxelherd.session import materialize
 from voxelherd.operators.ordering import (
     batch_slice, dedup_first, exact_quantiles, first_n, ordered_prefix, sorted_curve,
 )
@@ -108,3 +110,32 @@ def test_dedup_limits_rows_before_the_shuffle(spark):
     for null_equal in (True, False):
         plan = dedup_first(df, ["k"], ["id"], null_equal)._jdf.queryExecution().executedPlan().toString()
         assert "row_number(), 1, Partial" in plan and plan.count("Exchange") == 1
+
+
+# --- sketches ------------------------------------------------------------------------
+
+def test_merged_sketches_keep_their_rank_error(spark):
+    """Fifty datasets of unlike size and place, one of them a third of all rows."""
+    rng = np.random.default_rng(4)
+    group = np.where(rng.random(120_000) < 1 / 3, 0, rng.integers(1, 50, 120_000))
+    values = rng.normal(group * 3.0, 20.0)
+    df = spark.createDataFrame(pd.DataFrame({"g": group, "v": values})).repartition(16)
+    stored = materialize(quantile_sketches(df, "v", ["g"]))
+    assert stored.count() == 50 and stored.agg(F.max(F.length("sketch"))).first()[0] < 40_000
+    row = sketch_quantiles(merge_sketches(stored), (0.01, 0.25, 0.5, 0.75, 0.99), names=list("abcde")).first()
+    ordered = np.sort(values)
+    assert row["n"] == len(values)
+    for name, p in zip("abcde", (0.01, 0.25, 0.5, 0.75, 0.99)):
+        assert abs(np.searchsorted(ordered, row[name], side="right") / len(values) - p) < 0.01
+    later = df.where("g < 5").withColumn("v", F.col("v") + 500)
+    both = merge_sketches(stored.unionByName(quantile_sketches(later, "v", ["g"])), ["g"])
+    assert both.where("g = 0").first()["n"] == 2 * int((group == 0).sum())
+    middle = both.where("g = 0").select(sketch_rank(F.col("sketch"), F.lit(250.0)).alias("r")).first()["r"]
+    assert abs(middle - 0.5) < 0.01
+
+
+def test_small_sketches_are_exact_and_nulls_are_left_out(spark):
+    df = spark.createDataFrame([("a", 3), ("a", 1), ("a", None), ("a", 2), ("b", None)], "g string, v int")
+    got = [tuple(r) for r in sketch_quantiles(quantile_sketches(df, "v", ["g"]), (0.0, 0.5, 1.0), ["g"]).collect()]
+    assert got == [("a", 3, 1.0, 2.0, 3.0)]
+    assert quantile_sketches(df.limit(0), "v", ["g"]).count() == 0 and quantile_sketches(df.where("v IS NULL"), "v").count() == 0

@@ -9,6 +9,7 @@ from voxelherd.plans.analogs import volumes as volume_table
 from voxelherd.plans.curate import curate
 from voxelherd.plans.registry import Tables
 from voxelherd.session import materialize
+from voxelherd.sources.images import new_files, write_index_table
 
 
 def plan_of(df):
@@ -73,3 +74,19 @@ def test_hot_lookup_key_is_split(spark):
             spark.conf.unset(key) if value is None else spark.conf.set(key, value)
     assert "skew=true" not in direct
     assert "skew=true" in written and "skew=true" in checked
+
+
+def test_a_bucketed_index_is_not_shuffled(spark):
+    """The daily listing goes to the index, not the index to the listing."""
+    table = "index_of_test_plans"
+    spark.sql(f"DROP TABLE IF EXISTS {table}")
+    index = spark.range(3000).select(F.concat(F.lit("ds/f"), "id").alias("path"), F.col("id").alias("size"))
+    try:
+        write_index_table(index, table, 8)
+        listing = spark.range(2990, 3010).select(F.concat(F.lit("ds/f"), "id").alias("path"))
+        found = new_files(listing, table, 8)
+        plan = plan_of(found)
+        assert plan.count("Exchange") == 1 and "SelectedBucketsCount: 8 out of 8" in plan.split("Exchange")[1]
+        assert {r["path"] for r in found.collect()} == {f"ds/f{i}" for i in range(3000, 3010)}
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {table}")

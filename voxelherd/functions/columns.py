@@ -100,6 +100,29 @@ def coerce_value(column: Column) -> Column:
     )
 
 
+def coerce_variant(column: Column) -> Column:
+    """Free text as one VARIANT column: a whole number, a number, or a text; else null.
+
+    The rules are those of :func:`coerce_value`; :func:`variant_parts` reads it back.
+    """
+    v = coerce_value(column)
+    quoted = F.regexp_replace(F.to_json(F.array(v["as_string"])), r"^\[|\]$", "")
+    # Always with a point, so that it is read as a number with a fraction.
+    number = v["as_double"].cast("string")
+    text = F.coalesce(v["as_int"].cast("string"), number, F.when(v["as_string"].isNotNull(), quoted))
+    return F.parse_json(text)
+
+
+def variant_parts(column: Column) -> Column:
+    """``as_int``, ``as_double``, ``as_string`` of a VARIANT: at most one is set."""
+    kind = F.schema_of_variant(column)
+    return F.struct(
+        F.when(kind == "BIGINT", F.try_variant_get(column, "$", "bigint")).alias("as_int"),
+        F.when(kind.startswith("DECIMAL") | (kind == "DOUBLE"), F.try_variant_get(column, "$", "double")).alias("as_double"),
+        F.when(kind == "STRING", F.try_variant_get(column, "$", "string")).alias("as_string"),
+    )
+
+
 def null_safe_text(column: Column) -> Column:
     """Null becomes the empty string."""
     return F.coalesce(column.cast("string"), F.lit(""))

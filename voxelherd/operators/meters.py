@@ -8,22 +8,34 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from voxelherd.operators.ordering import ordered_prefix
-from voxelherd.operators.quality import finite_or_null, pivot_names
+from voxelherd.operators.quality import finite_or_null, pivot_names, require_finite
 
 WINDOW = 20
 
 
-def metric_log(wide: DataFrame, ids: Sequence[str] = ("run", "epoch"), metrics: Sequence[str] | None = None) -> DataFrame:
-    """One row per run, epoch and metric; absent metrics give no row."""
+def metric_log(
+    wide: DataFrame, ids: Sequence[str] = ("run", "epoch"), metrics: Sequence[str] | None = None, fail: bool = False
+) -> DataFrame:
+    """One row per run, epoch and metric; absent metrics give no row.
+
+    With ``fail`` a value that is NaN or infinite is an error, as it is while training.
+    """
     names = list(metrics or [c for c in wide.columns if c not in ids])
     typed = wide.select(*ids, *[F.col(f"`{n}`").cast("double").alias(n) for n in names])
-    return typed.unpivot(list(ids), [F.col(f"`{n}`") for n in names], "metric", "value").where("value IS NOT NULL")
+    long = typed.unpivot(list(ids), [F.col(f"`{n}`") for n in names], "metric", "value").where("value IS NOT NULL")
+    return long.withColumn("value", require_finite(F.col("value"), "a metric")) if fail else long
 
 
-def meter_global(df: DataFrame, by: Sequence[str], value: str, weight: str | None = None) -> DataFrame:
-    """Weighted mean of the finite values per group, merged from partial sums."""
+def meter_global(
+    df: DataFrame, by: Sequence[str], value: str, weight: str | None = None, fail: bool = False
+) -> DataFrame:
+    """Weighted mean of the finite values per group, merged from partial sums.
+
+    With ``fail`` a value that is NaN or infinite is an error instead of being left out.
+    """
     n = F.lit(1) if weight is None else F.col(weight)
-    finite = df.withColumn("_value", finite_or_null(F.col(value))).where("_value IS NOT NULL")
+    kept = require_finite(F.col(value), value) if fail else finite_or_null(F.col(value))
+    finite = df.withColumn("_value", kept).where("_value IS NOT NULL")
     return finite.groupBy(*by).agg(
         F.sum(n).alias("count"),
         F.try_divide(F.sum(F.col("_value") * n), F.sum(n).cast("double")).alias("global_avg"),

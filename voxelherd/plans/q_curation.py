@@ -10,11 +10,12 @@ from pyspark.sql import functions as F
 
 from voxelherd.functions.columns import bids_fields, path_order, scan_key_fields, wave_fields
 from voxelherd.operators import curation as c
+from voxelherd.operators import sketches
 from voxelherd.operators.ordering import dedup_first, sorted_curve
 from voxelherd.plans.analogs import EXCLUDED, IMAGES_SQL, images, participants
 from voxelherd.plans.curate import curate
 from voxelherd.plans.registry import query
-from voxelherd.session import scratch_folder
+from voxelherd.session import materialize, scratch_folder
 from voxelherd.sources.volumes import decode_volumes
 from voxelherd.sources.image_source import scan_images
 from voxelherd.sources.images import HEADER, content_md5, filter_listing, incremental_index, read_headers
@@ -187,6 +188,18 @@ def quantiles_by(t):
     return found.select("l_suppkey", *[F.round(k, 4).alias(k) for k in ("q1", "q2", "q3")])
 
 
+@query("quantiles_merged", """
+SELECT l_suppkey % 10 AS part, count(*) AS n, round(quantile_disc(l_extendedprice, 0.25), 4) AS q1,
+       round(quantile_disc(l_extendedprice, 0.5), 4) AS q2, round(quantile_disc(l_extendedprice, 0.95), 4) AS q3 FROM lineitem GROUP BY 1""")
+def quantiles_merged(t):
+    """Sketches per supplier are stored, then merged; with this k they still hold every value."""
+    rows = t.lineitem.select("l_suppkey", "l_extendedprice")
+    stored = materialize(sketches.quantile_sketches(rows, "l_extendedprice", ["l_suppkey"], k=32_768))
+    merged = sketches.merge_sketches(stored.withColumn("part", F.col("l_suppkey") % 10), ["part"], k=32_768)
+    found = sketches.sketch_quantiles(merged, (0.25, 0.5, 0.95), ["part"], names=["q1", "q2", "q3"])
+    return found.select("part", "n", *[F.round(k, 4).alias(k) for k in ("q1", "q2", "q3")])
+
+
 @query("dup_report", """
 WITH g AS (SELECT md5(text) AS h, count(*) AS n FROM documents GROUP BY 1 HAVING count(*) > 1)
 SELECT count(*) AS n_groups, CAST(coalesce(sum(n), 0) AS BIGINT) AS n_rows, coalesce(max(n), 0) AS largest FROM g""")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from voxelherd.functions.columns import (
-    coerce_value, normalize_age, normalize_category, null_if_na, null_safe, strip_prefix,
+    coerce_value, coerce_variant, normalize_age, normalize_category, null_if_na, null_safe, strip_prefix, variant_parts,
 )
 from voxelherd.operators.ordering import dedup_first
 from voxelherd.operators.participants import (
@@ -176,19 +176,34 @@ def first_session(t):
     return dedup_first(rows, ["conv_id", "role"], ["turn"])
 
 
-@query("coerce_value", """
+COERCE_SQL = """
 WITH v AS (SELECT c_custkey, c_custkey % 8 AS k, c_nationkey, c_acctbal, c_mktsegment FROM customer)
 SELECT c_custkey, CASE WHEN k IN (1, 2) THEN CAST(c_nationkey AS BIGINT) END AS as_int,
        CASE k WHEN 3 THEN CAST(c_nationkey AS DOUBLE) * 1000 WHEN 6 THEN c_nationkey + 0.5::DOUBLE END AS as_double,
-       CASE WHEN k = 7 THEN c_mktsegment || '_V' || c_nationkey END AS as_string FROM v""")
-def coerce_values(t):
+       CASE WHEN k = 7 THEN c_mktsegment || '_V' || c_nationkey END AS as_string FROM v"""
+
+
+def mixed_cells(t):
     k, n = F.col("c_custkey") % 8, F.col("c_nationkey").cast("string")
-    text = (
+    return (
         F.when(k == 0, "   ").when(k == 1, F.concat(F.lit(" "), n, F.lit(" "))).when(k == 2, F.concat(F.lit("+"), n, F.lit(".00")))
         .when(k == 3, F.concat(n, F.lit("e3"))).when(k == 4, "-inf").when(k == 5, "NaN")
         .when(k == 6, F.concat(n, F.lit(".5"))).otherwise(F.concat("c_mktsegment", F.lit("_V"), n))
     )
-    return t.customer.select("c_custkey", coerce_value(text).alias("v")).select("c_custkey", "v.as_int", "v.as_double", "v.as_string")
+
+
+@query("coerce_value", COERCE_SQL)
+def coerce_values(t):
+    parts = coerce_value(mixed_cells(t))
+    return t.customer.select("c_custkey", parts.alias("v")).select("c_custkey", "v.as_int", "v.as_double", "v.as_string")
+
+
+@query("coerce_variant", COERCE_SQL)
+def coerce_variants(t):
+    """The same cells kept as one VARIANT column, then read by type."""
+    stored = t.customer.select("c_custkey", coerce_variant(mixed_cells(t)).alias("cell"))
+    parts = stored.select("c_custkey", variant_parts(F.col("cell")).alias("v"))
+    return parts.select("c_custkey", "v.as_int", "v.as_double", "v.as_string")
 
 
 @query("null_safe_meta", """

@@ -257,6 +257,21 @@ def incremental_index(listing: DataFrame, existing: DataFrame, path: str = "path
     return listing.join(existing.select(path), on=path, how="left_anti")
 
 
+def write_index_table(index: DataFrame, table: str, buckets: int, overwrite: bool = False) -> None:
+    """Keep the index as a table bucketed by path, so that listings join it where it lies."""
+    mode = "overwrite" if overwrite else "errorifexists"
+    index.write.mode(mode).bucketBy(buckets, "path").sortBy("path").saveAsTable(table)
+
+
+def new_files(listing: DataFrame, table: str, buckets: int) -> DataFrame:
+    """Listed files that a bucketed index does not hold; only the listing is shuffled.
+
+    ``buckets`` is the number the table was written with.
+    """
+    known = listing.sparkSession.table(table).select("path")
+    return listing.repartition(buckets, "path").join(known.hint("merge"), on="path", how="left_anti")
+
+
 def read_files(todo: DataFrame, root: str) -> DataFrame:
     """Add hash and header fields to rows with a ``path`` below ``root``.
 
