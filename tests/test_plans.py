@@ -90,3 +90,14 @@ def test_a_bucketed_index_is_not_shuffled(spark):
         assert {r["path"] for r in found.collect()} == {f"ds/f{i}" for i in range(3000, 3010)}
     finally:
         spark.sql(f"DROP TABLE IF EXISTS {table}")
+
+
+def test_hidden_patches_stay_on_their_scan(spark, folder):
+    """Only the quota of the batch is shuffled, never values of patches."""
+    from voxelherd.plans.q_volumes import hidden_on_scan
+
+    scans = hidden_on_scan(Tables(spark, folder))
+    base = plan_of(scans).count("Exchange")
+    assert plan_of(volumes.scatter_predictions_of_scans(scans, SHAPE, PATCH)).count("Exchange") == base
+    plan = plan_of(volumes.masked_mse_of_scans(scans, mask="observed"))
+    assert plan.count("Exchange") == base + 1 and "Exchange SinglePartition" in plan and "partial_sum" in plan

@@ -129,6 +129,19 @@ def scatter_predictions(
     return joined.select(scan, kernels.fill_outside(prod(shape), 0.0, element)(F.col(mask), image).alias("image"))
 
 
+def scatter_predictions_of_scans(
+    df: DataFrame, shape: Shape, patch: Shape, ids: str = "patch_ids", pred: str = "pred", scan: str = "scan_id",
+    mask: str = "mask", element: str = "double",
+) -> DataFrame:
+    """:func:`scatter_predictions` for scans that hold the predicted patches and their numbers as lists.
+
+    Nothing is shuffled. A scan without predictions gives zeros.
+    """
+    placed = kernels.volume_arrays(shape, patch, element=element, fill=0.0)(F.col(ids), F.col(pred))
+    image = kernels.fill_outside(prod(shape), 0.0, element)(F.col(mask), F.col("_image"))
+    return df.withColumn("_image", placed).select(scan, image.alias("image"))
+
+
 def mean_pool(embeddings: DataFrame, scan: str = "scan_id", vector: str = "embedding") -> DataFrame:
     """Mean embedding per scan, merged from partial sums."""
     mean = Summarizer.mean(array_to_vector(F.col(vector).cast("array<double>")))

@@ -92,9 +92,12 @@ def patch_to_voxel(t):
     return flags(full, "full", ["scan_id"], 64)
 
 
-@query("gather_patches", f"""{WITH}, {VALID_SQL}, {quota_sql("val", "valid", 0.5)}, {drawn_sql("val", "valid", 9)}
+GATHER_SQL = f"""{WITH}, {VALID_SQL}, {quota_sql("val", "valid", 0.5)}, {drawn_sql("val", "valid", 9)}
 SELECT c.scan_id, CAST(c.patch_id AS INTEGER) AS patch_id, {spread_sql("v", "j", 8)} FROM cells c
-JOIN drawn d ON c.scan_id = d.scan_id AND c.patch_id = d.patch_id WHERE keep GROUP BY 1, 2""")
+JOIN drawn d ON c.scan_id = d.scan_id AND c.patch_id = d.patch_id WHERE keep GROUP BY 1, 2"""
+
+
+@query("gather_patches", GATHER_SQL)
 def gather_patches(t):
     chosen = masks.random_mask(with_valid(t), 0.5, 9).select("scan_id", "visible")
     return spread(v.gather_patches(v.patchify(volumes(t), SHAPE, PATCH), chosen), "vals", ["scan_id", "patch_id"], 8)
@@ -267,9 +270,12 @@ def predicted(t):
 HIDDEN_SQL = f"{VALID_SQL}, {quota_sql('val', 'valid', 0.5)}, {drawn_sql('val', 'valid', 9)}"
 
 
-@query("masked_mse", f"""{WITH}, {HIDDEN_SQL}
+MSE_SQL = f"""{WITH}, {HIDDEN_SQL}
 SELECT count(*) AS n_voxels, round(avg((v * 0.5::DOUBLE + 0.1::DOUBLE - v) * (v * 0.5::DOUBLE + 0.1::DOUBLE - v)), 8) AS loss
-FROM cells c JOIN drawn d ON c.scan_id = d.scan_id AND c.patch_id = d.patch_id WHERE d.flag AND NOT d.keep AND c.m""")
+FROM cells c JOIN drawn d ON c.scan_id = d.scan_id AND c.patch_id = d.patch_id WHERE d.flag AND NOT d.keep AND c.m"""
+
+
+@query("masked_mse", MSE_SQL)
 def masked_mse(t):
     targets = v.patchify(volumes(t), SHAPE, PATCH, mask="mask").select(
         "scan_id", "patch_id", F.col("vals").cast("array<double>").alias("target"), F.col("observed").alias("mask")
@@ -278,14 +284,51 @@ def masked_mse(t):
     return loss.select(F.col("n_voxels").cast("bigint").alias("n_voxels"), F.round("loss", 8).alias("loss"))
 
 
-@query("scatter", f"""{WITH}, {HIDDEN_SQL}
+SCATTER_SQL = f"""{WITH}, {HIDDEN_SQL}
 SELECT c.scan_id, {spread_sql("CASE WHEN d.flag AND NOT d.keep AND c.m THEN v * 0.5::DOUBLE + 0.1::DOUBLE ELSE 0.0::DOUBLE END", "k", 64, digits=6)}
-FROM cells c JOIN drawn d ON c.scan_id = d.scan_id AND c.patch_id = d.patch_id GROUP BY 1""")
+FROM cells c JOIN drawn d ON c.scan_id = d.scan_id AND c.patch_id = d.patch_id GROUP BY 1"""
+
+
+@query("scatter", SCATTER_SQL)
 def scatter(t):
     placed = v.scatter_predictions(predicted(t), volumes(t), SHAPE, PATCH)
     return spread(placed, "image", ["scan_id"], 64, digits=6)
 
 
+def hidden_on_scan(t):
+    """Per scan the hidden patches as lists: numbers, values, observed voxels and predictions."""
+    seen = masks.random_mask(with_valid(t), 0.5, 9)
+    lists = seen.select(
+        "scan_id", "mask", F.zip_with("valid", "visible", lambda a, b: a & ~b).alias("hidden"),
+        F.sequence(F.lit(0), F.lit(7)).alias("id"),
+        kernels.patch_arrays(SHAPE, PATCH)(F.col("image")).cast("array<array<double>>").alias("target"),
+        kernels.patch_arrays(SHAPE, PATCH, element="boolean")(F.col("mask")).alias("observed"),
+    )
+    chosen = F.filter(F.arrays_zip("id", "hidden", "target", "observed"), lambda r: r["hidden"])
+    kept = lists.select("scan_id", "mask", chosen.alias("_rows")).select(
+        "scan_id", "mask", F.col("_rows.id").alias("patch_ids"), F.col("_rows.target").alias("target"),
+        F.col("_rows.observed").alias("observed"),
+    )
+    return kept.withColumn("pred", F.transform("target", lambda p: F.transform(p, lambda x: x * 0.5 + 0.1)))
+
+
+@query("gather_on_scan", GATHER_SQL)
+def gather_on_scan(t):
+    """The flags are on the scan row, so the patches are picked where they are cut."""
+    return spread(v.patchify(masks.random_mask(with_valid(t), 0.5, 9), SHAPE, PATCH, keep="visible"), "vals", ["scan_id", "patch_id"], 8)
+
+
+@query("masked_mse_on_scan", MSE_SQL)
+def masked_mse_on_scan(t):
+    loss = v.masked_mse_of_scans(hidden_on_scan(t), mask="observed")
+    return loss.select(F.col("n_voxels").cast("bigint").alias("n_voxels"), F.round("loss", 8).alias("loss"))
+
+
+@query("scatter_on_scan", SCATTER_SQL)
+def scatter_on_scan(t):
+    return spread(v.scatter_predictions_of_scans(hidden_on_scan(t), SHAPE, PATCH), "image", ["scan_id"], 64, digits=6)
+
+
 @query("mean_pool", f"""{WITH}, p AS (SELECT scan_id, j, avg(v) AS v FROM cells GROUP BY 1, 2)
 SELECT scan_id, {spread_sql("v", "j", 8, digits=6)} FROM p GROUP BY 1""")
 def mean_pool(t):
