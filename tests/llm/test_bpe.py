@@ -6,6 +6,7 @@ import public_tokenizers as tokens
 import pytest
 import tiktoken
 
+from voxelherd.llm import bpe
 from voxelherd.llm.bpe import decode_ids, encode_texts, engine, load_tokenizer, round_trip
 from voxelherd.llm.q_bpe import op5_bpe_round_trip
 
@@ -54,6 +55,38 @@ def test_random_short_and_long_words(tokenizer, reference):
         assert ids == b"".join(i.to_bytes(4, "little") for i in ids_of(reference, word))
 
 
+def test_words_of_any_length(tokenizer, reference, monkeypatch):
+    """Pieces of a long word, whose borders fall anywhere, give the tokens of the whole."""
+    rng = random.Random(11)
+    words = ["a" * 1001, "ab" * 300, "".join(rng.choice("aab") for _ in range(600)), "漢字" * 100,
+             "".join(rng.choice("etaoinshrdlu") for _ in range(800)), "e" * 300 + "a" * 300]
+    for piece in (7, 64):
+        monkeypatch.setattr(bpe, "PIECE", piece)
+        own = bpe.Engine(tokenizer)
+        for word, ids in zip(words, own.encode(words), strict=True):
+            assert ids == b"".join(i.to_bytes(4, "little") for i in ids_of(reference, word))
+
+
+def test_a_word_of_millions_of_letters(tokenizer, reference):
+    """More letters than one query holds in memory; the tokens of the beginning are the library's."""
+    word = "a" * 2_500_000
+    own = bpe.Engine(tokenizer)
+    ids = own.encode([word])[0]
+    want = ids_of(reference, word[:100_000])
+    assert ids[: 4 * len(want)] == b"".join(i.to_bytes(4, "little") for i in want)
+    assert own.decode([ids])[0] == word.encode()
+
+
+def test_words_met_lately_stay(tokenizer, monkeypatch):
+    monkeypatch.setattr(bpe, "KNOWN_WORDS", 200)
+    own = bpe.Engine(tokenizer)
+    fresh = bpe.Engine(tokenizer)
+    for i in range(30):
+        texts = [" ".join(f"w{i * 40 + j}" for j in range(60)), "the house and the garden"]
+        assert own.encode(texts) == [fresh.encode([t])[0] for t in texts]
+        assert len(own.known) + len(own.older) <= 400
+
+
 def test_whole_table(spark, folder, reference):
     got = {r.doc_id: r for r in op5_bpe_round_trip(spark, folder).collect()}
     for row in spark.read.parquet(f"{folder}/documents.parquet").collect():

@@ -11,7 +11,8 @@ round contracts all occurrences of the minimum rank from the left, up to and inc
 the first one after which a pair of still lower rank appears. Contracting one at a time
 would do the same steps in the same order, so both queries give the same tokens; a run
 of n equal bytes takes about log n rounds. Their state is keyed, so it does not grow
-with the rounds.
+with the rounds. Words of more than PIECE bytes are encoded in pieces, whose borders are
+encoded anew until all neighbouring tokens fit, so a query stays small for words of any length.
 
 Defined results: a null text is empty and has no tokens; repeated rows and ties are
 encoded one by one; an empty table gives no rows; other columns are ignored. Texts are
@@ -36,14 +37,19 @@ from voxelherd.llm.words import in_blocks
 # Words up to this many bytes take one contraction a round.
 SHORT = 32
 # Words in one query, bytes in one query (a word counts as some more), words kept by a worker.
-WORDS_AT_ONCE = 20_000
-BYTES_AT_ONCE = 1_000_000
+WORDS_AT_ONCE = 40_000
+BYTES_AT_ONCE = 2_000_000
 KNOWN_WORDS = 500_000
+# Longest piece of a word, bytes of long words in one query, and pairs kept by a worker.
+PIECE = 32_768
+LONG_AT_ONCE = 262_144
+KNOWN_PAIRS = 200_000
 # Texts tokenized together, and tokens decoded together.
 TEXT_AT_ONCE = 1_000_000
 SLICE = 200_000
 SLICES_AT_ONCE = 500_000
 
+# The best pair of a word as one number: rank, place (16 bits), place of its right half (16 bits).
 ENCODE_SHORT = """
 WITH RECURSIVE state AS (
   SELECT 0 AS step, w, pos, id FROM start
@@ -52,16 +58,17 @@ WITH RECURSIVE state AS (
      SELECT w, pos, id, lead(pos) OVER o AS next_pos, lead(id) OVER o AS next_id
      FROM state WINDOW o AS (PARTITION BY w ORDER BY pos)
    ), best AS (
-     SELECT w, min(merged) AS merged, arg_min(pos, merged::BIGINT * 4294967296 + pos) AS pos,
-            arg_min(next_pos, merged::BIGINT * 4294967296 + pos) AS gone
+     SELECT w, min((merged::BIGINT << 32) | (pos << 16) | next_pos) AS code
      FROM pairs JOIN merges ON l = id AND r = next_id GROUP BY w
+   ), parts AS (
+     SELECT w, (code >> 32)::INTEGER AS merged, (code >> 16 & 65535)::INTEGER AS pos, (code & 65535)::INTEGER AS gone FROM best
    )
    SELECT s.step + 1, s.w, s.pos, CASE WHEN s.pos = b.pos THEN b.merged ELSE s.id END
-   FROM state s JOIN best b ON s.w = b.w WHERE s.pos <> b.gone)
-), final AS (
-  SELECT *, max(step) OVER (PARTITION BY w) AS last FROM state
+   FROM state s JOIN parts b ON s.w = b.w WHERE s.pos <> b.gone)
+), lasts AS (
+  SELECT w, max(step) AS last FROM state GROUP BY w
 )
-SELECT w, list(id ORDER BY pos) AS ids FROM final WHERE step = last GROUP BY w"""
+SELECT state.w, list(id ORDER BY pos) AS ids FROM state JOIN lasts ON state.w = lasts.w AND step = last GROUP BY state.w"""
 
 ENCODE_LONG = """
 WITH RECURSIVE state(w, pos, id, step) USING KEY (w, pos) AS (
@@ -130,10 +137,13 @@ class Engine:
             for cut in range(1, len(token))
             if token[:cut] in ranks and token[cut:] in ranks
         ]
-        self.whole = {token: np.array([rank], dtype="<u4").tobytes() for token, rank in ranks.items()}
+        self.tokens = {rank: token for token, rank in ranks.items()}
         self.byte_ids = np.array([ranks[bytes([b])] for b in range(256)], dtype=np.int32)
         self.find = regex.compile(tokenizer.pattern).findall
+        # Words met since the last turn, words of the turn before, and pairs that stand as they are.
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        self.stable: dict[tuple[int, int], bool] = {}
         self.con = duckdb.connect(config={"threads": 1, "memory_limit": "256MB", "temp_directory": ""})
         left, right, merged = (pa.array(column, pa.int32()) for column in zip(*merges, strict=True))
         self._put("merges_in", pa.table({"l": left, "r": right, "merged": merged}))
@@ -145,7 +155,8 @@ class Engine:
     def _put(self, name: str, rows: pa.Table) -> None:
         self.con.register(name, rows)
 
-    def _contract(self, words: list[str], raw: list[bytes], query: str) -> None:
+    def _contract(self, raw: list[bytes], query: str) -> list[bytes]:
+        """Ids of each word, contracted by a query."""
         sizes = np.array([len(word) for word in raw])
         flat = np.frombuffer(b"".join(raw), dtype=np.uint8)
         starts = np.cumsum(sizes) - sizes
@@ -157,23 +168,92 @@ class Engine:
         found = self.con.sql(query).to_arrow_table().combine_chunks()
         ids = found.column("ids").combine_chunks()
         flat_ids = ids.flatten().to_numpy(zero_copy_only=False).astype("<u4").tobytes()
-        ends = ids.offsets.to_numpy() * 4
+        ends = (ids.offsets.to_numpy() - ids.offsets[0].as_py()) * 4
+        out = [b""] * len(raw)
         for i, w in enumerate(found.column("w").to_numpy()):
-            self.known[words[w]] = flat_ids[ends[i] - ends[0] : ends[i + 1] - ends[0]]
+            out[w] = flat_ids[ends[i] : ends[i + 1]]
+        return out
+
+    def _pieces(self, raw: list[bytes], query: str, most: int = BYTES_AT_ONCE) -> list[bytes]:
+        """As :meth:`_contract`, in queries of bounded size."""
+        out: list[bytes] = []
+        for part in in_blocks(raw, lambda word: len(word) + most // WORDS_AT_ONCE, most):
+            out += self._contract(raw[part], query)
+        return out
+
+    def _fits(self, pairs: set[tuple[int, int]]) -> None:
+        """Learn which pairs of tokens stand as they are when their bytes are encoded."""
+        new = sorted(pairs.difference(self.stable))
+        if len(self.stable) + len(new) > KNOWN_PAIRS:
+            self.stable.clear()
+            new = sorted(pairs)
+        encoded = self._pieces([self.tokens[a] + self.tokens[b] for a, b in new], ENCODE_LONG, LONG_AT_ONCE)
+        for pair, ids in zip(new, encoded, strict=True):
+            self.stable[pair] = ids == np.array(pair, dtype="<u4").tobytes()
+
+    def _long_word(self, raw: bytes) -> bytes:
+        """Ids of a word of any length, from pieces of bounded size.
+
+        A sequence of tokens is the encoding of its bytes exactly if every two neighbours are
+        the encoding of theirs. So pieces are encoded apart, and where two neighbours are
+        not, the tokens around them are encoded anew as one piece, in widening windows,
+        until all neighbours fit.
+        """
+        cuts = [raw[at : at + PIECE] for at in range(0, len(raw), PIECE)]
+        ids = np.concatenate([np.frombuffer(x, "<u4") for x in self._pieces(cuts, ENCODE_LONG, LONG_AT_ONCE)])
+        reach = 16
+        while True:
+            places = np.flatnonzero(~self._stable_places(ids))
+            if not len(places):
+                return ids.astype("<u4").tobytes()
+            # Windows of tokens around the places, joined where they meet.
+            windows: list[list[int]] = []
+            for place in places.tolist():
+                low, high = max(0, place + 1 - reach), min(len(ids), place + 1 + reach)
+                if windows and low <= windows[-1][1]:
+                    windows[-1][1] = high
+                else:
+                    windows.append([low, high])
+            texts = [b"".join(self.tokens[i] for i in ids[low:high].tolist()) for low, high in windows]
+            made = [np.frombuffer(x, "<u4") for x in self._pieces(texts, ENCODE_LONG, LONG_AT_ONCE)]
+            parts, at = [], 0
+            for (low, high), new in zip(windows, made, strict=True):
+                parts += [ids[at:low], new]
+                at = high
+            ids = np.concatenate([*parts, ids[at:]])
+            reach *= 2
+
+    def _stable_places(self, ids: np.ndarray) -> np.ndarray:
+        """For each two neighbours whether they fit."""
+        codes = ids[:-1].astype(np.uint64) << np.uint64(32) | ids[1:]
+        kinds, where = np.unique(codes, return_inverse=True)
+        pairs = [(int(code >> np.uint64(32)), int(code & np.uint64(0xFFFFFFFF))) for code in kinds]
+        out = np.zeros(len(pairs), dtype=bool)
+        for at in range(0, len(pairs), KNOWN_PAIRS):
+            part = pairs[at : at + KNOWN_PAIRS]
+            self._fits(set(part))
+            out[at : at + len(part)] = [self.stable[pair] for pair in part]
+        return out[where]
 
     def learn(self, words: set[str]) -> None:
-        """Encode words not met before."""
-        if len(self.known) + len(words) > KNOWN_WORDS:
-            self.known.clear()
+        """Encode words not met before. Words that were met lately stay, within a bound."""
+        if len(self.known) + len(words) > KNOWN_WORDS // 2:
+            self.known, self.older = {}, self.known
+        new = words.difference(self.known)
+        for word in new.intersection(self.older):
+            self.known[word] = self.older[word]
         groups: dict[str, tuple[list[str], list[bytes]]] = {ENCODE_SHORT: ([], []), ENCODE_LONG: ([], [])}
-        for word in words.difference(self.known):
+        for word in new.difference(self.known):
             raw = word.encode()
+            if len(raw) > PIECE:
+                self.known[word] = self._long_word(raw)
+                continue
             names, bodies = groups[ENCODE_SHORT if len(raw) <= SHORT else ENCODE_LONG]
             names.append(word)
             bodies.append(raw)
         for query, (names, bodies) in groups.items():
-            for part in in_blocks(bodies, lambda raw: len(raw) + BYTES_AT_ONCE // WORDS_AT_ONCE, BYTES_AT_ONCE):
-                self._contract(names[part], bodies[part], query)
+            most = BYTES_AT_ONCE if query == ENCODE_SHORT else LONG_AT_ONCE
+            self.known.update(zip(names, self._pieces(bodies, query, most), strict=True))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
