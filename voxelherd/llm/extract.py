@@ -50,7 +50,7 @@ def align(blocks: Sequence[Block], lines: Iterable[str]) -> list[int]:
 def fit(labelled: Iterable[tuple[str, Sequence[str]]]) -> Chain:
     """Train on labelled pages: the page and the lines of its main text."""
     pages = [(leaf_blocks(html), lines) for html, lines in labelled]
-    items = [[[*block.local, *block.element.names] for block in blocks] for blocks, _ in pages]
+    items = [[[*block.local, *block.element.names, *block.element.near] for block in blocks] for blocks, _ in pages]
     return crf.train(items, [_kinds(blocks) for blocks, _ in pages], [align(*page) for page in pages])
 
 
@@ -64,13 +64,13 @@ def main_blocks(html: str, model: Chain) -> list[str]:
     """Texts of the blocks that are main text, in the order of the page."""
     weights = model.weights
     blocks = leaf_blocks(html, weights)
-    around: dict[frozenset, float] = {}
+    around: dict[tuple, float] = {}
     scores = []
     for block in blocks:
-        names = block.element.names
-        if names not in around:
-            around[names] = sum(weights[name] for name in names)
-        scores.append(around[names] + sum(weights.get(name, 0.0) for name in block.local))
+        called = (block.element.names, block.element.near)
+        if called not in around:
+            around[called] = sum(weights[name] for part in called for name in part)
+        scores.append(around[called] + sum(weights.get(name, 0.0) for name in block.local))
     labels = crf.decode(model, scores, _kinds(blocks))
     return [block.text for block, label in zip(blocks, labels) if label]
 

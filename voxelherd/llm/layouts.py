@@ -161,6 +161,14 @@ class _Page:
         if r.random() < 0.05:
             return body
         bottom = "".join(self.extra(k) for k in after) + (self.extra("footer") if r.random() < 0.8 else "")
+        # Names of an article are given to what holds the whole page, too.
+        while r.random() < 0.4:
+            name = r.choice(["page", "site", "content", "main", "wrapper", "container", "layout", "body", "story-page", "post-page"])
+            whole = f' {r.choice(["class", "id"])}="{name}"'
+            if r.random() < 0.5:
+                body, bottom = f"<{r.choice(['div', 'main'])}{whole}>{body}{bottom}</div></main>", ""
+            else:
+                top, bottom = f"<div{whole}>{top}", f"{bottom}</div>"
         title = " ".join(self.words(5))
         head = f"<!DOCTYPE html><html><head><title>{title}</title><style>p{{margin:0}}</style><script>var t='</p>';</script></head>"
         page = f"{head}<body{self.name(None)}>{top}<!-- {title} -->{body}{bottom}</body></html>"

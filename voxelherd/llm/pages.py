@@ -46,11 +46,15 @@ _COMMENT = re.compile(r"<!--(?:-?>|.*-->)", re.S)
 
 @dataclass
 class Element:
-    """An open block element with what it and its ancestors are called."""
+    """An open block element with what it and its ancestors are called.
+
+    ``near`` are the words of the closest element that has any.
+    """
 
     tag: str
     parent: "Element | None"
     names: frozenset = frozenset()
+    near: frozenset = frozenset()
 
 
 @dataclass
@@ -152,8 +156,14 @@ def leaf_blocks(page: str, known: Container[str] | None = None) -> list[Block]:
                 close(to)
         if tag not in VOID:
             own = _names(tag, found["attributes"])
-            names = here.names.union(own if known is None else [name for name in own if name in known])
-            here = Element(tag, here, here.names if names == here.names else names)
+            close_by = ["near:" + name[3:] for name in own if name.startswith("is:")]
+            if known is not None:
+                own = [name for name in own if name in known]
+            names = here.names.union(own)
+            near = here.near
+            if close_by:
+                near = frozenset(close_by if known is None else [name for name in close_by if name in known])
+            here = Element(tag, here, here.names if names == here.names else names, near)
             opened[tag] = opened.get(tag, 0) + 1
     # What follows the last tag; a tag that has begun there never ends.
     if at < stop:
