@@ -16,9 +16,21 @@ def test_permutation_and_its_inverse(n):
 
 
 def test_columns_give_the_same_permutation(spark):
-    df = spark.range(50).select("id", permute(F.col("id"), F.lit(50), F.lit("k")).alias("p"))
-    df = df.withColumn("back", permute(F.col("p"), F.lit(50), F.lit("k"), back=True))
-    assert [(r["p"], r["back"]) for r in df.orderBy("id").collect()] == [(permuted(i, 50, "k"), i) for i in range(50)]
+    for tweak in (0, 3, 123_456_789):
+        df = spark.range(50).select("id", permute(F.col("id"), F.lit(50), "k", F.lit(tweak)).alias("p"))
+        df = df.withColumn("back", permute(F.col("p"), F.lit(50), "k", F.lit(tweak), back=True))
+        assert [(r["p"], r["back"]) for r in df.orderBy("id").collect()] == [(permuted(i, 50, "k", tweak), i) for i in range(50)]
+
+
+def test_places_look_drawn_at_random():
+    """Neighbours part, and every place is about as likely for a row over many keys."""
+    n, keys = 40, 400
+    places = [[permuted(i, n, f"k{k}") for i in range(n)] for k in range(keys)]
+    together = sum(abs(a - b) == 1 for row in places for a, b in zip(row, row[1:])) / (keys * (n - 1))
+    assert 0.02 < together < 0.09
+    for i in (0, 17, 39):
+        seen = [row[i] for row in places]
+        assert max(map(seen.count, range(n))) < 30 and len(set(seen)) == n
 
 
 @pytest.mark.parametrize("total, size", [(1, 5), (20, 5), (23, 5), (23, 100), (101, 10)])

@@ -10,44 +10,60 @@ found without looking at what came before, so a run resumes anywhere.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxelherd.functions.columns import hash_int
 from voxelherd.operators.ordering import ordered_prefix
 
 ROUNDS = 24
+# A prime below 2**31, so that products stay within 64 bits, and two odd factors.
+PRIME, FACTOR, SPREAD = 2_147_483_647, 48_271, 1_000_003
 
 
-def _draw(*parts: object) -> int:
-    """The same number as ``hash_int`` gives for these parts."""
-    return int(hashlib.md5("-".join(map(str, parts)).encode()).hexdigest()[:8], 16)
+def round_keys(key: str, rounds: int = ROUNDS) -> list[tuple[int, int]]:
+    """Two numbers per round for a text key: one for its pivot, one for its bits."""
+    def draw(*parts: object) -> int:
+        return int(hashlib.md5("-".join(map(str, (key, *parts))).encode()).hexdigest()[:8], 16) % PRIME
 
+    return [(draw(r, "pivot"), draw(r, "bit")) for r in range(rounds)]
 
-def _rounds(rounds: int, back: bool) -> Sequence[int]:
-    return range(rounds - 1, -1, -1) if back else range(rounds)
 
+def _mix(x, k):
+    """Spread a number, in whole numbers that columns and Python share."""
+    y = (x + k) % PRIME
+    return (y * y % PRIME * FACTOR + k) % PRIME
 
-def permuted(value: int, n: int, key: str, back: bool = False, rounds: int = ROUNDS) -> int:
-    """Place of ``value`` in the permutation of 0 … n - 1 with this key; ``back`` inverts it."""
-    for r in _rounds(rounds, back):
-        other = (_draw(key, r) - value) % n
-        if _draw(key, r, max(value, other)) % 2:
+
+def permuted(value: int, n: int, key: str, tweak: int = 0, back: bool = False, rounds: int = ROUNDS) -> int:
+    """Place of ``value`` in the permutation of 0 … n - 1 of this key and tweak; ``back`` inverts it."""
+    for pivot, bit in round_keys(key, rounds)[:: -1 if back else 1]:
+        other = (_mix(tweak, pivot) - value) % n
+        if _mix(max(value, other) + tweak * SPREAD, bit) // 1024 % 2:
             value = other
     return value
 
 
-def permute(value: Column, n: Column, key: Column, back: bool = False, rounds: int = ROUNDS) -> Column:
-    """:func:`permuted` for columns: a value, the size of its range (at least 1) and a text key."""
+def permute(value: Column, n: Column, key: str, tweak: Column | None = None, back: bool = False, rounds: int = ROUNDS) -> Column:
+    """:func:`permuted` for columns: a value, the size of its range (at least 1) and a tweak.
+
+    A batch of rows goes through each round at once.
+    """
+    keys = round_keys(key, rounds)[:: -1 if back else 1]
 
-    def step(at: Column, r: Column) -> Column:
-        other = F.pmod(hash_int(key, r) - at, n)
-        return F.when(hash_int(key, r, F.greatest(at, other)) % 2 == 1, other).otherwise(at)
+    @F.arrow_udf("bigint")
+    def kernel(values: pa.Array, sizes: pa.Array, tweaks: pa.Array) -> pa.Array:
+        at, size, shift = (a.to_numpy(zero_copy_only=False).astype(np.int64) for a in (values, sizes, tweaks))
+        for pivot, bit in keys:
+            other = (_mix(shift, pivot) - at) % size
+            swap = _mix(np.maximum(at, other) + shift * SPREAD, bit) // 1024 % 2 == 1
+            at = np.where(swap, other, at)
+        return pa.array(at)
 
-    order = F.array(*[F.lit(r) for r in _rounds(rounds, back)])
-    return F.aggregate(order, value.cast("bigint"), step)
+    tweak = F.lit(0) if tweak is None else tweak
+    return kernel(value.cast("bigint"), n.cast("bigint"), tweak.cast("bigint"))
 
 
 def _blocks(total: int, block_size: int) -> tuple[int, int]:
@@ -73,10 +89,10 @@ def epoch_slots(
     block = F.floor(at / block_size)
     # The short block shifts those that come after it.
     short = permuted(count - 1, count, f"{key}-blocks")
-    place = permute(block, F.lit(count).cast("bigint"), F.lit(f"{key}-blocks"))
+    place = permute(block, F.lit(count).cast("bigint"), f"{key}-blocks")
     begin = place * block_size - F.when(place > short, block_size - last_size).otherwise(0)
     size = F.when(block == count - 1, last_size).otherwise(block_size).cast("bigint")
-    own = permute(at % block_size, size, F.concat(F.lit(f"{key}-rows-"), block.cast("string")))
+    own = permute(at % block_size, size, f"{key}-rows", block)
     return numbered.withColumn("slot", (begin + own).cast("bigint"))
 
 
@@ -93,10 +109,10 @@ def slot_rows(
     after = F.col("slot") >= short * block_size + last_size
     full = F.col("slot") + F.when(after, missing).otherwise(0)
     place = F.floor(full / block_size)
-    block = permute(place, F.lit(count).cast("bigint"), F.lit(f"{key}-blocks"), back=True)
+    block = permute(place, F.lit(count).cast("bigint"), f"{key}-blocks", back=True)
     placed = slots.select("slot", block.alias("_block"), (full % block_size).alias("_at"))
     size = F.when(F.col("_block") == count - 1, last_size).otherwise(block_size).cast("bigint")
-    own = permute(F.col("_at"), size, F.concat(F.lit(f"{key}-rows-"), F.col("_block").cast("string")), back=True)
+    own = permute(F.col("_at"), size, f"{key}-rows", F.col("_block"), back=True)
     return placed.select("slot", (F.col("_block") * block_size + own).cast("bigint").alias("position"))
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from voxelherd.operators import packaging as p
 from voxelherd.operators.ordering import batch_slice, first_n
-from voxelherd.operators.epochs import ROUNDS, epoch_slots, number_samples
+from voxelherd.operators.epochs import FACTOR, PRIME, ROUNDS, SPREAD, epoch_slots, number_samples, round_keys
 from voxelherd.plans.registry import query
 
 SCANS_SQL = """scans AS (
@@ -194,24 +194,29 @@ def sample_example(t):
     return p.sample_example(t.documents.select("source", "doc_id"), ["source"], "doc_id", 5)
 
 
-def _permuted_sql(value: str, n: str, key: str) -> str:
+def _permuted_sql(value: str, n: str, key: str, tweak: str = "0") -> str:
     """The rounds of the permutation over a list, for a value of 0 … n - 1."""
-    draw = "('0x' || substr(md5({}), 1, 8))::BIGINT"
-    pivot, bit = draw.format(f"{key} || '-' || r"), draw.format(f"{key} || '-' || r || '-' || greatest(v, o)")
-    other = f"((({pivot} - v) % ({n})) + ({n})) % ({n})"
-    bit = bit.replace("greatest(v, o)", f"greatest(v, {other})")
+    pivots, bits = zip(*round_keys(key))
+
+    def mix(x: str, k: str) -> str:
+        y = f"((({x}) + {k}) % {PRIME})"
+        return f"(({y} * {y} % {PRIME} * {FACTOR} + {k}) % {PRIME})"
+
+    pivot, bit = f"{list(pivots)}[r + 1]::BIGINT", f"{list(bits)}[r + 1]::BIGINT"
+    other = f"((({mix(f'({tweak})::BIGINT', pivot)} - v) % ({n}) + ({n})) % ({n}))"
+    drawn = f"({mix(f'greatest(v, {other}) + ({tweak})::BIGINT * {SPREAD}', bit)} // 1024 % 2)"
     return (f"list_reduce(list_prepend(({value})::BIGINT, range(0, {ROUNDS})), "
-            f"lambda v, r: CASE WHEN {bit} % 2 = 1 THEN {other} ELSE v END)")
+            f"lambda v, r: CASE WHEN {drawn} = 1 THEN {other} ELSE v END)")
 
 
 @query("epoch_permuted", f"""
 WITH n AS (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) - 1 AS position, count(*) OVER () AS total FROM orders),
 b AS (SELECT *, position // 500 AS block, (total + 499) // 500 AS blocks, total - (total - 1) // 500 * 500 AS last_size FROM n),
-k AS (SELECT DISTINCT block, blocks, last_size, {_permuted_sql("block", "blocks", "'11-3-0-blocks'")} AS place FROM b),
+k AS (SELECT DISTINCT block, blocks, last_size, {_permuted_sql("block", "blocks", "11-3-0-blocks")} AS place FROM b),
 s AS (SELECT max(place) FILTER (block = blocks - 1) AS short FROM k),
 r AS (SELECT o_orderkey, position, place * 500 - CASE WHEN place > short THEN 500 - last_size ELSE 0 END AS begin, block,
              CASE WHEN block = blocks - 1 THEN last_size ELSE 500 END AS size FROM b JOIN k USING (block, blocks, last_size), s)
-SELECT o_orderkey, position, CAST(begin + {_permuted_sql("position % 500", "size", "'11-3-0-rows-' || block")} AS BIGINT) AS slot FROM r""")
+SELECT o_orderkey, position, CAST(begin + {_permuted_sql("position % 500", "size", "11-3-0-rows", "block")} AS BIGINT) AS slot FROM r""")
 def epoch_permuted(t):
     """Slots of an epoch by permutation; the rows were numbered before."""
     orders = t.orders.select("o_orderkey")
