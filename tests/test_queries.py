@@ -32,3 +32,11 @@ def test_query_without_sql_gives_rows(spark, folder, name):
 def test_entry(spark):
     assert entry_module.entry(spark).columns == ["dataset", "n_images", "n_subs", "frac_labeled", "im_per_sub"]
     assert set(entry_module.oracle_sql()) <= set(entry_module.queries())
+
+
+@pytest.mark.parametrize("name", ["stream_index", "stream_meters", "stream_window"])
+def test_streams_of_tables_in_parts(spark, folder, connection, name, tmp_path):
+    """A table may be a folder of Parquet files."""
+    for table in ("documents", "events"):
+        spark.read.parquet(f"{folder}/{table}.parquet").repartition(3).write.parquet(f"{tmp_path}/{table}.parquet")
+    assert differences(QUERIES[name](spark, str(tmp_path)), connection, ORACLES[name]) is None
