@@ -290,6 +290,13 @@ def test_batch_minimum(spark):
     assert stats == {0: (pytest.approx(16 / 3), 3, 1), 1: (9.0, 9, 4)}
 
 
+def test_share_as_written(spark):
+    """A fifth of five patches is one, though 1 - 0.8 in doubles is below 0.2."""
+    df = valid_frame(spark, [(5, 0), (8, 0)])
+    assert [r["visible"] for r in masks.mask_stats(df, 0.8).collect()] == [1]
+    assert [sum(r["visible"]) for r in masks.random_mask(df, 0.8, 1).collect()] == [1, 1]
+
+
 @pytest.mark.parametrize("name, options", [
     ("block", {}), ("block", {"block": (9, 2, 2)}), ("hybrid", {"random_fraction": 0.25, "block_fraction": 0.5}), ("random", {}),
 ])

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -21,6 +22,14 @@ def add_valid(df: DataFrame, shape: Sequence[int], patch: Sequence[int], mask: s
     return df.withColumn("valid", kernels.any_per_patch(shape, patch)(F.col(mask)))
 
 
+def kept_of(ratio: float, count: Column) -> Column:
+    """``(1 - ratio)`` of a count, rounded down; the share is that of the ratio as written.
+
+    ``1 - 0.8`` in doubles is below 0.2, and a fifth of 5 patches would round down to none.
+    """
+    return F.floor(F.lit(float(1 - Decimal(str(ratio)))) * count).cast("int")
+
+
 def add_quota(df: DataFrame, ratio: float, flags: str = "valid", batch: str = "batch") -> DataFrame:
     """``num_keep`` of the batch: ``(1 - ratio)`` of its smallest count, rounded down.
 
@@ -30,7 +39,7 @@ def add_quota(df: DataFrame, ratio: float, flags: str = "valid", batch: str = "b
     """
     counted = df.withColumn("_n", count_set(F.col(flags)))
     quota = counted.groupBy(batch).agg(F.min("_n").alias("_min")).select(
-        F.col(batch).alias("_batch"), F.floor(F.lit(1.0 - float(ratio)) * F.col("_min")).cast("int").alias("num_keep")
+        F.col(batch).alias("_batch"), kept_of(ratio, F.col("_min")).alias("num_keep")
     )
     same = F.col(batch).eqNullSafe(F.col("_batch"))
     return counted.drop("_n").join(materialize(quota), same).drop("_batch")
@@ -149,5 +158,5 @@ def mask_stats(df: DataFrame, ratio: float, batch: str = "batch") -> DataFrame:
     return counted.groupBy(batch).agg(
         F.avg("_n").alias("valid_mean"),
         F.min("_n").alias("valid_min"),
-        F.floor(F.lit(1.0 - float(ratio)) * F.min("_n")).cast("int").alias("visible"),
+        kept_of(ratio, F.min("_n")).alias("visible"),
     )
