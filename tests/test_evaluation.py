@@ -405,3 +405,28 @@ def test_live_windows_over_runs_equal_the_batch(spark, tmp_path):
     last = [r[4] for r in rows if r[0] == "hot" and r[4] is not None and np.isfinite(r[4])][-19:] + [3.0]
     assert new["avg"] == pytest.approx(np.mean(last)) and new["max"] == max(last) and new["median"] == sorted(last)[9]
     assert more[more["run"] == "new"][["step", "median"]].values.tolist() == [[0, 2.0]]
+
+
+def test_live_windows_keep_rings_as_a_table(spark, tmp_path, monkeypatch):
+    """No call per meter: meters are rows of a table, written by each micro-batch, whole now and then."""
+    from voxelherd.streaming import live_windows
+
+    monkeypatch.setattr(live_windows, "RINGS_WHOLE", 2)
+    out, state, rows = str(tmp_path / "out"), str(tmp_path / "state"), []
+    schema = "run long, at timestamp, number long, value double"
+    for batch in range(5):
+        own = [(r, batch * 100 + i, float((r + i) % 5)) for r in ([0, 1] if batch % 2 else range(40)) for i in range(3)]
+        rows += own
+        spark.createDataFrame(own, "run long, number long, value double").withColumn("at", F.timestamp_seconds("number")).coalesce(1).write.mode(
+            "append"
+        ).parquet(str(tmp_path / "log"))
+        stream = spark.readStream.schema(schema).parquet(str(tmp_path / "log"))
+        start_live_windows(stream, ["run"], "at", "number", "value", out, state, window=4).awaitTermination()
+    assert not (tmp_path / "state" / "state").exists()
+    sizes = [spark.read.parquet(f"{state}/rings/{n}").count() for n in range(5)]
+    assert sizes == [40, 2, 40, 2, 40]
+    batch = spark.createDataFrame(rows, "run long, number long, value double").withColumn("at", F.timestamp_seconds("number"))
+    want = meters.meter_window(batch, ["run"], ["at", "number"], "value", 4, chunk=64)
+    columns = ["run", "number", "step", "median", "avg", "max", "value"]
+    got = read_live_windows(spark, out).where("NOT late")
+    assert sorted(map(tuple, got.select(columns).collect())) == sorted(map(tuple, want.select(columns).collect()))
