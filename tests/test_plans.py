@@ -101,3 +101,18 @@ def test_hidden_patches_stay_on_their_scan(spark, folder):
     assert plan_of(volumes.scatter_predictions_of_scans(scans, SHAPE, PATCH)).count("Exchange") == base
     plan = plan_of(volumes.masked_mse_of_scans(scans, mask="observed"))
     assert plan.count("Exchange") == base + 1 and "Exchange SinglePartition" in plan and "partial_sum" in plan
+
+
+def test_partitions_grow_with_the_tables(spark, folder, monkeypatch):
+    """What a task sorts or holds is bounded: a shuffle gets more partitions from more input."""
+    from voxelherd import session
+    from voxelherd.plans.catalog import QUERIES
+
+    monkeypatch.setattr(session, "INPUT_PER_PARTITION", 1000)
+    QUERIES["pair_missing"](spark, folder)
+    assert int(spark.conf.get(session.PARTITIONS)) > 100
+    monkeypatch.undo()
+    QUERIES["pair_missing"](spark, folder)
+    assert int(spark.conf.get(session.PARTITIONS)) == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    session.prepare_session(spark)
+    assert spark.conf.get(session.PARTITIONS, None) is None

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from voxelherd.session import prepare_session
+from voxelherd.session import fit_partitions, prepare_session
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -18,8 +18,12 @@ class Tables:
     def __init__(self, spark: SparkSession, folder: str):
         self.spark = spark
         self.folder = folder
+        self._read: set[str] = set()
 
     def __getattr__(self, name: str) -> DataFrame:
+        if name not in self._read:
+            self._read.add(name)
+            fit_partitions(self.spark, [f"{self.folder}/{n}.parquet" for n in self._read])
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
 

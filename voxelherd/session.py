@@ -7,6 +7,7 @@ import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -19,7 +20,14 @@ RUNTIME_CONF = {
     "spark.sql.execution.arrow.maxBytesPerBatch": str(256 * 1024 * 1024),
 }
 
+# A shuffle gets a partition for so much input, and partitions are merged up to so much:
+# sorts and hash tables of keys hold some thirty times their shuffled bytes.
+INPUT_PER_PARTITION = 4 * 1024 * 1024
+MERGED_PARTITION = 16 * 1024 * 1024
+PARTITIONS, MERGED = "spark.sql.adaptive.coalescePartitions.initialPartitionNum", "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+
 _written: list[str] = []
+_sized: set[str] = set()
 _shipped: set[str] = set()
 
 
@@ -39,9 +47,28 @@ def prepare_session(spark: SparkSession) -> None:
     """Make a session somebody else built fit for this package."""
     for key, value in RUNTIME_CONF.items():
         spark.conf.set(key, value)
+    for key in _sized:
+        spark.conf.unset(key)
+    _sized.clear()
     ship_package(spark)
 
 
+def fit_partitions(spark: SparkSession, tables: Iterable[str]) -> None:
+    """Let the number of shuffle partitions grow with the tables at these paths.
+
+    With a fixed number, what a task sorts or holds grows with the input. Holds until
+    :func:`prepare_session`; never fewer partitions than the session asks for.
+    """
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    paths = [spark.sparkContext._jvm.org.apache.hadoop.fs.Path(p) for p in tables]
+    size = sum(p.getFileSystem(conf).getContentSummary(p).getLength() for p in paths)
+    wanted = {PARTITIONS: max(size // INPUT_PER_PARTITION, int(spark.conf.get("spark.sql.shuffle.partitions"))), MERGED: MERGED_PARTITION}
+    for key, value in wanted.items():
+        if key in _sized or spark.conf.get(key, None) in (None, str(64 * 1024 * 1024), "67108864b", "64MB"):
+            spark.conf.set(key, str(value))
+            _sized.add(key)
+
+
 def ship_package(spark: SparkSession) -> None:
     """Send this package to the Python workers, once per application."""
     app = spark.sparkContext.applicationId
