@@ -128,3 +128,27 @@ def test_groups_of_the_query(spark, folder):
     got = {r.doc_id: r.near_group for r in op6_minhash(spark, folder).collect()}
     assert got == dict(zip((k for k, _ in docs), want, strict=True))
     assert len(set(want)) < len(docs)
+
+
+def test_groups_come_in_key_order(spark, monkeypatch):
+    """Groups reach their documents as keys and nodes; the result is not joined and shuffled again."""
+    monkeypatch.setattr(minhash, "SLICE_ROWS", 3)
+    rows = [(i, f"one text of many {i // 2}") for i in range(20)] + [(None, "one text of many 1"), (104, "another"), (104, "another")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    made = minhash.with_groups(df)
+    assert "Join" not in made._jdf.queryExecution().optimizedPlan().toString().split("MapInArrow")[0]
+    want = dict(zip(((k, t) for k, t in rows), brute_groups(rows), strict=True))
+    got = sorted((str(r.doc_id), r.near_group, r.near_group_rows) for r in made.collect())
+    sizes = {}
+    for (key, text), group in zip(rows, brute_groups(rows), strict=True):
+        sizes[group] = sizes.get(group, 0) + 1
+    assert got == sorted((str(k), want[k, t], sizes[want[k, t]]) for k, t in rows)
+
+
+def test_brief_likeness():
+    import numpy as np
+
+    minima = np.random.default_rng(1).integers(0, 1 << 16, (2, 128)).astype(np.uint16)
+    mixed = np.where(np.arange(128) < 96, minima[0], minima[0] ^ 5)[None]
+    assert minhash.brief_likeness(minhash.brief(minima[:1]), minhash.brief(mixed))[0] == 0.75
+    assert minhash.brief_likeness(minhash.brief(minima[:1]), minhash.brief(minima[1:]))[0] < 0.2

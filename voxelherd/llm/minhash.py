@@ -75,6 +75,18 @@ def likeness(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (a == b).mean(axis=1)
 
 
+def brief(minima: np.ndarray) -> np.ndarray:
+    """Four bits of each minimum, two in a byte."""
+    bits = (minima & np.uint16(15)).astype(np.uint8)
+    return bits[:, 0::2] | (bits[:, 1::2] << 4)
+
+
+def brief_likeness(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Share of equal places of two tables of :func:`brief`; a sixteenth of the others agree by chance."""
+    differ = a ^ b
+    return ((differ & 15 == 0).sum(axis=1) + (differ >> 4 == 0).sum(axis=1)) / (2 * a.shape[1])
+
+
 def fingerprint_texts(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``key`` and ``fingerprint`` (bytes of the minima) of each document."""
     kind = docs.schema[key].dataType.simpleString()
@@ -97,12 +109,14 @@ def edited_text(text: str, following: str) -> str:
     return text[: len(text) - half] + following[:half]
 
 
-def in_key_order(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def in_key_order(docs: DataFrame, key: str = "doc_id", text: str = "text", groups: DataFrame | None = None) -> DataFrame:
     """Packed texts, one partition per range of keys, with the neighbour beyond each range.
 
     Range borders are existing keys, so the first document beyond a range is known by
     its key and is sent to both ranges as texts are read: they are shuffled once, packed.
     Rows come sorted by (``guest``, key descending); guests follow the range's own rows.
+    Rows of ``groups`` (:func:`near_groups`) come as rows without a text before the documents
+    of their key, so that only keys and nodes are shuffled for them.
     """
     bounds = docs.agg(F.count(F.lit(1)).alias("n"), F.max(key).alias("most")).first()
     slices = parts_for(bounds["n"], SLICE_ROWS)
@@ -133,31 +147,46 @@ def in_key_order(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
                 names=["slice", "guest", "key", "packed"],
             )
 
-    rows = docs.select(F.col(key).cast("bigint").alias("key"), text_bytes(text).alias("raw")).mapInArrow(
-        run, "slice int, guest boolean, key bigint, packed binary"
-    )
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = batch.column("key")
+            at = np.searchsorted(cuts, own.fill_null(0).to_numpy(zero_copy_only=False))
+            where = np.where(own.is_null().to_numpy(zero_copy_only=False), 0, at)
+            yield pa.RecordBatch.from_arrays([pa.array(where, pa.int32()), *batch.columns], names=["slice", *batch.schema.names])
+
+    named = docs.select(F.col(key).cast("bigint").alias("key"), text_bytes(text).alias("raw"))
+    rows = named.mapInArrow(run, "slice int, guest boolean, key bigint, packed binary")
+    if groups is not None:
+        grouped = named.select("key", F.xxhash64("raw").alias("node")).join(groups, "node").select("key", "node", "group_id", "group_rows")
+        placed = grouped.distinct().mapInArrow(place, "slice int, key bigint, node bigint, group_id bigint, group_rows bigint")
+        rows = rows.unionByName(placed.withColumn("guest", F.lit(False)), allowMissingColumns=True)
+    else:
+        rows = rows.withColumns({c: F.lit(None).cast("bigint") for c in ("node", "group_id", "group_rows")})
     spread = rows.repartitionById(len(cuts) + 1, "slice")
     return spread.sortWithinPartitions("slice", "guest", F.col("key").desc_nulls_last(), F.md5("packed"))
 
 
-def compare_edits(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def compare_edits(docs: DataFrame, key: str = "doc_id", text: str = "text", groups: DataFrame | None = None) -> DataFrame:
     """Fingerprints of each text and of its edited text, and how alike they are.
 
     The edited text takes its second half from the next document in descending key order;
-    ``node`` names the text, see :func:`text_node`.
+    ``node`` names the text, see :func:`text_node`; ``group_id`` and ``group_rows`` are those
+    of its row in ``groups``, if there is one.
     """
     schema = (
         "doc_id bigint, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, "
-        "near_edited double, near_next double, node bigint"
+        "near_edited double, near_next double, node bigint, group_id bigint, group_rows bigint"
     )
 
-    def compare(keys: list, texts: list[str], first: np.ndarray | None) -> tuple[pa.RecordBatch, np.ndarray]:
+    def compare(keys: list, texts: list[str], first: np.ndarray | None, known: dict) -> tuple[pa.RecordBatch, np.ndarray]:
         """All rows but the last, which is only the neighbour; also the last one's fingerprint."""
         new = texts if first is None else texts[1:]
         made = signatures([t.encode() for t in new])
         own = made if first is None else np.concatenate([first[None], made])
         edited = [edited_text(a, b).encode() for a, b in zip(texts[:-1], texts[1:], strict=True)]
         changed = signatures(edited)
+        nodes = [text_node(t.encode()) for t in texts[:-1]]
+        found = [known.get(place, (None, None)) for place in zip(keys[:-1], nodes, strict=True)]
         columns = [
             pa.array(keys[:-1], pa.int64()),
             pa.array([len(t) for t in texts[:-1]], pa.int64()),
@@ -166,7 +195,9 @@ def compare_edits(docs: DataFrame, key: str = "doc_id", text: str = "text") -> D
             pa.array([row.tobytes().hex() for row in changed], pa.string()),
             pa.array(likeness(own[:-1], changed), pa.float64()),
             pa.array(likeness(own[:-1], own[1:]), pa.float64()),
-            pa.array([text_node(t.encode()) for t in texts[:-1]], pa.int64()),
+            pa.array(nodes, pa.int64()),
+            pa.array([g for g, _ in found], pa.int64()),
+            pa.array([n for _, n in found], pa.int64()),
         ]
         names = [field.split()[0] for field in schema.split(", ")]
         return pa.RecordBatch.from_arrays(columns, names=names), own[-1]
@@ -176,10 +207,14 @@ def compare_edits(docs: DataFrame, key: str = "doc_id", text: str = "text") -> D
         keys: list = []
         texts: list[str] = []
         first, size, at, closed = None, 0, None, False
+        known: dict = {}
         for batch in batches:
-            for slice_no, guest, own, packed in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for slice_no, guest, own, packed, node, *group in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if slice_no != at:
-                    keys, texts, first, size, at, closed = [], [], None, 0, slice_no, False
+                    keys, texts, first, size, at, closed, known = [], [], None, 0, slice_no, False, {}
+                if packed is None:
+                    known[own, node] = tuple(group)
+                    continue
                 if closed:
                     continue  # further guests with the same key
                 content = unpack(packed).decode()
@@ -188,17 +223,17 @@ def compare_edits(docs: DataFrame, key: str = "doc_id", text: str = "text") -> D
                 size += len(content)
                 closed = guest
                 if len(texts) > 1 and (guest or size >= TEXT_AT_ONCE):
-                    done, first = compare(keys, texts, first)
+                    done, first = compare(keys, texts, first, known)
                     yield done
                     keys, texts, size = keys[-1:], texts[-1:], 0
                     if guest:
                         keys, texts = [], []
 
-    return in_key_order(docs, key, text).mapInArrow(run, schema)
+    return in_key_order(docs, key, text, groups).mapInArrow(run, schema)
 
 
 def _sketches(texts: DataFrame) -> DataFrame:
-    """``node`` (hash of a text) and ``minima`` of each distinct text with words, from ``raw``."""
+    """``node`` (hash of a text), ``minima`` and ``brief`` of each distinct text with words, from ``raw``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -209,7 +244,14 @@ def _sketches(texts: DataFrame) -> DataFrame:
                 nodes = [text_node(raw[i]) for i in own]
                 yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(rows, pa.binary())], names=["node", "minima"])
 
-    return texts.select("raw").mapInArrow(run, "node bigint, minima binary").groupBy("node").agg(F.first("minima").alias("minima"))
+    def shorten(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            minima = np.frombuffer(b"".join(batch.column("minima").to_pylist()), dtype=np.uint16).reshape(-1, PERMUTATIONS)
+            rows = pa.array([row.tobytes() for row in brief(minima)], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("minima"), rows], names=["node", "minima", "brief"])
+
+    made = texts.select("raw").mapInArrow(run, "node bigint, minima binary").groupBy("node").agg(F.first("minima").alias("minima"))
+    return made.mapInArrow(shorten, "node bigint, minima binary, brief binary")
 
 
 def text_node(raw: bytes) -> int:
@@ -232,23 +274,24 @@ def _members(sketches: DataFrame, bands: int) -> DataFrame:
             nodes = np.repeat(batch.column("node").to_numpy(zero_copy_only=False), bands)
             yield pa.RecordBatch.from_arrays([pa.array(sums.ravel().view(np.int64)), pa.array(nodes)], names=["band", "node"])
 
-    return sketches.mapInArrow(run, "band bigint, node bigint")
+    return sketches.select("node", "minima").mapInArrow(run, "band bigint, node bigint")
 
 
 def _verified(texts: DataFrame, sketches: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
     """Pairs (``a``, ``b``) of texts whose exact Jaccard similarity reaches ``threshold``.
 
-    Pairs whose minima are five standard deviations below the threshold are not read.
+    Pairs whose brief minima are five standard deviations below the threshold are not read.
     """
-    least = threshold - 5 * float(np.sqrt(threshold * (1 - threshold) / PERMUTATIONS))
+    agree = threshold + (1 - threshold) / 16
+    least = agree - 5 * float(np.sqrt(agree * (1 - agree) / PERMUTATIONS))
     schema = "a bigint, b bigint, similarity double"
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             left, right = (
-                np.frombuffer(b"".join(batch.column(c).to_pylist()), dtype=np.uint16).reshape(-1, PERMUTATIONS) for c in ("one", "two")
+                np.frombuffer(b"".join(batch.column(c).to_pylist()), dtype=np.uint8).reshape(-1, PERMUTATIONS // 2) for c in ("one", "two")
             )
-            keep = pa.array(likeness(left, right) >= least)
+            keep = pa.array(brief_likeness(left, right) >= least)
             yield pa.RecordBatch.from_arrays([batch.column("a").filter(keep), batch.column("b").filter(keep)], names=["a", "b"])
 
     def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -290,7 +333,7 @@ def _verified(texts: DataFrame, sketches: DataFrame, pairs: DataFrame, threshold
         two = values.select(F.col("node").alias("b"), F.col(column).alias("two"))
         return what.join(one, "a").join(two, "b").select("a", "b", "one", "two")
 
-    close = materialize(joined(sketches, pairs, "minima").mapInArrow(near, "a bigint, b bigint"))
+    close = materialize(joined(sketches, pairs, "brief").mapInArrow(near, "a bigint, b bigint"))
     asked = materialize(close.select(F.col("a").alias("node")).unionByName(close.select(F.col("b").alias("node"))).distinct())
     bodies = texts.join(asked, "node", "left_semi").mapInArrow(packed, "node bigint, packed binary")
     bodies = materialize(bodies.groupBy("node").agg(F.first("packed").alias("packed")))
@@ -384,7 +427,7 @@ def with_groups(docs: DataFrame) -> DataFrame:
     The group is named by its smallest ``doc_id``, null if it has none.
     """
     groups = near_groups(docs)
-    made = compare_edits(docs).join(groups, "node", "left")
+    made = compare_edits(docs, groups=groups)
     group = F.when(F.col("group_rows").isNull(), F.col("doc_id")).otherwise(F.col("group_id"))
     return made.select(
         *[c for c in made.columns if c not in groups.columns], group.alias("near_group"), F.coalesce("group_rows", F.lit(1)).alias("near_group_rows")
