@@ -6,7 +6,7 @@ import public_tokenizers as tokens
 import pytest
 import tiktoken
 
-from voxelherd.llm import bpe
+from voxelherd.llm import bpe, common
 from voxelherd.llm.bpe import decode_ids, encode_texts, engine, load_tokenizer, round_trip
 from voxelherd.llm.q_bpe import op5_bpe_round_trip
 
@@ -100,3 +100,23 @@ def test_whole_table(spark, folder, reference):
 def test_empty_table(spark, tokenizer):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert round_trip(empty, tokenizer).count() == 0
+
+
+def held():
+    with open("/proc/self/status") as file:
+        return next(int(line.split()[1]) for line in file if line.startswith("RssAnon")) // 1024
+
+
+def test_memory_is_given_back():
+    """What a task has freed does not stay with the worker for the next stage."""
+
+    def run(batches):
+        waste = [bytearray(2000) for _ in range(100_000)]
+        last = bytearray(2000)
+        yield len(waste)
+        del waste
+        kept.append(last)
+
+    kept, before = [], held()
+    assert list(common.lean(run)(None)) == [100_000]
+    assert held() - before < 60

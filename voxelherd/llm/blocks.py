@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from voxelherd.llm.common import parts_for, text_bytes
+from voxelherd.llm.common import give_back, parts_for, text_bytes
 from voxelherd.session import materialize, scratch_folder
 
 # Documents in a block, bytes of text for each bucket of hashes.
@@ -94,7 +94,10 @@ class Blocks:
         if replies is None:
 
             def run(rows: pa.Table) -> pa.Table:
-                return table_of(list(function(texts_of(rows))))
+                try:
+                    return table_of(list(function(texts_of(rows))))
+                finally:
+                    give_back()
 
             return self.table.groupBy("block").applyInArrow(run, schema)
 
@@ -106,7 +109,10 @@ class Blocks:
             for level, bucket, packed in zip(*(answers.column(c).to_pylist() for c in ("level", "bucket", "packed")), strict=True):
                 found.setdefault(level, []).append((bucket, packed))
             own["answers"] = {level: [p for _, p in sorted(parts)] for level, parts in found.items()}
-            return table_of(list(function(own)))
+            try:
+                return table_of(list(function(own)))
+            finally:
+                give_back()
 
         return self.table.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(run_both, schema)
 

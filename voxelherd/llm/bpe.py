@@ -32,6 +32,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from voxelherd.llm.common import give_back, lean
 from voxelherd.llm.words import in_blocks
 
 # Words up to this many bytes take one contraction a round.
@@ -45,9 +46,9 @@ PIECE = 32_768
 LONG_AT_ONCE = 262_144
 KNOWN_PAIRS = 200_000
 # Texts tokenized together, and tokens decoded together.
-TEXT_AT_ONCE = 1_000_000
-SLICE = 200_000
-SLICES_AT_ONCE = 500_000
+TEXT_AT_ONCE = 300_000
+SLICE = 150_000
+SLICES_AT_ONCE = 150_000
 
 # The best pair of a word as one number: rank, place (16 bits), place of its right half (16 bits).
 ENCODE_SHORT = """
@@ -151,6 +152,8 @@ class Engine:
         digits = [token.hex() for token in ranks]
         self._put("vocabulary_in", pa.table({"id": pa.array(ranks.values(), pa.int32()), "digits": digits}))
         self.con.execute("CREATE TABLE vocabulary AS SELECT * FROM vocabulary_in")
+        for name in ("merges_in", "vocabulary_in"):
+            self.con.unregister(name)
 
     def _put(self, name: str, rows: pa.Table) -> None:
         self.con.register(name, rows)
@@ -365,8 +368,9 @@ def round_trip(
                     columns.append(pa.array([np.frombuffer(x, dtype="<i4") for x in ids], pa.list_(pa.int32())))
                     names.append("ids")
                 yield pa.RecordBatch.from_arrays(columns, names=names)
+            give_back()
 
     more = ", ids array<int>" if with_ids else ""
     return docs.select(key, text).mapInArrow(
-        run, f"`{key}` {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string{more}"
+        lean(run), f"`{key}` {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string{more}"
     )

@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from voxelherd.llm.common import parts_for, text_bytes
+from voxelherd.llm.common import lean, parts_for, text_bytes
 from voxelherd.llm.words import ALNUM, in_blocks, ranges, split_words
 from voxelherd.session import materialize
 
@@ -83,7 +83,7 @@ def build_index(docs: DataFrame) -> DataFrame:
                     arrays, names=["block", "doc_ids", "doc_words", "terms", "sizes", "postings"]
                 )
 
-    return materialize(docs.select("doc_id", text_bytes().alias("raw")).mapInArrow(run, INDEX_SCHEMA))
+    return materialize(docs.select("doc_id", text_bytes().alias("raw")).mapInArrow(lean(run), INDEX_SCHEMA))
 
 
 def test_windows(items: list[tuple[str, bytes]], size: int) -> dict[int, tuple[np.ndarray, np.ndarray]]:
@@ -236,7 +236,7 @@ def find_items(index: DataFrame, benchmark: DataFrame, size: int = 10, slop: int
                             [pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema
                         )
 
-        part = index.mapInArrow(run, HITS_SCHEMA)
+        part = index.mapInArrow(lean(run), HITS_SCHEMA)
         found = part if found is None else found.unionByName(part)
     if passes > 1:
         found = found.groupBy("block", "doc", "doc_id", "n_words").agg(

@@ -29,6 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from voxelherd.llm.common import lean
 from voxelherd.llm.words import in_blocks
 
 UNKNOWN = "und"
@@ -279,7 +280,7 @@ def predict(
     types = ["string", "double", "array<struct<lang: string, first: int, stop: int>>"]
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema]
     schema = ", ".join([*fields, *(f"{name} {kind}" for name, kind in zip(added, types, strict=False))])
-    return base.mapInArrow(run, schema)
+    return base.mapInArrow(lean(run), schema)
 
 
 def fit_outside_fold(docs: DataFrame, key: str = "doc_id") -> Model:

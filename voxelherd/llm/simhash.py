@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voxelherd.llm.common import text_bytes
+from voxelherd.llm.common import lean, text_bytes
 from voxelherd.llm.components import components, forest
 from voxelherd.session import materialize
 
@@ -74,7 +74,7 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", also:
             columns = [*(batch.column(name) for name in names), pa.array(made.view(np.int64))]
             yield pa.RecordBatch.from_arrays(columns, names=[*names, "simhash"])
 
-    return docs.select(*names, text_bytes(text).alias("raw")).mapInArrow(run, f"{kinds}, simhash bigint")
+    return docs.select(*names, text_bytes(text).alias("raw")).mapInArrow(lean(run), f"{kinds}, simhash bigint")
 
 
 class Flips:
