@@ -1,4 +1,5 @@
 import hashlib
+import random
 import re
 
 from voxelherd.llm import minhash
@@ -152,3 +153,39 @@ def test_brief_likeness():
     mixed = np.where(np.arange(128) < 96, minima[0], minima[0] ^ 5)[None]
     assert minhash.brief_likeness(minhash.brief(minima[:1]), minhash.brief(mixed))[0] == 0.75
     assert minhash.brief_likeness(minhash.brief(minima[:1]), minhash.brief(minima[1:]))[0] < 0.2
+
+
+def family_rows(texts=150, words=150):
+    """Copies of one text with so many changed words that some are alike and most are not, all in the same bands."""
+    rng = random.Random(5)
+    rows = []
+    for i in range(texts):
+        own = [f"w{n}" for n in range(words)]
+        for k in range(rng.randint(0, 9)):
+            own[rng.randrange(words)] = f"x{i}y{k}" if rng.random() < 0.9 else f"x{rng.randrange(9)}"
+        rows.append((i, " ".join(own)))
+    return rows
+
+
+def test_hot_bands(spark, monkeypatch):
+    """Pairs that cannot be links are not made, and no link is lost."""
+    rows = family_rows()
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    compared = []
+    verified = minhash._verified
+    monkeypatch.setattr(minhash, "_verified", lambda texts, sketches, pairs, t: compared.append(pairs.count()) or verified(texts, sketches, pairs, t))
+    monkeypatch.setattr(minhash, "PAIRS_AT_ONCE", 1)
+    assert found_groups(df) == dict(zip((k for k, _ in rows), brute_groups(rows), strict=True))
+    after, compared[:] = sum(compared), []
+    monkeypatch.setattr(minhash, "HOT_BAND", 1 << 30)
+    assert minhash.near_links(df).count()
+    assert 0 < 2 * after < sum(compared)
+
+
+def test_shared_shingles(spark):
+    rows = family_rows(40) + [(100, "a b c"), (101, "quite other words in here"), (102, "a b c  ")]
+    df = spark.createDataFrame(rows, "node long, text string").selectExpr("node", "encode(text, 'UTF-8') AS raw").repartition(5)
+    got = {r.node: (r.runs, sum(r.shared)) for r in minhash.shared_shingles(df).collect()}
+    sets = {k: shingles(t) for k, t in rows}
+    for k, own in sets.items():
+        assert got[k] == (len(own), sum(any(s in other for j, other in sets.items() if j != k) for s in own))

@@ -41,6 +41,11 @@ SLICE_ROWS = 1000
 PAIRS_AT_ONCE = 20
 # Shingles whose hashes a task keeps while it compares pairs.
 SETS_HELD = 4_000_000
+# Members from which a band is hot, parts of the shingles for which a text's shared ones are
+# counted, and bytes of hot texts whose shingles meet in one bucket.
+HOT_BAND = 64
+PARTS = 16
+BUCKET_BYTES = 32 << 20
 
 _random = np.random.RandomState(20240229)
 FACTORS = _random.randint(0, 1 << 62, PERMUTATIONS).astype(np.uint64) * np.uint64(2) + np.uint64(1)
@@ -277,6 +282,94 @@ def _members(sketches: DataFrame, bands: int) -> DataFrame:
     return sketches.select("node", "minima").mapInArrow(run, "band bigint, node bigint")
 
 
+def _parted(raw: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct hashes of the shingles of texts, the leading bits being the part, and the text of each."""
+    values, runs = shingle_hashes(raw)
+    owners = np.repeat(np.arange(len(raw)), runs)
+    values = mix(values)
+    order = np.lexsort((owners, values))
+    values, owners = values[order], owners[order]
+    first = np.ones(len(values), dtype=bool)
+    first[1:] = (values[1:] != values[:-1]) | (owners[1:] != owners[:-1])
+    return values[first], owners[first]
+
+
+def shared_shingles(texts: DataFrame) -> DataFrame:
+    """``node``, ``runs`` (distinct shingles) and ``shared``: by part of the shingles, those that another text has too.
+
+    A batch of texts sends a shingle once to its bucket, with the text if it has just one. A
+    bucket tells how many shingles of a text nobody else has sent.
+    """
+    total = texts.agg(F.sum(F.length("raw"))).first()[0] or 0
+    bits = PARTS.bit_length() - 1 + (parts_for(total, PARTS * BUCKET_BYTES) - 1).bit_length()
+    part_of = np.uint64(64 - PARTS.bit_length() + 1)
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            raw, nodes = batch.column("raw").to_pylist(), batch.column("node").to_numpy(zero_copy_only=False)
+            for part in in_blocks(raw, len, TEXT_AT_ONCE):
+                values, owners = _parted(raw[part])
+                values, at, times = np.unique(values, return_index=True, return_counts=True)
+                own = nodes[part][owners[at]]
+                buckets, first = np.unique(values >> np.uint64(64 - bits), return_index=True)
+                stops = np.append(first[1:], len(values))
+                packed = [
+                    [values[a:b].tobytes(), own[a:b].tobytes(), (times[a:b] > 1).tobytes()] for a, b in zip(first, stops, strict=True)
+                ]
+                columns = [pa.array([row[i] for row in packed], pa.binary()) for i in range(3)]
+                yield pa.RecordBatch.from_arrays([pa.array(buckets.astype(np.int64)), *columns], names=["bucket", "hashes", "nodes", "several"])
+
+    def meet(rows: pa.Table) -> pa.Table:
+        values, nodes, several = (
+            np.frombuffer(b"".join(rows.column(c).to_pylist()), kind) for c, kind in (("hashes", "<u8"), ("nodes", "<i8"), ("several", "?"))
+        )
+        _, at, times = np.unique(values, return_index=True, return_counts=True)
+        lone = at[(times == 1) & ~several[at]]
+        part = int(values[0] >> part_of)
+        owners, counts = np.unique(nodes[lone], return_counts=True)
+        return pa.table({"node": owners, "part": pa.array([part] * len(owners), pa.int32()), "n": counts.astype(np.int64)})
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            raw = batch.column("raw").to_pylist()
+            for part in in_blocks(raw, len, TEXT_AT_ONCE):
+                values, owners = _parted(raw[part])
+                cells = owners * PARTS + (values >> part_of).astype(np.int64)
+                sizes = np.bincount(cells, minlength=len(raw[part]) * PARTS).reshape(-1, PARTS)
+                rows = pa.array(list(sizes), pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([batch.column("node")[part.start : part.stop], rows], names=["node", "sizes"])
+
+    sent = texts.select("node", "raw").mapInArrow(send, "bucket bigint, hashes binary, nodes binary, several binary")
+    lone = sent.groupBy("bucket").applyInArrow(meet, "node bigint, part int, n bigint")
+    lone = lone.groupBy("node").agg(*[F.sum(F.when(F.col("part") == p, F.col("n")).otherwise(0)).alias(f"lone{p}") for p in range(PARTS)])
+    made = texts.select("node", "raw").mapInArrow(count, "node bigint, sizes array<bigint>").join(materialize(lone), "node", "left")
+    shared = [F.col("sizes")[p] - F.coalesce(f"lone{p}", F.lit(0)) for p in range(PARTS)]
+    return made.select("node", sum(F.col("sizes")[p] for p in range(PARTS)).alias("runs"), F.array(*shared).alias("shared"))
+
+
+def _may_reach(common, sizes, threshold: float):
+    """Whether texts of ``sizes`` shingles together can be as alike as ``threshold`` with ``common`` ones at most."""
+    return common * (1 + threshold) >= sizes * threshold - 1e-6
+
+
+def _bounded(members: DataFrame, texts: DataFrame, bands_now: DataFrame, threshold: float) -> DataFrame:
+    """Members with ``runs``, ``shared`` and ``lone`` if their text is in a hot band, else null.
+
+    Left out of a hot band is who cannot reach the threshold with any text of its least size.
+    """
+    hot = bands_now.where(F.col("all") >= HOT_BAND).select("band", F.lit(True).alias("hot"))
+    nodes = materialize(members.join(hot, "band", "left_semi").select("node").distinct())
+    own = materialize(texts.join(nodes, "node", "left_semi").groupBy("node").agg(F.first("raw").alias("raw")))
+    known = materialize(shared_shingles(own))
+    made = materialize(members.join(known, "node", "left").join(hot, "band", "left"))
+    least = materialize(made.where("hot").groupBy("band").agg(F.min("runs").alias("least")))
+    common = sum(F.col("shared")[p] for p in range(PARTS))
+    sizes = F.col("runs") + F.greatest("least", F.col("runs") * threshold)
+    stay = F.col("least").isNull() | _may_reach(common, sizes, threshold)
+    columns = [*members.columns, "runs", "shared"]
+    return materialize(made.join(least, "band", "left").where(stay).select(*columns, (F.col("runs") - common).alias("lone")))
+
+
 def _verified(texts: DataFrame, sketches: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
     """Pairs (``a``, ``b``) of texts whose exact Jaccard similarity reaches ``threshold``.
 
@@ -350,6 +443,11 @@ def near_links(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS
     PAIRS_AT_ONCE for each member they are compared at once; until then the leader,
     which has met all others, leaves, and a text of the smallest component leads. The
     limit grows tenfold each round, so the rounds are few; no pair is left out.
+
+    Before the first leader of hot bands, the shingles of their texts are counted that
+    another of these texts has too. Two texts have no more in common than the smaller counts
+    of each part of the shingles, so pairs that cannot reach the threshold are not made, and
+    texts that cannot with any other leave their band. The leader is a text with few of its own.
     """
     texts = docs.select(text_bytes().alias("raw")).withColumn("node", F.xxhash64("raw"))
     sketches = materialize(_sketches(texts))
@@ -360,34 +458,43 @@ def near_links(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS
     sums = members.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("all"))
     once = materialize(sums.groupBy("n", "all").agg(F.min("band").alias("band")).select("band"))
     members = materialize(members.join(once, "band").withColumn("root", F.col("node")))
-    links, limit = None, PAIRS_AT_ONCE
+    none = {"runs": "bigint", "shared": "array<bigint>", "lone": "bigint"}
+    plain, members = members, members.withColumns({c: F.lit(None).cast(kind) for c, kind in none.items()})
+    common = sum(F.least(F.col("shared")[p], F.col("one_shared")[p]) for p in range(PARTS))
+    reach = F.col("shared").isNull() | F.col("one_shared").isNull() | _may_reach(common, F.col("runs") + F.col("one_runs"), threshold)
+    other = ["band", F.col("node").alias("one"), F.col("root").alias("part"), F.col("runs").alias("one_runs"), F.col("shared").alias("one_shared")]
+    links, limit, bounded = None, PAIRS_AT_ONCE, False
     while True:
-        parts = materialize(members.groupBy("band", "root").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("node")))
+        first = F.min(F.struct(F.coalesce("lone", F.lit(0)).alias("lone"), "node"))
+        parts = materialize(members.groupBy("band", "root").agg(F.count(F.lit(1)).alias("n"), first.alias("node")))
         bands_now = parts.groupBy("band").agg(
             F.sum("n").alias("all"), F.max(F.struct("n", "root")).alias("most"), F.min(F.struct("n", "node")).alias("least"), F.count(F.lit(1)).alias("parts")
         ).where("parts > 1")
-        bands_now = materialize(bands_now.select("band", "all", F.col("most.root").alias("main"), F.col("most.n").alias("most"), F.col("least.node").alias("leader")))
+        bands_now = materialize(bands_now.select("band", "all", F.col("most.root").alias("main"), F.col("most.n").alias("most"), F.col("least.node.node").alias("leader")))
         size = bands_now.agg(F.sum("all").alias("members"), F.sum((F.col("all") - F.col("most")) * F.col("all")).alias("pairs")).first()
         if size["members"] is None:
             break
-        members = members.join(bands_now, "band")
         last = size["pairs"] <= limit * size["members"]
+        if not (last or bounded):
+            members, bounded = _bounded(plain, texts, bands_now, threshold), True
+            continue
+        members = members.join(bands_now, "band")
         limit *= 10
         if last:
-            strays = materialize(members.where("root <> main").select("band", F.col("node").alias("one"), F.col("root").alias("part")))
-            pairs = members.join(strays, "band").where("root <> part AND (root = main OR node < one)").select("node", "one")
+            strays = materialize(members.where("root <> main").select(*other))
+            pairs = members.join(strays, "band").where("root <> part AND (root = main OR node < one)").where(reach).select("node", "one")
         else:
             members = materialize(members)
-            led = materialize(members.where("node = leader").select("band", F.col("node").alias("one"), F.col("root").alias("part")))
-            pairs = members.join(led, "band").where("root <> part").select("node", "one")
+            led = materialize(members.where("node = leader").select(*other))
+            pairs = members.join(led, "band").where("root <> part").where(reach).select("node", "one")
         pairs = materialize(pairs.select(F.least("node", "one").alias("a"), F.greatest("node", "one").alias("b")).distinct())
         found = _verified(texts, sketches, pairs, threshold)
         links = found if links is None else links.unionByName(found)
         if last:
             break
         roots = materialize(components(links))
-        left = members.where("node <> leader").select("band", "node").join(roots, "node", "left")
-        members = materialize(left.select("band", "node", F.coalesce("root", "node").alias("root")))
+        left = members.where("node <> leader").select("band", "node", *none).join(roots, "node", "left")
+        members = materialize(left.select("band", "node", F.coalesce("root", "node").alias("root"), *none))
     return links.distinct() if links is not None else docs.sparkSession.createDataFrame([], "a bigint, b bigint, similarity double")
 
 
