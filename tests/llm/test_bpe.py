@@ -9,6 +9,7 @@ import tiktoken
 from voxelherd.llm import bpe, common
 from voxelherd.llm.bpe import decode_ids, encode_texts, engine, load_tokenizer, round_trip
 from voxelherd.llm.q_bpe import op5_bpe_round_trip
+from voxelherd.llm.words import in_blocks
 
 PATH = tokens.path("byte_bpe_50k.tiktoken")
 
@@ -87,6 +88,20 @@ def test_words_met_lately_stay(tokenizer, monkeypatch):
         assert len(own.known) + len(own.older) <= 400
 
 
+def test_new_words_of_a_batch_share_a_query(tokenizer, reference, monkeypatch):
+    """A query has a cost of its own, whatever its words; the texts of an Arrow batch make one."""
+    rng = random.Random(7)
+    batch = [" ".join("".join(rng.choice("etaoin") for _ in range(9)) for _ in range(1000)) for _ in range(20)] * 10
+    own, sizes = bpe.Engine(tokenizer), []
+    contract = own._contract
+    monkeypatch.setattr(own, "_contract", lambda raw, query: sizes.append(len(raw)) or contract(raw, query))
+    ids = [x for part in in_blocks(batch, len, bpe.TEXT_AT_ONCE) for x in own.encode(batch[part])]
+    assert len(sizes) == 1 and sizes[0] > 15_000
+    assert own.encode(batch[:3]) == ids[:3] and len(sizes) == 1
+    for text, found in zip(batch[:20], ids, strict=False):
+        assert found == b"".join(i.to_bytes(4, "little") for i in ids_of(reference, text))
+
+
 def test_whole_table(spark, folder, reference):
     got = {r.doc_id: r for r in op5_bpe_round_trip(spark, folder).collect()}
     for row in spark.read.parquet(f"{folder}/documents.parquet").collect():

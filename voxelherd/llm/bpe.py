@@ -2,8 +2,10 @@
 
 Texts are split by the tokenizer's pattern. Each worker keeps the merge table (token
 pair to merged token) in a DuckDB connection of its own. Words the worker has not met
-yet become rows (word, position, token); a recursive query joins neighbouring rows with
-the merge table and contracts the leftmost pair of minimum rank of each word until
+yet are given to a recursive query, all new words of a batch at once, as a query costs a
+fixed time besides that of its words. A word is one row with the list of its tokens, each with the
+rank of the pair that it makes with the next one. A round contracts the leftmost pair of minimum
+rank of each word and joins the two pairs around it with the merge table, until
 no pair is left. Ids are decoded by an aggregation over token bytes ordered by position.
 
 Words of more than SHORT bytes would need as many rounds as they have bytes. For them a
@@ -33,7 +35,7 @@ import regex
 from pyspark.sql import DataFrame
 
 from voxelherd.llm.common import give_back, lean
-from voxelherd.llm.words import in_blocks
+from voxelherd.llm.words import in_blocks, ranges
 
 # Words up to this many bytes take one contraction a round.
 SHORT = 32
@@ -45,31 +47,38 @@ KNOWN_WORDS = 500_000
 PIECE = 32_768
 LONG_AT_ONCE = 262_144
 KNOWN_PAIRS = 200_000
-# Texts tokenized together, and tokens decoded together.
-TEXT_AT_ONCE = 300_000
+# Texts tokenized together (an Arrow batch, as a rule), and tokens decoded together.
+TEXT_AT_ONCE = 4_000_000
 SLICE = 150_000
 SLICES_AT_ONCE = 150_000
 
-# The best pair of a word as one number: rank, place (16 bits), place of its right half (16 bits).
-ENCODE_SHORT = """
+# Bits of an id and of a rank, and the rank of no pair.
+ID_BITS = 24
+ID = (1 << ID_BITS) - 1
+
+# A token of a short word as one number: rank of its pair, place in the word (8 bits), id. So the
+# smallest number of a word is its leftmost pair of minimum rank.
+ENCODE_SHORT = f"""
 WITH RECURSIVE state AS (
-  SELECT 0 AS step, w, pos, id FROM start
+  SELECT w, tokens, list_min(tokens) AS low FROM start
   UNION ALL
-  (WITH pairs AS (
-     SELECT w, pos, id, lead(pos) OVER o AS next_pos, lead(id) OVER o AS next_id
-     FROM state WINDOW o AS (PARTITION BY w ORDER BY pos)
-   ), best AS (
-     SELECT w, min((merged::BIGINT << 32) | (pos << 16) | next_pos) AS code
-     FROM pairs JOIN merges ON l = id AND r = next_id GROUP BY w
-   ), parts AS (
-     SELECT w, (code >> 32)::INTEGER AS merged, (code >> 16 & 65535)::INTEGER AS pos, (code & 65535)::INTEGER AS gone FROM best
+  (WITH found AS (
+     SELECT w, tokens, low, low >> 32 AS made, list_position(tokens, low) AS k FROM state WHERE low >> 32 < {ID}
+   ), sides AS (
+     SELECT *, tokens[k - 1] AS before, tokens[k + 2] AS after FROM found
+   ), joined AS (
+     SELECT w, tokens, k, (coalesce(a.merged, {ID}) << 32) | (before & {(1 << 32) - 1}) AS before,
+            (coalesce(b.merged, {ID}) << 32) | (low & {255 << ID_BITS}) | made AS made
+     FROM sides LEFT JOIN pairs a ON a.pair = ((before & {ID}) << {ID_BITS}) | made
+     LEFT JOIN pairs b ON b.pair = (made << {ID_BITS}) | (after & {ID})
+   ), contracted AS (
+     SELECT w, CASE WHEN k > 1 THEN tokens[1 : k - 2] || [before, made] || tokens[k + 2 :]
+                    ELSE [made] || tokens[k + 2 :] END AS tokens
+     FROM joined
    )
-   SELECT s.step + 1, s.w, s.pos, CASE WHEN s.pos = b.pos THEN b.merged ELSE s.id END
-   FROM state s JOIN parts b ON s.w = b.w WHERE s.pos <> b.gone)
-), lasts AS (
-  SELECT w, max(step) AS last FROM state GROUP BY w
+   SELECT w, tokens, list_min(tokens) FROM contracted)
 )
-SELECT state.w, list(id ORDER BY pos) AS ids FROM state JOIN lasts ON state.w = lasts.w AND step = last GROUP BY state.w"""
+SELECT w, tokens AS ids FROM state WHERE low >> 32 = {ID}"""
 
 ENCODE_LONG = """
 WITH RECURSIVE state(w, pos, id, step) USING KEY (w, pos) AS (
@@ -104,9 +113,7 @@ WITH RECURSIVE state(w, pos, id, step) USING KEY (w, pos) AS (
 )
 SELECT w, list(id ORDER BY pos) AS ids FROM state WHERE id >= 0 GROUP BY w"""
 
-DECODE = """
-SELECT slice, from_hex(string_agg(digits, '' ORDER BY pos)) AS raw
-FROM flat JOIN vocabulary USING (id) GROUP BY slice"""
+DECODE = "SELECT list(token ORDER BY pos) AS raw FROM flat LEFT JOIN vocabulary USING (id)"
 
 
 @dataclass(frozen=True)
@@ -126,6 +133,32 @@ def load_tokenizer(path: str, pattern: str, most_bytes: int = 64 << 20) -> Token
     return Tokenizer(ranks, pattern)
 
 
+class Words(dict):
+    """Numbers of words, and their ids. Looking up a new word gives it the next number; its ids follow with ``add``."""
+
+    def __init__(self):
+        self.fresh: list[str] = []
+        self.ids = np.zeros(0, dtype="<u4")
+        self.ends = np.zeros(1, dtype=np.int64)
+
+    def __missing__(self, word: str) -> int:
+        number = self[word] = len(self)
+        self.fresh.append(word)
+        return number
+
+    def add(self, encoded: list[bytes]) -> None:
+        """Ids of all fresh words, in order."""
+        sizes = np.array([len(ids) // 4 for ids in encoded], dtype=np.int64)
+        self.ids = np.concatenate([self.ids, np.frombuffer(b"".join(encoded), dtype="<u4")])
+        self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(sizes)])
+        self.fresh = []
+
+    def joined(self, numbers: np.ndarray) -> bytes:
+        """Ids of the words with these numbers, one after the other."""
+        first = self.ends[numbers]
+        return self.ids[ranges(first, self.ends[numbers + 1] - first)].tobytes()
+
+
 class Engine:
     """Merge table, vocabulary and the words met so far, in one worker."""
 
@@ -139,18 +172,21 @@ class Engine:
             if token[:cut] in ranks and token[cut:] in ranks
         ]
         self.tokens = {rank: token for token, rank in ranks.items()}
+        if max(self.tokens) >= ID:
+            raise ValueError(f"ids of {ID_BITS} bits at most")
         self.byte_ids = np.array([ranks[bytes([b])] for b in range(256)], dtype=np.int32)
         self.find = regex.compile(tokenizer.pattern).findall
+        # Ranks of the pairs of two bytes, with which a short word begins.
+        self.byte_pairs = np.array([[ranks.get(bytes([a, b]), ID) for b in range(256)] for a in range(256)], dtype=np.int32)
         # Words met since the last turn, words of the turn before, and pairs that stand as they are.
-        self.known: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
+        self.known, self.older = Words(), Words()
         self.stable: dict[tuple[int, int], bool] = {}
         self.con = duckdb.connect(config={"threads": 1, "memory_limit": "256MB", "temp_directory": ""})
         left, right, merged = (pa.array(column, pa.int32()) for column in zip(*merges, strict=True))
         self._put("merges_in", pa.table({"l": left, "r": right, "merged": merged}))
         self.con.execute("CREATE TABLE merges AS SELECT * FROM merges_in")
-        digits = [token.hex() for token in ranks]
-        self._put("vocabulary_in", pa.table({"id": pa.array(ranks.values(), pa.int32()), "digits": digits}))
+        self.con.execute(f"CREATE TABLE pairs AS SELECT (l::BIGINT << {ID_BITS}) | r AS pair, merged::BIGINT AS merged FROM merges")
+        self._put("vocabulary_in", pa.table({"id": pa.array(ranks.values(), pa.int32()), "token": pa.array(ranks, pa.binary())}))
         self.con.execute("CREATE TABLE vocabulary AS SELECT * FROM vocabulary_in")
         for name in ("merges_in", "vocabulary_in"):
             self.con.unregister(name)
@@ -162,15 +198,19 @@ class Engine:
         """Ids of each word, contracted by a query."""
         sizes = np.array([len(word) for word in raw])
         flat = np.frombuffer(b"".join(raw), dtype=np.uint8)
-        starts = np.cumsum(sizes) - sizes
-        self._put("start", pa.table({
-            "w": np.repeat(np.arange(len(raw), dtype=np.int32), sizes),
-            "pos": (np.arange(len(flat)) - np.repeat(starts, sizes)).astype(np.int32),
-            "id": self.byte_ids[flat],
-        }))
+        ends = np.cumsum(sizes)
+        pos, ids = np.arange(len(flat)) - np.repeat(ends - sizes, sizes), self.byte_ids[flat]
+        if query == ENCODE_SHORT:
+            ranks = np.append(self.byte_pairs[flat[:-1], flat[1:]], ID).astype(np.int64)
+            ranks[ends - 1] = ID
+            tokens = ranks << 32 | pos << ID_BITS | ids
+            start = {"w": np.arange(len(raw), dtype=np.int32), "tokens": pa.ListArray.from_arrays(np.append(0, ends).astype(np.int32), tokens)}
+        else:
+            start = {"w": np.repeat(np.arange(len(raw), dtype=np.int32), sizes), "pos": pos.astype(np.int32), "id": ids}
+        self._put("start", pa.table(start))
         found = self.con.sql(query).to_arrow_table().combine_chunks()
         ids = found.column("ids").combine_chunks()
-        flat_ids = ids.flatten().to_numpy(zero_copy_only=False).astype("<u4").tobytes()
+        flat_ids = (ids.flatten().to_numpy(zero_copy_only=False) & ID).astype("<u4").tobytes()
         ends = (ids.offsets.to_numpy() - ids.offsets[0].as_py()) * 4
         out = [b""] * len(raw)
         for i, w in enumerate(found.column("w").to_numpy()):
@@ -238,31 +278,37 @@ class Engine:
             out[at : at + len(part)] = [self.stable[pair] for pair in part]
         return out[where]
 
-    def learn(self, words: set[str]) -> None:
-        """Encode words not met before. Words that were met lately stay, within a bound."""
-        if len(self.known) + len(words) > KNOWN_WORDS // 2:
-            self.known, self.older = {}, self.known
-        new = words.difference(self.known)
-        for word in new.intersection(self.older):
-            self.known[word] = self.older[word]
-        groups: dict[str, tuple[list[str], list[bytes]]] = {ENCODE_SHORT: ([], []), ENCODE_LONG: ([], [])}
-        for word in new.difference(self.known):
+    def learn(self) -> None:
+        """Encode the words of ``known`` that are new. Words of the turn before are taken from there."""
+        words, older = self.known.fresh, self.older
+        encoded = [b""] * len(words)
+        groups: dict[str, tuple[list[int], list[bytes]]] = {ENCODE_SHORT: ([], []), ENCODE_LONG: ([], [])}
+        for i, word in enumerate(words):
+            number = older.get(word)
+            if number is not None:
+                encoded[i] = older.ids[older.ends[number] : older.ends[number + 1]].tobytes()
+                continue
             raw = word.encode()
             if len(raw) > PIECE:
-                self.known[word] = self._long_word(raw)
+                encoded[i] = self._long_word(raw)
                 continue
-            names, bodies = groups[ENCODE_SHORT if len(raw) <= SHORT else ENCODE_LONG]
-            names.append(word)
+            places, bodies = groups[ENCODE_SHORT if len(raw) <= SHORT else ENCODE_LONG]
+            places.append(i)
             bodies.append(raw)
-        for query, (names, bodies) in groups.items():
+        for query, (places, bodies) in groups.items():
             most = BYTES_AT_ONCE if query == ENCODE_SHORT else LONG_AT_ONCE
-            self.known.update(zip(names, self._pieces(bodies, query, most), strict=True))
+            for i, ids in zip(places, self._pieces(bodies, query, most), strict=True):
+                encoded[i] = ids
+        self.known.add(encoded)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
-        split = [self.find(text) for text in texts]
-        self.learn(set().union(*split))
-        return [b"".join(map(self.known.__getitem__, words)) for words in split]
+        if len(self.known) > KNOWN_WORDS // 2:
+            self.known, self.older = Words(), self.known
+        number = self.known.__getitem__
+        split = [np.fromiter(map(number, self.find(text)), dtype=np.int64) for text in texts]
+        self.learn()
+        return [self.known.joined(numbers) for numbers in split]
 
     def decode(self, encoded: list[bytes]) -> list[bytes]:
         """Bytes of each list of ids."""
@@ -283,17 +329,18 @@ class Engine:
         return [b"".join(pieces) for pieces in out]
 
     def _decode(self, pieces: list[np.ndarray], owners: list[int], out: list[list[bytes]]) -> None:
-        sizes = [len(piece) for piece in pieces]
         flat = np.concatenate(pieces).astype(np.int32)
-        self._put("flat", pa.table({
-            "slice": np.repeat(np.arange(len(pieces), dtype=np.int32), sizes),
-            "pos": np.arange(len(flat), dtype=np.int32),
-            "id": flat,
-        }))
-        found = self.con.sql(DECODE).to_arrow_table()
-        raw = dict(zip(found.column("slice").to_pylist(), found.column("raw").to_pylist(), strict=True))
-        for i, owner in enumerate(owners):
-            out[owner].append(raw[i])
+        self._put("flat", pa.table({"pos": np.arange(len(flat), dtype=np.int32), "id": flat}))
+        found = self.con.sql(DECODE).to_arrow_table().column("raw").combine_chunks()
+        # The tokens lie one after the other in the bytes of the list.
+        tokens = found.flatten().cast(pa.large_binary())
+        _, places, raw = tokens.buffers()
+        ends = np.frombuffer(places, dtype=np.int64)[tokens.offset : tokens.offset + len(flat) + 1]
+        at = 0
+        for piece, owner in zip(pieces, owners, strict=True):
+            low, high = int(ends[at]), int(ends[at + len(piece)])
+            out[owner].append(raw[low:high].to_pybytes() if high > low else b"")
+            at += len(piece)
 
 
 _engines: dict[bytes, Engine] = {}
