@@ -1,9 +1,11 @@
 import hashlib
 import random
 
+import numpy as np
 import pytest
+import zstandard
 
-from voxelherd.llm import blocks
+from voxelherd.llm import blocks, suffixes
 from voxelherd.llm.bwt import insert_columns
 from voxelherd.llm.q_suffixes import op1_suffix_dedup
 from voxelherd.llm.suffixes import remove_repeats
@@ -85,3 +87,19 @@ def test_whole_table(spark, folder):
 
 def test_empty(spark):
     assert remove_repeats(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_only_pieces_with_a_shared_window_are_sorted(monkeypatch):
+    """Pieces that share an anchor, but no window, stay out of the transform."""
+    rng, anchor, passage = random.Random(9), b"a phrase of 20 bytes", b"these thirty bytes go with it."
+    around = lambda: bytes(rng.choice(b"etaoinshr") for _ in range(30))
+    pieces = [around() + anchor + around() for _ in range(50)] + [around() + anchor + passage, around() + anchor + passage]
+    ids = np.arange(len(pieces), dtype="<i8")
+    head = np.array([len(pieces)], dtype="<i4").tobytes() + ids.tobytes() + np.full(len(pieces), 7, dtype="<u4").tobytes()
+    row = head + np.full(len(pieces), 80, dtype=np.uint8).tobytes() + b"".join(pieces)
+    sorted_pieces, insert = [], suffixes.insert_columns
+    monkeypatch.setattr(suffixes, "insert_columns", lambda texts: sorted_pieces.extend(texts) or insert(texts))
+    reply = suffixes.reply_pieces([zstandard.ZstdCompressor().compress(row)], 50)
+    assert sorted_pieces == pieces[-2:]
+    # Only the last window, anchor and passage, of the later of the two has a smaller document.
+    assert np.frombuffer(reply[0], dtype="<u4").tolist() == [0] * 51 + [1 << 30]

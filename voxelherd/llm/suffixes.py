@@ -4,7 +4,8 @@ Every 50-byte window has an anchor, the smallest hash of the 20-byte strings in
 of windows with one anchor form pieces of up to 80 bytes, and equal windows lie in pieces
 with equal anchors. Blocks of texts ask which anchors occur in several documents; only
 pieces with such anchors are sent to the bucket of their anchor, each distinct piece once
-per block. A bucket builds the transform and the common prefixes of its pieces column by
+per block. Pieces without a window whose hash another one has are left out there. For the others
+the bucket builds the transform and the common prefixes column by
 column (see ``bwt``); suffixes that share 50 bytes with the one above are equal windows,
 and the smallest document of each group decides.
 
@@ -278,8 +279,8 @@ def send_pieces(own: dict, window: int, bits: int) -> Iterator[pa.RecordBatch]:
     )
 
 
-def smallest_of_windows(texts: list[bytes], ids: np.ndarray, window: int) -> list[np.ndarray]:
-    """For each window of each piece, the smallest id of all pieces that have it."""
+def smallest_of_windows(texts: list[bytes], ids: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each window of each piece, the smallest id of all pieces that have it; and each piece's number of windows."""
     records = insert_columns(texts)
     whole = np.flatnonzero(records["length"] >= window)
     # Only these can share a window's bytes with the record above.
@@ -294,7 +295,22 @@ def smallest_of_windows(texts: list[bytes], ids: np.ndarray, window: int) -> lis
         least = np.minimum.reduceat(ids[owner], first)[np.cumsum(new) - 1]
         offset = sizes[owner] - records["length"][whole]
         flat[(np.cumsum(counts) - counts)[owner] + offset] = least
-    return np.split(flat, np.cumsum(counts)[:-1])
+    return flat, counts
+
+
+def may_share(texts: list[bytes], window: int) -> np.ndarray:
+    """Which pieces have a window whose hash occurs again. The others share no window with any piece."""
+    sizes = np.array([len(text) for text in texts], dtype=np.int64)
+    counts = np.maximum(sizes - window + 1, 0)
+    flat = np.frombuffer(b"".join(texts), dtype=np.uint8)
+    hashes = window_hashes(flat.astype(np.uint64) + np.uint64(1), window)[ranges(np.cumsum(sizes) - sizes, counts)]
+    order = np.argsort(hashes)
+    same = hashes[order[1:]] == hashes[order[:-1]]
+    again = np.zeros(len(hashes), dtype=bool)
+    again[order[1:][same]] = again[order[:-1][same]] = True
+    out = np.zeros(len(texts), dtype=bool)
+    out[np.repeat(np.arange(len(texts)), counts)[again]] = True
+    return out
 
 
 def reply_pieces(sent: list[bytes], window: int) -> list[bytes]:
@@ -302,63 +318,46 @@ def reply_pieces(sent: list[bytes], window: int) -> list[bytes]:
     unpack = zstandard.ZstdDecompressor().decompress
     place: dict[bytes, int] = {}
     texts: list[bytes] = []
-    keys, ids, asked = [], [], []
+    keys, asked = [], []
     for row in sent:
         raw = unpack(row)
         n = int(np.frombuffer(raw, dtype="<i4", count=1)[0])
         own = np.frombuffer(raw, dtype="<i8", count=n, offset=4)
         code = np.frombuffer(raw, dtype="<u4", count=n, offset=4 + 8 * n)
         size = np.frombuffer(raw, dtype=np.uint8, count=n, offset=4 + 12 * n)
-        at = 4 + 13 * n
-        numbers = np.empty(n, dtype=np.int64)
-        for i, (k, length) in enumerate(zip(code.tolist(), size.tolist(), strict=True)):
-            piece = raw[at : at + length]
-            at += length
-            number = place.setdefault(piece, len(texts))
+        ends = 4 + 13 * n + np.cumsum(size, dtype=np.int64)
+        numbers, new = [], len(texts)
+        for at, end in zip((ends - size).tolist(), ends.tolist(), strict=True):
+            number = place.setdefault(raw[at:end], len(place))
+            numbers.append(number)
             if number == len(texts):
-                texts.append(piece)
-                keys.append(k)
-            numbers[i] = number
+                texts.append(raw[at:end])
+        numbers = np.array(numbers, dtype=np.int64)
+        # The first piece of each new number, in order.
+        keys.append(code[np.unique(numbers, return_index=True)[1][-(len(texts) - new) or n :]])
         asked.append((numbers, own))
-        ids.append((numbers, own))
+    keys = np.concatenate(keys)
     least = np.full(len(texts), np.iinfo(np.int64).max)
-    for numbers, own in ids:
-        np.minimum.at(least, numbers, own)
-    by_key = np.argsort(np.array(keys, dtype=np.int64), kind="stable")
-    ordered = np.array(keys, dtype=np.int64)[by_key]
-    groups = np.split(by_key, np.flatnonzero(np.diff(ordered)) + 1)
-    windows: list[np.ndarray | None] = [None] * len(texts)
-    waiting: list[np.ndarray] = []
-    size = 0
-
-    def settle() -> None:
-        own = np.concatenate(waiting)
-        for number, found in zip(own, smallest_of_windows([texts[i] for i in own], least[own], window), strict=True):
-            windows[number] = found
-
-    for group in groups:
-        if len(group) == 1:
-            # No other piece has this anchor, so none has these windows.
+    np.minimum.at(least, *(np.concatenate(c) for c in zip(*asked, strict=True)))
+    # By piece and window, the smallest id of all pieces that have the window. If no other piece
+    # has the anchor, or a window with one of its hashes, none has these windows.
+    found = np.repeat(least[:, None], 32, axis=1)
+    by_key = np.argsort(keys, kind="stable")
+    _, at, members = np.unique(keys[by_key], return_inverse=True, return_counts=True)
+    by_key, at = by_key[members[at] > 1], at[members[at] > 1]
+    sizes = np.array([len(text) for text in texts], dtype=np.int64)[by_key]
+    # Groups of one key stay together, and so many of them are sorted at once.
+    before = np.cumsum(sizes) - sizes
+    batch = before[np.searchsorted(at, at)] // SORTED_BYTES
+    for own in np.split(by_key, np.flatnonzero(np.diff(batch)) + 1) if len(by_key) else []:
+        own = own[may_share([texts[i] for i in own.tolist()], window)]
+        if not len(own):
             continue
-        waiting.append(group)
-        size += sum(len(texts[i]) for i in group)
-        if size >= SORTED_BYTES:
-            settle()
-            waiting, size = [], 0
-    if waiting:
-        settle()
+        flat, counts = smallest_of_windows([texts[i] for i in own.tolist()], least[own], window)
+        found[own] = np.iinfo(np.int64).max
+        found[np.repeat(own, counts), ranges(np.zeros(len(own), dtype=np.int64), counts)] = flat
     weights = np.uint32(1) << np.arange(32, dtype=np.uint32)
-    out = []
-    for numbers, own in asked:
-        flags = np.zeros(len(numbers), dtype=np.uint32)
-        for i, (number, doc) in enumerate(zip(numbers.tolist(), own.tolist(), strict=True)):
-            found = windows[number]
-            if found is None:
-                flags[i] = 0xFFFFFFFF if least[number] < doc else 0
-            else:
-                flags[i] = weights[: len(found)][found < doc].sum()
-        out.append(flags.astype("<u4").tobytes())
-    return out
+    return [((found[numbers] < own[:, None]) * weights).sum(axis=1, dtype=np.uint32).astype("<u4").tobytes() for numbers, own in asked]
 
 
 def removed_bytes(part: Part) -> np.ndarray:
