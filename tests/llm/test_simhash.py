@@ -69,6 +69,17 @@ def test_links_find_every_pair():
         assert [found.get(p, p) for p in keys] == brute_groups(keys, keys)
 
 
+def test_few_buckets_for_a_fingerprint():
+    """What is sent, and made again in a bucket, grows with the logarithm of the buckets, not with their number."""
+    for bits in range(17):
+        flips = Flips(bits)
+        assert len(flips.offsets) == 1 + bits + bits * (bits - 1) // 2
+        x = np.random.RandomState(bits).randint(0, 1 << 62, 500).astype(np.uint64)
+        hashes = flips.hash(x)
+        assert (hashes < 1 << bits).all() and len(np.unique(hashes)) > min(300, (1 << bits) * 8 // 10)
+        assert (flips.hash(x ^ x[::-1]) == hashes ^ hashes[::-1]).all()
+
+
 def test_components(spark):
     rng = random.Random(2)
     links = [(i, i + 1) for i in range(60)] + [(1000, 1000 + i) for i in range(300)] + [(rng.randint(5000, 5400), rng.randint(5000, 5400)) for _ in range(300)]

@@ -8,7 +8,9 @@ The shuffle is packed. A variant goes to the bucket given by a hash that is line
 bits, ``h(x ^ flips) = h(x) ^ h(flips)``. A fingerprint is therefore sent once to each
 bucket that holds any of its variants, 8 bytes each, and the bucket makes just those
 variants again from a table of flips by hash. The number of buckets follows the number
-of fingerprints, so a bucket's work stays the same at any size.
+of fingerprints, so a bucket's work stays the same at any size. A bit of the hash is the
+parity of a part of the fingerprint's bits, so two flips change two bits of it at most: of
+2,048 buckets, 67 hold variants of a fingerprint.
 
 Within a bucket, fingerprints with a variant in common are linked to the smallest of
 them, and each link is verified; links of one bucket are thinned to one per fingerprint
@@ -55,12 +57,12 @@ def fingerprint(text: bytes, size: int = SHINGLE) -> int:
     n = max(1, len(words) - size + 1)
     last = min(size, len(words)) - 1
     counts = np.zeros(BITS, dtype=np.int64)
-    digest = xxhash.xxh64_intdigest
+    digest = xxhash.xxh64_digest
     for at in range(0, n, AT_ONCE):
         pairs = zip(starts[at : min(at + AT_ONCE, n)].tolist(), ends[at + last : last + min(at + AT_ONCE, n)].tolist(), strict=True)
-        hashes = np.array([digest(joined[a:b], SEED) for a, b in pairs], dtype="<u8")
-        counts += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
-    return int(np.packbits(counts * 2 > n).view("<u8")[0])
+        hashes = np.frombuffer(b"".join([digest(joined[a:b], SEED) for a, b in pairs]), dtype=np.uint8)
+        counts += np.unpackbits(hashes.reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+    return int(np.packbits(counts * 2 > n).view(">u8")[0])
 
 
 def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", also: tuple[str, ...] = ()) -> DataFrame:
@@ -87,8 +89,7 @@ class Flips:
             groups = np.unique((groups[:, None] ^ single[None, :]).ravel())
             masks.append(groups)
         flips = np.unique(np.concatenate(masks))
-        codes = np.random.RandomState(7).randint(0, 1 << 62, BITS).astype(np.uint64)
-        self.codes = codes & np.uint64((1 << bucket_bits) - 1)
+        self.codes = np.array([1 << bit % bucket_bits if bucket_bits else 0 for bit in range(BITS)], dtype=np.uint64)
         hashes = self.hash(flips)
         order = np.argsort(hashes, kind="stable")
         self.flips = flips[order]
