@@ -1,9 +1,12 @@
 import itertools
+import random
 import zlib
 
 import numpy as np
+import pytest
 
-from voxelherd.llm.language import fit, fit_outside_fold, predict, script_of, viterbi
+from voxelherd.llm import language
+from voxelherd.llm.language import PENALTY, WORD, Labeller, fit, fit_outside_fold, predict, script_of, trigrams, viterbi
 from voxelherd.llm.q_language import op3_language_id
 
 
@@ -57,6 +60,27 @@ def test_spans_scripts_and_edges(spark):
     assert predict(df.limit(0), model).count() == 0
 
 
+@pytest.mark.parametrize("codes", [0, 1 << 22])
+def test_words_of_many_texts_by_the_rule(spark, monkeypatch, codes):
+    """Words are scored from code points, as if each were cut out and scored alone."""
+    monkeypatch.setattr(language, "MOST_CODES", codes)
+    model = fit(training(spark))
+    rng = random.Random(5)
+    odd = "aehtsAEΣσςİıé\u0301²½ⅷ_09 .-\n|дом漢字𝔘ﬁ\U0001F600"
+    texts = ["", "the house und дом", "²a b² ΑΣ Σ", "İstanbul"] + ["".join(rng.choices(odd, k=rng.randint(0, 40))) for _ in range(300)]
+    scores, letters, sizes = Labeller(model, PENALTY).words(texts)
+    words = [WORD.findall(text.lower()) for text in texts]
+    assert sizes.tolist() == [len(own) for own in words]
+    want = []
+    for word in itertools.chain(*words):
+        own = model.scores[[model.grams.get(gram, len(model.grams)) for gram in trigrams(word)]].sum(axis=0)
+        allowed = model.scripts.get(script_of(word), np.zeros(3, dtype=bool))
+        own = np.where(allowed, own, -1e6) if allowed.any() else own * 0
+        want.append(own - own.max())
+    assert np.allclose(scores, want, atol=1e-4)
+    assert letters.tolist() == [sum(map(str.isalpha, word)) for word in itertools.chain(*words)]
+
+
 def test_nothing_to_learn(spark):
     df = training(spark).selectExpr("doc_id", "text", "CAST(NULL AS STRING) AS lang")
     got = predict(df, fit_outside_fold(df)).select("lang_pred", "score").distinct().collect()

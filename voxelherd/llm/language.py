@@ -19,6 +19,7 @@ other columns are ignored. A null key counts as the empty text in the split.
 from __future__ import annotations
 
 import bisect
+import functools
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -30,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from voxelherd.llm.common import lean
-from voxelherd.llm.words import in_blocks
+from voxelherd.llm.words import in_blocks, ranges
 
 UNKNOWN = "und"
 FOLDS = 5
@@ -41,9 +42,11 @@ PENALTY = 6.0
 # A language is a candidate for a script that has this share of its letters.
 SCRIPT_SHARE = 0.005
 SMOOTHING = 0.5
-# Characters of text labelled together (for up to four languages), words kept by a worker.
+# Characters of text labelled together (for up to four languages).
 TEXT_AT_ONCE = 1_500_000
-KNOWN_WORDS = 300_000
+# Code points, and the most codes of trigrams that a table has an entry for each of.
+CODE_POINTS = 0x110000
+MOST_CODES = 1 << 22
 
 # First and last code point of the ranges of common scripts.
 SCRIPT_RANGES = [
@@ -73,6 +76,7 @@ SCRIPT_RANGES = [
     ("han", 0x20000, 0x2FFFF),
 ]
 _STARTS = [low for _, low, _ in SCRIPT_RANGES]
+SCRIPTS = [*dict.fromkeys(name for name, *_ in SCRIPT_RANGES), "other"]
 
 WORD = re.compile(r"[^\W\d_]+")
 
@@ -164,48 +168,88 @@ def _counts(found: Counter) -> pa.RecordBatch:
     )
 
 
+@functools.cache
+def char_tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each code point, whether it belongs to words, whether it is a letter, and the number of its script."""
+    chars = list(map(chr, range(CODE_POINTS)))
+    inside = np.zeros(CODE_POINTS, dtype=bool)
+    for match in WORD.finditer("".join(chars)):
+        inside[match.start() : match.end()] = True
+    letter = np.fromiter(map(str.isalpha, chars), dtype=bool, count=CODE_POINTS)
+    script = np.full(CODE_POINTS, len(SCRIPTS) - 1, dtype=np.uint8)
+    for name, low, high in SCRIPT_RANGES:
+        script[low : high + 1] = SCRIPTS.index(name)
+    return inside, letter, script
+
+
 class Labeller:
-    """Scores of words, kept by the worker, and Viterbi over many texts at once."""
+    """Scores of all words of many texts at once, from the code points, and Viterbi over them."""
 
     def __init__(self, model: Model, penalty: float):
         self.model, self.penalty = model, penalty
-        self.known: dict[str, int] = {}
-        self.scores = np.zeros((0, len(model.languages)), dtype=np.float32)
-        self.letters = np.zeros(0, dtype=np.int64)
-        self.none = np.zeros(len(model.languages), dtype=bool)
-
-    def learn(self, words: set[str]) -> None:
-        """Score words not met before."""
-        if len(self.known) + len(words) > KNOWN_WORDS:
-            self.known = {}
-            self.scores, self.letters = self.scores[:0], self.letters[:0]
-        new = list(words.difference(self.known))
-        if not new:
-            return
-        model, unknown = self.model, len(self.model.grams)
-        lists = [[model.grams.get(g, unknown) for g in trigrams(word)] for word in new]
-        sizes = np.array([len(x) for x in lists])
-        flat = np.array([g for x in lists for g in x])
-        scores = np.add.reduceat(model.scores[flat], np.cumsum(sizes) - sizes, axis=0)
-        allowed = np.array([model.scripts.get(script_of(word), self.none) for word in new])
+        self.inside, self.letter, self.script = char_tables()
+        none = np.zeros(len(model.languages), dtype=bool)
+        self.allowed = np.array([model.scripts.get(name, none) for name in SCRIPTS])
+        # Characters of trigrams have numbers from 1; what is in no word is a border, as a blank.
+        parts = np.frombuffer("".join(model.grams).encode("utf-32-le"), dtype="<u4").reshape(-1, 3)
+        chars = np.union1d(parts, [ord(" ")])
+        self.slots = np.zeros(CODE_POINTS, dtype=np.int64)
+        self.slots[chars] = np.arange(1, len(chars) + 1)
+        self.slots[~self.inside] = self.slots[ord(" ")]
+        self.base = len(chars) + 1
+        codes = self._codes(*self.slots[parts.T])
+        numbers = np.fromiter(model.grams.values(), dtype=np.int64, count=len(model.grams))
+        self.table = None
+        if self.base**3 <= MOST_CODES:
+            self.table = np.full(self.base**3, len(model.grams), dtype=np.int32)
+            self.table[codes] = numbers
+        order = np.argsort(codes)
+        self.codes, self.numbers = codes[order], numbers[order]
+
+    def _codes(self, a: np.ndarray, b: np.ndarray, c: np.ndarray) -> np.ndarray:
+        return (a * self.base + b) * self.base + c
+
+    def _grams(self, codes: np.ndarray) -> np.ndarray:
+        """Numbers of the trigrams with these codes; those that the model does not have share the last number."""
+        if self.table is not None:
+            return self.table[codes]
+        if not len(self.codes):
+            return np.zeros(len(codes), dtype=np.int64)
+        at = np.minimum(np.searchsorted(self.codes, codes), len(self.codes) - 1)
+        return np.where(self.codes[at] == codes, self.numbers[at], len(self.codes))
+
+    def words(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Scores and letters of each word, and the number of words of each text."""
+        lowered = [text.lower() for text in texts]
+        chars = np.frombuffer("".join([" ", *(text + " " for text in lowered)]).encode("utf-32-le"), dtype="<u4")
+        inside = self.inside[chars]
+        at = np.flatnonzero(inside)
+        if not len(at):
+            return np.zeros(self.allowed[:0].shape, dtype=np.float32), at, np.zeros(len(texts), dtype=np.int64)
+        first = np.flatnonzero(~inside[at - 1])
+        # A word has a trigram around each of its characters.
+        slots = self.slots[chars]
+        grams = self._grams(self._codes(slots[at - 1], slots[at], slots[at + 1]))
+        scores = np.add.reduceat(self.model.scores[grams], first, axis=0)
+        own = chars[at]
+        letter = self.letter[own]
+        lead = np.minimum.reduceat(np.where(letter, np.arange(len(at)), len(at)), first)
+        script = np.where(lead < len(at), self.script[own[np.minimum(lead, len(at) - 1)]], len(SCRIPTS) - 1)
+        allowed = self.allowed[script]
         some = allowed.any(axis=1)
         scores[~some] = 0
         scores[some[:, None] & ~allowed] = -1e6
         # Keep sums small: only differences between languages matter.
         scores -= scores.max(axis=1, keepdims=True)
-        self.known.update(zip(new, range(len(self.known), len(self.known) + len(new)), strict=True))
-        self.scores = np.concatenate([self.scores, scores])
-        self.letters = np.concatenate([self.letters, [sum(map(str.isalpha, word)) for word in new]])
+        ends = np.cumsum([len(text) + 1 for text in lowered])
+        sizes = np.diff(np.searchsorted(at[first], ends), prepend=0)
+        return scores, np.add.reduceat(letter.astype(np.int64), first), sizes
 
     def label(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
         """Language number and letters of each word of each text."""
-        split = [WORD.findall(text.lower()) for text in texts]
-        self.learn(set().union(*split))
-        sizes = np.array([len(words) for words in split])
-        ids = np.array([self.known[word] for words in split for word in words], dtype=np.int64)
+        scores, letters, sizes = self.words(texts)
         starts = np.cumsum(sizes) - sizes
-        labels = viterbi(self.scores[ids], starts, sizes, self.penalty)
-        letters = self.letters[ids]
+        labels = viterbi(scores, starts, sizes, self.penalty)
         return [(labels[a : a + n], letters[a : a + n]) for a, n in zip(starts, sizes, strict=True)]
 
 
@@ -213,30 +257,23 @@ def viterbi(scores: np.ndarray, starts: np.ndarray, sizes: np.ndarray, penalty:
     """Best labels of several sequences laid end to end; step t handles word t of all."""
     order = np.argsort(-sizes, kind="stable")
     starts, sizes = starts[order], sizes[order]
-    n_labels = scores.shape[1]
-    back = np.zeros(scores.shape, dtype=np.int16)
-    own = np.arange(n_labels, dtype=np.int16)
-    # Sequences that have a word t come first.
+    # Sequences that have a word t come first. Words lie by step here: all first ones, then all second ones.
     active = np.searchsorted(-sizes, -np.arange(int(sizes.max(initial=0))), side="left")
-    value = np.zeros((len(sizes), n_labels), dtype=np.float64)
-    for t, n in enumerate(active):
-        at = starts[:n] + t
-        if t:
-            before = value[:n]
-            best = before.argmax(axis=1)
-            change = before[np.arange(n), best] - penalty
-            stay = before >= change[:, None]
-            back[at] = np.where(stay, own, best[:, None])
-            value[:n] = np.where(stay, before, change[:, None]) + scores[at]
-        else:
-            value[:n] = scores[at]
+    first = np.cumsum(active) - active
+    own = ranges(np.zeros(len(active), dtype=np.int64), active)
+    at = starts[own] + np.repeat(np.arange(len(active)), active)
+    value = np.ascontiguousarray(scores[at].T, dtype=np.float64)
+    for a, b, n in zip(first[:-1].tolist(), first[1:].tolist(), active[1:].tolist(), strict=True):
+        before = value[:, a : a + n]
+        value[:, b : b + n] += np.maximum(before, before.max(axis=0) - penalty)
+    # The label before is the same one, or the best one if that is better by more than the penalty.
+    best = value.argmax(axis=0)
+    stay = value >= value.max(axis=0, initial=-np.inf) - penalty
+    for a, b, n in zip(first[-2::-1].tolist(), first[:0:-1].tolist(), active[:0:-1].tolist(), strict=True):
+        now = best[b : b + n]
+        best[a : a + n] = np.where(stay[now, np.arange(a, a + n)], now, best[a : a + n])
     labels = np.zeros(len(scores), dtype=np.int64)
-    now = value.argmax(axis=1)
-    for t in range(len(active) - 1, -1, -1):
-        n = active[t]
-        at = starts[:n] + t
-        labels[at] = now[:n]
-        now[:n] = back[at, now[:n]]
+    labels[at] = best
     return labels
 
 
