@@ -78,6 +78,25 @@ def test_equal_to_brute_force(spark, monkeypatch, window):
     assert got == brute(rows, window)
 
 
+def test_blocks_and_buckets_grow_with_the_table(spark, monkeypatch):
+    """Rows sent at a level are blocks times buckets; documents of 3,000 bytes."""
+    sent = []
+    for n in (50_000, 250_000, 500_000, 3_000_000):
+        rows, bits = blocks.sizes_for(n, 3000 * n)
+        sent.append(-(-n // rows) << bits)
+    assert sent[1] < 100_000 and sent[2] < 2 * sent[1] and sent[3] < 800_000
+    # Long documents do not make larger blocks.
+    assert blocks.sizes_for(100_000, 100_000 * 1_000_000)[0] == blocks.BLOCK_ROWS
+    monkeypatch.setattr(blocks, "BLOCK_ROWS", 8)
+    monkeypatch.setattr(blocks, "BUCKET_BYTES", 5_000)
+    monkeypatch.setattr(blocks, "MOST_SENT", 0)
+    rows = sample()
+    assert blocks.sizes_for(len(rows), 100_000) == (32, 3)
+    df = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, block int").repartition(3)
+    got = sorted(((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in remove_repeats(df).collect()), key=str)
+    assert got == brute(rows, 50)
+
+
 def test_whole_table(spark, folder):
     rows = [tuple(r) for r in spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text").collect()]
     want = [(*r[:4], hashlib.sha256(r[4]).hexdigest()) for r in brute(rows, 50)]

@@ -30,6 +30,11 @@ from voxelherd.session import materialize, scratch_folder
 # Documents in a block, bytes of text for each bucket of hashes.
 BLOCK_ROWS = 1024
 BUCKET_BYTES = 4_000_000
+# Every block sends a row to every bucket. From so many rows on, blocks and buckets are up to
+# LARGEST times as large, blocks as long as documents of mean length fill so many bytes at most.
+MOST_SENT = 100_000
+LARGEST = 4
+BLOCK_BYTES = 16_000_000
 MOST_BUCKETED = 50_000
 # Row number within a partition, in the low bits of monotonically_increasing_id.
 INDEX_BITS = 33
@@ -40,6 +45,18 @@ ASK_SCHEMA = "block bigint, bucket bigint, packed binary"
 REPLY_SCHEMA = "block bigint, bucket bigint, level int, packed binary"
 
 
+def sizes_for(n: int, size: int) -> tuple[int, int]:
+    """Documents in a block (a power of two) and leading bits that name a bucket, for a table of ``n`` and its bytes."""
+    rows, spread = BLOCK_ROWS, BUCKET_BYTES
+    for _ in range(int(math.log2(LARGEST))):
+        if parts_for(n, rows) * (size / spread) <= MOST_SENT:
+            break
+        spread *= 2
+        if 2 * rows * size <= BLOCK_BYTES * n:
+            rows *= 2
+    return rows, max(0, math.ceil(math.log2(max(1.0, size / spread))))
+
+
 class Blocks:
     """The stored texts: ``block``, ``slot``, ``doc_id``, ``raw``, and ``rest``, a struct of columns to keep."""
 
@@ -50,18 +67,18 @@ class Blocks:
         # DDL of the kept columns, to be added to the schema of a result.
         self.rest = f", rest {rows.schema['rest'].dataType.simpleString()}" if keep else ""
         size = rows.agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("raw")).alias("bytes")).first()
-        self.bucket_bits = max(0, math.ceil(math.log2(max(1.0, (size["bytes"] or 0) / BUCKET_BYTES))))
+        block_rows, self.bucket_bits = sizes_for(size["n"], size["bytes"] or 0)
         number = F.monotonically_increasing_id()
         index = number.bitwiseAND(F.lit((1 << INDEX_BITS) - 1))
         part = F.shiftright(number, INDEX_BITS)
-        per_block = int(math.log2(BLOCK_ROWS))
+        per_block = int(math.log2(block_rows))
         block = F.shiftleft(part, INDEX_BITS - per_block) + F.shiftright(index, per_block)
         placed = rows.select(
-            block.alias("block"), index.bitwiseAND(F.lit(BLOCK_ROWS - 1)).cast("int").alias("slot"), "doc_id", "raw",
+            block.alias("block"), index.bitwiseAND(F.lit(block_rows - 1)).cast("int").alias("slot"), "doc_id", "raw",
             *(["rest"] if keep else []),
         )
         name = f"voxelherd_blocks_{uuid.uuid4().hex}"
-        buckets = min(MOST_BUCKETED, parts_for(size["n"], BLOCK_ROWS))
+        buckets = min(MOST_BUCKETED, parts_for(size["n"], block_rows))
         writer = placed.write.format("parquet").bucketBy(buckets, "block").option("path", scratch_folder(spark))
         writer.saveAsTable(name)
         _tables.append(name)
