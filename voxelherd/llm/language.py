@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 
 from voxelherd.llm.common import lean
 from voxelherd.llm.words import in_blocks, ranges
+from voxelherd.session import materialize
 
 UNKNOWN = "und"
 FOLDS = 5
@@ -129,8 +130,11 @@ def fit(labelled: DataFrame, key: str = "doc_id", sample_rows: int = SAMPLE_ROWS
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: Counter = Counter()
         for batch in batches:
+            words: dict[str, Counter] = {}
             for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                for word, n in Counter(WORD.findall(text.lower())).items():
+                words.setdefault(lang, Counter()).update(WORD.findall(text.lower()))
+            for lang, own in words.items():
+                for word, n in own.items():
                     found[lang, "script", script_of(word)] += n * len(word)
                     for gram in trigrams(word):
                         found[lang, "gram", gram] += n
@@ -140,7 +144,7 @@ def fit(labelled: DataFrame, key: str = "doc_id", sample_rows: int = SAMPLE_ROWS
         yield _counts(found)
 
     totals = sample.mapInArrow(count, "lang string, kind string, name string, n bigint")
-    totals = totals.groupBy("kind", "name", "lang").agg(F.sum("n").alias("n"))
+    totals = materialize(totals.groupBy("kind", "name", "lang").agg(F.sum("n").alias("n")))
     # What is kept is bounded by GRAMS and goes to every worker.
     kept = totals.where("kind = 'script'").collect()
     grams = totals.where("kind = 'gram'").orderBy(F.desc("n"), "name", "lang").limit(GRAMS).collect()
