@@ -80,7 +80,7 @@ def test_equal_to_brute_force(spark, monkeypatch, window):
 
 def test_blocks_and_buckets_grow_with_the_table(spark, monkeypatch):
     """Rows sent at a level are blocks times buckets; documents of 3,000 bytes."""
-    for n, rows, bits in ((250_000, 1024, 8), (3_000_000, 2048, 11), (15_000_000, 4096, 12)):
+    for n, rows, bits in ((250_000, 1024, 8), (3_000_000, 2048, 11), (15_000_000, 2048, 13)):
         assert blocks.sizes_for(n, 3000 * n) == (rows, bits)
     # Long documents do not make larger blocks.
     assert blocks.sizes_for(100_000, 100_000 * 1_000_000)[0] == blocks.BLOCK_ROWS
@@ -88,7 +88,7 @@ def test_blocks_and_buckets_grow_with_the_table(spark, monkeypatch):
     monkeypatch.setattr(blocks, "BUCKET_BYTES", 5_000)
     monkeypatch.setattr(blocks, "MOST_SENT", 0)
     rows = sample()
-    assert blocks.sizes_for(len(rows), 100_000) == (32, 3)
+    assert blocks.sizes_for(len(rows), 100_000) == (16, 4)
     df = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, block int").repartition(3)
     got = sorted(((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in remove_repeats(df).collect()), key=str)
     assert got == brute(rows, 50)

@@ -33,7 +33,7 @@ BUCKET_BYTES = 4_000_000
 # Every block sends a row to every bucket. From so many rows on, blocks and buckets are up to
 # LARGEST times as large, blocks as long as documents of mean length fill so many bytes at most.
 MOST_SENT = 4_000_000
-LARGEST = 4
+LARGEST = 2
 BLOCK_BYTES = 16_000_000
 MOST_BUCKETED = 50_000
 # Row number within a partition, in the low bits of monotonically_increasing_id.
